@@ -112,3 +112,18 @@ def batches_of(rows: Iterable, size: int):
             chunk = []
     if chunk:
         yield chunk
+
+
+def slices(batch, column: int, limit: int = 8 << 20):
+    """Cut an Arrow record batch into parts of about ``limit`` bytes in one column (one row at
+    least), so that what a Python worker makes of them stays bounded even for very long texts."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    at = 0
+    ends = np.cumsum(sizes, dtype=np.int64)
+    while at < len(sizes):
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop

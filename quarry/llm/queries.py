@@ -4,18 +4,72 @@ can express them.  Each applies its operator with production parameters to the w
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm import simhash
+from quarry.llm import bpe, media, ordermin, packing, simhash, urlfilter
 from quarry.llm.common import table
 
 
+def tokenizer_file(name: str) -> tuple[str, str]:
+    """Place of a public vocabulary file on this machine, and the public split pattern."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name), public_tokenizers.PATTERN
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, _ = tokenizer_file("word_bpe_49k.json")
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), path)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.store_texts(table(spark, sf_dir, "documents"))
+    made = media.tiles(stored)
+    return made.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("samples").cast("bigint").alias("payload_bytes"),
+        F.sha2("samples", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(samples, -64, 64)")).alias("tail_crc32"),
+        F.octet_length("media").cast("bigint").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(":", "dhash", F.sha2("tile", 256)).alias("feature"),
+    )
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rule_table(spark))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = tokenizer_file("byte_bpe_multi_50k.tiktoken")
+    coded = bpe.encode_documents(table(spark, sf_dir, "documents"), path, pattern)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(bpe.ids_text(F.col("ids")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op10_ordermin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordermin.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_packing": op3_packing,
+    "op5_media": op5_media,
+    "op7_urls": op7_urls,
+    "op8_bpe": op8_bpe,
+    "op10_ordermin": op10_ordermin,
 }
 
 ORACLE_SQL: dict[str, str] = {}
