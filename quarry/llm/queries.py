@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, media, ordermin, packing, simhash, urlfilter
+from quarry.llm import bpe, media, ordermin, packing, pii, simhash, urlfilter
 from quarry.llm.common import table
 
 
@@ -59,6 +59,12 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = F.array_join(F.transform("pii_findings", lambda f: f["kind"]), ",")
+    return done.select("doc_id", "text", F.size("pii_findings").cast("bigint").alias("n_found"), kinds.alias("kinds"))
+
+
 def op10_ordermin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordermin.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -69,6 +75,7 @@ QUERIES = {
     "op5_media": op5_media,
     "op7_urls": op7_urls,
     "op8_bpe": op8_bpe,
+    "op9_pii": op9_pii,
     "op10_ordermin": op10_ordermin,
 }
 
