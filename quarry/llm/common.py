@@ -127,3 +127,12 @@ def slices(batch, column: int, limit: int = 8 << 20):
         stop = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
         yield batch.slice(at, stop - at)
         at = stop
+
+
+def release(spark: SparkSession) -> None:
+    """Let the cluster drop the shuffle files of finished steps now: they go when the driver's JVM
+    collects the plans that made them."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, media, ordermin, packing, pii, simhash, urlfilter
+from quarry.llm import bpe, langid, linededup, media, ordermin, packing, pii, simhash, urlfilter
 from quarry.llm.common import table
 
 
@@ -28,6 +28,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "text", F.size("dropped_lines").cast("bigint").alias("n_dropped"))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.store_texts(table(spark, sf_dir, "documents"))
     made = media.tiles(stored)
@@ -43,6 +48,17 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (declared language, source as host) and pages (markup, host of the address)."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    model = langid.fit(docs)
+    of_docs = langid.identify(docs, model, ["doc_id"], "lang", F.col("source"))
+    of_pages = langid.identify(pages.withColumnRenamed("html", "text"), model, ["page_id"], None, urlfilter.host_of(F.col("url")))
+    none = F.lit(None).cast("bigint")
+    rest = ("lang_found", "confidence", "accepted")
+    return of_docs.select("doc_id", none.alias("page_id"), *rest).unionByName(of_pages.select(none.alias("doc_id"), "page_id", *rest))
+
+
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rule_table(spark))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -72,7 +88,9 @@ def op10_ordermin(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_packing": op3_packing,
+    "op4_lines": op4_lines,
     "op5_media": op5_media,
+    "op6_langid": op6_langid,
     "op7_urls": op7_urls,
     "op8_bpe": op8_bpe,
     "op9_pii": op9_pii,
