@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, langid, linededup, media, ordermin, packing, pii, simhash, urlfilter
+from quarry.llm import bpe, brown, langid, linededup, media, ordermin, packing, pii, simhash, urlfilter
 from quarry.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op2_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, _ = tokenizer_file("word_bpe_49k.json")
     packed = packing.pack_documents(table(spark, sf_dir, "documents"), path)
@@ -87,6 +91,7 @@ def op10_ordermin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_brown": op2_brown,
     "op3_packing": op3_packing,
     "op4_lines": op4_lines,
     "op5_media": op5_media,
