@@ -7,7 +7,10 @@ its minimal one (one-permutation hashing).  A component is a tuple of ``TUPLE``
 minimal numbered k-mers, put back in text order, are hashed together.  Texts with the same words
 in another order, far apart in edit distance, so share k-mers but not tuples (Marçais et al.,
 2019).  The likeness of two fingerprints is the share of equal components among those that are
-not empty in both.
+filled in either.
+
+All this happens inside one row: k-mers and cells are packed into 64-bit words, whose arrays are
+sorted as primitive longs, so the cost is linear but for the sort and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -15,73 +18,126 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import written
+from quarry.llm.common import release, written
 
 KMER = 3
 COMPONENTS = 32
 TUPLE = 2
-CELLS = COMPONENTS * TUPLE
-#: Of a cell's 63 bits so many hold the place in the text, the others the order of the hash.
-PLACE_BITS = 27
-EMPTY = "--------"
-
-
-def _kmers(words: str) -> Column:
-    """Hashes of the runs of KMER words in an array column."""
-    w = F.col(words)
-    last = F.greatest(F.size(w) - KMER, F.lit(0))
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(KMER))))
-
-
-def fingerprints(texts: DataFrame, keys: list[str], versions: list[str]) -> DataFrame:
-    """(keys, version, fingerprint) of the text columns ``versions``; null texts count as empty.
-
-    ``keys`` name a row and are never null together with another row's; where the input is already
-    partitioned by a subset of them nothing is shuffled."""
-    texts = texts.select(*keys, F.explode(F.array(*(F.struct(F.lit(i).alias("version"), F.coalesce(c, F.lit("")).alias("t")) for i, c in enumerate(versions)))).alias("v"))
-    words = texts.select(*keys, "v.version", F.split(F.translate("v.t", "\t\n\x0b\x0c\r", "     "), " ").alias("words"))
-    rows = words.select(*keys, "version", F.posexplode(_kmers("words")).alias("place", "kmer"))
-    numbered = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys, "version", "kmer").orderBy("place")))
-    mixed = F.xxhash64("kmer", "nth")
-    order = F.shiftrightunsigned(mixed, 1 + PLACE_BITS)
-    cells = numbered.select(
-        *keys, "version", F.pmod(mixed, F.lit(CELLS).cast("bigint")).cast("int").alias("cell"),
-        F.shiftleft(order, PLACE_BITS).bitwiseOR(F.col("place").cast("bigint")).alias("least"),
-    )
-    least = cells.groupBy(*keys, "version", "cell").agg(F.min("least").alias("least"))
-    place_mask = F.lit((1 << PLACE_BITS) - 1).cast("bigint")
-    component = (F.col("cell") / F.lit(TUPLE)).cast("int")
-    tuples = least.groupBy(*keys, "version").agg(
-        F.sort_array(F.collect_list(F.struct(component.alias("c"), F.col("least").bitwiseAND(place_mask).alias("place"), F.shiftrightunsigned("least", PLACE_BITS).alias("h")))).alias("cells")
-    )
-    return tuples.select(*keys, "version", _signature("cells").alias("fingerprint"))
-
-
-def _signature(cells: str) -> Column:
-    """Join, component by component, eight hex digits of the hash over its cells in text order
-    (the cells come sorted by component and place)."""
-    c = F.col(cells)
-    single = F.transform(F.sequence(F.lit(0), F.lit(COMPONENTS - 1)), lambda k: F.filter(c, lambda x: x["c"] == k))
-    hashed = F.transform(
-        single,
-        lambda part: F.when(F.size(part) == 0, F.lit(EMPTY)).otherwise(
-            F.lower(F.lpad(F.hex(F.aggregate(part, F.lit(42).cast("bigint"), lambda seed, x: F.xxhash64(seed, x["h"])).bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))), 8, "0"))
-        ),
-    )
-    return F.array_join(hashed, "")
+#: A packed word: number of the cell, hash, place in the text (6 + 30 + 27 bits); k-mers are known by 36 bits.
+CELL_BITS, PLACE_BITS = 6, 27
+_CELL_SHIFT = 63 - CELL_BITS
+
+
+def _long(value: int) -> Column:
+    return F.lit(value).cast("bigint")
+
+
+def _kmer(x: Column) -> Column:
+    return F.shiftrightunsigned(x, PLACE_BITS)
+
+
+def _place(x: Column) -> Column:
+    return x.bitwiseAND(_long((1 << PLACE_BITS) - 1))
+
+
+def _cell(x: Column) -> Column:
+    return F.shiftright(x, _CELL_SHIFT)
+
+
+def _numbered(x: Column, nth: Column) -> Column:
+    """Packed cell, hash and place of a packed k-mer's nth occurrence."""
+    mixed = F.xxhash64(_kmer(x), nth)
+    cell = F.shiftleft(mixed.bitwiseAND(_long(COMPONENTS * TUPLE - 1)), _CELL_SHIFT)
+    order = F.shiftleft(F.shiftrightunsigned(mixed, 64 - (_CELL_SHIFT - PLACE_BITS)), PLACE_BITS)
+    return cell.bitwiseOR(order).bitwiseOR(_place(x))
+
+
+def with_prints(rows: DataFrame, texts: dict[str, str]) -> DataFrame:
+    """Add for each text column (null counts as empty) the column named beside it: array<bigint> of
+    the filled components, number in the high and hash in the low 32 bits."""
+    step = rows
+    for text, name in texts.items():
+        step = step.withColumn(f"{name}_w", F.split(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     "), " "))
+    for name in texts.values():
+        step = step.withColumn(f"{name}_s", F.sort_array(_kmers(F.col(f"{name}_w"))))
+    step = step.drop(*(f"{name}_w" for name in texts.values()))
+    for name in texts.values():
+        step = step.withColumn(f"{name}_r", _repeated(F.col(f"{name}_s")))
+    for name in texts.values():
+        s, r = F.col(f"{name}_s"), F.col(f"{name}_r")
+        once = F.transform(s, lambda x: _numbered(x, F.lit(0)))
+        step = step.withColumn(f"{name}_v", F.sort_array(F.when(F.size(r) == 0, once).otherwise(_with_numbers(s, r))))
+    step = step.drop(*(f"{name}_{c}" for name in texts.values() for c in "sr"))
+    for name in texts.values():
+        step = step.withColumn(f"{name}_m", _minimal(F.col(f"{name}_v")))
+    step = step.drop(*(f"{name}_v" for name in texts.values()))
+    for name in texts.values():
+        step = step.withColumn(name, _components(F.col(f"{name}_m")))
+    return step.drop(*(f"{name}_m" for name in texts.values()))
+
+
+def _kmers(w: Column) -> Column:
+    """Packed hash and place of each run of KMER words."""
 
+    def pack(i: Column) -> Column:
+        hashed = F.xxhash64(*(F.get(w, i + k) for k in range(KMER)))
+        return F.shiftleft(F.shiftrightunsigned(hashed, PLACE_BITS + 1), PLACE_BITS).bitwiseOR(i.cast("bigint"))
 
-def likeness(a: Column | str, b: Column | str) -> Column:
-    """Share of equal components among those that are not empty in both fingerprints."""
-    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
-    same, some = [], []
-    for k in range(COMPONENTS):
-        x, y = F.substring(a, 8 * k + 1, 8), F.substring(b, 8 * k + 1, 8)
-        filled = ~((x == EMPTY) & (y == EMPTY))
-        some.append(filled.cast("int"))
-        same.append(((x == y) & filled).cast("int"))
-    total = lambda parts: sum(parts[1:], parts[0])
-    return total(same) / F.greatest(total(some), F.lit(1))
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - KMER, F.lit(0))), pack)
+
+
+def _minimal(v: Column) -> Column:
+    """The first of each cell among sorted packed words."""
+    return F.filter(v, lambda x, i: (i == 0) | (_cell(x) != _cell(F.get(v, i - 1))))
+
+
+def _repeated(s: Column) -> Column:
+    """Indices, in the sorted k-mers, of those that equal the one before."""
+    return F.filter(F.sequence(F.lit(1), F.greatest(F.size(s), F.lit(2)) - 1), lambda i: F.coalesce(_kmer(F.get(s, i)) == _kmer(F.get(s, i - 1)), F.lit(False)))
+
+
+def _with_numbers(s: Column, r: Column) -> Column:
+    """All k-mers packed anew, repeated ones with their number.  The runs of equal k-mers are found
+    at both ends of the runs in ``r``; single ones are those beside no equal neighbour."""
+    apart = lambda a, b: F.coalesce(_kmer(a) != _kmer(b), F.lit(True))
+    single = F.filter(s, lambda x, i: apart(x, F.get(s, i - 1)) & apart(x, F.get(s, i + 1)))
+    starts = F.filter(r, lambda i, k: (k == 0) | (F.get(r, k - 1) != i - 1) | apart(F.get(s, i - 1), F.get(s, i - 2)))
+    ends = F.filter(r, lambda i, k: F.coalesce(F.get(r, k + 1) != i + 1, F.lit(True)) | apart(F.get(s, i), F.get(s, i + 1)))
+    numbers = F.transform(F.zip_with(starts, ends, lambda a, b: F.sequence(a - 1, b)), lambda run: F.transform(run, lambda i, nth: _numbered(F.get(s, i), nth)))
+    return F.concat(F.transform(single, lambda x: _numbered(x, F.lit(0))), F.flatten(numbers))
+
+
+def _components(m: Column) -> Column:
+    """Hash the minimal k-mers of the cells (sorted by cell) of each component in text order."""
+    component = lambda x: F.shiftright(x, _CELL_SHIFT + TUPLE.bit_length() - 1)
+    same = lambda a, b: F.coalesce(component(a) == component(b), F.lit(False))
+    order = lambda x: F.shiftright(x, PLACE_BITS).bitwiseAND(_long((1 << (_CELL_SHIFT - PLACE_BITS)) - 1))
+
+    def joined(x: Column, i: Column) -> Column:
+        y = F.get(m, i + 1)
+        both = F.when(_place(x) < _place(y), F.xxhash64(order(x), order(y))).otherwise(F.xxhash64(order(y), order(x)))
+        code = F.when(same(x, y), both).otherwise(F.xxhash64(order(x)))
+        value = F.shiftleft(component(x), 32).bitwiseOR(code.bitwiseAND(_long(0xFFFFFFFF)))
+        return F.when(same(x, F.get(m, i - 1)), _long(-1)).otherwise(value)
+
+    return F.filter(F.transform(m, joined), lambda x: x >= 0)
+
+
+def print_text(print_: Column) -> Column:
+    """A fingerprint as text: ten hex digits (component, hash) for each filled component."""
+    return F.array_join(F.transform(print_, lambda x: F.lower(F.lpad(F.hex(x), 10, "0"))), "")
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Share of equal components among those that are filled in either fingerprint."""
+    number = lambda x: F.shiftright(x, 32)
+    some = F.size(F.array_union(F.transform(a, number), F.transform(b, number)))
+    return F.size(F.array_intersect(a, b)) / F.greatest(some, F.lit(1))
+
+
+def _key(doc_id: Column) -> Column:
+    """A never-null name of a doc_id, so that joins and windows share one hash partitioning."""
+    return F.concat(F.when(doc_id.isNull(), "n").otherwise("i"), F.coalesce(doc_id.cast("string"), F.lit("")))
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
@@ -110,16 +166,18 @@ def neighbours(docs: DataFrame) -> DataFrame:
 
 
 def with_edited(docs: DataFrame, ring: DataFrame) -> DataFrame:
-    """(doc_id, next_id, text, edited): each text and its edited text, whose last half (rounded
-    down, in code points) is replaced by the first as many of the next document."""
-    same = lambda a, b: a.eqNullSafe(b)
-    own = docs.select(F.col("doc_id").alias("own_id"), F.coalesce("text", F.lit("")).alias("text"))
-    placed = own.join(ring, same(own["own_id"], ring["doc_id"])).drop("own_id")
-    heads = placed.select(F.col("prev_id").alias("to"), F.expr("substring(text, 1, cast(prev_half as int))").alias("head"))
+    """(doc_id, own, next, text, edited): each text and its edited text, whose last half (rounded
+    down, in code points) is replaced by the first as many of the next document.  own and next are
+    the keys of the row's and the next id; the result is partitioned by own."""
+    keyed = ring.select("doc_id", _key(F.col("doc_id")).alias("ring_own"), _key(F.col("next_id")).alias("next"), _key(F.col("prev_id")).alias("prev"), "prev_half")
+    # (own, text) alone: both uses below then read one exchange of the texts
+    texts = docs.select(_key(F.col("doc_id")).alias("own"), F.coalesce("text", F.lit("")).alias("text"))
+    placed = texts.join(keyed, F.col("own") == F.col("ring_own")).drop("ring_own")
+    heads = placed.select(F.col("prev").alias("to"), F.expr("substring(text, 1, cast(prev_half as int))").alias("head"))
     heads = heads.groupBy("to").agg(F.min("head").alias("head"))
     kept = F.expr("substring(text, 1, cast(length(text) - length(text) div 2 as int))")
-    return placed.join(heads, same(placed["doc_id"], heads["to"])).select(
-        "doc_id", "next_id", "text", F.concat(kept, F.expr("substring(head, 1, cast(length(text) div 2 as int))")).alias("edited")
+    return placed.join(heads, F.col("own") == F.col("to")).select(
+        "doc_id", "own", "next", "text", F.concat(kept, F.expr("substring(head, 1, cast(length(text) div 2 as int))")).alias("edited")
     )
 
 
@@ -134,16 +192,13 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     ring = written(neighbours(docs), "neighbours")
-    both = with_edited(docs, ring).withColumn("row", F.monotonically_increasing_id())
-    facts = both.select("doc_id", "row", "next_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "text", "edited")
-    prints = fingerprints(facts, ["doc_id", "row", "next_id", "n_chars", "edited_sha256"], ["text", "edited"])
-    pair = prints.groupBy("doc_id", "row", "next_id", "n_chars", "edited_sha256").agg(
-        F.max(F.when(F.col("version") == 0, F.col("fingerprint"))).alias("fingerprint"),
-        F.max(F.when(F.col("version") == 1, F.col("fingerprint"))).alias("edited_fingerprint"),
-    )
-    made = written(pair.drop("row"), "fingerprints")
-    after = made.groupBy("doc_id").agg(F.min("fingerprint").alias("next_print")).withColumnRenamed("doc_id", "that_id")
-    return made.join(after, made["next_id"].eqNullSafe(after["that_id"])).select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_print").alias("near_next"),
+    both = with_edited(docs, ring)
+    facts = both.select("doc_id", "own", "next", F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "text", "edited")
+    made = written(with_prints(facts, {"text": "print", "edited": "edited_print"}).drop("text", "edited"), "fingerprints")
+    release(docs.sparkSession)
+    after = made.groupBy(F.col("own").alias("that")).agg(F.min("print").alias("next_print"))
+    return made.join(after, F.col("next") == F.col("that")).select(
+        "doc_id", "n_chars", "edited_sha256",
+        print_text(F.col("print")).alias("fingerprint"), print_text(F.col("edited_print")).alias("edited_fingerprint"),
+        likeness(F.col("print"), F.col("edited_print")).alias("near_edited"), likeness(F.col("print"), F.col("next_print")).alias("near_next"),
     )
