@@ -16,7 +16,8 @@ from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import components, discard, local_labels, release, slices, written
@@ -28,6 +29,8 @@ BANDS, ROWS = 10, 4
 MIN_CHARS = 24
 #: Lines of one bucket that one task compares.
 BUCKET_LINES = 8192
+#: 64-bit words of the filter of wanted lines.
+FILTER_WORDS = 1 << 20
 
 _BINS = BANDS * ROWS
 _EMPTY = np.uint32(0xFFFFFFFF)
@@ -90,32 +93,74 @@ def signatures(lines: list[str]) -> np.ndarray:
     return (keys ^ (keys >> np.uint64(31))).view(np.int64)
 
 
-def lines_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, line_no, line, d1, d2): the comparable lines of all texts; d1, d2 are 128 hash bits."""
-    each = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    clean = each.select("doc_id", "line_no", F.lower(F.trim(F.regexp_replace("line", "[\t\r]", " "))).alias("line"))
-    return clean.where(F.length("line") >= min_chars).select("*", F.xxhash64("line").alias("d1"), F.xxhash64(F.lit(7), "line").alias("d2"))
-
-
-def _sign(batches):
-    """Add the band keys; a line that this task has just met gets none."""
-    recent: OrderedDict = OrderedDict()
-    for batch in batches:
-        for part in slices(batch, 2):
-            first = []
-            for k, pair in enumerate(zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True)):
-                if pair not in recent:
-                    recent[pair] = None
-                    first.append(k)
-                    if len(recent) > 200_000:
-                        recent.popitem(last=False)
-            texts = part.column(2).take(pa.array(first, pa.int64())).to_pylist()
-            keys: list = [None] * part.num_rows
-            for at in range(0, len(first), _LINES_AT_ONCE):
-                for k, row in zip(first[at : at + _LINES_AT_ONCE], signatures(texts[at : at + _LINES_AT_ONCE]), strict=True):
-                    keys[k] = row
-            columns = [part.column(0), part.column(1), part.column(3), part.column(4), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line_no", "d1", "d2", "keys"])
+def comparable(text: str | None, min_chars: int) -> list[tuple[int, str]]:
+    """(place, line) of the lines that are long enough, lower-cased and trimmed."""
+    trimmed = (line.strip(" \t\r") for line in (text or "").lower().split("\n"))
+    return [(n, line) for n, line in enumerate(trimmed) if len(line) >= min_chars]
+
+
+def names_of(lines: list[str]) -> np.ndarray:
+    """(lines, 2) signed 64-bit halves of a 128-bit hash."""
+    digests = b"".join([xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass")) for line in lines])
+    return np.frombuffer(digests, "<i8").reshape(-1, 2)
+
+
+def _sign(min_chars: int):
+    """Documents -> doc_id, line_no, d1, d2 of their lines, and the band keys; a line that this
+    task has met lately gets none."""
+
+    def run(batches):
+        recent: OrderedDict = OrderedDict()
+        for batch in batches:
+            for part in slices(batch, 1):
+                rows, places, lines = [], [], []
+                for row, text in enumerate(part.column(1).to_pylist()):
+                    for place, line in comparable(text, min_chars):
+                        rows.append(row), places.append(place), lines.append(line)
+                names = names_of(lines)
+                first = []
+                for k, pair in enumerate(map(tuple, names.tolist())):
+                    if pair not in recent:
+                        recent[pair] = None
+                        first.append(k)
+                        if len(recent) > 200_000:
+                            recent.popitem(last=False)
+                keys: list = [None] * len(lines)
+                for at in range(0, len(first), _LINES_AT_ONCE):
+                    some = first[at : at + _LINES_AT_ONCE]
+                    for k, row in zip(some, signatures([lines[k] for k in some]), strict=True):
+                        keys[k] = row
+                columns = [part.column(0).take(pa.array(rows, pa.int64())), pa.array(places, pa.int32()), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line_no", "d1", "d2", "keys"])
+
+    return run
+
+
+def _fetch(min_chars: int, held):
+    """Documents -> (d1, d2, line) of the lines whose bit is set in a bitmap."""
+
+    def run(batches):
+        bits = held.value
+        for batch in batches:
+            for part in slices(batch, 1):
+                lines = [line for text in part.column(1).to_pylist() for _, line in comparable(text, min_chars)]
+                names = names_of(lines)
+                slot = names[:, 0].view(np.uint64)
+                hit = np.flatnonzero((bits[(slot >> np.uint64(6)) % np.uint64(len(bits))] >> (slot & np.uint64(63))) & np.uint64(1))
+                yield pa.RecordBatch.from_arrays([pa.array(names[hit, 0]), pa.array(names[hit, 1]), pa.array([lines[k] for k in hit], pa.string())], ["d1", "d2", "line"])
+
+    return run
+
+
+def _bitmap(wanted: DataFrame) -> np.ndarray:
+    """Bits of the wanted d1, in a filter of fixed size: 8 MB, whatever the number of lines.  Once it
+    fills up it lets more lines through to the join behind it, which is exact."""
+    slot = F.shiftrightunsigned("d1", 6) % FILTER_WORDS
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("d1").bitwiseAND(F.lit(63).cast("bigint")).cast("int"))
+    rows = wanted.select(slot.alias("slot"), bit.alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(FILTER_WORDS, np.uint64)
+    bits[rows.column("slot").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return bits
 
 
 def _compare(threshold: float):
@@ -185,27 +230,35 @@ def _links(pairs: list) -> pa.RecordBatch:
 
 def line_links(docs: DataFrame, signed: DataFrame, threshold: float = SIMILARITY, bucket_lines: int = BUCKET_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
     """(a, b) structs of 128-bit line hashes: verified links between different lines."""
-    rows = signed.where("keys is not null").select(F.explode("keys").alias("key"), "d1", "d2")
-    spread = rows.groupBy("key").agg(*(f(d).alias(f"{f.__name__}_{d}") for d in ("d1", "d2") for f in (F.min, F.max)))
-    shared = spread.where("min_d1 < max_d1 or min_d2 < max_d2").select("key")
-    members = written(rows.join(shared, "key", "left_semi").distinct(), "line-members")
-    release(docs.sparkSession)
-    wanted = members.select("d1", "d2").distinct()
-    texts = lines_of(docs, min_chars).select("d1", "d2", "line").join(wanted, ["d1", "d2"], "left_semi")
-    texts = written(texts.dropDuplicates(["d1", "d2"]), "line-texts")
-    release(docs.sparkSession)
+    spark = docs.sparkSession
+    # the first half of a line's hash stands for it until texts are joined
+    rows = signed.where("keys is not null").select(F.explode("keys").alias("key"), "d1")
+    whole = Window.partitionBy("key")
+    shared = rows.withColumn("lo", F.min("d1").over(whole)).withColumn("hi", F.max("d1").over(whole)).where("lo < hi")
+    met = written(shared.select("key", "d1").distinct(), "line-buckets")
+    release(spark)
+    # bands that gather the same lines do so once
+    marks = met.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("d1").alias("x1"), F.bit_xor(F.xxhash64("d1")).alias("x2"))
+    once = marks.groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key")
+    members = written(met.join(once, "key", "left_semi"), "line-members")
+    discard(met)
+    wanted = members.select("d1").distinct()
+    held = spark.sparkContext.broadcast(_bitmap(wanted))
+    texts = docs.select("doc_id", "text").mapInArrow(_fetch(min_chars, held), "d1 bigint, d2 bigint, line string")
+    texts = written(texts.dropDuplicates(["d1", "d2"]).join(wanted, "d1", "left_semi"), "line-texts")
+    release(spark)
     sizes = members.groupBy("key").count().select("key", F.ceil(F.col("count") / bucket_lines).cast("int").alias("parts"))
     hot = sizes.where("parts > 1")
     dealt = members.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     part = F.pmod(F.col("d1"), F.col("parts")).cast("int")
     # every pair (i, j) of parts that holds this line's part
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, "part").alias("i"), F.greatest(k, "part").alias("j")))
-    blocks = dealt.withColumn("part", part).select("key", "d1", "d2", "part", F.inline(pairs))
-    full = blocks.join(texts, ["d1", "d2"]).select("key", "i", "j", "part", "d1", "d2", "line")
+    blocks = dealt.withColumn("part", part).select("key", "d1", "part", F.inline(pairs))
+    full = blocks.join(texts, "d1").select("key", "i", "j", "part", "d1", "d2", "line")
     found = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare(threshold), "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
     links = written(found, "line-links")
     discard(members, texts)
-    release(docs.sparkSession)
+    release(spark)
     pair = lambda x: F.struct(F.col(f"{x}1").alias("d1"), F.col(f"{x}2").alias("d2")).alias(x)
     return links.select(pair("a"), pair("b"))
 
@@ -222,7 +275,7 @@ def dedup_lines(docs: DataFrame, threshold: float = SIMILARITY, bucket_lines: in
     kind = docs.schema["doc_id"].dataType.simpleString()
     slim = docs.select("doc_id", "text")
     shape = f"doc_id {kind}, line_no int, d1 bigint, d2 bigint, keys array<bigint>"
-    signed = written(lines_of(slim, min_chars).mapInArrow(_sign, shape), "lines")
+    signed = written(slim.mapInArrow(_sign(min_chars), shape), "lines")
     roots = components(line_links(slim, signed, threshold, bucket_lines, min_chars), "line-components")
     roots = roots.select(F.col("node.d1").alias("d1"), F.col("node.d2").alias("d2"), "root")
     own = F.struct("d1", "d2")
