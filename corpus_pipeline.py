@@ -17,7 +17,8 @@ from quarry.llm.queries import tokenizer_file
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without an identifiable language go."""
     found = langid.identify(docs, langid.fit(docs), ["doc_id"], "lang", F.col("source"))
-    rejected = found.where("not accepted").select(F.col("doc_id").alias("rejected_id")).distinct()
+    # written, so that its size is known: a small table is broadcast, and no text is shuffled
+    rejected = written(found.where("not accepted").select(F.col("doc_id").alias("rejected_id")).distinct(), "rejected")
     return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["rejected_id"]), "left_anti")
 
 
