@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quarry.config import RetrievalConfig
 from quarry.functions import text as T
@@ -33,19 +34,20 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, min_score: float
     rows = queries.select("qid", "vec", F.col("doc_filter").cast("string").alias("doc_filter"))
     slim = vectors.select("chunk_id", F.col("doc_id").cast("string").alias("doc_id"), "embedding")
     kinds = f"qid {rows.schema['qid'].dataType.simpleString()}, chunk_id {slim.schema['chunk_id'].dataType.simpleString()}, score double"
+    qid_type = to_arrow_type(rows.schema["qid"].dataType)
     out, block = None, []
     for row in rows.toLocalIterator():
         block.append(row)
         if len(block) == QUERY_BLOCK:
-            part = slim.mapInArrow(_nearest(block, k, min_score), kinds)
+            part = slim.mapInArrow(_nearest(block, k, min_score, qid_type), kinds)
             out, block = part if out is None else out.unionByName(part), []
     if block or out is None:
-        part = slim.mapInArrow(_nearest(block, k, min_score), kinds)
+        part = slim.mapInArrow(_nearest(block, k, min_score, qid_type), kinds)
         out = part if out is None else out.unionByName(part)
     return top(out, k)
 
 
-def _nearest(block: list, k: int, floor: float):
+def _nearest(block: list, k: int, floor: float, qid_type):
     ids = [r["qid"] for r in block]
     filters = [r["doc_filter"] for r in block]
     matrix = np.array([r["vec"] for r in block], np.float64) if block else np.zeros((0, 0))
@@ -54,6 +56,7 @@ def _nearest(block: list, k: int, floor: float):
     def run(batches):
         best: list[list] = [[] for _ in ids]
         for batch in batches:
+            chunk_type = batch.schema.field(0).type
             if not batch.num_rows or not ids:
                 continue
             flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -74,7 +77,8 @@ def _nearest(block: list, k: int, floor: float):
                     best[q] = sorted(best[q], key=lambda x: (-x[0], x[1]))[:k]
         rows = [(ids[q], name, score) for q, found in enumerate(best) for score, name in sorted(found, key=lambda x: (-x[0], x[1]))[:k]]
         if rows:
-            yield pa.RecordBatch.from_pydict({"qid": [r[0] for r in rows], "chunk_id": [r[1] for r in rows], "score": [r[2] for r in rows]})
+            columns = zip(zip(*rows, strict=True), (qid_type, chunk_type, pa.float64()), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in columns], ["qid", "chunk_id", "score"])
 
     return run
 
