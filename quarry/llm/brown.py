@@ -23,11 +23,13 @@ P(word | history) = P(class | last two classes) * P(word | class).
 
 from __future__ import annotations
 
-import uuid
+import itertools
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +40,8 @@ CLASSES = 64
 SHARE = 5e-5
 SHAPES = 256
 ROUNDS = 4
-BATCH_WORDS = 60_000
-BATCH_BYTES = 2 << 20
+BATCH_WORDS = 300_000
+BATCH_BYTES = 10 << 20
 END = b"\n"  # no word holds white space
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -65,13 +67,15 @@ class _Numbers(dict):
 
 def tokenised(docs: DataFrame) -> DataFrame:
     """Batches: batch, words array<binary>, counts array<bigint> (in training documents), doc_ids,
-    held array<boolean>, sizes array<int>, ids binary (little-endian 32-bit dictionary numbers)."""
+    held array<boolean>, sizes array<int>, ids binary (little-endian 32-bit dictionary numbers,
+    compressed).  A batch's number holds its partition's: it is settled once the table is written."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shape = f"batch string, words array<binary>, counts array<bigint>, doc_ids array<{kind}>, held array<boolean>, sizes array<int>, ids binary"
+    shape = f"batch bigint, words array<binary>, counts array<bigint>, doc_ids array<{kind}>, held array<boolean>, sizes array<int>, ids binary"
     names = [x.split()[0] for x in shape.split(", ")]
 
     def run(batches):
         numbers, held, sizes, ids, id_columns, total = _Numbers(), [], [], [], [], 0
+        made = itertools.count(TaskContext.get().partitionId() << 32)
 
         def flush():
             counts = np.zeros(len(numbers), np.int64)
@@ -81,7 +85,7 @@ def tokenised(docs: DataFrame) -> DataFrame:
             ends = pa.chunked_array(id_columns).combine_chunks()
             one = lambda values, t: pa.array([values], pa.list_(t))
             return pa.RecordBatch.from_arrays(
-                [pa.array([uuid.uuid4().hex]), one(list(numbers), pa.binary()), one(counts, pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ends)], pa.int32()), ends), one(held, pa.bool_()), one(sizes, pa.int32()), pa.array([np.concatenate(ids).tobytes()], pa.binary())],
+                [pa.array([next(made)]), one(list(numbers), pa.binary()), one(counts, pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ends)], pa.int32()), ends), one(held, pa.bool_()), one(sizes, pa.int32()), pa.array([zstandard.compress(np.concatenate(ids).tobytes(), 1)], pa.binary())],
                 names,
             )
 
@@ -118,13 +122,17 @@ class Items:
         return np.fromiter((shapes + zlib.crc32(w[-3:]) % SHAPES if (k := get(w)) is None else k for w in words), np.int64, len(words))
 
 
+def _unpacked(row) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(row.column("ids")[0].as_py()), "<i4")
+
+
 def _streams(batches, size: int):
     """(item numbers of the dictionary's words, ids, documents' ends, held) of each batch."""
     for batch in batches:
         for k in range(batch.num_rows):
             row = batch.slice(k, 1)
             words = row.column("words")[0].values.to_pylist()
-            ids = np.frombuffer(row.column("ids")[0].as_py(), "<i4")
+            ids = _unpacked(row)
             sizes = row.column("sizes")[0].values.to_numpy()
             held = row.column("held")[0].values.to_numpy(zero_copy_only=False)
             yield words, ids, sizes, held
@@ -276,6 +284,7 @@ def score_documents(docs: DataFrame, classes: int = CLASSES, share: float = SHAR
     release(spark)
     entries = batches.select("batch", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "e")).select("batch", "local", F.col("e.words").alias("word"), F.col("e.counts").alias("c"))
     vocabulary = written(entries.groupBy("word").agg(F.sum("c").alias("c")), "lm-vocabulary")
+    release(spark)
     facts = vocabulary.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
     total, distinct = facts["n"] or 0, facts["v"] or 0
     discount = facts["n1"] / (facts["n1"] + 2 * facts["n2"]) if facts["n1"] else 0.5
@@ -310,7 +319,7 @@ def score_documents(docs: DataFrame, classes: int = CLASSES, share: float = SHAR
         for part in parts:
             for k in range(part.num_rows):
                 row = part.slice(k, 1)
-                ids = np.frombuffer(row.column("ids")[0].as_py(), "<i4")
+                ids = _unpacked(row)
                 sizes = row.column("sizes")[0].values.to_numpy()
                 c = row.column("c")[0].values.to_numpy()
                 group = row.column("classes")[0].values.to_numpy().astype(np.int64)
