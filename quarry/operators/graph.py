@@ -135,6 +135,18 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     return best.select("pair_id", "x.hops", "x.path")
 
 
+def path_lines(paths: DataFrame, edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """(pair_id, hops, text): paths as "A -[RELATION]-> B -[RELATION]-> C" with the entities' names, drawn
+    from left to right whatever the edges' direction; of several relations the least."""
+    label = both_ways(edges).groupBy(F.col("seed").alias("a"), F.col("other").alias("b")).agg(F.min("relation").alias("relation"))
+    steps = paths.select("pair_id", "hops", F.posexplode(F.transform(F.slice("path", 1, F.size("path") - 1), lambda x, i: F.struct(x.alias("a"), F.get("path", i + 1).alias("b")))).alias("i", "s"))
+    named = entities.select(F.col("entity_key").alias("b"), F.col("name").alias("b_name"))
+    rows = steps.select("pair_id", "hops", "i", "s.a", "s.b").join(label, ["a", "b"]).join(named, "b").join(named.withColumnsRenamed({"b": "a", "b_name": "a_name"}), "a")
+    part = F.concat(F.when(F.col("i") == 0, F.col("a_name")).otherwise(""), F.lit(" -["), "relation", F.lit("]-> "), "b_name")
+    lists = rows.groupBy("pair_id", "hops").agg(F.sort_array(F.collect_list(F.struct("i", part.alias("t")))).alias("l"))
+    return lists.select("pair_id", "hops", F.array_join(F.transform("l", lambda x: x["t"]), "").alias("text"))
+
+
 def path_text(path: Column) -> Column:
     return F.array_join(path, " - ")
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import chunking, graph, structural
+from quarry.operators.shared import written
 
 ORDER_FIELDS = ["customer", "country", "region", "order_date"]
 LINE_FIELDS = ["supplier", "product", "country", "ship_date"]
@@ -79,6 +80,13 @@ class Tables:
         rows = self.fields().where("name is not null")
         return graph.mentions_of(rows.select("name", F.col("kind").alias("type"), "chunk_id", "doc_id", (F.col("base") + F.col("pos")).alias("ord")))
 
+    def stored_mentions(self) -> DataFrame:
+        """Mentions as a table of their own, for queries that read them more than once."""
+        return written(self.mentions(), "mentions")
+
+    def stored_evidence(self) -> DataFrame:
+        return written(self.evidence(), "evidence")
+
     def evidence(self) -> DataFrame:
         """The first field of both records is always named, so it is the head of each."""
         parts = []

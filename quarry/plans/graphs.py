@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.config import RetrievalConfig
 from quarry.operators import graph
+from quarry.operators.shared import written
 from quarry.plans.catalogue import query
 from quarry.plans.data import Tables
 from quarry.plans.sql import EDGES, ENTITIES, GRAPH, with_
@@ -14,12 +15,12 @@ from quarry.plans.sql import EDGES, ENTITIES, GRAPH, with_
 
 @query(with_(GRAPH, ENTITIES, select="SELECT entity_key, name, type, n_chunks, n_docs FROM entities"))
 def entity_rollup(t: Tables) -> DataFrame:
-    return graph.entity_facts(t.mentions())
+    return graph.entity_facts(t.stored_mentions())
 
 
 @query(with_(GRAPH, EDGES, select="SELECT src_key, dst_key, relation, weight, n_chunks FROM edges"))
 def edge_rollup(t: Tables) -> DataFrame:
-    return graph.edge_rollup(graph.known_ends(t.evidence(), t.mentions()))
+    return graph.edge_rollup(graph.known_ends(t.evidence(), t.stored_mentions()))
 
 
 @query(with_(GRAPH, EDGES, select="SELECT relation, count(*) AS n_edges, CAST(sum(weight) AS BIGINT) AS total_weight FROM edges GROUP BY 1"))
@@ -50,13 +51,13 @@ _EXPAND = """seed_entities AS (SELECT DISTINCT qid, entity_key AS seed FROM seed
 
 @query(with_(GRAPH, EDGES, ENTITIES, _SEED_SQL, _EXPAND, select="SELECT qid, chunk_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM hop QUALIFY rank <= 5"))
 def graph_expand(t: Tables) -> DataFrame:
-    m = t.mentions()
-    return graph.expand(_seeds(t), m, graph.edge_rollup(t.evidence()), graph.entity_facts(m), RetrievalConfig.graph_expand, RetrievalConfig.excluded_types).select("qid", "chunk_id", "score", "rank")
+    m = t.stored_mentions()
+    return graph.expand(_seeds(t), m, written(graph.edge_rollup(t.evidence()), "edges"), written(graph.entity_facts(m), "entities"), RetrievalConfig.graph_expand, RetrievalConfig.excluded_types).select("qid", "chunk_id", "score", "rank")
 
 
 @query(with_(GRAPH, ENTITIES, _SEED_SQL, select="SELECT DISTINCT qid, e.name, e.type FROM seeds JOIN mentions USING (chunk_id) JOIN entities e ON e.entity_key = mentions.entity_key"))
 def related_entities(t: Tables) -> DataFrame:
-    m = t.mentions()
+    m = t.stored_mentions()
     return graph.related_entities(_seeds(t), m, graph.entity_facts(m))
 
 
@@ -74,7 +75,7 @@ def shortest_path(t: Tables) -> DataFrame:
     """From each nation to its region: two hops away in this graph, by a customer."""
     n, r = t.nation, t.region
     pairs = n.join(F.broadcast(r), F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("n_nationkey").alias("pair_id"), F.lower("n_name").alias("source"), F.lower("r_name").alias("target"))
-    found = graph.shortest_paths(pairs, graph.edge_rollup(t.evidence()), 2)
+    found = graph.shortest_paths(pairs, written(graph.edge_rollup(t.evidence()), "edges"), 2)
     return found.select("pair_id", "hops", graph.path_text(F.col("path")).alias("path"))
 
 
@@ -89,7 +90,7 @@ def delete_cascade(t: Tables) -> DataFrame:
     """Delete all customers of one nation and count what is left."""
     gone = t.order_records().where("country = 'NATION_3'").select("doc_id").distinct()
     chunks = t.order_records().select("chunk_id", "doc_id").unionByName(t.line_records().select("chunk_id", "doc_id"))
-    m, e, c = graph.delete_documents(gone, t.mentions(), t.evidence(), chunks)
+    m, e, c = graph.delete_documents(gone, t.stored_mentions(), t.evidence(), chunks)
     count = lambda kind, rows: rows.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
     edges = e.select(F.least("src_key", "dst_key"), F.greatest("src_key", "dst_key"), "relation").distinct()
     return count("entities", m.select("entity_key").distinct()).unionByName(count("edges", edges)).unionByName(count("chunks", c))
@@ -99,13 +100,13 @@ def delete_cascade(t: Tables) -> DataFrame:
 def merge_entities(t: Tables) -> DataFrame:
     """Nations 10 to 19 are absorbed by nation 1; edge weights become distinct evidence."""
     names = t.nation.select(F.lower("n_name").alias("absorb")).where(F.col("absorb").rlike("^nation_1[0-9]$"))
-    m, e = graph.merge_entities(t.mentions(), t.evidence(), names.select(F.lit("nation_1").alias("keep"), "absorb"))
+    m, e = graph.merge_entities(t.stored_mentions(), t.evidence(), names.select(F.lit("nation_1").alias("keep"), "absorb"))
     return graph.edge_rollup(graph.known_ends(e, m)).select("src_key", "dst_key", "relation", F.col("n_chunks").alias("weight"))
 
 
 @query(with_(GRAPH, ENTITIES, select="SELECT entity_key, n_chunks AS evidence FROM entities WHERE n_chunks <= 1"))
 def low_evidence(t: Tables) -> DataFrame:
-    return graph.entity_facts(t.mentions()).where("n_chunks <= 1").select("entity_key", F.col("n_chunks").alias("evidence"))
+    return graph.entity_facts(t.stored_mentions()).where("n_chunks <= 1").select("entity_key", F.col("n_chunks").alias("evidence"))
 
 
 @query()

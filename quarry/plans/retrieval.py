@@ -222,8 +222,9 @@ def path_entries(t: Tables) -> DataFrame:
     named = retrieve.fuzzy_entities(queries, entities)
     after = named.select("qid", F.col("rank").alias("r"), F.col("entity_key").alias("target")).withColumn("rank", F.col("r") - 1)
     pairs = named.where(F.col("rank") <= RetrievalConfig.path_pairs).join(after.drop("r"), ["qid", "rank"]).select(F.concat_ws(":", F.col("qid").cast("string"), F.col("rank").cast("string")).alias("pair_id"), F.col("entity_key").alias("source"), "target")
-    paths = graph.shortest_paths(pairs, edges, RetrievalConfig.path_hops)
-    return paths.select(F.element_at(F.split("pair_id", ":"), 1).cast("bigint").alias("qid"), F.concat(F.lit("path:"), F.element_at(F.split("pair_id", ":"), 2)).alias("chunk_id"), graph.path_text(F.col("path")).alias("text"), F.lit(1.0).alias("score"), F.lit("path").alias("source"))
+    edges, entities = written(edges, "edges"), written(entities, "entities")
+    paths = graph.path_lines(written(graph.shortest_paths(pairs, edges, RetrievalConfig.path_hops), "paths"), edges, entities)
+    return paths.select(F.element_at(F.split("pair_id", ":"), 1).cast("bigint").alias("qid"), F.concat(F.lit("path:"), F.element_at(F.split("pair_id", ":"), 2)).alias("chunk_id"), "text", F.lit(1.0).alias("score"), F.lit("path").alias("source"))
 
 
 @query()

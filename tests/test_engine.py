@@ -149,6 +149,8 @@ def test_expansion_paths_delete_and_merge(spark):
     pairs = spark.createDataFrame([("a", "1999", "rome"), ("b", "bob", "bob"), ("c", "rome", "nowhere")], "pair_id string, source string, target string")
     assert [(r["pair_id"], r["hops"], r["path"]) for r in graph.shortest_paths(pairs, edges, 4).collect()] == [("a", 3, ["1999", "bob", "acme", "rome"])]
     assert graph.shortest_paths(pairs, edges, 2).count() == 0
+    drawn = graph.path_lines(graph.shortest_paths(pairs, edges, 4), edges, entities).collect()
+    assert [r["text"] for r in drawn] == ["1999 -[AT]-> Bob -[KNOWS]-> Acme -[IN]-> Rome"]
     chunks = spark.createDataFrame([("c1", "d1"), ("c2", "d1"), ("c3", "d2")], "chunk_id string, doc_id string")
     m, e, c = graph.delete_documents(spark.createDataFrame([("d1",)], "doc_id string"), mentions, evidence, chunks)
     assert {r[0] for r in m.select("entity_key").collect()} == {"acme", "rome"} and e.count() == 1 and c.count() == 1
