@@ -102,4 +102,13 @@ QUERIES = {
     "op10_ordermin": op10_ordermin,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in urlfilter.RULES)
+
+#: The other operators hash, cluster, tokenise or permute in ways that DuckDB's SQL has no functions for.
+ORACLE_SQL: dict[str, str] = {
+    "op7_urls": f"""WITH rests AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+ parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests)
+SELECT page_id, host, path, h || p AS rule, coalesce(v, 'allow') AS verdict
+FROM parts LEFT JOIN (VALUES {_RULES}) r(h, p, v) ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC) = 1""",
+}
