@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -44,11 +43,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def documents(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns: extra columns, whatever their names, never meet ours."""
-    return df.select(*columns)
-
-
 def local_labels(n: int, u: np.ndarray, v: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
     """Smallest index reachable from each of ``n`` nodes over edges u-v (vectorised union-find:
     hook the larger root under the smaller, then halve the paths)."""
@@ -102,18 +96,6 @@ def _is_star_forest(edges: DataFrame) -> bool:
     return bad.limit(1).count() == 0
 
 
-def batches_of(rows: Iterable, size: int):
-    """Lists of at most ``size`` items."""
-    chunk: list = []
-    for row in rows:
-        chunk.append(row)
-        if len(chunk) >= size:
-            yield chunk
-            chunk = []
-    if chunk:
-        yield chunk
-
-
 def slices(batch, column: int, limit: int = 8 << 20):
     """Cut an Arrow record batch into parts of about ``limit`` bytes in one column (one row at
     least), so that what a Python worker makes of them stays bounded even for very long texts."""
