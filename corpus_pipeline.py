@@ -1,4 +1,4 @@
-"""A training-data pipeline over ``documents``: language ID, line dedup, SimHash near-dedup,
+"""A training-data pipeline over ``documents``: language ID, line dedup, near-dedup by word shingles,
 pseudonyms for personal data, best-fit packing.
 
 Every stage is a function (spark, docs, sf_dir) -> DataFrame; its result is written as Parquet and
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import langid, linededup, packing, pii, simhash
+from quarry.llm import langid, linededup, overlap, packing, pii
 from quarry.llm.common import table, written
 from quarry.llm.queries import tokenizer_file
 
@@ -28,8 +28,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies one document stays."""
-    return simhash.keep_one(docs)
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) one document stays."""
+    return overlap.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

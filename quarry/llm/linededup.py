@@ -145,8 +145,7 @@ def _fetch(min_chars: int, held):
             for part in slices(batch, 1):
                 lines = [line for text in part.column(1).to_pylist() for _, line in comparable(text, min_chars)]
                 names = names_of(lines)
-                slot = names[:, 0].view(np.uint64)
-                hit = np.flatnonzero((bits[(slot >> np.uint64(6)) % np.uint64(len(bits))] >> (slot & np.uint64(63))) & np.uint64(1))
+                hit = np.flatnonzero(marked(names[:, 0], bits))
                 yield pa.RecordBatch.from_arrays([pa.array(names[hit, 0]), pa.array(names[hit, 1]), pa.array([lines[k] for k in hit], pa.string())], ["d1", "d2", "line"])
 
     return run
@@ -163,7 +162,13 @@ def _bitmap(wanted: DataFrame) -> np.ndarray:
     return bits
 
 
-def _compare(threshold: float):
+def marked(names: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which first halves of hashes have their bit in a bitmap."""
+    slot = names.view(np.uint64)
+    return (bits[(slot >> np.uint64(6)) % np.uint64(len(bits))] >> (slot & np.uint64(63))) & np.uint64(1)
+
+
+def _compare(threshold: float, shingles=shingles, similarity=similarity):
     """Rows (key, i, j, part, d1, d2, line), sorted by bucket -> spanning links between lines."""
 
     def bucket(members: list) -> list:
@@ -230,6 +235,12 @@ def _links(pairs: list) -> pa.RecordBatch:
 
 def line_links(docs: DataFrame, signed: DataFrame, threshold: float = SIMILARITY, bucket_lines: int = BUCKET_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
     """(a, b) structs of 128-bit line hashes: verified links between different lines."""
+    return set_links(docs, signed, lambda held: _fetch(min_chars, held), "string", _compare(threshold), bucket_lines)
+
+
+def set_links(docs: DataFrame, signed: DataFrame, fetch, kind: str, compare, bucket_lines: int) -> DataFrame:
+    """(a, b) structs of hashes, from rows with d1, d2 and band keys.  fetch: from a bitmap of wanted
+    d1 to the function that makes (d1, d2, line) of docs; compare: that of the buckets."""
     spark = docs.sparkSession
     # the first half of a line's hash stands for it until texts are joined
     rows = signed.where("keys is not null").select(F.explode("keys").alias("key"), "d1")
@@ -244,7 +255,7 @@ def line_links(docs: DataFrame, signed: DataFrame, threshold: float = SIMILARITY
     discard(met)
     wanted = members.select("d1").distinct()
     held = spark.sparkContext.broadcast(_bitmap(wanted))
-    texts = docs.select("doc_id", "text").mapInArrow(_fetch(min_chars, held), "d1 bigint, d2 bigint, line string")
+    texts = docs.select("doc_id", "text").mapInArrow(fetch(held), f"d1 bigint, d2 bigint, line {kind}")
     texts = written(texts.dropDuplicates(["d1", "d2"]).join(wanted, "d1", "left_semi"), "line-texts")
     release(spark)
     sizes = members.groupBy("key").count().select("key", F.ceil(F.col("count") / bucket_lines).cast("int").alias("parts"))
@@ -255,7 +266,7 @@ def line_links(docs: DataFrame, signed: DataFrame, threshold: float = SIMILARITY
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, "part").alias("i"), F.greatest(k, "part").alias("j")))
     blocks = dealt.withColumn("part", part).select("key", "d1", "part", F.inline(pairs))
     full = blocks.join(texts, "d1").select("key", "i", "j", "part", "d1", "d2", "line")
-    found = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compare(threshold), "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
+    found = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
     links = written(found, "line-links")
     discard(members, texts)
     release(spark)

@@ -192,6 +192,34 @@ def test_clean_documents_stay(spark, sf_dir):
     assert done.where("size(pii_findings) > 0 and text = old").count() == 0
 
 
+# --- near copies ---------------------------------------------------------------------------
+
+
+def test_near_copies_of_similarity_08_go(spark):
+    """Copies with a few words changed are beyond 4 bits of SimHash, and go; texts less alike stay."""
+    import corpus_pipeline
+    from quarry.llm import overlap
+
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(3000)]
+    rows, want = [(900, None), (901, " "), (None, "left alone")], {900, None}
+    for k in range(30):
+        base = rng.choices(words, k=150)
+        near, far = base[:], base[:]
+        for at in (20, 80, 120)[: 1 + k % 3]:
+            near[at] = "changed"
+        for at in range(10, 150, 20):
+            far[at] = "other"
+        rows += [(3 * k, " ".join(base)), (3 * k + 1, " ".join(near).upper()), (3 * k + 2, " ".join(far))]
+        want |= {3 * k, 3 * k + 2}
+    docs = spark.createDataFrame([(*r, "en", "s") for r in rows], "doc_id bigint, text string, lang string, source string")
+    for bucket in (1024, 2):
+        kept = overlap.keep_one(docs, bucket_docs=bucket)
+        assert {r["doc_id"] for r in kept.collect()} == want and kept.columns == docs.columns
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == want
+    assert overlap.keep_one(docs.limit(0)).count() == 0
+
+
 # --- pipeline ------------------------------------------------------------------------------
 
 
