@@ -25,8 +25,8 @@ from quarry.llm.common import components, discard, local_labels, release, slices
 SHINGLE = 8
 SIMILARITY = 0.8
 BANDS, ROWS = 10, 4
-#: Shorter lines are never duplicates: they hold too little to tell.
-MIN_CHARS = 24
+#: Every line that is not blank takes part.
+MIN_CHARS = 1
 #: Lines of one bucket that one task compares.
 BUCKET_LINES = 8192
 #: 64-bit words of the filter of wanted lines.
@@ -107,7 +107,7 @@ def names_of(lines: list[str]) -> np.ndarray:
 
 def _sign(min_chars: int):
     """Documents -> doc_id, line_no, d1, d2 of their lines, and the band keys; a line that this
-    task has met lately gets none."""
+    task has met lately gets none, nor does one shorter than a shingle, which only equals itself."""
 
     def run(batches):
         recent: OrderedDict = OrderedDict()
@@ -120,7 +120,7 @@ def _sign(min_chars: int):
                 names = names_of(lines)
                 first = []
                 for k, pair in enumerate(map(tuple, names.tolist())):
-                    if pair not in recent:
+                    if len(lines[k]) >= SHINGLE and pair not in recent:
                         recent[pair] = None
                         first.append(k)
                         if len(recent) > 200_000:
@@ -279,7 +279,7 @@ def dedup_lines(docs: DataFrame, threshold: float = SIMILARITY, bucket_lines: in
     dropped_lines (sorted places of the lines that went).
 
     Of equal or similar lines, within or across documents, the first one stays, by doc_id (null
-    first) and place.  Lines under ``min_chars`` characters stay.  Documents never go; a text
+    first) and place.  Lines under ``min_chars`` characters (blank ones) stay.  Documents never go; a text
     may become empty.  Null texts stay null.  Rows with one doc_id and text are one document: they
     keep the same lines.  Other columns pass unchanged (one named dropped_lines is replaced).
     """

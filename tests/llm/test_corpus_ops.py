@@ -65,6 +65,13 @@ def test_lines_against_brute_force(spark):
     assert linededup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_short_lines_take_part(spark):
+    """Equal lines of any length go, and similar ones from a shingle on; blank lines stay."""
+    docs = spark.createDataFrame([(1, "les.\nAll rights reserved.\n\nx\nfirst"), (2, " LES.\n\n \nall rights reserved\ny"), (3, "x\nles\nother text\nles.")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs).collect()}
+    assert got == {1: "les.\nAll rights reserved.\n\nx\nfirst", 2: "\n \ny", 3: "les\nother text"}
+
+
 # --- language ------------------------------------------------------------------------------
 
 
