@@ -198,10 +198,11 @@ def hit_rate_mrr(t: Tables) -> DataFrame:
 
 
 def _hybrid_inputs(t: Tables) -> tuple[DataFrame, ...]:
-    """Chunks of documents with offline embeddings, and a graph of their capitalised first words."""
+    """Chunks of documents with offline embeddings, and a graph of all their capitalised words."""
     chunks = written(embed(t.chunks(), HashEmbedder(64), prefix=""), "chunks")
-    first = chunks.select("chunk_id", "doc_id", "index", F.posexplode(F.slice(F.regexp_extract_all("text", F.lit(r"\b[A-Z][a-z]{5,}\b"), F.lit(0)), 1, 8)).alias("pos", "name"))
-    named = first.select("name", F.lit("CONCEPT").alias("type"), "chunk_id", F.col("doc_id").cast("string").alias("doc_id"), (F.col("doc_id") * 1_000_000 + F.col("index") * 100 + F.col("pos")).alias("ord"))
+    # a chunk of 800 characters holds at most 115 names of six letters, so positions fit in 1000
+    found = chunks.select("chunk_id", "doc_id", "index", F.posexplode(F.regexp_extract_all("text", F.lit(r"\b[A-Z][a-z]{5,}\b"), F.lit(0))).alias("pos", "name"))
+    named = found.select("name", F.lit("CONCEPT").alias("type"), "chunk_id", F.col("doc_id").cast("string").alias("doc_id"), (F.col("doc_id") * 1_000_000_000 + F.col("index") * 1000 + F.col("pos")).alias("ord"))
     mentions = written(graph.mentions_of(named), "mentions")
     pairs = mentions.groupBy("chunk_id").agg(F.min(F.struct("ord", "name")).alias("head"))
     evidence = graph.evidence_of(mentions.join(pairs, "chunk_id").select(F.col("head.name").alias("source"), F.lit("WITH").alias("relation"), F.col("name").alias("target"), "chunk_id", "ord"))

@@ -282,3 +282,24 @@ def test_corpus_and_streaming(spark, tmp_path):
     ingest.run_available(spark, str(landing), root, IngestConfig())
     rows = {r["doc_id"]: r["text"] for r in spark.read.parquet(ingest.table_path(root, 1)).collect()}
     assert rows == {"a": "first text", "b": "k: 1; v: 2", "c": "third"}
+
+
+def test_every_name_of_a_chunk_is_an_entity(spark):
+    """Names beyond the eighth become mentions and edges too, each chunk's in their order."""
+    from quarry.plans import retrieval
+
+    names = [f"N{a}letter" for a in "abcdefghijkl"]
+    docs = spark.createDataFrame([(1, " ".join(names)), (2, f"Abcdef {names[0]}")], "doc_id bigint, text string")
+
+    class Tables:
+        def chunks(self):
+            return chunking.chunk_documents(chunking.single_blocks(docs))
+
+        def text_queries(self):
+            return spark.createDataFrame([(1, "who")], "qid bigint, text string")
+
+    _, _, mentions, edges, entities = retrieval._hybrid_inputs(Tables())
+    assert {r["entity_key"] for r in entities.collect()} == {n.lower() for n in names} | {"abcdef"}
+    orders = [r["name"] for r in mentions.where("doc_id = '1'").orderBy("ord").collect()]
+    assert orders == names
+    assert edges.count() == 12
