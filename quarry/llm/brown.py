@@ -8,12 +8,17 @@ P(word | history) = P(class | last two classes) * P(word | class).
    of all words over the whole training corpus are a grouped sum over the dictionaries; nothing of
    the size of the vocabulary is ever held in one place.
 2. *Items.*  Words with at least one in ``1 / SHARE`` of the training tokens are items of the
-   clustering; so there are at most ``1 / SHARE`` of them however large the corpus is.  All other
-   words, unseen ones included, fall by their last three bytes into ``SHAPES`` further items.
+   exchange on the driver; so there are at most ``1 / SHARE`` of them however large the corpus is.
+   All other words, unseen ones included, fall by their last three bytes into ``SHAPES`` further
+   items at first.
 3. *Exchange.*  Starting from classes in order of frequency, an item moves to the class that raises
    the likelihood of the class bigrams most (Kneser and Ney), with the neighbours' classes held
    fixed during a round (Uszkoreit and Brants, 2008).  The item bigrams are counted once over all
    training tokens; a round needs their sums by item and class, which Spark computes.
+   Then every other word met ``MIN_COUNT`` times or more moves from its shape to the class that
+   raises the likelihood most, given the classes of its neighbours: a word needs its own sums by
+   class only, so tasks move words on their own and nothing is collected.  Only rarer words keep
+   the class of their shape.
 4. *Model.*  Class trigrams are smoothed by interpolated absolute discounting down to class
    unigrams.  In a class a word keeps its count less a discount, and the discounts of the class
    are the probability of a word not met in training.
@@ -38,6 +43,8 @@ from quarry.llm.common import discard, release, slices, written
 CLASSES = 64
 #: Least share of the training tokens that makes a word an item of its own.
 SHARE = 5e-5
+#: Least training tokens by which a word's own class is judged.
+MIN_COUNT = 20
 SHAPES = 256
 ROUNDS = 4
 BATCH_WORDS = 300_000
@@ -126,12 +133,13 @@ def _unpacked(row) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(row.column("ids")[0].as_py()), "<i4")
 
 
-def _streams(batches, size: int):
-    """(item numbers of the dictionary's words, ids, documents' ends, held) of each batch."""
+def _streams(batches):
+    """(the dictionary's words, or their classes, ids, documents' ends, held) of each batch."""
     for batch in batches:
         for k in range(batch.num_rows):
             row = batch.slice(k, 1)
-            words = row.column("words")[0].values.to_pylist()
+            words = row.column(0)[0].values
+            words = words.to_numpy().astype(np.int64) if pa.types.is_integer(words.type) else words.to_pylist()
             ids = _unpacked(row)
             sizes = row.column("sizes")[0].values.to_numpy()
             held = row.column("held")[0].values.to_numpy(zero_copy_only=False)
@@ -151,7 +159,7 @@ def item_bigrams(batches: DataFrame, items: Items) -> DataFrame:
 
     def run(parts):
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for words, ids, sizes, held in _streams(parts, items.size):
+        for words, ids, sizes, held in _streams(parts):
             ids, first = _train_tokens(ids, sizes, held)
             if not len(ids):
                 continue
@@ -233,16 +241,95 @@ def _one_round(label, order, left, right, table):
     return label
 
 
-def class_trigrams(batches: DataFrame, items: Items, label: np.ndarray, classes: int = CLASSES) -> np.ndarray:
-    """Counts [class before last, last class, class]; index ``classes`` stands before a text."""
+def word_contexts(batches: DataFrame, items: Items, label: np.ndarray, classes: int = CLASSES) -> DataFrame:
+    """(word, at array<int>, n array<int>) of the words of each batch that are no items of their own:
+    how often they follow class ``at`` (``classes``: nothing) and, from ``classes + 1`` on, precede
+    class ``at - classes - 1`` in the training documents."""
+    wide = 2 * classes + 1
+
+    def run(parts):
+        for words, ids, sizes, held in _streams(parts):
+            ids, first = _train_tokens(ids, sizes, held)
+            if not len(ids):
+                continue
+            item = items.of(words)
+            group = label[item]
+            now = group[ids]
+            last = np.concatenate(([classes], now[:-1]))
+            last[first] = classes
+            rare = item[ids] >= len(items.number)
+            keys = ids[rare].astype(np.int64) * wide + last[rare]
+            before = np.flatnonzero(rare[:-1] & ~first[1:])
+            keys = np.concatenate((keys, ids[before].astype(np.int64) * wide + classes + 1 + now[before + 1]))
+            keys, n = np.unique(keys, return_counts=True)
+            local, starts = np.unique(keys // wide, return_index=True)
+            ends = pa.array(np.append(starts, len(keys)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (keys % wide, n)]
+            yield pa.RecordBatch.from_arrays([pa.array([words[k] for k in local.tolist()], pa.binary()), *lists], ["word", "at", "n"])
+
+    return batches.select("words", "sizes", "held", "ids").mapInArrow(run, "word binary, at array<int>, n array<int>")
+
+
+def class_table(bigrams: DataFrame, label: np.ndarray, classes: int = CLASSES) -> np.ndarray:
+    """Training bigrams by class of the left and the right word, text starts left out."""
+    of = F.broadcast(bigrams.sparkSession.createDataFrame(pa.table({"item": pa.array(np.arange(len(label), dtype=np.int32)), "class": pa.array(label.astype(np.int32))})))  # one row per item
+    both = bigrams.join(of.toDF("left", "x"), "left").join(of.toDF("right", "y"), "right").groupBy("x", "y").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros((classes, classes))
+    table[both.column("x").to_numpy(), both.column("y").to_numpy()] = both.column("n").to_numpy()
+    return table
+
+
+def best_class(old: int, out: np.ndarray, into: np.ndarray, table: np.ndarray) -> int:
+    """The class of the class bigrams ``table`` where a word of class ``old`` fits best.  out, into: how
+    often the classes follow and precede it."""
+    moved = _one_round(np.array([old]), [0], into[None], out[None], table.copy())
+    return int(moved[0])
+
+
+def own_classes(batches: DataFrame, items: Items, label: np.ndarray, table: np.ndarray, classes: int = CLASSES, min_count: int = MIN_COUNT) -> DataFrame:
+    """(word, moved) of the words met ``min_count`` times or more that are no items of their own."""
+    wide = 2 * classes + 1
+
+    def run(parts):
+        now, sums = None, np.zeros(wide)
+
+        def judged():
+            if now is not None and sums[: classes + 1].sum() >= min_count:
+                old = int(label[items.of([now])[0]])
+                yield now, best_class(old, sums[classes + 1 :], sums[:classes], table)
+
+        for part in parts:
+            out = []
+            words = part.column(0).to_pylist()
+            at, n, ends = part.column(1).values.to_numpy(), part.column(2).values.to_numpy(), part.column(1).offsets.to_numpy()
+            for k, word in enumerate(words):
+                if word != now:
+                    out += judged()
+                    now, sums = word, np.zeros(wide)
+                sums[at[ends[k] : ends[k + 1]]] += n[ends[k] : ends[k + 1]]
+            yield _moved(out)
+        yield _moved(list(judged()))
+
+    # a word has one row per batch at most, and common words none
+    rows = word_contexts(batches, items, label, classes).repartition("word").sortWithinPartitions("word")
+    return rows.mapInArrow(run, "word binary, moved int")
+
+
+def _moved(rows: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32())], ["word", "moved"])
+
+
+def class_trigrams(batches: DataFrame, classes: int = CLASSES) -> np.ndarray:
+    """Counts [class before last, last class, class]; index ``classes`` stands before a text.
+    batches: sizes, held, ids, and the classes of the dictionary's words."""
     wide = classes + 1
 
     def run(parts):
         total = np.zeros(wide**2 * classes, np.int64)
-        for words, ids, sizes, held in _streams(parts, items.size):
+        for group, ids, sizes, held in _streams(parts):
             ids, first = _train_tokens(ids, sizes, held)
             if len(ids):
-                now = label[items.of(words)][ids]
+                now = group[ids]
                 last = np.concatenate(([classes], now[:-1]))
                 last[first] = classes
                 older = np.concatenate(([classes], last[:-1]))
@@ -251,7 +338,7 @@ def class_trigrams(batches: DataFrame, items: Items, label: np.ndarray, classes:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
 
-    sums = batches.select("words", "sizes", "held", "ids").mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    sums = batches.select("classes", "sizes", "held", "ids").mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(wide**2 * classes)
     counts[sums.column("at").to_numpy()] = sums.column("n").to_numpy()
     return counts.reshape(wide, wide, classes)
@@ -271,7 +358,7 @@ def smoothed(counts: np.ndarray) -> np.ndarray:
     return np.log10(np.maximum(lower, 1e-30))
 
 
-def score_documents(docs: DataFrame, classes: int = CLASSES, share: float = SHARE, rounds: int = ROUNDS) -> DataFrame:
+def score_documents(docs: DataFrame, classes: int = CLASSES, share: float = SHARE, rounds: int = ROUNDS, min_count: int = MIN_COUNT) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
     perplexity (10 to the negative score per token).
 
@@ -297,12 +384,14 @@ def score_documents(docs: DataFrame, classes: int = CLASSES, share: float = SHAR
     frequency = np.zeros(items.size)
     frequency[uses.column("right").to_numpy()] = uses.column("n").to_numpy()
     label = exchange(bigrams, items.size, np.argsort(-frequency, kind="stable"), classes, rounds)
-    log_p = smoothed(class_trigrams(batches, items, label, classes)).astype(np.float32)
+    moved = written(own_classes(batches, items, label, class_table(bigrams, label, classes), classes, min_count), "lm-moved")
+    discard(bigrams)
     release(spark)
     # class of every word, and what each class holds
     own = spark.createDataFrame(pa.table({"word": top.column("word").cast(pa.binary()), "own": pa.array(label[: len(items.number)].astype(np.int32))}))
     shape = F.element_at(F.array(*(F.lit(int(x)) for x in label[len(items.number) :])), (F.crc32(F.expr("substring(word, -3, 3)")) % SHAPES + 1).cast("int"))
-    classed = vocabulary.join(F.broadcast(own), "word", "left").select("word", "c", F.coalesce("own", shape).cast("int").alias("class"))
+    classed = vocabulary.join(F.broadcast(own), "word", "left").join(moved, "word", "left").select("word", "c", F.coalesce("own", "moved", shape).cast("int").alias("class"))
+    classed = written(classed, "lm-classed")
     held = classed.groupBy("class").agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).toArrow()
     n_class, v_class = np.zeros(classes), np.zeros(classes)
     n_class[held.column("class").to_numpy()], v_class[held.column("class").to_numpy()] = held.column("n").to_numpy(), held.column("v").to_numpy()
@@ -313,6 +402,10 @@ def score_documents(docs: DataFrame, classes: int = CLASSES, share: float = SHAR
     looked_up = entries.select("batch", "local", "word").join(classed, "word").groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("local", "c", "class"))).alias("e"))
     looked_up = looked_up.select("batch", F.transform("e", lambda x: x["c"]).alias("c"), F.transform("e", lambda x: x["class"].cast("int")).alias("classes"))
     looked_up = written(looked_up, "lm-entries")
+    discard(moved, classed, vocabulary)
+    release(spark)
+    coded = batches.select("batch", "doc_ids", "held", "sizes", "ids").join(looked_up, "batch")
+    log_p = smoothed(class_trigrams(coded, classes)).astype(np.float32)
     release(spark)
 
     def run(parts):
@@ -342,5 +435,4 @@ def score_documents(docs: DataFrame, classes: int = CLASSES, share: float = SHAR
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double"
-    discard(bigrams)
-    return batches.select("batch", "doc_ids", "held", "sizes", "ids").join(looked_up, "batch").select("doc_ids", "held", "sizes", "ids", "c", "classes").mapInArrow(run, out)
+    return coded.select("doc_ids", "held", "sizes", "ids", "c", "classes").mapInArrow(run, out)

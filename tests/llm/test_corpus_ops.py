@@ -141,6 +141,21 @@ def test_exchange_separates_two_kinds_of_words(spark):
     assert len(set(label[:6])) == 1 and len(set(label[6:])) == 1 and label[0] != label[6]
 
 
+def test_rarer_words_get_classes_of_their_own(spark):
+    """Words below the share but met often go to the class of their kind, whatever their last bytes."""
+    rng = random.Random(6)
+    nouns, verbs = [f"noun{k}zzz" for k in range(40)], [f"verb{k}zzz" for k in range(40)]
+    one = lambda head, tail: head if rng.random() < 0.5 else rng.choice(tail)
+    rows = [(n, " ".join(w for _ in range(90) for w in ("the", one("thing", nouns), "may", one("go", verbs)))) for n in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    batches = brown.written(brown.tokenised(docs), "t")
+    items = brown.Items([b"the", b"may", b"thing", b"go", brown.END])
+    label = np.array([0, 1, 2, 3, 0] + [4] * brown.SHAPES)
+    table = brown.class_table(brown.item_bigrams(batches, items), label, 5)
+    moved = {bytes(r["word"]).decode(): r["moved"] for r in brown.own_classes(batches, items, label, table, 5).collect()}
+    assert moved == {w: 2 for w in nouns} | {w: 3 for w in verbs}
+
+
 def test_scores_edge_cases(spark):
     docs = spark.createDataFrame([(None, None, 1), (5, "", 2), (5, "", 2), (7, "word " * 30_000, 3), (1, "A a\x0bB", 4)], "doc_id bigint, text string, score int")
     rows = brown.score_documents(docs).collect()
