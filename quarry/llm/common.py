@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.  Only where the session names none
-    (unit tests on one machine) is a local folder made and recorded in the session."""
+    """The folder that driver and executors share, as the session names it.  A folder made up here
+    might be local to one machine, so a session without one is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="quarry-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return folder.rstrip("/")
 
 
@@ -39,6 +37,28 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def text_hash() -> Column:
+    """64-bit hash of a row's text.  With doc_id it is the identity of a document: rows that share an
+    id, or have none, but differ in text are different documents."""
+    return F.xxhash64("text")
+
+
+def keep_documents(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose identity stays, one row each.  verdicts(doc_id, t, stays, n): every
+    identity once, with the number of its rows.
+
+    Only identities that go or repeat are joined, so texts are not shuffled where these are few; of
+    repeated rows one stays, whichever where their other columns differ."""
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", text_hash().alias("t"))
+    listed = written(verdicts.where("not stays or n > 1").select(F.col("doc_id").alias("v_id"), F.col("t").alias("v_t"), "stays"), "verdicts")
+    same = F.col("doc_id").eqNullSafe(F.col("v_id")) & (F.col("t") == F.col("v_t"))
+    kept = rows.join(listed, same, "left_anti")
+    repeated = listed.where("stays")
+    if repeated.limit(1).count():
+        kept = kept.unionByName(rows.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "t"]))
+    return kept.select("row.*")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

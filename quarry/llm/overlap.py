@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import linededup
-from quarry.llm.common import components, slices, written
+from quarry.llm.common import slices, text_hash
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -34,8 +34,8 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_LOWER).split()
 
 
-def shingles(words: list[bytes], width: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles; a shorter text is its own."""
+def shingle_hashes(words: list[bytes], width: int = WORDS) -> np.ndarray:
+    """64-bit hashes of the word shingles, repeats included; a shorter text is its own."""
     if not words:
         return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
@@ -46,7 +46,12 @@ def shingles(words: list[bytes], width: int = WORDS) -> np.ndarray:
         for k in range(width):
             out = (out ^ each[k : len(each) - width + 1 + k]) * _MIX
             out ^= out >> np.uint64(29)
-    return np.unique(out)
+    return out
+
+
+def shingles(words: list[bytes], width: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles."""
+    return np.unique(shingle_hashes(words, width))
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -67,15 +72,25 @@ def signature(sets: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _sign(batches):
-    """Documents -> doc_id, d1, d2, keys; a text without words has no keys."""
-    for batch in batches:
-        for part in slices(batch, 1):
-            words = [words_of(t) for t in part.column(1).to_pylist()]
-            names = _names(words)
-            keys = [signature(shingles(w)) if w else None for w in words]
-            columns = [part.column(0), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "d1", "d2", "keys"])
+def signed(docs: DataFrame, fingerprint) -> DataFrame:
+    """doc_id, t (hash of the text), d1, d2 (of its words), keys and fp: ``fingerprint`` of the hashes of its
+    shingles.  A text without words has no keys."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 1):
+                words = [words_of(t) for t in part.column(1).to_pylist()]
+                names, keys, prints = _names(words), [], []
+                for w in words:
+                    hashes = shingle_hashes(w)
+                    keys.append(signature(np.unique(hashes)) if w else None)
+                    prints.append(fingerprint(hashes))
+                columns = [part.column(0), part.column(2), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(keys, pa.list_(pa.int64())), pa.array(prints, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "d1", "d2", "keys", "fp"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"), text_hash().alias("t"))
+    return texts.mapInArrow(run, f"doc_id {kind}, t bigint, d1 bigint, d2 bigint, keys array<bigint>, fp bigint")
 
 
 def _names(words: list[list[bytes]]) -> np.ndarray:
@@ -96,24 +111,12 @@ def _fetch(held):
     return run
 
 
-def links(docs: DataFrame, signed: DataFrame, threshold: float = SIMILARITY, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
-    """(a, b) structs of 128-bit text hashes: verified links between different texts."""
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    compare = linededup._compare(threshold, lambda line: np.frombuffer(line, np.uint64), similarity)
-    return linededup.set_links(texts, signed, _fetch, "binary", compare, bucket_docs)
+def stored_sets(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(lines), np.uint64), np.fromiter((len(x) // 8 for x in lines), np.int64, len(lines))
 
 
-def keep_one(docs: DataFrame, threshold: float = SIMILARITY, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
-    """The documents less their near copies: of each component the row with the smallest doc_id
-    stays (one of them where rows repeat).  Texts without words are one class.  Rows without a doc_id
-    cannot be named and stay."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def links(docs: DataFrame, classes: DataFrame, threshold: float = SIMILARITY, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
+    """(a, b) structs of 128-bit text hashes: verified links between different texts that share one of
+    their keys."""
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    signed = written(texts.mapInArrow(_sign, f"doc_id {kind}, d1 bigint, d2 bigint, keys array<bigint>"), "copies-signed")
-    classes = written(signed.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys")), "copies-classes")
-    roots = components(links(docs, classes, threshold, bucket_docs), "copies-links")
-    roots = roots.select(F.col("node.d1").alias("d1"), F.col("node.d2").alias("d2"), "root")
-    rooted = classes.join(roots, ["d1", "d2"], "left").select("first_id", F.coalesce("root", F.struct("d1", "d2")).alias("root"))
-    keep = rooted.groupBy("root").agg(F.min("first_id").alias("doc_id")).where("doc_id is not null").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    return linededup.set_links(texts, classes, _fetch, "binary", linededup._compare(threshold, stored_sets, 1 << 23), bucket_docs)

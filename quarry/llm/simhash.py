@@ -22,7 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import components, discard, local_labels, written
+from quarry.llm import overlap
+from quarry.llm.common import components, keep_documents, local_labels, written
 
 SHINGLE_WORDS = 4
 BUDGET = 4
@@ -188,23 +189,40 @@ def trie_links(keys: np.ndarray, bounds: np.ndarray, nodes: np.ndarray, budget:
     return labels
 
 
-def _link_partition(batches):
-    """Rows (code, top, perm, fp) of whole groups -> spanning edges (a, b) between fingerprints."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    rows = pa.Table.from_batches(got)
-    code, top, perm, fp = (rows.column(c).to_numpy() for c in ("code", "top", "perm", "fp"))
-    perm = perm.view(np.uint64)
-    order = np.lexsort((perm, top, code))
-    code, top, perm, fp = code[order], top[order], perm[order], fp[order]
-    edge = np.flatnonzero((code[1:] != code[:-1]) | (top[1:] != top[:-1])) + 1
-    bounds = np.concatenate(([0], edge, [len(fp)]))
-    values, nodes = np.unique(fp, return_inverse=True)
-    labels = trie_links(perm, bounds, nodes)
-    linked = np.flatnonzero(labels != np.arange(len(labels)))
-    if len(linked):
-        yield pa.RecordBatch.from_arrays([pa.array(values[linked]), pa.array(values[labels[linked]])], ["a", "b"])
+def _link_groups(budget: int, rows_at_once: int):
+    """Rows (code, top, perm, fp), sorted by group -> spanning edges (a, b) between fingerprints.  Whole
+    groups of about ``rows_at_once`` rows are joined at a time."""
+
+    def edges(rows: pa.Table):
+        code, top, perm, fp = (rows.column(c).to_numpy() for c in ("code", "top", "perm", "fp"))
+        perm = perm.view(np.uint64)
+        order = np.lexsort((perm, top, code))
+        code, top, perm, fp = code[order], top[order], perm[order], fp[order]
+        edge = np.flatnonzero((code[1:] != code[:-1]) | (top[1:] != top[:-1])) + 1
+        bounds = np.concatenate(([0], edge, [len(fp)]))
+        values, nodes = np.unique(fp, return_inverse=True)
+        labels = trie_links(perm, bounds, nodes, budget)
+        linked = np.flatnonzero(labels != np.arange(len(labels)))
+        if len(linked):
+            yield pa.RecordBatch.from_arrays([pa.array(values[linked]), pa.array(values[labels[linked]])], ["a", "b"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            if size + batch.num_rows > rows_at_once and batch.num_rows:
+                code, top = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                starts = np.flatnonzero((code[1:] != code[:-1]) | (top[1:] != top[:-1])) + 1
+                if len(starts):  # the last group of the batch may go on
+                    cut = int(starts[-1])
+                    yield from edges(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                    held, size, batch = [], 0, batch.slice(cut)
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+        if held:
+            yield from edges(pa.Table.from_batches(held))
+
+    return run
 
 
 def _blocks(rows: DataFrame, fixed: int, parts: int) -> tuple[DataFrame, int]:
@@ -229,8 +247,6 @@ def _blocks(rows: DataFrame, fixed: int, parts: int) -> tuple[DataFrame, int]:
 
 def links(prints: DataFrame, budget: int = BUDGET, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Spanning edges (a, b) of the graph of distinct fingerprints (column fp) within ``budget``."""
-    if budget != BUDGET:
-        raise ValueError("the trie join is set up for a budget of 4")
     parts = budget + 1
     rows, fixed = _blocks(prints.select(F.lit(0).cast("bigint").alias("code"), F.col("fp").alias("perm"), "fp"), 0, parts)
     cold, shape = [], "a bigint, b bigint"
@@ -244,7 +260,7 @@ def links(prints: DataFrame, budget: int = BUDGET, group_rows: int = GROUP_ROWS)
         rows, fixed = _blocks(rows.join(hot, ["code", "top"], "left_semi").select("code", "perm", "fp"), fixed, parts)
     out = None
     for level in cold:
-        part = level.select("code", "top", "perm", "fp").repartition("code", "top").mapInArrow(_link_partition, shape)
+        part = level.select("code", "top", "perm", "fp").repartition("code", "top").sortWithinPartitions("code", "top").mapInArrow(_link_groups(budget, group_rows), shape)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -261,17 +277,47 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, group_rows: int = GRO
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = components(links(classes.select("fp"), budget, group_rows), "simhash-links")
     of_class = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = of_class.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # written, so that the join on a root that many texts share is one that can be split
+    least = written(of_class.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-least")
     named = of_class.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(
         "doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
-def keep_one(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """The documents less their near copies: of each component the row with the smallest doc_id
-    stays (one of them where rows repeat).  Rows without a doc_id cannot be named and stay."""
-    found = near_duplicates(docs, budget)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+def majority(hashes: np.ndarray) -> int:
+    """Signed SimHash of the 64-bit hashes of a text's shingles: a bit is set if it is in over half of them."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _HASHES_AT_ONCE):
+        some = hashes[at : at + _HASHES_AT_ONCE]
+        counts += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def keep_one(docs: DataFrame, budget: int = BUDGET, threshold: float = overlap.SIMILARITY, bucket_docs: int = overlap.BUCKET_DOCS) -> DataFrame:
+    """The documents less their near copies, those whose five-word shingles have a Jaccard similarity of
+    ``threshold`` or more: of each component one row stays, the one with the smallest doc_id (null
+    last), then hash of the text.
+
+    The trie join of SimHash fingerprints gives groups of candidates, the MinHash bands of ``overlap``
+    those that differ in more bits than the budget; in every group the shingle sets are compared exactly.
+    A document is a doc_id with a text: rows that share an id, or have none, but differ in text are
+    different documents, and each goes or stays on its own; of rows equal in both one stays.  Texts
+    without words, null ones included, are copies of each other.  An empty table gives an empty
+    result; columns of any name pass unchanged.
+    """
+    signed = written(overlap.signed(docs, majority), "copies-signed")
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "t")
+    classes = written(signed.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.first("keys").alias("keys"), F.first("fp").alias("fp")), "copies-classes")
+    groups = components(links(classes.where("keys is not null").select("fp").distinct(), budget), "copies-prints")
+    groups = groups.select(F.col("node").alias("fp"), F.xxhash64(F.lit("simhash"), "root").alias("group"))
+    keyed = classes.join(groups, "fp", "left")
+    keyed = keyed.select("d1", "d2", F.when(F.col("group").isNull(), F.col("keys")).otherwise(F.concat("keys", F.array("group"))).alias("keys"))
+    roots = components(overlap.links(docs, written(keyed, "copies-keyed"), threshold, bucket_docs), "copies-links")
+    roots = roots.select(F.col("node.d1").alias("d1"), F.col("node.d2").alias("d2"), "root")
+    rooted = classes.join(roots, ["d1", "d2"], "left").select("d1", "d2", "first", F.coalesce("root", F.struct("d1", "d2")).alias("root"))
+    least = written(rooted.groupBy("root").agg(F.min("first").alias("stay")), "copies-least")
+    of_class = rooted.join(least, "root").select("d1", "d2", "stay")
+    documents = signed.groupBy("doc_id", "t", "d1", "d2").agg(F.count("*").alias("n"))
+    verdicts = documents.join(of_class, ["d1", "d2"]).select("doc_id", "t", place.eqNullSafe(F.col("stay")).alias("stays"), "n")
+    return keep_documents(docs, verdicts)

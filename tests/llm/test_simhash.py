@@ -88,10 +88,36 @@ def test_nulls_ties_and_clashing_columns(spark):
     got = {(r["doc_id"], r["component_id"]) for r in S.near_duplicates(docs).collect()}
     assert got == {(3, 1), (1, 1), (None, 1), (7, 5), (5, 5), (9, 9)}
     kept = sorted((r["doc_id"] or 0, r["fp"]) for r in S.keep_one(docs).collect())
-    assert kept == [(0, 3), (1, 2), (5, 5), (9, 6)]
+    assert kept == [(1, 2), (5, 5), (9, 6)]  # one row of each component; named ones come first
     assert S.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_keep_one_loses_no_unlike_text(spark):
+    """Rows that share an id or have none are documents of their own."""
+    one, two, three = ("".join(f"{c}{k} " for k in range(30)) for c in "abc")
+    rows = [(5, one, 1), (5, two, 2), (6, two, 3), (None, three, 4), (None, one, 5), (None, three + "more", 6), (None, three, 7), (8, "short", 8), (8, "short", 9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, `row` int")
+    kept = S.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    third = [x for x in got if x[0] is None]
+    assert len(third) == 1 and third[0][1] in (three, three + "more")
+    assert sorted(x for x in got if x[0] is not None) == [(5, one), (5, two), (8, "short")]
+    assert S.keep_one(docs.limit(0)).count() == 0
+
+
+def test_trie_groups_are_joined_in_parts(spark):
+    """A task joins a few groups at a time; the links are those of all at once."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    rows = [(g, 0, v, v) for g in range(30) for v in set(np.array(planted(rng, 4, 4, 3), np.uint64).view(np.int64).tolist())]
+    names = ["code", "top", "perm", "fp"]
+    table = pa.table([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names)
+    found = [{tuple(x.values()) for b in S._link_groups(4, size)(table.to_batches(max_chunksize=7)) for x in b.to_pylist()} for size in (1 << 18, 20)]
+    assert found[0] == found[1] and found[0]
+
+
 def test_documents_against_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = docs.select("doc_id", "text").orderBy("doc_id").collect()
