@@ -9,21 +9,21 @@ P(word | history) = P(class | last two classes) * P(word | class).
    the size of the vocabulary is ever held in one place.
 2. *Items.*  Words with at least one in ``1 / SHARE`` of the training tokens are items of the
    exchange on the driver; so there are at most ``1 / SHARE`` of them however large the corpus is.
-   All other words, unseen ones included, fall by their last three bytes into ``SHAPES`` further
-   items at first.
+   All other words fall by their last three bytes into ``SHAPES`` further items for the time being.
 3. *Exchange.*  Starting from classes in order of frequency, an item moves to the class that raises
    the likelihood of the class bigrams most (Kneser and Ney), with the neighbours' classes held
    fixed during a round (Uszkoreit and Brants, 2008).  The item bigrams are counted once over all
    training tokens; a round needs their sums by item and class, which Spark computes.
-   Then every other word met ``MIN_COUNT`` times or more moves from its shape to the class that
-   raises the likelihood most, given the classes of its neighbours: a word needs its own sums by
-   class only, so tasks move words on their own and nothing is collected.  Only rarer words keep
-   the class of their shape.
+   Then every other word is exchanged too, against the classes of the frequent words, which are fixed
+   now: it moves to the class under which its frequent neighbours in all its training occurrences
+   are most likely (the exchange criterion to first order, as one rare word hardly changes a class).
+   A word's occurrences meet by a shuffle on the word, so nothing is collected.  Only words that
+   never stood beside a frequent one, unseen ones included, keep the class of their last bytes.
 4. *Model.*  Class trigrams are smoothed by interpolated absolute discounting down to class
    unigrams.  In a class a word keeps its count less a discount, and the discounts of the class
    are the probability of a word not met in training.
-5. *Scores.*  The total counts come back to every batch by a join on its dictionary, and each batch
-   is scored on its own.
+5. *Scores.*  The same shuffle sends every batch the total counts and classes of its dictionary, and
+   each batch is scored on its own.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -43,13 +44,15 @@ from quarry.llm.common import discard, release, slices, written
 CLASSES = 64
 #: Least share of the training tokens that makes a word an item of its own.
 SHARE = 5e-5
-#: Least training tokens by which a word's own class is judged.
-MIN_COUNT = 20
 SHAPES = 256
 ROUNDS = 4
 BATCH_WORDS = 300_000
 BATCH_BYTES = 10 << 20
 END = b"\n"  # no word holds white space
+#: Stands for the class of a neighbour that is no frequent word.
+UNKNOWN = 255
+#: Dictionary entries that a task holds before it sends them back to their batches.
+ENTRIES_AT_ONCE = 1_000_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -117,12 +120,17 @@ def tokenised(docs: DataFrame) -> DataFrame:
 
 
 class Items:
-    """Item numbers of words: frequent words first, then the shapes."""
+    """Item numbers of words: frequent words first, then the shapes of others."""
 
     def __init__(self, frequent: list[bytes]):
         self.number = {w: k for k, w in enumerate(frequent)}
         self.size = len(frequent) + SHAPES
 
+    def frequent(self, words: list[bytes]) -> np.ndarray:
+        """Item numbers of frequent words, -1 for others."""
+        get = self.number.get
+        return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+
     def of(self, words: list[bytes]) -> np.ndarray:
         shapes = len(self.number)
         get = self.number.get
@@ -133,17 +141,24 @@ def _unpacked(row) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(row.column("ids")[0].as_py()), "<i4")
 
 
+def _looked_up(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, classes) of a batch's dictionary, from the parts that other tasks sent."""
+    parts = [np.frombuffer(zstandard.decompress(b), _ENTRY) for b in blobs]
+    found = np.concatenate(parts) if parts else np.zeros(0, _ENTRY)
+    counts, classes = np.zeros(len(found), np.int64), np.zeros(len(found), np.int64)
+    counts[found["local"]], classes[found["local"]] = found["c"], found["class"]
+    return counts, classes
+
+
+_ENTRY = np.dtype([("local", "<i4"), ("c", "<i8"), ("class", "u1")])
+
+
 def _streams(batches):
-    """(the dictionary's words, or their classes, ids, documents' ends, held) of each batch."""
+    """(row, ids, documents' sizes, held) of each batch."""
     for batch in batches:
         for k in range(batch.num_rows):
             row = batch.slice(k, 1)
-            words = row.column(0)[0].values
-            words = words.to_numpy().astype(np.int64) if pa.types.is_integer(words.type) else words.to_pylist()
-            ids = _unpacked(row)
-            sizes = row.column("sizes")[0].values.to_numpy()
-            held = row.column("held")[0].values.to_numpy(zero_copy_only=False)
-            yield words, ids, sizes, held
+            yield row, _unpacked(row), row.column("sizes")[0].values.to_numpy(), row.column("held")[0].values.to_numpy(zero_copy_only=False)
 
 
 def _train_tokens(ids: np.ndarray, sizes: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,11 +174,11 @@ def item_bigrams(batches: DataFrame, items: Items) -> DataFrame:
 
     def run(parts):
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for words, ids, sizes, held in _streams(parts):
+        for row, ids, sizes, held in _streams(parts):
             ids, first = _train_tokens(ids, sizes, held)
             if not len(ids):
                 continue
-            right = items.of(words)[ids]
+            right = items.of(row.column("words")[0].values.to_pylist())[ids]
             left = np.concatenate(([-1], right[:-1]))
             left[first] = -1
             found, n = np.unique((left + 1) * (items.size + 1) + right, return_counts=True)
@@ -241,95 +256,138 @@ def _one_round(label, order, left, right, table):
     return label
 
 
-def word_contexts(batches: DataFrame, items: Items, label: np.ndarray, classes: int = CLASSES) -> DataFrame:
-    """(word, at array<int>, n array<int>) of the words of each batch that are no items of their own:
-    how often they follow class ``at`` (``classes``: nothing) and, from ``classes + 1`` on, precede
-    class ``at - classes - 1`` in the training documents."""
-    wide = 2 * classes + 1
+def word_entries(batches: DataFrame, items: Items, label: np.ndarray, classes: int = CLASSES) -> DataFrame:
+    """(batch, local, word, c, around) of each word of each batch's dictionary: its count in the training
+    documents and, unless it is an item, the classes left and right of each occurrence there, a byte
+    each (``classes``: text start; UNKNOWN: no frequent word).  Occurrences between unknown ones are left out."""
 
     def run(parts):
-        for words, ids, sizes, held in _streams(parts):
+        for row, ids, sizes, held in _streams(parts):
+            words = row.column("words")[0].values
             ids, first = _train_tokens(ids, sizes, held)
-            if not len(ids):
-                continue
-            item = items.of(words)
-            group = label[item]
-            now = group[ids]
-            last = np.concatenate(([classes], now[:-1]))
-            last[first] = classes
-            rare = item[ids] >= len(items.number)
-            keys = ids[rare].astype(np.int64) * wide + last[rare]
-            before = np.flatnonzero(rare[:-1] & ~first[1:])
-            keys = np.concatenate((keys, ids[before].astype(np.int64) * wide + classes + 1 + now[before + 1]))
-            keys, n = np.unique(keys, return_counts=True)
-            local, starts = np.unique(keys // wide, return_index=True)
-            ends = pa.array(np.append(starts, len(keys)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (keys % wide, n)]
-            yield pa.RecordBatch.from_arrays([pa.array([words[k] for k in local.tolist()], pa.binary()), *lists], ["word", "at", "n"])
-
-    return batches.select("words", "sizes", "held", "ids").mapInArrow(run, "word binary, at array<int>, n array<int>")
-
-
-def class_table(bigrams: DataFrame, label: np.ndarray, classes: int = CLASSES) -> np.ndarray:
-    """Training bigrams by class of the left and the right word, text starts left out."""
-    of = F.broadcast(bigrams.sparkSession.createDataFrame(pa.table({"item": pa.array(np.arange(len(label), dtype=np.int32)), "class": pa.array(label.astype(np.int32))})))  # one row per item
+            item = items.frequent(words.to_pylist())
+            known = np.where(item < 0, UNKNOWN, label[item]).astype(np.uint8)
+            now = known[ids]
+            left, right = np.empty_like(now), np.empty_like(now)
+            left[1:], right[:-1] = now[:-1], now[1:]
+            left[first] = classes
+            right[:-1][first[1:]] = UNKNOWN
+            right[-1:] = UNKNOWN
+            at = np.flatnonzero((item[ids] < 0) & ((left != UNKNOWN) | (right != UNKNOWN)))
+            at = at[np.argsort(ids[at], kind="stable")]
+            ends = np.concatenate(([0], np.cumsum(2 * np.bincount(ids[at], minlength=len(words))))).astype(np.int32)
+            around = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(ends), pa.py_buffer(np.stack((left[at], right[at]), 1).tobytes())])
+            batch = pa.array(np.full(len(words), row.column("batch")[0].as_py(), np.int64))
+            yield pa.RecordBatch.from_arrays([batch, pa.array(np.arange(len(words), dtype=np.int32)), words, row.column("counts")[0].values, around], ["batch", "local", "word", "c", "around"])
+
+    return batches.select("batch", "words", "counts", "sizes", "held", "ids").mapInArrow(run, "batch bigint, local int, word binary, c bigint, around binary")
+
+
+def neighbour_scores(bigrams: DataFrame, n_items: int, label: np.ndarray, classes: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
+    """(before, after): how much a neighbour of a class to the left or to the right speaks for each class of
+    a word, in whole millionths, so that sums don't depend on their order.  By the bigrams of the
+    ``n_items`` frequent words; row ``classes`` is a text start, row UNKNOWN is zero."""
+    of = pa.table({"item": pa.array(np.arange(-1, n_items, dtype=np.int32)), "class": pa.array(np.append([classes], label[:n_items]).astype(np.int32))})
+    of = F.broadcast(bigrams.sparkSession.createDataFrame(of))  # one row per item
     both = bigrams.join(of.toDF("left", "x"), "left").join(of.toDF("right", "y"), "right").groupBy("x", "y").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros((classes, classes))
-    table[both.column("x").to_numpy(), both.column("y").to_numpy()] = both.column("n").to_numpy()
-    return table
-
-
-def best_class(old: int, out: np.ndarray, into: np.ndarray, table: np.ndarray) -> int:
-    """The class of the class bigrams ``table`` where a word of class ``old`` fits best.  out, into: how
-    often the classes follow and precede it."""
-    moved = _one_round(np.array([old]), [0], into[None], out[None], table.copy())
-    return int(moved[0])
-
-
-def own_classes(batches: DataFrame, items: Items, label: np.ndarray, table: np.ndarray, classes: int = CLASSES, min_count: int = MIN_COUNT) -> DataFrame:
-    """(word, moved) of the words met ``min_count`` times or more that are no items of their own."""
-    wide = 2 * classes + 1
+    table = np.full((classes + 1, classes), 0.5)
+    table[both.column("x").to_numpy(), both.column("y").to_numpy()] += both.column("n").to_numpy()
+    before, after = np.zeros((UNKNOWN + 1, classes), np.int64), np.zeros((UNKNOWN + 1, classes), np.int64)
+    before[: classes + 1] = np.rint(1e6 * np.log(table / table.sum(0)))
+    inner = table[:classes]
+    after[:classes] = np.rint(1e6 * np.log(inner / inner.sum(1, keepdims=True))).T
+    return before, after
+
+
+def classified(entries: DataFrame, items: Items, label: np.ndarray, before: np.ndarray, after: np.ndarray, classes: int = CLASSES) -> DataFrame:
+    """(batch, blob, n, v): for each batch the counts and classes of words of its dictionary, packed; and
+    for each class k a row with batch -1 - k, its training tokens and its distinct training words."""
+
+    def judge(rows: pa.Table):
+        """Counts and classes of whole words, which follow one another."""
+        words = rows.column("word").combine_chunks()
+        new = np.ones(len(words), bool)
+        if len(words) > 1:
+            new[1:] = pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        c = np.add.reduceat(rows.column("c").to_numpy(), starts)
+        sums, seen = np.zeros((len(starts), classes), np.int64), np.zeros(len(starts), bool)
+        around = rows.column("around").combine_chunks()
+        offsets = np.frombuffer(around.buffers()[1], np.int32, len(around) + 1, 4 * around.offset)
+        pairs = np.frombuffer(around.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].reshape(-1, 2)
+        of = np.repeat(group, np.diff(offsets) // 2)
+        for at in range(0, len(of), 1 << 15):
+            some = of[at : at + (1 << 15)]
+            cuts = np.flatnonzero(np.concatenate(([True], some[1:] != some[:-1])))
+            part = pairs[at : at + (1 << 15)]
+            sums[some[cuts]] += np.add.reduceat(before[part[:, 0]] + after[part[:, 1]], cuts)
+            seen[some[cuts]] = True
+        group_class = sums.argmax(1)
+        rest = np.flatnonzero(~seen)
+        group_class[rest] = label[items.of(words.take(pa.array(starts[rest])).to_pylist())]
+        return c, group_class, c[group], group_class[group]
+
+    def packed(held: list):
+        batch, local, c, group = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(batch, kind="stable")
+        batch = batch[order]
+        entries = np.zeros(len(batch), _ENTRY)
+        entries["local"], entries["c"], entries["class"] = local[order], c[order], group[order]
+        starts = np.flatnonzero(np.concatenate(([True], batch[1:] != batch[:-1])))
+        blobs = [zstandard.compress(x.tobytes(), 1) for x in np.split(entries, starts[1:])]
+        none = pa.nulls(len(blobs), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(batch[starts]), pa.array(blobs, pa.binary()), none, none], ["batch", "blob", "n", "v"])
 
     def run(parts):
-        now, sums = None, np.zeros(wide)
+        n, v = np.zeros(classes, np.int64), np.zeros(classes, np.int64)
+        waiting, held, size = [], [], 0
 
-        def judged():
-            if now is not None and sums[: classes + 1].sum() >= min_count:
-                old = int(label[items.of([now])[0]])
-                yield now, best_class(old, sums[classes + 1 :], sums[:classes], table)
+        def settle():
+            rows = pa.Table.from_batches(waiting)
+            c, group_class, c_rows, class_rows = judge(rows)
+            np.add.at(n, group_class, c)
+            np.add.at(v, group_class, c > 0)
+            held.append((rows.column("batch").to_numpy(), rows.column("local").to_numpy(), c_rows, class_rows))
 
         for part in parts:
-            out = []
-            words = part.column(0).to_pylist()
-            at, n, ends = part.column(1).values.to_numpy(), part.column(2).values.to_numpy(), part.column(1).offsets.to_numpy()
-            for k, word in enumerate(words):
-                if word != now:
-                    out += judged()
-                    now, sums = word, np.zeros(wide)
-                sums[at[ends[k] : ends[k + 1]]] += n[ends[k] : ends[k + 1]]
-            yield _moved(out)
-        yield _moved(list(judged()))
-
-    # a word has one row per batch at most, and common words none
-    rows = word_contexts(batches, items, label, classes).repartition("word").sortWithinPartitions("word")
-    return rows.mapInArrow(run, "word binary, moved int")
-
-
-def _moved(rows: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32())], ["word", "moved"])
+            if not part.num_rows:
+                continue
+            words = part.column("word")
+            if waiting and words[-1] != waiting[-1].column("word")[-1]:  # a word ends in this part
+                new = np.flatnonzero(pc.not_equal(words, words[-1]).to_numpy(zero_copy_only=False))
+                cut = int(new[-1]) + 1 if len(new) else 0
+                if cut:
+                    waiting.append(part.slice(0, cut))
+                settle()
+                size += len(held[-1][0])
+                waiting = []
+                part = part.slice(cut)
+                if size >= ENTRIES_AT_ONCE:
+                    yield from packed(held)
+                    held, size = [], 0
+            waiting.append(part)
+        if waiting:
+            settle()
+        if held:
+            yield from packed(held)
+        yield pa.RecordBatch.from_arrays([pa.array(-1 - np.arange(classes)), pa.nulls(classes, pa.binary()), pa.array(n), pa.array(v)], ["batch", "blob", "n", "v"])
+
+    rows = entries.repartition("word").sortWithinPartitions("word")
+    return rows.mapInArrow(run, "batch bigint, blob binary, n bigint, v bigint")
 
 
 def class_trigrams(batches: DataFrame, classes: int = CLASSES) -> np.ndarray:
     """Counts [class before last, last class, class]; index ``classes`` stands before a text.
-    batches: sizes, held, ids, and the classes of the dictionary's words."""
+    batches: sizes, held, ids, and the blobs with the classes of the dictionary's words."""
     wide = classes + 1
 
     def run(parts):
         total = np.zeros(wide**2 * classes, np.int64)
-        for group, ids, sizes, held in _streams(parts):
+        for row, ids, sizes, held in _streams(parts):
             ids, first = _train_tokens(ids, sizes, held)
             if len(ids):
-                now = group[ids]
+                now = _looked_up(row.column("blobs")[0].as_py())[1][ids]
                 last = np.concatenate(([classes], now[:-1]))
                 last[first] = classes
                 older = np.concatenate(([classes], last[:-1]))
@@ -338,7 +396,7 @@ def class_trigrams(batches: DataFrame, classes: int = CLASSES) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
 
-    sums = batches.select("classes", "sizes", "held", "ids").mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    sums = batches.select("blobs", "sizes", "held", "ids").mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(wide**2 * classes)
     counts[sums.column("at").to_numpy()] = sums.column("n").to_numpy()
     return counts.reshape(wide, wide, classes)
@@ -358,7 +416,7 @@ def smoothed(counts: np.ndarray) -> np.ndarray:
     return np.log10(np.maximum(lower, 1e-30))
 
 
-def score_documents(docs: DataFrame, classes: int = CLASSES, share: float = SHARE, rounds: int = ROUNDS, min_count: int = MIN_COUNT) -> DataFrame:
+def score_documents(docs: DataFrame, classes: int = CLASSES, share: float = SHARE, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
     perplexity (10 to the negative score per token).
 
@@ -369,8 +427,8 @@ def score_documents(docs: DataFrame, classes: int = CLASSES, share: float = SHAR
     spark = docs.sparkSession
     batches = written(tokenised(docs), "lm-batches")
     release(spark)
-    entries = batches.select("batch", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "e")).select("batch", "local", F.col("e.words").alias("word"), F.col("e.counts").alias("c"))
-    vocabulary = written(entries.groupBy("word").agg(F.sum("c").alias("c")), "lm-vocabulary")
+    counted = batches.select(F.explode(F.arrays_zip("words", "counts")).alias("e")).select(F.col("e.words").alias("word"), F.col("e.counts").alias("c"))
+    vocabulary = written(counted.groupBy("word").agg(F.sum("c").alias("c")), "lm-vocabulary")
     release(spark)
     facts = vocabulary.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
     total, distinct = facts["n"] or 0, facts["v"] or 0
@@ -378,61 +436,50 @@ def score_documents(docs: DataFrame, classes: int = CLASSES, share: float = SHAR
     least = max(1, int(np.ceil(total * share)))
     # at most 1 / share words
     top = vocabulary.where(F.col("c") >= least).orderBy(F.desc("c"), "word").toArrow()
+    discard(vocabulary)
     items = Items([bytes(w) for w in top.column("word").to_pylist()])
     bigrams = written(item_bigrams(batches, items), "lm-bigrams")
     uses = bigrams.groupBy("right").agg(F.sum("n").alias("n")).toArrow()
     frequency = np.zeros(items.size)
     frequency[uses.column("right").to_numpy()] = uses.column("n").to_numpy()
     label = exchange(bigrams, items.size, np.argsort(-frequency, kind="stable"), classes, rounds)
-    moved = written(own_classes(batches, items, label, class_table(bigrams, label, classes), classes, min_count), "lm-moved")
+    before, after = neighbour_scores(bigrams, len(items.number), label, classes)
     discard(bigrams)
     release(spark)
-    # class of every word, and what each class holds
-    own = spark.createDataFrame(pa.table({"word": top.column("word").cast(pa.binary()), "own": pa.array(label[: len(items.number)].astype(np.int32))}))
-    shape = F.element_at(F.array(*(F.lit(int(x)) for x in label[len(items.number) :])), (F.crc32(F.expr("substring(word, -3, 3)")) % SHAPES + 1).cast("int"))
-    classed = vocabulary.join(F.broadcast(own), "word", "left").join(moved, "word", "left").select("word", "c", F.coalesce("own", "moved", shape).cast("int").alias("class"))
-    classed = written(classed, "lm-classed")
-    held = classed.groupBy("class").agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).toArrow()
+    sent = written(classified(word_entries(batches, items, label, classes), items, label, before, after, classes), "lm-entries")
+    release(spark)
+    held = sent.where("batch < 0").groupBy("batch").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toArrow()  # one row per class
     n_class, v_class = np.zeros(classes), np.zeros(classes)
-    n_class[held.column("class").to_numpy()], v_class[held.column("class").to_numpy()] = held.column("n").to_numpy(), held.column("v").to_numpy()
+    of = -1 - held.column("batch").to_numpy()
+    n_class[of], v_class[of] = held.column("n").to_numpy(), held.column("v").to_numpy()
     log_n = np.log10(np.maximum(n_class, 1))
     # a class without training tokens, or whose words are all met more than once, still has half a token to spare
     unknown = np.log10(np.maximum(discount * v_class, 0.5) / np.maximum(n_class, 1))
     base_below = np.log10(total + 0.5 * (distinct + 1))
-    looked_up = entries.select("batch", "local", "word").join(classed, "word").groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("local", "c", "class"))).alias("e"))
-    looked_up = looked_up.select("batch", F.transform("e", lambda x: x["c"]).alias("c"), F.transform("e", lambda x: x["class"].cast("int")).alias("classes"))
-    looked_up = written(looked_up, "lm-entries")
-    discard(moved, classed, vocabulary)
-    release(spark)
-    coded = batches.select("batch", "doc_ids", "held", "sizes", "ids").join(looked_up, "batch")
+    blobs = sent.where("batch >= 0").groupBy("batch").agg(F.collect_list("blob").alias("blobs"))
+    coded = batches.select("batch", "doc_ids", "held", "sizes", "ids").join(blobs, "batch")
     log_p = smoothed(class_trigrams(coded, classes)).astype(np.float32)
     release(spark)
 
     def run(parts):
-        for part in parts:
-            for k in range(part.num_rows):
-                row = part.slice(k, 1)
-                ids = _unpacked(row)
-                sizes = row.column("sizes")[0].values.to_numpy()
-                c = row.column("c")[0].values.to_numpy()
-                group = row.column("classes")[0].values.to_numpy().astype(np.int64)
-                with np.errstate(divide="ignore"):
-                    emit = np.where(c > 0, np.log10(np.maximum(c - discount, 1e-9)) - log_n[group], unknown[group])
-                starts = np.cumsum(sizes) - sizes
-                now = group[ids]
-                last = np.concatenate(([classes], now[:-1]))
-                last[starts] = classes
-                older = np.concatenate(([classes], last[:-1]))
-                older[starts] = classes
-                sums = lambda x: np.add.reduceat(x, starts)
-                score = sums(emit[ids] + log_p[older, last, now].astype(np.float64))
-                base = sums(np.log10(c + 0.5)[ids] - base_below)
-                n = len(sizes)
-                yield pa.RecordBatch.from_arrays(
-                    [row.column("doc_ids")[0].values, row.column("held")[0].values, pa.array(sizes.astype(np.int64)), pa.array(sums((c > 0)[ids].astype(np.int64))), pa.array(np.full(n, total, np.int64)), pa.array(base), pa.array(score), pa.array(10 ** np.minimum(-score / sizes, 300.0))],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"],
-                )
+        for row, ids, sizes, marks in _streams(parts):
+            c, group = _looked_up(row.column("blobs")[0].as_py())
+            with np.errstate(divide="ignore"):
+                emit = np.where(c > 0, np.log10(np.maximum(c - discount, 1e-9)) - log_n[group], unknown[group])
+            starts = np.cumsum(sizes) - sizes
+            now = group[ids]
+            last = np.concatenate(([classes], now[:-1]))
+            last[starts] = classes
+            older = np.concatenate(([classes], last[:-1]))
+            older[starts] = classes
+            sums = lambda x: np.add.reduceat(x, starts)
+            score = sums(emit[ids] + log_p[older, last, now].astype(np.float64))
+            base = sums(np.log10(c + 0.5)[ids] - base_below)
+            yield pa.RecordBatch.from_arrays(
+                [row.column("doc_ids")[0].values, pa.array(marks), pa.array(sizes.astype(np.int64)), pa.array(sums((c > 0)[ids].astype(np.int64))), pa.array(np.full(len(sizes), total, np.int64)), pa.array(base), pa.array(score), pa.array(10 ** np.minimum(-score / sizes, 300.0))],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"],
+            )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double"
-    return coded.select("doc_ids", "held", "sizes", "ids", "c", "classes").mapInArrow(run, out)
+    return coded.select("doc_ids", "held", "sizes", "ids", "blobs").mapInArrow(run, out)
