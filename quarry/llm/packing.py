@@ -2,18 +2,23 @@
 
 Documents are dealt by a hash into groups of bounded size, which are packed side by side, so that
 nothing is gathered in one place; a group's last sequences are the only ones that stay underfull.
-In a group, pieces are first placed by best fit, longest first.  Then a local search empties
-underfull sequences: it moves a piece to the fullest sequence that still takes it, exchanges one
-for one or two for one, always raising the sum of squared fills, until no exchange is left.
+In a group, pieces are first placed by best fit, one by one in the order of their hashes.  Then a
+local search empties underfull sequences, the emptiest first: it moves a piece to the fullest
+sequence that still takes it or exchanges one for one, or two for one either way, with a fuller
+sequence, always raising the sum of squared fills, until no exchange is left or as few sequences
+are left as their lengths allow.
 """
 
 from __future__ import annotations
 
 import gc
+import heapq
 import os
 import re
 import zlib
+from collections import Counter
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,59 +30,74 @@ from quarry.llm.common import slices, written
 CAPACITY = 2048
 #: Pieces of one group: about this many are packed by one task at a time.
 GROUP_PIECES = 20_000
-#: Parts of words that a worker remembers before it starts afresh.
-REMEMBERED = 1_000_000
+#: Parts of words that a worker remembers before it starts afresh, and the longest that it remembers.
+REMEMBERED, LONGEST = 1_000_000, 64
 
 
 #: Whole runs of ASCII letters before a space, line end, full stop or comma; else all up to ASCII white space.
 _PARTS = re.compile(rb"[a-z]++(?=[\x20\x0a.,])|[^\x20\x09-\x0d]+")
 
 
-class WordIds:
+#: Parts that no normalisation changes but for lower case: printable ASCII and the letters of Latin-1.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+#: Fixed value: the tokenizer's split of such parts, in lower case.
+_RUNS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Byte-level spelling: bytes without a visible Latin-1 character of their own are moved beyond 255 in order.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+_SPELT = {b: 256 + n for n, b in enumerate(_HIDDEN)}
+
+
+class WordIds(dict):
     """Ids of whole texts from those of their parts.
 
     The tokenizer lower-cases, drops white space and never joins across it, nor from letters to
     punctuation, so a text's ids are those of its parts, one after another.  Parts are cut at ASCII
     white space and where ASCII letters meet a full stop or comma; nothing is cut beside other
-    characters, which may combine.  Each worker asks the tokenizer once for a part and remembers
-    its ids as little-endian 32-bit words."""
+    characters, which may combine.  A worker makes the ids of a part, little-endian 32-bit words,
+    when it first meets it, and remembers them.  A part of plain characters is split into runs by
+    the tokenizer's rule here, and its model is asked for each run once; others go through all of it."""
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        self.encode = tokenizer.encode_batch_fast
-        self.ends = np.zeros(tokenizer.get_vocab_size(), bool)  # ids that end a word
-        self.ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
-
-    def learn(self, texts: list[list[bytes]]) -> None:
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        new = set().union(*texts).difference(self.known)
-        words = [w for w in new if w.isalpha()]  # ASCII letters only: one word each
-        others = list(new.difference(words))
-        for at in range(0, len(words), 256):
-            part = words[at : at + 256]
-            ids = np.array(self.encode([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(part):
-                others += part
-                continue
-            data, stops = ids.tobytes(), (4 * cuts).tolist()
-            self.known.update(zip(part, map(data.__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True))
-        for at in range(0, len(others), 4096):
-            part = others[at : at + 4096]
-            found = self.encode([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in found), strict=True))
+        self.encode, self.tokenize = tokenizer.encode, tokenizer.model.tokenize
+        self.packed = [n.to_bytes(4, "little") for n in range(tokenizer.get_vocab_size())]
+        self.runs: dict[str, bytes] = {}
+
+    def __missing__(self, part: bytes) -> bytes:
+        if part.isalpha():  # ASCII letters; an upper-case one only where a text isn't lower-cased as a whole
+            ids = b"".join([self.packed[t.id] for t in self.tokenize(part.lower().decode())])
+        else:
+            text = part.decode("utf-8", "replace")
+            if _PLAIN.fullmatch(text) and "<|" not in text:
+                ids = b"".join(map(self.run, _RUNS.findall(text.lower())))
+            else:
+                ids = b"".join([self.packed[n] for n in self.encode(text, add_special_tokens=False).ids])
+        if len(part) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[part] = ids
+        return ids
+
+    def run(self, letters: str) -> bytes:
+        """Ids of one run of the tokenizer's own split."""
+        found = self.runs.get(letters)
+        if found is None:
+            spelt = letters if letters.isascii() else letters.encode().decode("latin-1").translate(_SPELT)
+            found = b"".join([self.packed[t.id] for t in self.tokenize(spelt)])
+            if len(letters) <= LONGEST:
+                if len(self.runs) >= REMEMBERED:
+                    self.runs.clear()
+                self.runs[letters] = found
+        return found
 
     def ids(self, texts: list[bytes | None]) -> list[bytes]:
         # lower-casing first saves work; not where it could spell a special token
-        parts = [_PARTS.findall(t if b"<|" in t else t.lower()) for t in (t or b"" for t in texts)]
-        self.learn(parts)
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        get = self.__getitem__
+        return [b"".join(map(get, _PARTS.findall(t if b"<|" in t else t.lower()))) for t in (t or b"" for t in texts)]
 
 
 @lru_cache(maxsize=2)
@@ -112,7 +132,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
 
 
 class Bins:
-    """Sequences of one group: members (piece numbers) and free room, indexed by room."""
+    """Sequences of one group: members (piece numbers) and free room, indexed by room; for each piece
+    its length, its sequence and the room there."""
 
     def __init__(self, lengths: list[int], capacity: int):
         self.lengths, self.capacity = lengths, capacity
@@ -120,6 +141,9 @@ class Bins:
         self.room: list[int] = []
         self.by_room: list[set[int]] = [set() for _ in range(capacity + 1)]
         self.mask = 0  # bit r: some bin has room r
+        self.size = np.array(lengths, np.int32)
+        self.home, self.space = np.full(len(lengths), -1, np.int32), np.zeros(len(lengths), np.int32)
+        self._couples = None
 
     def _shift(self, which: int, room: int | None) -> None:
         old = self.room[which]
@@ -160,75 +184,111 @@ class Bins:
     def close(self, which: int) -> None:
         self._shift(which, None)
 
+    def place(self, *changed: int) -> None:
+        """Note where the pieces of these bins are, and the room there."""
+        self._couples = None
+        for which in changed:
+            self.home[self.members[which]] = which
+            self.space[self.members[which]] = self.room[which]
+
 
-def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
-    """Piece numbers of each sequence."""
+    def couples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pieces of a couple in one underfull bin, their length, the bin's room)."""
+        if self._couples is None:
+            pairs = [p for which, room in enumerate(self.room) if room > 0 for p in combinations(self.members[which], 2)]
+            pairs = np.array(pairs, np.int64).reshape(-1, 2)
+            self._couples = pairs, self.size[pairs].sum(1), self.space[pairs[:, 0]]
+        return self._couples
+
+
+def pack(lengths: list[int], capacity: int = CAPACITY, done: Counter | None = None) -> list[list[int]]:
+    """Piece numbers of each sequence.  done: counts the steps of the search."""
     bins = Bins(lengths, capacity)
-    for item in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
-        at = bins.tightest(lengths[item])
+    for item, length in enumerate(lengths):
+        at = bins.tightest(length)
         bins.add(bins.open() if at < 0 else at, item)
-    _search(bins, -(-sum(lengths) // capacity))
+    _search(bins, -(-sum(lengths) // capacity), Counter() if done is None else done)
     return [m for m in bins.members if m]
 
 
-def _search(bins: Bins, least: int) -> None:
-    """Empty the emptiest underfull sequence again and again, until ``least`` sequences are left
-    (no packing has fewer) or no exchange raises the sum of squared fills."""
+def _search(bins: Bins, least: int, done: Counter) -> None:
+    """Empty underfull sequences, the emptiest first, until ``least`` are left (no packing has fewer) or
+    no move or exchange out of any of them raises the sum of squared fills."""
     left = sum(map(bool, bins.members))
-    while left > least:
-        source = max((w for w in range(len(bins.room)) if bins.members[w]), key=lambda w: (bins.room[w], -w))
-        if not _improve(bins, source):
-            return
-        if not bins.members[source]:
-            bins.close(source)
-            left -= 1
-
-
-def _improve(bins: Bins, source: int) -> bool:
-    """One move, one-for-one or two-for-one exchange out of ``source`` into a fuller sequence."""
-    lengths = bins.lengths
-    for item in sorted(bins.members[source], key=lambda i: (-lengths[i], i)):
+    bins.place(*range(len(bins.room)))
+    changed = True
+    while changed and left > least:
+        changed = False
+        waiting = [(-room, which) for which, room in enumerate(bins.room) if room > 0]
+        heapq.heapify(waiting)
+        while waiting and left > least:
+            room, source = heapq.heappop(waiting)
+            if bins.room[source] != -room:
+                continue  # it has changed since
+            step = _improve(bins, source)
+            if not step:
+                continue
+            name, target = step
+            changed = True
+            done[name] += 1
+            if not bins.members[source]:
+                bins.close(source)
+                done["emptied"] += 1
+                left -= 1
+            bins.place(source, target)
+            for which in (source, target):
+                if bins.room[which] > 0:
+                    heapq.heappush(waiting, (-bins.room[which], which))
+
+
+def _improve(bins: Bins, source: int) -> tuple[str, int] | None:
+    """One move, one-for-one or two-for-one exchange out of ``source`` into a fuller sequence, of the
+    exchanges the one that shifts most: what was done, and with which sequence."""
+    lengths, members = bins.lengths, bins.members[source]
+    for item in sorted(members, key=lambda i: (-lengths[i], i)):
         target = bins.tightest(lengths[item], source)
-        if target >= 0:
+        if target >= 0 and bins.room[target] <= bins.room[source]:
             bins.take(source, item), bins.add(target, item)
-            return True
-    under = [w for w in range(len(bins.room)) if w != source and bins.members[w] and bins.room[w] > 0]
-    under.sort(key=lambda w: (bins.room[w], w))
-    mine = sorted(bins.members[source], key=lambda i: (-lengths[i], i))
-    for target in under:
-        room = bins.room[target]
-        theirs = sorted(bins.members[target], key=lambda i: (-lengths[i], i))
-        for give in mine:  # one for one: ours is longer by no more than the room
-            for back in theirs:
-                if 0 < lengths[give] - lengths[back] <= room:
-                    bins.take(source, give), bins.take(target, back)
-                    bins.add(target, give), bins.add(source, back)
-                    return True
-        for give in mine:  # two of theirs for one of ours
-            place = {}
-            for back in theirs:
-                for gain in range(1, room + 1):
-                    mate = place.get(lengths[give] - gain - lengths[back])
-                    if mate is not None:
-                        bins.take(source, give)
-                        for x in (back, mate):
-                            bins.take(target, x), bins.add(source, x)
-                        bins.add(target, give)
-                        return True
-                place[lengths[back]] = back
-        for back in theirs:  # two of ours for one of theirs
-            place = {}
-            for give in mine:
-                for gain in range(1, room + 1):
-                    mate = place.get(lengths[back] + gain - lengths[give])
-                    if mate is not None:
-                        bins.take(target, back)
-                        for x in (give, mate):
-                            bins.take(source, x), bins.add(target, x)
-                        bins.add(source, back)
-                        return True
-                place[lengths[give]] = give
-    return False
+            return "move", target
+    # pieces elsewhere that could come back: those in fuller sequences with some room
+    back = np.flatnonzero((bins.space > 0) & (bins.space <= bins.room[source]) & (bins.home != source))
+    least, room = bins.size[back], bins.space[back]
+    ones, twos = [(x,) for x in members], list(combinations(members, 2))
+    found = _widest(lengths, ones, least, room)
+    name = "one for one"
+    if not found:
+        name, found = "two for one", _widest(lengths, twos, least, room)
+    if found:
+        give, back = found[0], [int(back[found[1]])]
+    else:  # two come back for one
+        pairs, least, room = bins.couples()
+        mine = bins.home[pairs[:, 0]] == source
+        found = _widest(lengths, ones, np.where(mine | (room > bins.room[source]), bins.capacity + 1, least), room)
+        if not found:
+            return None
+        give, back = found[0], pairs[found[1]].tolist()
+    target = int(bins.home[back[0]])
+    for x in give:
+        bins.take(source, x)
+    for x in back:
+        bins.take(target, x)
+        bins.add(source, x)
+    for x in give:
+        bins.add(target, x)
+    return name, target
+
+
+def _widest(lengths: list[int], gives: list[tuple], least: np.ndarray, room: np.ndarray) -> tuple[tuple, int] | None:
+    """Of the exchanges that fill a room (least: length that comes back) the one that fills most."""
+    best, chosen, most = 0, None, least + room
+    for give in gives:
+        total = sum(lengths[x] for x in give)
+        fits = np.flatnonzero((least < total) & (total <= most))
+        if len(fits):
+            at = int(fits[np.argmin(least[fits])])
+            if total - least[at] > best:
+                best, chosen = total - least[at], (give, at)
+    return chosen
 
 
 def sequences(parts: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
@@ -238,7 +298,7 @@ def sequences(parts: DataFrame, capacity: int = CAPACITY, group_pieces: int = GR
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id bigint, offset bigint"
 
     def run(key, group):
-        group = group.select([*names, "pack_group"]).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        group = group.select([*names, "pack_group"]).sort_by([("ids_crc32", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")])
         lengths = group.column("length").to_pylist()
         sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
         for number, members in enumerate(pack(lengths, capacity)):
