@@ -3,7 +3,7 @@
 Four kinds of evidence are multiplied for every text and language:
 
 * the text: likelihood of its byte trigrams under one model per language, fitted on a bounded
-  sample of labelled documents (``FIT_DOCS`` per language, the smallest hashes of doc_id);
+  sample of labelled documents (about ``FIT_DOCS`` per language, those with the smallest hashes);
 * the declared language (a column, or the ``lang`` attribute of the text's own markup): how often
   each declaration goes with each language, counted over all rows by what their text says;
 * the address suffix (the last label of the host), counted in the same way;
@@ -26,10 +26,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import slices, written
 
-#: Labelled documents per language, and bytes of each, that the text models are fitted on.
-FIT_DOCS, FIT_BYTES = 400, 20_000
-#: Languages told apart: the most frequent labels.
-MOST_LANGUAGES = 200
+#: Labelled documents per language, about, whose whole texts the models are fitted on.
+FIT_DOCS = 400
 BUCKETS = 1 << 14
 #: Trigrams beyond which a text's likelihood weighs no more: neighbours in a text aren't independent.
 FULL_WEIGHT = 40
@@ -40,7 +38,8 @@ LEAST_CONFIDENCE = 0.5
 #: A table of declarations or suffixes up to this size is broadcast, a larger one joined by shuffle.
 BROADCAST_VALUES = 10_000
 
-_MARKUP = re.compile(rb"<html[^>]*?\slang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+_HTML = re.compile(rb"<html(?=[\s>])([^>]*)", re.I)
+_LANG = re.compile(rb"\slang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
 _TAGS = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[a-z/!][^>]*>")
 _BLANK = bytes(c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
@@ -55,6 +54,13 @@ def trigram_buckets(text: bytes) -> np.ndarray:
     return ((mixed * np.uint32(2654435769)) >> np.uint32(18)).astype(np.int64)
 
 
+def declared_in(text: bytes | None) -> str | None:
+    """The lang attribute of the text's first html tag, wherever it stands."""
+    tag = _HTML.search(text or b"")
+    found = tag and _LANG.search(tag[1])
+    return found[1].decode().lower() if found else None
+
+
 def visible(text: bytes) -> bytes:
     """Text without markup."""
     return _TAGS.sub(b" ", text) if b"<" in text else text
@@ -77,28 +83,40 @@ class TextModel:
 
 
 def fit(labelled: DataFrame, docs_per_language: int = FIT_DOCS) -> TextModel:
-    """Fit on (doc_id, text, lang) rows with a label and a text: per language the rows with the
-    smallest hashes.  How small they must be follows from the language's count, so that about
-    twice the bound is sent to the driver, however many partitions there are."""
+    """Fit on (doc_id, text, lang) rows with a label and a text: per language the rows whose hash is
+    below a threshold that takes ``docs_per_language`` of them on average (all, where there are no more).
+
+    The trigram buckets of their whole texts are counted by a grouped sum; the driver gets one number
+    per language and bucket."""
     place = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1) / float(1 << 63)
-    usable = labelled.where("lang is not null and text is not null").select("lang", place.alias("place"), F.expr(f"substring(cast(text as binary), 1, {FIT_BYTES})").alias("head"))
-    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    usable = labelled.where("lang is not null and text is not null").select("lang", place.alias("place"), F.col("text").cast("binary").alias("text"))
+    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # one row per label
     languages = sorted(sizes)
     counts = np.zeros((max(1, len(languages)), BUCKETS))
     if languages:
-        near = F.lit(False)
-        for language, n in sizes.items():
-            near = near | ((F.col("lang") == language) & (F.col("place") <= min(1.0, 2 * docs_per_language / n)))
-        found: dict[str, list] = {language: [] for language in languages}
-        for row in usable.where(near).collect():
-            found[row["lang"]].append((row["place"], bytes(row["head"])))
-        for k, language in enumerate(languages):
-            for _, head in sorted(found[language])[:docs_per_language]:
-                counts[k] += np.bincount(trigram_buckets(visible(head)), minlength=BUCKETS)
+        bounds = F.create_map(*(F.lit(x) for k in languages for x in (k, min(1.0, docs_per_language / sizes[k]))))
+        chosen = usable.where(F.col("place") <= F.element_at(bounds, F.col("lang"))).select("lang", "text")
+        number = {language: k for k, language in enumerate(languages)}
+        sums = chosen.mapInArrow(_trigram_counts, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+        of = np.array([number[x] for x in sums.column("lang").to_pylist()], np.int64)
+        counts[of, sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()
     smooth = counts + 0.05 + 2.0 * counts.sum(axis=0) / max(1.0, counts.sum())
     return TextModel(languages or ["und"], np.log(smooth / smooth.sum(axis=1, keepdims=True)))
 
 
+def _trigram_counts(batches):
+    """(lang, text) -> (lang, bucket, n), summed over each part of a task's rows."""
+    for batch in batches:
+        for part in slices(batch, 1):
+            sums: dict[str, np.ndarray] = {}
+            for language, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                sums.setdefault(language, np.zeros(BUCKETS, np.int64))
+                sums[language] += np.bincount(trigram_buckets(visible(text)), minlength=BUCKETS)
+            for language, n in sums.items():
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([language] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "bucket", "n"])
+
+
 def text_evidence(rows: DataFrame, model: TextModel) -> DataFrame:
     """Replace the column text (the last) by p_text (array<double>), markup (the lang attribute of
     its markup or null) and has_letters."""
@@ -111,10 +129,10 @@ def text_evidence(rows: DataFrame, model: TextModel) -> DataFrame:
             for part in slices(batch, at):
                 texts = part.column(at).to_pylist()
                 p = [model.posterior(t) for t in texts]
-                found = [_MARKUP.search(t[:4096]) if t else None for t in texts]
+                found = [declared_in(t) for t in texts]
                 letters = [any(x) for x in ((t or b"").translate(None, bytes(c for c in range(128) if not chr(c).isalpha()))[:1] for t in texts)]
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(n) for n in names), pa.array(p, pa.list_(pa.float64())), pa.array([m and m[1].decode().lower() for m in found], pa.string()), pa.array(letters, pa.bool_())],
+                    [*(part.column(n) for n in names), pa.array(p, pa.list_(pa.float64())), pa.array(found, pa.string()), pa.array(letters, pa.bool_())],
                     [*names, "p_text", "markup", "has_letters"],
                 )
 
@@ -175,17 +193,33 @@ def identify(rows: DataFrame, model: TextModel, keys: list[str], declared: str |
     declared: a column with the declared language, which the markup's own overrules.  host: the
     row's host or source (null: no such evidence); its suffix and parent domain are derived from
     it.  A text without letters, null or empty, is rejected; repeated rows are judged alike (each
-    is evidence for its host); an empty table gives an empty result; no other columns are read.
+    is evidence for its host); an empty table gives an empty result; texts are read whole.  Keys may
+    have any names and hold nulls; no other columns are read.
     """
     host = F.when(host != "", host)
-    slim = rows.select(*keys, (F.lower(F.col(declared)) if declared else F.lit(None).cast("string")).alias("said"), host.alias("host"), "text")
+    slim = rows.select(F.struct(*keys).alias("key"), (F.lower(F.col(declared)) if declared else F.lit(None).cast("string")).alias("said"), host.alias("host"), "text")
     evidence = text_evidence(slim, model)
     labels = F.split("host", "[.]")
     dotted = F.contains(F.col("host"), F.lit("."))
     evidence = evidence.select(
-        *keys, "p_text", "has_letters", "host", F.coalesce("markup", "said").alias("declared"),
+        "key", "p_text", "has_letters", "host", F.coalesce("markup", "said").alias("declared"),
         F.when(dotted, F.element_at(labels, -1)).alias("suffix"),
         F.when(dotted, F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")).otherwise(F.col("host")).alias("domain"),
     )
     kept = written(evidence, "language-evidence")
-    return fuse(kept, model.languages, least).select(*keys, "lang_found", "confidence", "accepted")
+    return fuse(kept, model.languages, least).select("key.*", "lang_found", "confidence", "accepted")
+
+
+def keep_identified(docs: DataFrame, docs_per_language: int = FIT_DOCS, least: float = LEAST_CONFIDENCE) -> DataFrame:
+    """The rows of docs(doc_id, text, lang, source) whose language can be told.
+
+    Each row is judged on its own by text, lang and source: rows that share a doc_id, or have none, but
+    differ in these don't share a verdict.  Null and empty texts and those without letters go; an empty
+    table gives an empty result; other columns of any name pass unchanged."""
+    judged = F.xxhash64("text", "lang", "source")
+    slim = docs.select("doc_id", "text", "lang", "source", judged.alias("t"))
+    found = identify(slim, fit(docs, docs_per_language), ["doc_id", "t"], "lang", F.col("source"), least)
+    # written, so that its size is known: a small table is broadcast, and no text is shuffled
+    gone = written(found.where("not accepted").select(F.col("doc_id").alias("gone_id"), F.col("t").alias("gone_t")).distinct(), "language-rejects")
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", judged.alias("t"))
+    return rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("t") == F.col("gone_t")), "left_anti").select("row.*")

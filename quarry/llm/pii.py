@@ -198,11 +198,13 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     text = F.col("text")
     some = text.rlike(r"[0-9@]|(?i:token|secret|passw|key)")
     found = F.when(some, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    pair = docs.withColumn("_pii_found", found)
-    hits = F.transform(F.col("_pii_found"), lambda m: F.struct(m.alias("value"), judged(m, key).alias("j")))
-    hits = pair.withColumn("_pii_hits", F.when(F.size("_pii_found") > 0, hits)).drop("_pii_found")
-    swapped = F.transform(F.col("_pii_hits"), lambda h: F.coalesce(h["j"]["pseudonym"], h["value"]))
+    # the caller's columns travel in a struct, so that none can clash with the steps' own
+    pair = docs.drop("pii_findings").select(F.struct("*").alias("row"), "text", found.alias("found"))
+    hits = F.transform(F.col("found"), lambda m: F.struct(m.alias("value"), judged(m, key).alias("j")))
+    step = pair.select("row", "text", F.when(F.size("found") > 0, hits).alias("hits"))
+    swapped = F.transform(F.col("hits"), lambda h: F.coalesce(h["j"]["pseudonym"], h["value"]))
     parts = F.zip_with(F.split(text, ANY), swapped, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    listed = F.transform(F.filter(F.col("_pii_hits"), lambda h: h["j"]["kind"].isNotNull()), lambda h: F.struct(h["j"]["kind"].alias("kind"), F.length(h["value"]).alias("value_chars"), h["j"]["pseudonym"].alias("pseudonym")))
+    listed = F.transform(F.filter(F.col("hits"), lambda h: h["j"]["kind"].isNotNull()), lambda h: F.struct(h["j"]["kind"].alias("kind"), F.length(h["value"]).alias("value_chars"), h["j"]["pseudonym"].alias("pseudonym")))
     none = F.array().cast("array<struct<kind:string,value_chars:int,pseudonym:string>>")
-    return hits.withColumn("pii_findings", F.coalesce(listed, none)).withColumn("text", F.when(F.col("_pii_hits").isNotNull(), F.array_join(parts, "")).otherwise(text)).drop("_pii_hits")
+    rewritten = F.when(F.col("hits").isNotNull(), F.array_join(parts, "")).otherwise(text)
+    return step.select(F.col("row").withField("text", rewritten).alias("row"), F.coalesce(listed, none).alias("pii_findings")).select("row.*", "pii_findings")
