@@ -9,36 +9,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import langid, linededup, overlap, packing, pii
+from quarry.llm import langid, linededup, packing, pii, simhash
 from quarry.llm.common import table, written
 from quarry.llm.queries import tokenizer_file
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an identifiable language go."""
-    found = langid.identify(docs, langid.fit(docs), ["doc_id"], "lang", F.col("source"))
-    # written, so that its size is known: a small table is broadcast, and no text is shuffled
-    rejected = written(found.where("not accepted").select(F.col("doc_id").alias("rejected_id")).distinct(), "rejected")
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["rejected_id"]), "left_anti")
+    """Documents without an identifiable language go: those whose text is null, empty or without
+    letters, or whose evidence is split.  Every row is judged on its own, whatever its doc_id; extra
+    columns pass unchanged and an empty table stays empty."""
+    return langid.keep_identified(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal or similar lines the first stays."""
-    return linededup.dedup_lines(docs).select(docs.columns)
+    """Of equal or similar lines the first stays, by doc_id (null first) and place.  Rows stay, null
+    texts too; a text may become empty.  Rows that share an id, or have none, but differ in text are
+    documents of their own; rows equal in both keep the same lines.  Extra columns pass unchanged."""
+    return linededup.dedup_lines(docs).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more) one document stays."""
-    return overlap.keep_one(docs)
+    """Of each group of near copies (SimHash and MinHash candidates, five-word shingles at similarity
+    0.8 or more) one row stays: the smallest doc_id, null last.  Texts without words are copies of each
+    other; rows that share an id, or have none, go or stay on their own; extra columns pass unchanged."""
+    return simhash.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data become pseudonyms."""
-    return pii.pseudonymise(docs).select(docs.columns)
+    """Personal data become pseudonyms, in every row by itself; a null text stays null and extra
+    columns pass unchanged."""
+    return pii.pseudonymise(docs).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every piece of a document in the training sequences."""
+    """The place of every piece of a document in the training sequences.  A null or empty text is one
+    piece with the closing id alone; null ids and repeated rows are packed like others."""
     path, _ = tokenizer_file("word_bpe_49k.json")
     return packing.pack_documents(docs, path)
 
