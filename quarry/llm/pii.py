@@ -1,20 +1,25 @@
 """Personal data replaced by format-preserving pseudonyms, in built-in functions only.
 
-Digits are permuted by a keyed ten-round Feistel network over their own number of digits, so the
-pseudonym has the same format, equal values get equal pseudonyms in every document, and different
-values different ones.  Only validated values are touched:
+Digits are permuted by a keyed ten-round Feistel network over their own number of digits, letters and
+digits of names each among their kind, so the pseudonym has the same format and length, equal values
+get equal pseudonyms in every document, and different values of one format different ones.  (Letters
+of an address beyond ASCII and Latin-1 become keyed ASCII letters, which are not one-to-one.)  Only
+validated values are touched:
 
 ========  ==========================================  =======================================
 kind      validated by                                pseudonym
 ========  ==========================================  =======================================
 card      13 to 19 digits, Luhn sum                   permuted digits, new check digit
 iban      remainder 1 modulo 97                       permuted digits, new check digits
-phone     country code or area in brackets            permuted digits after the country code
+phone     country code, area in brackets, national    permuted digits after the country code or
+          form with its separators                    leading zero
 ssn       area, group and serial in use               permuted digits
 ip        four numbers up to 255                      permuted 32-bit address
-date      a day of 1900 to 2099                       permuted day of these years, same notation
-email     local part, ``@``, domain with a dot        keyed name of the same length, same domain
-secret    named or quoted hexadecimal or token value  keyed value, same length, case kept if hex
+date      a day of 1900 to 2099                       permuted day of these years that the same
+                                                      notation and number of digits can write
+email     local part, ``@``, domain with a dot        permuted letters and digits, same domain
+secret    named token with a digit, quoted or         permuted letters and digits, hexadecimal
+          quoted hexadecimal                          ones among their own
 ========  ==========================================  =======================================
 """
 
@@ -30,27 +35,29 @@ _START = r"(?<![\p{L}\p{N}])"
 _END = r"(?![\p{L}\p{N}])"
 #: In the order in which they are tried at a place.
 PATTERNS = {
-    "secret": r"(?:(?i:token|secret|password|passwd|api[_-]?key|key)[\"']?\s?[:=]\s?[\"']?[A-Za-z0-9_\-/+]{16,}|\"[0-9A-Fa-f]{32,64}\")",
+    "secret": r"(?:(?<!\p{L})(?i:(?:access|api|auth|bearer|client|private|refresh)?[_-]?(?:token|secret|password|passwd|pwd|key))[\"']?\s?[:=]\s?(?:[\"'][A-Za-z0-9_\-/+]{16,}|(?=[A-Za-z_\-/+]*[0-9])[A-Za-z0-9_\-/+]{16,})|\"[0-9A-Fa-f]{32,64}\")",
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "iban": _START + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _END,
-    "phone": r"(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{3}\)|[0-9]{3})|(?<![\p{L}\p{N}(+])\([0-9]{3}\))[ .-]?[0-9]{3}[ .-]?[0-9]{4}" + _END,
+    "phone": r"(?:\+[0-9]{1,3}(?:[ ./-]?(?:\([0-9]{1,4}\)|[0-9]{2,5})){2,6}|(?<![\p{L}\p{N}(+])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
+    r"|(?<![\p{L}\p{N}.+/-])(?:[0-9]{3}-[0-9]{3}-[0-9]{4}|[0-9]{3}\.[0-9]{3}\.[0-9]{4}|0[0-9]{1,4}[/-][0-9]{5,8}|0[1-9](?:[ .][0-9]{2}){4}))(?![\p{L}\p{N}]|[./-][0-9])",
     "ip": r"(?<![\p{L}\p{N}.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\p{L}\p{N}]|\.[0-9])",
-    "date": r"(?<![\p{L}\p{N}./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![\p{L}\p{N}]|[./-][0-9])",
+    "date": r"(?<![\p{L}\p{N}./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?!(?!T[0-9]{2})[\p{L}\p{N}]|[./-][0-9])",
     "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}]|-[0-9])",
-    "card": r"(?<![\p{L}\p{N}.])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![\p{L}\p{N}]|\.[0-9])",
+    "card": r"(?<![\p{L}\p{N}.])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![\p{L}\p{N}]|\.[0-9])",
 }
 ANY = "|".join(PATTERNS.values())
+_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Kinds of characters that are permuted among themselves.
+NAMES = (_DIGITS, _LOWER, _UPPER, "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ")
+HEXADECIMAL = (_DIGITS, "abcdef", "ABCDEF")
+#: Steps in which a day walks on until the notation can write it; odds of 1e-34 that it still can't.
+WALK = 400
 
 
 def _long(value: Column) -> Column:
     return value.cast("bigint")
 
 
-def keyed(value: Column, key: str, label: str) -> Column:
-    """64 lower-case hex digits that depend on key, label and value."""
-    return F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit(label), value).cast("binary"), 256)
-
-
 def _round(value: Column, step: Column, key: str, label: Column) -> Column:
     """60 keyed bits of one half, as a number."""
     mixed = F.sha2(F.concat_ws("\x1f", F.lit(key), label, step.cast("string"), value.cast("string")).cast("binary"), 256)
@@ -78,6 +85,33 @@ def permute_digits(digits: Column, key: str, label: str) -> Column:
     return F.transform(F.array(out), lambda s: F.concat(F.lpad(s["a"].cast("string"), half, F.lit("0")), F.lpad(s["b"].cast("string"), rest, F.lit("0"))))[0]
 
 
+def permute_names(text: Column, key: str, label: Column, kinds: tuple[str, ...]) -> Column:
+    """A string with each character permuted among those of its kind, the others left alone.  The halves
+    of the string take the place of numbers: each round shifts every character of one of them by a
+    keyed number of the other."""
+
+    def moved(c: Column, by: Column) -> Column:
+        out = F.when(c.rlike("[^\\p{L}]"), c).otherwise(F.substr(F.lit(_LOWER), by % 26 + 1, F.lit(1)))
+        for kind in reversed(kinds):
+            at = F.instr(F.lit(kind), c)
+            out = F.when(at > 0, F.substr(F.lit(kind), (at - 1 + by) % len(kind) + 1, F.lit(1))).otherwise(out)
+        return out
+
+    def shifted(half: Column, other: Column, step: Column) -> Column:
+        blocks = F.sequence(F.lit(0), (F.length(half) / 16).cast("int"))
+        stream = F.array_join(F.transform(blocks, lambda b: F.sha2(F.concat_ws("\x1f", F.lit(key), label, step.cast("string"), b.cast("string"), other).cast("binary"), 256)), "")
+        number = lambda keys, i: F.conv(F.substr(keys, 4 * i + 1, F.lit(4)), 16, 10).cast("int")
+        made = F.transform(F.array(stream), lambda keys: F.array_join(F.transform(F.split(half, ""), lambda c, i: moved(c, number(keys, i))), ""))[0]
+        return F.when(F.length(half) > 0, made).otherwise(half)
+
+    step = lambda s, i: F.when(
+        i % 2 == 0, F.struct(shifted(s["a"], s["b"], i).alias("a"), s["b"].alias("b"))
+    ).otherwise(F.struct(s["a"].alias("a"), shifted(s["b"], s["a"], i).alias("b")))
+    half = (F.length(text) / 2).cast("int")
+    start = F.struct(F.substr(text, F.lit(1), half).alias("a"), F.substr(text, half + 1, F.length(text)).alias("b"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: F.concat(s["a"], s["b"]))
+
+
 def digits_of(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -122,9 +156,12 @@ def _iban(value: Column, key: str) -> Column:
 
 
 def _phone(value: Column, key: str) -> Column:
-    lead = F.regexp_extract(value, r"^(\+[0-9]{1,3}?)[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}$", 1)
+    """The country code (one digit, what stands before a separator, or two digits) or the leading zero of
+    a national form stays; with a country code there are 8 to 15 digits in all."""
+    lead = F.regexp_extract(value, r"^(\+(?:[17]|[0-9]{1,3}(?=[ ./(-])|[0-9]{2})|0[1-9](?=[ .])|0(?=[0-9]{1,4}[/-][0-9]{5}))", 1)
     body = F.substr(value, F.length(lead) + 1, F.length(value))
-    return F.concat(lead, refill(body, permute_digits(digits_of(body), key, "phone")))
+    valid = ~F.startswith(value, F.lit("+")) | F.length(digits_of(value)).between(8, 15)
+    return F.when(valid, F.concat(lead, refill(body, permute_digits(digits_of(body), key, "phone"))))
 
 
 def _ssn(value: Column, key: str) -> Column:
@@ -141,33 +178,49 @@ def _ip(value: Column, key: str) -> Column:
 
 
 def _date(value: Column, key: str) -> Column:
-    """Days of 1900 to 2099 number 73049 = 283 * 258 + 35, which is no product of suitable halves;
-    the day goes through a network over 271 * 270 = 73170 pairs, again while it lands outside."""
+    """Day before month but in ISO dates, and where only month before day makes a date.
+
+    Days of 1900 to 2099 number 73049 = 283 * 258 + 35, which is no product of suitable halves; the
+    day goes through a network over 271 * 270 = 73170 pairs, again while it lands on a pair that is no
+    day or on a day that the notation can't write with as many digits."""
     iso, slash = value.rlike("^[0-9]{4}-"), value.rlike("/")
     fields = F.split(value, "[-./]")
-    y, m, d = (F.when(iso, fields[a].cast("int")).otherwise(fields[b].cast("int")) for a, b in ((0, 2), (1, 1), (2, 0)))
-    number = F.datediff(F.try_to_date(F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")), "yyyy-MM-dd"), F.lit("1900-01-01").cast("date"))
+    american = slash & (fields[1].cast("int") > 12)
+    part = lambda in_iso, in_american, other: F.when(iso, fields[in_iso]).when(american, fields[in_american]).otherwise(fields[other])
+    y, m, d = part(0, 2, 2), part(1, 0, 1), part(2, 1, 0)
+    first = F.lit("1900-01-01").cast("date")
+    number = F.datediff(F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd"), first)
     rows, columns = F.lit(271).cast("bigint"), F.lit(270).cast("bigint")
     once = lambda x: F.transform(F.array(feistel(F.floor(x / 270), x % 270, rows, columns, key, F.lit("date"))), lambda s: s["a"] * 270 + s["b"])[0]
-    walk = F.aggregate(F.sequence(F.lit(1), F.lit(8)), _long(F.lit(-1)), lambda s, i: F.when((s >= 0) & (s < 73049), s).otherwise(once(F.when(s < 0, _long(number)).otherwise(s))))
-    # eight outliers in a row (odds 1e-22) would leave the day as far as it came, still in the cycle
-    day = F.date_add(F.lit("1900-01-01").cast("date"), F.least(walk, F.lit(73048)).cast("int"))
-    text = F.when(iso, F.date_format(day, "yyyy-MM-dd")).when(slash, F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "dd.MM.yyyy"))
-    return F.when(number.between(0, 73048), text)
+    on = lambda x: F.date_add(first, x.cast("int"))
+
+    def fits(x: Column) -> Column:
+        day, month = F.dayofmonth(on(x)), F.month(on(x))
+        return (x >= 0) & (x < 73049) & ((F.length(d) == 2) | (day < 10)) & ((F.length(m) == 2) | (month < 10)) & (~american | (day > 12))
+
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), _long(F.lit(-1)), lambda s, i: F.when(fits(s), s).otherwise(once(F.when(s < 0, _long(number)).otherwise(s))))
+
+    def written(x: Column) -> Column:
+        year = F.year(on(x)).cast("string")
+        day, month = F.lpad(F.dayofmonth(on(x)).cast("string"), F.length(d), F.lit("0")), F.lpad(F.month(on(x)).cast("string"), F.length(m), F.lit("0"))
+        dot = F.when(slash, "/").otherwise(".")
+        other = F.concat(F.when(american, month).otherwise(day), dot, F.when(american, day).otherwise(month), dot, year)
+        return F.when(fits(x), F.when(iso, F.concat_ws("-", year, month, day)).otherwise(other))
+
+    return F.when(number.between(0, 73048), F.transform(F.array(walk), written)[0])
 
 
 def _email(value: Column, key: str) -> Column:
     local = F.regexp_extract(value, "^([^@]*)@", 1)
-    size = F.greatest(F.length(local), F.lit(8))
-    name = F.translate(F.substr(keyed(value, key, "email"), F.lit(1), F.least(size, F.lit(64))), "0123456789", "ghijklmnop")
-    return F.concat(name, F.substr(value, F.length(local) + 1, F.length(value)))
+    domain = F.substr(value, F.length(local) + 1, F.length(value))
+    return F.concat(permute_names(local, key, F.concat(F.lit("email"), domain), NAMES), domain)
 
 
 def _secret(value: Column, key: str) -> Column:
     lead = F.regexp_extract(value, r"^(.*?[:=]\s?[\"']?|\")[^:=\"']+\"?$", 1)
     body = F.regexp_extract(value, r"^(?:.*?[:=]\s?[\"']?|\")([^:=\"']+)\"?$", 1)
-    made = F.substr(F.concat(keyed(body, key, "secret"), keyed(body, key, "secret2")), F.lit(1), F.length(body))
-    made = F.when(body == F.upper(body), F.upper(made)).otherwise(made)
+    permuted = lambda kinds: permute_names(body, key, F.lit("secret"), kinds)
+    made = F.when(body.rlike("^[0-9A-Fa-f]+$"), permuted(HEXADECIMAL)).otherwise(permuted(NAMES))
     return F.when(F.length(body) > 0, F.concat(lead, made, F.when(value.endswith('"'), F.lit('"')).otherwise(F.lit(""))))
 
 
@@ -193,10 +246,11 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     """The documents with their text rewritten, and a column pii_findings:
     array<struct<kind, value_chars, pseudonym>> in text order.
 
-    A null text stays null without findings; empty tables, repeated rows and other columns pass
-    unchanged (a column named pii_findings is replaced)."""
+    Each row is rewritten by itself, whatever its length.  A null text stays null without findings;
+    empty tables, repeated rows and other columns of any name pass unchanged (a column named
+    pii_findings is replaced)."""
     text = F.col("text")
-    some = text.rlike(r"[0-9@]|(?i:token|secret|passw|key)")
+    some = text.rlike(r"[0-9@]|(?i:token|secret|passw|pwd|key)")
     found = F.when(some, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     # the caller's columns travel in a struct, so that none can clash with the steps' own
     pair = docs.drop("pii_findings").select(F.struct("*").alias("row"), "text", found.alias("found"))

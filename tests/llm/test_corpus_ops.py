@@ -1,8 +1,11 @@
 """Line dedup, language ID, class language model, pseudonyms, pipeline."""
 
 import collections
+import datetime
+import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -375,6 +378,120 @@ def test_digit_permutation_is_one_to_one(spark):
     assert len(set(seen)) == 10_000 and all("1900" <= x[:4] <= "2099" for x in seen)
 
 
+def hashed(*parts):
+    return hashlib.sha256("\x1f".join(map(str, parts)).encode()).hexdigest()
+
+
+def brute_feistel(a, b, size_a, size_b, key, label):
+    for step in range(10):
+        if step % 2 == 0:
+            a = (a + int(hashed(key, label, step, b)[:15], 16)) % size_a
+        else:
+            b = (b + int(hashed(key, label, step, a)[:15], 16)) % size_b
+    return a, b
+
+
+def brute_digits(digits, key, label):
+    half = len(digits) // 2
+    rest = len(digits) - half
+    a, b = brute_feistel(int(digits[:half]), int(digits[half:]), 10**half, 10**rest, key, f"{label}{len(digits)}")
+    return f"{a:0{half}}{b:0{rest}}"
+
+
+def brute_names(text, key, label, kinds):
+    def shifted(part, other, step):
+        keys = "".join(hashed(key, label, step, block, other) for block in range(len(part) // 16 + 1))
+        out = ""
+        for i, c in enumerate(part):
+            by = int(keys[4 * i : 4 * i + 4], 16)
+            kind = next((k for k in kinds if c in k), None)
+            out += kind[(kind.index(c) + by) % len(kind)] if kind else chr(97 + by % 26) if c.isalpha() else c
+        return out
+
+    a, b = text[: len(text) // 2], text[len(text) // 2 :]
+    for step in range(10):
+        a, b = (shifted(a, b, step), b) if step % 2 == 0 else (a, shifted(b, a, step))
+    return a + b
+
+
+def brute_date(y, m, d, wide_m, wide_d, american, key):
+    first = datetime.date(1900, 1, 1)
+    x = (datetime.date(y, m, d) - first).days
+    while True:
+        a, b = brute_feistel(x // 270, x % 270, 271, 270, key, "date")
+        x = 270 * a + b
+        day = first + datetime.timedelta(x) if x < 73049 else None
+        if day and (wide_d == 2 or day.day < 10) and (wide_m == 2 or day.month < 10) and (not american or day.day > 12):
+            return f"{day.year}", f"{day.month:0{wide_m}}", f"{day.day:0{wide_d}}"
+
+
+def test_pseudonyms_against_plain_model(spark):
+    rng, key = random.Random(11), pii.DEFAULT_KEY
+    texts, want = [], []
+    for _ in range(40):
+        y, m, d = rng.randint(1900, 2099), rng.randint(1, 12), rng.randint(1, 28)
+        for style in ("iso", "padded", "short", "american"):
+            if style == "iso":
+                texts.append(f"{y}-{m:02}-{d:02}")
+                want.append("-".join(brute_date(y, m, d, 2, 2, False, key)))
+            elif style == "padded":
+                texts.append(f"{d:02}.{m:02}.{y}")
+                a, b, c = brute_date(y, m, d, 2, 2, False, key)
+                want.append(f"{c}.{b}.{a}")
+            elif style == "short":
+                texts.append(f"{d}/{m}/{y}")
+                a, b, c = brute_date(y, m, d, len(str(m)), len(str(d)), False, key)
+                want.append(f"{c}/{b}/{a}")
+            elif d > 12:
+                texts.append(f"{m:02}/{d}/{y}")
+                a, b, c = brute_date(y, m, d, 2, 2, True, key)
+                want.append(f"{b}/{c}/{a}")
+        local = "".join(rng.choices("abcXYZ019._éÜ", k=rng.randint(1, 40))) + "q"
+        texts.append(f"{local}@mail.example.org")
+        want.append(brute_names(local, key, "email@mail.example.org", pii.NAMES) + "@mail.example.org")
+        token = "".join(rng.choices("abcdefXYZ0123456789", k=rng.randint(16, 200))) + "7Z"
+        texts.append(f"token={token}")
+        want.append("token=" + brute_names(token, key, "secret", pii.NAMES))
+        ip = [rng.randrange(256) for _ in range(4)]
+        texts.append(".".join(map(str, ip)))
+        a, b = brute_feistel(256 * ip[0] + ip[1], 256 * ip[2] + ip[3], 65536, 65536, key, "ip")
+        want.append(f"{a >> 8}.{a & 255}.{b >> 8}.{b & 255}")
+        local = "".join(rng.choices("0123456789", k=10))
+        made = brute_digits(local, key, "phone")
+        texts.append(f"+44 {local[:2]} {local[2:6]} {local[6:]}")
+        want.append(f"+44 {made[:2]} {made[2:6]} {made[6:]}")
+        body = "".join(rng.choices("123456789", k=15))
+        check = lambda x: next(c for c in "0123456789" if luhn(x + c))
+        made = brute_digits(body, key, "card")
+        texts.append(body + check(body))
+        want.append(made + check(made))
+    got = [t for t, _ in rewritten(spark, texts)]
+    assert got == want
+
+
+def test_formats_that_were_missed(spark):
+    texts = ["+44 20 7946 0958", "030/1234567", "3782 822463 10005", "555-123-4567", "01 23 45 67 89", "+493012345678", "2024-05-01T12:00:00Z", "03/25/2001", "1/2/2001"]
+    for (new, kinds), old in zip(rewritten(spark, texts), texts):
+        assert len(kinds) == 1 and new != old and re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", old), (old, new)
+    left = ["password: internationalization", "key: congratulations-everybody", "monkey: abcdefgh12345678", "version 1.2.3, 12/2001, 3.14159, 1,000,000 and 2001/02/03/04"]
+    assert [t for t, _ in rewritten(spark, left)] == left
+
+
+def test_short_addresses_do_not_collide(spark):
+    names = spark.range(26**3).select(F.concat(*(F.char(97 + F.floor(F.col("id") / 26**k) % 26) for k in range(3)), F.lit("@x.org")).alias("v"))
+    assert names.select(pii._email(F.col("v"), "k").alias("p")).distinct().count() == 26**3
+    days = spark.sql("select concat(d, '/', m, '/', y) v from (select explode(sequence(1, 9)) d) join (select explode(sequence(1, 9)) m) join (select explode(sequence(1950, 1960)) y)")
+    assert days.select(pii._date(F.col("v"), "k").alias("p")).where("p rlike '^[1-9]/[1-9]/[0-9]{4}$'").distinct().count() == 9 * 9 * 11
+
+
+def test_pii_of_odd_tables(spark):
+    docs = spark.createDataFrame([(1, "x 2001-02-03 " * 3, 1, "k"), (1, "x 2001-02-03 " * 3, 1, "k"), (2, "word " * 200_000 + "2001-02-03", 2, "k")], "doc_id bigint, text string, hits int, _pii_found string")
+    out = pii.pseudonymise(docs)
+    assert out.columns == [*docs.columns, "pii_findings"] and pii.pseudonymise(docs.limit(0)).count() == 0
+    rows = out.collect()
+    assert rows[0]["text"] == rows[1]["text"] != docs.first()["text"] and rows[2]["text"][:-10] == "word " * 200_000
+
+
 def test_clean_documents_stay(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     done = pii.pseudonymise(docs).join(docs.select("doc_id", F.col("text").alias("old")), "doc_id")
