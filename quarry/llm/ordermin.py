@@ -2,12 +2,13 @@
 
 A text's k-mers are its runs of ``KMER`` words (split at single white-space characters, so extra
 spaces count; fewer words: one k-mer).  A k-mer that occurs again is numbered, so repeats differ.
-The hash of a numbered k-mer deals it to one of ``COMPONENTS x TUPLE`` cells, and each cell keeps
-its minimal one (one-permutation hashing).  A component is a tuple of ``TUPLE`` cells: their
-minimal numbered k-mers, put back in text order, are hashed together.  Texts with the same words
-in another order, far apart in edit distance, so share k-mers but not tuples (Marçais et al.,
-2019).  The likeness of two fingerprints is the share of equal components among those that are
-filled in either.
+The hash of a numbered k-mer deals it to one of ``COMPONENTS`` cells and ranks it there.  Component
+i has an order of its own over all k-mers: first those of cell i by rank, then those of cell i + 1,
+and so on around.  Its two minimal k-mers, put back in text order, are hashed together (Marçais et
+al., 2019).  So each k-mer is hashed once (one-permutation hashing, with empty cells filled from the
+next), a long text fills a component from its own cell, and a text of two k-mers has full tuples
+too.  Texts with the same words in another order, far apart in edit distance, share k-mers but not
+tuples.  The likeness of two fingerprints is the share of equal components.
 
 All this happens inside one row: k-mers and cells are packed into 64-bit words, whose arrays are
 sorted as primitive longs, so the cost is linear but for the sort and nothing is shuffled.
@@ -22,9 +23,9 @@ from quarry.llm.common import release, written
 
 KMER = 3
 COMPONENTS = 32
-TUPLE = 2
-#: A packed word: number of the cell, hash, place in the text (6 + 30 + 27 bits); k-mers are known by 36 bits.
-CELL_BITS, PLACE_BITS = 6, 27
+#: A packed word: number of the cell, hash, place in the text (5 + 31 + 27 bits); k-mers are known by 36
+#: bits, and words beyond the 2^27th share the last place.
+CELL_BITS, PLACE_BITS = 5, 27
 _CELL_SHIFT = 63 - CELL_BITS
 
 
@@ -47,14 +48,14 @@ def _cell(x: Column) -> Column:
 def _numbered(x: Column, nth: Column) -> Column:
     """Packed cell, hash and place of a packed k-mer's nth occurrence."""
     mixed = F.xxhash64(_kmer(x), nth)
-    cell = F.shiftleft(mixed.bitwiseAND(_long(COMPONENTS * TUPLE - 1)), _CELL_SHIFT)
+    cell = F.shiftleft(mixed.bitwiseAND(_long(COMPONENTS - 1)), _CELL_SHIFT)
     order = F.shiftleft(F.shiftrightunsigned(mixed, 64 - (_CELL_SHIFT - PLACE_BITS)), PLACE_BITS)
     return cell.bitwiseOR(order).bitwiseOR(_place(x))
 
 
 def with_prints(rows: DataFrame, texts: dict[str, str]) -> DataFrame:
     """Add for each text column (null counts as empty) the column named beside it: array<bigint> of
-    the filled components, number in the high and hash in the low 32 bits."""
+    the components, number in the high and hash in the low 32 bits."""
     step = rows
     for text, name in texts.items():
         step = step.withColumn(f"{name}_w", F.split(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     "), " "))
@@ -81,14 +82,14 @@ def _kmers(w: Column) -> Column:
 
     def pack(i: Column) -> Column:
         hashed = F.xxhash64(*(F.get(w, i + k) for k in range(KMER)))
-        return F.shiftleft(F.shiftrightunsigned(hashed, PLACE_BITS + 1), PLACE_BITS).bitwiseOR(i.cast("bigint"))
+        return F.shiftleft(F.shiftrightunsigned(hashed, PLACE_BITS + 1), PLACE_BITS).bitwiseOR(F.least(i.cast("bigint"), _long((1 << PLACE_BITS) - 1)))
 
     return F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - KMER, F.lit(0))), pack)
 
 
 def _minimal(v: Column) -> Column:
-    """The first of each cell among sorted packed words."""
-    return F.filter(v, lambda x, i: (i == 0) | (_cell(x) != _cell(F.get(v, i - 1))))
+    """The first two of each cell among sorted packed words."""
+    return F.filter(v, lambda x, i: F.coalesce(_cell(x) != _cell(F.get(v, i - 2)), F.lit(True)))
 
 
 def _repeated(s: Column) -> Column:
@@ -108,31 +109,30 @@ def _with_numbers(s: Column, r: Column) -> Column:
 
 
 def _components(m: Column) -> Column:
-    """Hash the minimal k-mers of the cells (sorted by cell) of each component in text order."""
-    component = lambda x: F.shiftright(x, _CELL_SHIFT + TUPLE.bit_length() - 1)
-    same = lambda a, b: F.coalesce(component(a) == component(b), F.lit(False))
-    order = lambda x: F.shiftright(x, PLACE_BITS).bitwiseAND(_long((1 << (_CELL_SHIFT - PLACE_BITS)) - 1))
+    """Hash the two minimal k-mers of each component in text order.  m: the first two of each cell, sorted
+    by cell and rank, which is the order of component 0; that of component i starts at the first cell
+    from i on, and goes around."""
+    # index in m where each component starts: a cell's first stands for the empty cells before it too
+    runs = F.transform(m, lambda x, j: F.array_repeat(j, (_cell(x) - F.coalesce(_cell(F.get(m, j - 1)), _long(-1))).cast("int")))
+    starts = F.concat(F.flatten(runs), F.array_repeat(F.lit(0), (COMPONENTS - 1 - _cell(F.element_at(m, -1))).cast("int")))
 
-    def joined(x: Column, i: Column) -> Column:
-        y = F.get(m, i + 1)
-        both = F.when(_place(x) < _place(y), F.xxhash64(order(x), order(y))).otherwise(F.xxhash64(order(y), order(x)))
-        code = F.when(same(x, y), both).otherwise(F.xxhash64(order(x)))
-        value = F.shiftleft(component(x), 32).bitwiseOR(code.bitwiseAND(_long(0xFFFFFFFF)))
-        return F.when(same(x, F.get(m, i - 1)), _long(-1)).otherwise(value)
+    def joined(j: Column, i: Column) -> Column:
+        x, y = F.get(m, j), F.get(m, (j + 1) % F.size(m))
+        both = F.when(_place(x) < _place(y), F.xxhash64(_kmer(x), _kmer(y))).otherwise(F.xxhash64(_kmer(y), _kmer(x)))
+        code = F.when(F.size(m) > 1, both).otherwise(F.xxhash64(_kmer(x)))
+        return F.shiftleft(i.cast("bigint"), 32).bitwiseOR(code.bitwiseAND(_long(0xFFFFFFFF)))
 
-    return F.filter(F.transform(m, joined), lambda x: x >= 0)
+    return F.transform(starts, joined)
 
 
 def print_text(print_: Column) -> Column:
-    """A fingerprint as text: ten hex digits (component, hash) for each filled component."""
-    return F.array_join(F.transform(print_, lambda x: F.lower(F.lpad(F.hex(x), 10, "0"))), "")
+    """A fingerprint as text: eight hex digits for each component."""
+    return F.array_join(F.transform(print_, lambda x: F.lower(F.lpad(F.hex(x.bitwiseAND(_long(0xFFFFFFFF))), 8, "0"))), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal components among those that are filled in either fingerprint."""
-    number = lambda x: F.shiftright(x, 32)
-    some = F.size(F.array_union(F.transform(a, number), F.transform(b, number)))
-    return F.size(F.array_intersect(a, b)) / F.greatest(some, F.lit(1))
+    """Share of equal components."""
+    return F.size(F.array_intersect(a, b)) / COMPONENTS
 
 
 def _key(doc_id: Column) -> Column:
