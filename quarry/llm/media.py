@@ -21,6 +21,8 @@ from quarry.llm.common import slices
 WIDTH = 64
 TILE = 16
 HASH_ROWS, HASH_COLUMNS = 8, 9
+#: Rows of a picture that are summed at once.
+ROWS_AT_ONCE = 1 << 14
 
 
 def payload_of(text: bytes | None) -> bytes:
@@ -101,24 +103,40 @@ def _decode_bmp(data: bytes) -> np.ndarray:
     return body.reshape(rows, width, each)[:, :, 2::-1]
 
 
+def _integral_at(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Rows of the integral image (sums of all rows before) at ascending places, from blocks of rows, so
+    that only one block is held as floating numbers."""
+    out = np.zeros((len(places), *data.shape[1:]))
+    total = np.zeros(data.shape[1:])
+    for at in range(0, len(data), ROWS_AT_ONCE):
+        sums = np.cumsum(data[at : at + ROWS_AT_ONCE], axis=0, dtype=np.float64) + total
+        inside = np.flatnonzero((places > at) & (places <= at + len(sums)))
+        out[inside] = sums[places[inside] - at - 1]
+        total = sums[-1]
+    return out
+
+
 def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
     """Mean of the area that each target pixel covers, from the integral image (interpolated at
     fractional borders, so the area weights are exact).  Works for enlarging too."""
-    data = image.astype(np.float64)
-    for axis, size in ((0, height), (1, width)):
-        total = np.cumsum(data, axis=axis)
-        total = np.concatenate((np.zeros_like(np.take(total, [0], axis)), total), axis)
-        length = data.shape[axis]
+    data = image
+    for size in (height, width):
+        length = len(data)
         borders = np.arange(size + 1) * (length / size)
         whole = np.minimum(borders.astype(np.int64), length)
-        part = (borders - whole).reshape([-1 if k == axis else 1 for k in range(data.ndim)])
-        low, high = np.take(total, whole, axis), np.take(total, np.minimum(whole + 1, length), axis)
-        data = np.diff(low + (high - low) * part, axis=axis) / (length / size)
+        part = (borders - whole).reshape(-1, *(1 for _ in data.shape[1:]))
+        low, high = _integral_at(data, whole), _integral_at(data, np.minimum(whole + 1, length))
+        data = np.swapaxes(np.diff(low + (high - low) * part, axis=0) / (length / size), 0, 1)
     return np.clip(np.rint(data), 0, 255).astype(np.uint8)
 
 
 def grey(image: np.ndarray) -> np.ndarray:
-    return image if image.ndim == 2 else np.rint(image @ np.array([0.299, 0.587, 0.114])).astype(np.uint8)
+    if image.ndim == 2:
+        return image
+    out = np.empty(image.shape[:2], np.uint8)
+    for at in range(0, len(image), ROWS_AT_ONCE):
+        out[at : at + ROWS_AT_ONCE] = np.rint(image[at : at + ROWS_AT_ONCE] @ np.array([0.299, 0.587, 0.114]))
+    return out
 
 
 def difference_hash(image: np.ndarray) -> str:

@@ -91,16 +91,19 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     The longest listed entry that fits gives rule and verdict; where none fits the rule is null and
     the verdict ``default`` (an unlisted URL).  Entries that occur twice count once, with the
     smallest verdict.  A null URL, or one without ``://``, has an empty host and path.  Repeated
-    pages give repeated rows; a table without rows gives none; other columns are ignored.
+    pages give repeated rows; a table without rows gives none; other columns are ignored.  A host
+    makes as many keys as listed hosts have labels at most, however many it has itself.
     """
     rules = rules.groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
-    listed = rules.select(F.concat("host", "path").alias("key"), F.concat("host", "path").alias("rule"), "verdict", F.length("path").alias("cut"))
-    lengths = listed.agg(F.array_sort(F.collect_set("cut")).alias("cuts")).first()["cuts"]  # of the listed paths: a few numbers
+    listed = rules.select(F.concat("host", "path").alias("key"), F.concat("host", "path").alias("rule"), "verdict")
+    # how long listed paths are (no more numbers than the longest has characters) and how many labels hosts have
+    facts = rules.agg(F.array_sort(F.collect_set(F.length("path"))).alias("cuts"), F.max(F.size(F.split("host", "[.]"))).alias("labels")).first()
+    cuts = F.array(*map(F.lit, facts["cuts"])).cast("array<int>")
     urls = pages.where("url is not null").select("url").distinct().select("url", host_of(F.col("url")).alias("h"), path_of(F.col("url")).alias("p"))
-    labels = F.split("h", "[.]")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
+    tail = F.reverse(F.slice(F.reverse(F.split("h", "[.]")), 1, max(1, facts["labels"] or 0)))
+    suffixes = F.transform(F.array(tail), lambda labels: F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), ".")))[0]
     # one array of keys for each suffix, then flat; a path shorter than a cut makes none
-    starts = F.filter(F.array(*(F.when(F.length("p") >= n, F.substring("p", 1, n)) for n in lengths)), lambda s: s.isNotNull())
+    starts = F.transform(F.filter(cuts, lambda n: n <= F.length("p")), lambda n: F.substr("p", F.lit(1), n))
     keys = F.flatten(F.transform(suffixes, lambda host: F.transform(starts, lambda start: F.concat(host, start))))
     candidates = urls.where("h <> '' or p <> ''").select("url", F.explode(keys).alias("key"))
     hits = possible_hits(candidates, listed.select("key").distinct())

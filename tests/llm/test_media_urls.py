@@ -105,3 +105,22 @@ def test_urls_query(spark, sf_dir):
     urls = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     for r in QUERIES["op7_urls"](spark, sf_dir).collect():
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == brute_judge(urls[r["page_id"]], U.RULES)
+
+
+def test_integral_in_blocks(monkeypatch):
+    """Sums in blocks of rows equal those at once, for tall and wide pictures and in colour."""
+    rng = np.random.default_rng(4)
+    for shape in ((1000, 64), (3, 500), (70, 9, 3), (1, 1)):
+        image = rng.integers(0, 256, shape, dtype=np.uint8)
+        whole = M.area_resize(image, 16, 16), M.grey(image)
+        monkeypatch.setattr(M, "ROWS_AT_ONCE", 7)
+        assert np.array_equal(M.area_resize(image, 16, 16), whole[0]) and np.array_equal(M.grey(image), whole[1])
+        monkeypatch.undo()
+
+
+def test_hosts_of_very_many_labels(spark):
+    urls = [(1, "http://" + "a." * 50_000 + "www.example.com/en/x"), (2, "http://" + "a." * 50_000 + "net/es/"), (3, "http://" + "." * 1000 + "/")]
+    pages = spark.createDataFrame(urls, "page_id bigint, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in U.judge(pages, U.rule_table(spark)).collect()}
+    assert got == {1: ("www.example.com/en/", "allow"), 2: ("net/es/", "block"), 3: (None, "allow")}
+    assert {r["verdict"] for r in U.judge(pages, U.rule_table(spark, ())).collect()} == {"allow"}
