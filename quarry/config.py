@@ -11,6 +11,12 @@ class IngestConfig:
     chunk_overlap: int = 120
     min_coverage: float = 0.3
     rows_per_block: int = 20
+    batch: int = 32
+    structural: bool = True
+    ocr: bool = True
+    extraction_tokens: int = 1024
+    #: Seconds that the conversion of an old office file may take: base, more per MB, at most.
+    convert_seconds: tuple[int, int, int] = (60, 10, 600)
 
 
 @dataclass(frozen=True)
@@ -33,6 +39,21 @@ class RetrievalConfig:
     grade_threshold: float = 5.0
     enough_ratio: float = 0.4
     max_retries: int = 2
+    sub_questions: int = 4
+    #: Steps that ask a model, off by default.
+    condense: bool = False
+    expansion: bool = False
+    expansion_count: int = 2
+    rerank: bool = False
+    rerank_pool: int = 2
+    agentic: bool = False
+    #: Where a channel but the vectors fails, the others answer.
+    fail_soft: bool = True
+    show_sources: bool = True
+    system_prompt: str = (
+        "You answer questions. The context below was found in a collection and may or may not fit the question. Where it fits, use it "
+        "and name the document that a fact comes from; where it doesn't, leave it aside and answer from what you know."
+    )
 
     def __post_init__(self) -> None:
         if not 1 <= self.top_k <= 20 or not 0 <= self.graph_expand <= 20 or not 0 <= self.min_score <= 1:
@@ -46,27 +67,28 @@ ENTITY_TYPES = (
     "FACILITY", "MILITARY_UNIT", "WEAPON", "OPERATION", "LAW", "EVENT", "DATE", "CONCEPT",
 )
 STOPWORDS = (
-    "the a an is are was were of in on at to for and or but with about tell me what who when where why how does do did this "
-    "that these those it its as by from be been has have had can could would should"
-).split()
+    "the", "a", "an", "is", "are", "was", "were", "of", "in", "on", "at", "to", "for", "and", "or", "but", "with", "about", "tell", "me", "what",
+    "who", "when", "where", "why", "how", "does", "do", "did", "this", "that", "these", "those", "it", "its", "as", "by", "from", "be", "been",
+    "has", "have", "had", "can", "could", "would", "should",
+)
 KEY_HINTS = (
-    ("THREAT_ACTOR", "threat_actor threatactor adversary attacker actor intrusion_set apt_group apt"),
-    ("MALWARE", "malware trojan ransomware backdoor payload_name malware_family"),
-    ("VULNERABILITY", "vulnerability cve exploit weakness"),
-    ("INDICATOR", "indicator ioc ip_address ipaddress src_ip dst_ip domain_name file_hash hash_value malicious_url c2_server c2_domain"),
-    ("MILITARY_UNIT", "military_unit battalion brigade regiment squadron task_force"),
-    ("WEAPON", "weapon missile_system missile warhead aircraft_type"),
-    ("OPERATION", "operation_name codename campaign_name"),
-    ("FACILITY", "military_base air_base naval_base installation data_center datacenter facility"),
-    ("ORGANIZATION", "company organization org employer vendor publisher manufacturer supplier industry sector"),
-    ("PERSON", "author customer client contact employee owner manager assignee user person buyer seller recipient sender requester reviewer approver"),
-    ("LOCATION", "city country address location state region"),
-    ("PRODUCT", "product item sku"),
-    ("CONCEPT", "attack_type attacktype tactic technique classification attack_method"),
-    ("EVENT", "event incident"),
-    ("LAW", "law regulation policy sanction treaty"),
-    ("DATE", "date timestamp occurred_at discovered_date published_date reported_date detected_at year"),
-    ("PERSON", "name title"),
+    ("THREAT_ACTOR", ("threat_actor", "threatactor", "adversary", "attacker", "actor", "intrusion_set", "apt_group", "apt")),
+    ("MALWARE", ("malware", "trojan", "ransomware", "backdoor", "payload_name", "malware_family")),
+    ("VULNERABILITY", ("vulnerability", "cve", "exploit", "weakness")),
+    ("INDICATOR", ("indicator", "ioc", "ip_address", "ipaddress", "src_ip", "dst_ip", "domain_name", "file_hash", "hash_value", "malicious_url", "c2_server", "c2_domain")),
+    ("MILITARY_UNIT", ("military_unit", "battalion", "brigade", "regiment", "squadron", "task_force")),
+    ("WEAPON", ("weapon", "missile_system", "missile", "warhead", "aircraft_type")),
+    ("OPERATION", ("operation_name", "codename", "campaign_name")),
+    ("FACILITY", ("military_base", "air_base", "naval_base", "installation", "data_center", "datacenter", "facility")),
+    ("ORGANIZATION", ("company", "organization", "org", "employer", "vendor", "publisher", "manufacturer", "supplier", "industry", "sector")),
+    ("PERSON", ("author", "customer", "client", "contact", "employee", "owner", "manager", "assignee", "user", "person", "buyer", "seller", "recipient", "sender", "requester", "reviewer", "approver")),
+    ("LOCATION", ("city", "country", "address", "location", "state", "region")),
+    ("PRODUCT", ("product", "item", "sku")),
+    ("CONCEPT", ("attack_type", "attacktype", "tactic", "technique", "classification", "attack_method")),
+    ("EVENT", ("event", "incident")),
+    ("LAW", ("law", "regulation", "policy", "sanction", "treaty")),
+    ("DATE", ("date", "timestamp", "occurred_at", "discovered_date", "published_date", "reported_date", "detected_at", "year")),
+    ("PERSON", ("name", "title")),
 )
 LONGEST_VALUE = 100
 DEEPEST_LEVEL = 6

@@ -1,4 +1,4 @@
-"""The library's front: a corpus of chunk and graph tables in one folder."""
+"""The library's front: a corpus of document, chunk and graph tables in one folder."""
 
 from __future__ import annotations
 
@@ -8,52 +8,154 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.config import IngestConfig, RetrievalConfig
-from quarry.operators import chunking, graph, providers, retrieve, store
+from quarry.functions import text as T
+from quarry.operators import agentic, chunking, extraction, graph, providers, retrieve, store
+from quarry.operators.shared import written
+
+#: Columns of a block that its chunks keep, beside text and place.
+CARRIED = ("page", "section", "table", "record", "rows", "sheet", "ocr")
 
 
 @dataclass
 class Corpus:
-    """chunks(chunk_id, doc_id, index, text, embedding), mentions and evidence; every change gives a new
-    Corpus over new tables and leaves the old ones alone."""
+    """documents(doc_id, content_hash), chunks(chunk_id, doc_id, index, text, ..., embedding), mentions
+    and evidence; every change gives a new Corpus over newly written tables and leaves the old ones alone."""
 
     spark: SparkSession
+    documents: DataFrame
     chunks: DataFrame
     mentions: DataFrame
     evidence: DataFrame
 
     @classmethod
     def build(cls, spark: SparkSession, docs: DataFrame, embedder: providers.Embedder, mentions: DataFrame, evidence: DataFrame, config: IngestConfig = IngestConfig()) -> Corpus:
-        chunks = chunking.chunk_documents(chunking.single_blocks(docs), config)
-        return cls(spark, providers.embed(chunks, embedder), mentions, evidence)
+        """From raw texts (doc_id, text) and a graph that is there already."""
+        blocks = chunking.single_blocks(docs)
+        chunks = written(providers.embed(chunking.chunk_documents(blocks, config), embedder, batch=config.batch), "chunks")
+        return cls(spark, written(store.document_rows(blocks), "documents"), chunks, written(mentions, "mentions"), written(evidence, "evidence")).checked()
+
+    def checked(self) -> Corpus:
+        """Ids are unique and all vectors of one size; raises where not."""
+        store.assert_unique(self.documents, "doc_id")
+        store.assert_unique(self.chunks, "chunk_id")
+        store.assert_one_size(self.chunks, "embedding")
+        return self
+
+    def ingest(self, blocks: DataFrame, embedder: providers.Embedder, model: providers.ChatModel | None = None, config: IngestConfig = IngestConfig()) -> Corpus:
+        """Take in documents as blocks (doc_id, block_no, text, and page, section ... value where a parser
+        gives them) or raw texts (doc_id, text): chunks with vectors, and the graph of their entities.
+
+        Blocks of JSON whose fields are known well enough give entities by their structure, all others by
+        ``model``.  A document whose content is here already under another id is left out; one that
+        comes again replaces all it had, so taking it in twice changes nothing."""
+        if "block_no" not in blocks.columns:
+            blocks = chunking.single_blocks(blocks)
+        kind = self.chunks.schema["doc_id"].dataType
+        fresh = written(blocks.withColumn("doc_id", F.col("doc_id").cast(kind)), "blocks")
+        documents = store.document_rows(fresh)
+        known = self.documents.select(F.col("doc_id").alias("other"), F.col("content_hash"))
+        twins = documents.join(known, "content_hash").where("doc_id <> other").select("doc_id").distinct()
+        fresh = fresh.join(twins, "doc_id", "left_anti")
+        chunks = chunking.chunk_documents(fresh, config)
+        if "value" not in chunks.columns:
+            chunks = chunks.withColumn("value", F.lit(None).cast("string"))
+        chunks = written(chunks, "chunks-plain")
+        vectors = written(providers.embed(chunks.drop("value"), embedder, prefix="passage: ", batch=config.batch), "chunks-fresh")
+        mentions, evidence = self._graph_of(chunks, model, config)
+        gone = documents.select("doc_id").join(twins, "doc_id", "left_anti")
+        left = self.delete(gone, keep_tables=True)
+        merged = lambda old, new, name: written(old.unionByName(new, allowMissingColumns=True), name)
+        ends = merged(left.evidence, evidence, "evidence")
+        return Corpus(
+            self.spark, merged(left.documents, documents.join(twins, "doc_id", "left_anti"), "documents"), merged(left.chunks, vectors, "chunks"),
+            merged(left.mentions, mentions, "mentions"), ends,
+        ).checked()
+
+    def _graph_of(self, chunks: DataFrame, model: providers.ChatModel | None, config: IngestConfig) -> tuple[DataFrame, DataFrame]:
+        """Mentions and evidence of chunks, in an order of arrival that their places give."""
+        model = model or providers.ScriptedChat(lambda prompt: "{}")
+        found = written(extraction.gated_extraction(chunks.select("chunk_id", "doc_id", "index", "text", "value"), model, "text", config), "extracted")
+        place = F.shiftleft(F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 31) - 1).cast("bigint")), 28) + F.col("index").cast("bigint") * 4096
+        names = found.select(F.posexplode("entities").alias("pos", "e"), "chunk_id", "doc_id", place.alias("at")).select("e.name", "e.type", "chunk_id", F.col("doc_id"), (F.col("at") + F.col("pos")).alias("ord"))
+        ties = found.select(F.posexplode("relations").alias("pos", "r"), "chunk_id", place.alias("at")).select("r.source", "r.relation", "r.target", "chunk_id", (F.col("at") + F.col("pos")).alias("ord"))
+        mentions = written(graph.mentions_of(names), "mentions-fresh")
+        return mentions, written(graph.known_ends(graph.evidence_of(ties), mentions), "evidence-fresh")
+
+    def retrieval(self, queries: DataFrame, config: RetrievalConfig = RetrievalConfig(), strict_doc_filter: bool = False, model: providers.ChatModel | None = None, embedder: providers.Embedder | None = None) -> retrieve.Retrieval:
+        """Results, related entities and timings for queries(qid, text, vec, doc_filter, history)."""
+        edges, entities = written(graph.edge_rollup(self.evidence), "edges"), written(graph.entity_facts(self.mentions), "entities")
+        return retrieve.retrieval(queries, self.chunks, self.mentions, edges, entities, config, strict_doc_filter, model, embedder)
+
+    def retrieve(self, queries: DataFrame, config: RetrievalConfig = RetrievalConfig(), strict_doc_filter: bool = False, model: providers.ChatModel | None = None, embedder: providers.Embedder | None = None) -> DataFrame:
+        """queries(qid, text, vec, doc_filter) -> (qid, place, chunk_id, doc_id, text, score, source)."""
+        return self.retrieval(queries, config, strict_doc_filter, model, embedder).results
 
-    def ingest(self, docs: DataFrame, embedder: providers.Embedder, config: IngestConfig = IngestConfig()) -> Corpus:
-        """Replace the given documents' chunks; ingesting twice changes nothing."""
-        fresh = providers.embed(chunking.chunk_documents(chunking.single_blocks(docs), config), embedder)
-        return Corpus(self.spark, store.replace_documents(self.chunks, fresh), self.mentions, self.evidence)
+    def smart_retrieve(self, queries: DataFrame, model: providers.ChatModel, embedder: providers.Embedder, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+        """In several steps where the settings say so (``agentic``), else at once: the same columns."""
+        if not config.agentic:
+            return self.retrieve(queries, config, model=model, embedder=embedder)
+        prompt = F.concat(F.lit(f"Split the question into at most {config.sub_questions} questions that can be answered one by one. Give a JSON array of strings and nothing else.\n\nQuestion: "), F.col("text"))
+        replies = providers.ask(queries.select("qid", "text", prompt.alias("prompt")), model, "prompt").drop("prompt")
+        asked = written(agentic.sub_questions(replies, config.sub_questions), "sub-questions")
 
-    def retrieve(self, queries: DataFrame, config: RetrievalConfig = RetrievalConfig(), strict_doc_filter: bool = False) -> DataFrame:
-        """queries(qid, text, vec, doc_filter) -> (qid, place, chunk_id, doc_id, text, score, source)."""
-        return retrieve.hybrid(queries, self.chunks, self.mentions, graph.edge_rollup(self.evidence), graph.entity_facts(self.mentions), config, strict_doc_filter)
+        def search(some: DataFrame) -> DataFrame:
+            vectors = providers.embed(some, embedder, prefix="query: ").withColumnRenamed("embedding", "vec").withColumn("doc_filter", F.lit(None).cast("string"))
+            return self.retrieve(vectors, config).select("qid", "place", "chunk_id", "doc_id", "text", "score", "source")
+
+        found = agentic.run(asked, search, model, model, lambda df: written(df, "agentic"), config)
+        return found.select("qid", F.col("pos").alias("place"), "chunk_id", "doc_id", "text", F.coalesce("relevance", "score").alias("score"), "source")
 
     def context(self, queries: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
         return retrieve.format_context(self.retrieve(queries, config))
 
-    def answer(self, queries: DataFrame, model: providers.ChatModel, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
-        """(qid, reply): a model's answer to each question with its context before it."""
-        prompts = self.context(queries, config).join(queries.select("qid", "text"), "qid")
-        prompt = F.concat(F.lit("Context:\n"), F.coalesce("context", F.lit("(nothing found)")), F.lit("\n\nQuestion: "), F.col("text"))
-        return providers.ask(prompts.select("qid", prompt.alias("prompt")), model, "prompt").select("qid", "reply")
-
-    def delete(self, doc_ids: DataFrame) -> Corpus:
+    def answer(self, queries: DataFrame, model: providers.ChatModel, config: RetrievalConfig = RetrievalConfig(), embedder: providers.Embedder | None = None) -> DataFrame:
+        """(qid, reply): a model's answer to each question by its context and history; with the sources
+        below it (``show_sources``)."""
+        found = written(self.smart_retrieve(queries, model, embedder, config) if config.agentic else self.retrieve(queries, config, model=model, embedder=embedder), "results")
+        messages = retrieve.rag_messages(queries, retrieve.format_context(found), config.system_prompt)
+        prompt = F.array_join(F.transform("messages", lambda m: F.concat_ws(": ", m["role"], m["content"])), "\n\n")
+        replies = providers.ask(messages.select("qid", prompt.alias("prompt")), model, "prompt").select("qid", "reply")
+        if not config.show_sources:
+            return replies
+        return replies.join(retrieve.sources_footer(queries, found), "qid").select("qid", F.concat("reply", "footer").alias("reply"))
+
+    def delete(self, doc_ids: DataFrame, keep_tables: bool = False) -> Corpus:
+        """Without the given documents.  keep_tables: the result is read once and need not be written."""
         mentions, evidence, chunks = graph.delete_documents(doc_ids, self.mentions, self.evidence, self.chunks)
-        return Corpus(self.spark, chunks, mentions, evidence)
+        documents = self.documents.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti")
+        tables = (documents, chunks, mentions, evidence)
+        return Corpus(self.spark, *(tables if keep_tables else map(written, tables, ("documents", "chunks", "mentions", "evidence"))))
 
     def merge_entities(self, merges: DataFrame) -> Corpus:
         mentions, evidence = graph.merge_entities(self.mentions, self.evidence, merges)
-        return Corpus(self.spark, self.chunks, mentions, evidence)
+        return Corpus(self.spark, self.documents, self.chunks, written(mentions, "mentions"), written(evidence, "evidence"))
+
+    def merge_names(self, keep: str, absorb: str) -> Corpus:
+        """Absorb the entity of one exact name into that of another; raises where one is not there."""
+        pair = self.spark.range(1).select(T.normalize_key(F.lit(keep)).alias("keep"), T.normalize_key(F.lit(absorb)).alias("absorb"))
+        keys = self.mentions.select("entity_key").distinct()
+        for side in ("keep", "absorb"):
+            if not pair.join(keys, F.col(side) == F.col("entity_key")).count():
+                raise ValueError(f"no entity named {keep if side == 'keep' else absorb!r}")
+        return self.merge_entities(pair)
 
     def dedupe_candidates(self, threshold: float = 0.85) -> DataFrame:
         return graph.similar_names(graph.entity_facts(self.mentions), threshold)
 
-    def evaluate(self, cases: DataFrame, results: DataFrame) -> DataFrame:
-        return retrieve.hit_rate_mrr(cases, results)
+    def low_evidence(self, most: int = 1) -> DataFrame:
+        return graph.entity_facts(self.mentions).where(F.col("n_chunks") <= most).orderBy("n_chunks", "entity_key")
+
+    def evaluate(self, cases: DataFrame, embedder: providers.Embedder, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+        """cases(case_id, query, expected) -> n, hit_rate, mrr of retrieval by vectors, names and words."""
+        asked = cases.select(F.col("case_id").alias("qid"), F.col("query").alias("text"), F.lit(None).cast("string").alias("doc_filter"))
+        queries = written(providers.embed(asked, embedder, prefix="query: ").withColumnRenamed("embedding", "vec"), "cases")
+        found = self.retrieve(queries, config).select(F.col("qid").alias("case_id"), "doc_id", "place")
+        return retrieve.hit_rate_mrr(cases.select("case_id", F.col("expected").cast("string").alias("expected")), found)
+
+    def save(self, folder: str) -> None:
+        for name in ("documents", "chunks", "mentions", "evidence"):
+            getattr(self, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> Corpus:
+        return cls(spark, *(spark.read.parquet(f"{folder}/{name}") for name in ("documents", "chunks", "mentions", "evidence")))

@@ -53,7 +53,7 @@ def key_type(key: Column) -> Column:
     out = None
     for kind, needles in KEY_HINTS:
         hit = None
-        for needle in needles.split():
+        for needle in needles:
             one = F.contains(low, F.lit(needle))
             hit = one if hit is None else hit | one
         out = F.when(hit, kind) if out is None else out.when(hit, kind)
@@ -87,11 +87,47 @@ def content_hash(blocks: Column) -> Column:
     return F.sha2(F.array_join(blocks, "\n"), 256)
 
 
-def deletions(word: Column, most: Column) -> Column:
-    """The word and what is left after taking out up to ``most`` (2 at most) characters.  Two words
-    within edit distance k share one of these for k: an equality join finds every such pair."""
+#: Words up to this length meet by what deletions leave of them, longer ones by their thirds.
+LONG_WORD = 24
+
+
+def _deletions(word: Column, most: Column) -> Column:
     n = F.length(word)
     once = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1, F.length(w))))
     one = F.when(n >= 1, once(word)).otherwise(F.array(word))
     two = F.flatten(F.transform(one, once))
     return F.array_distinct(F.concat(F.array(word), F.when(most >= 1, one).otherwise(F.array(word)), F.when(most >= 2, two).otherwise(F.array(word))))
+
+
+def _third(size: Column, k: Column) -> Column:
+    """Where third k (0 to 3) of a word of this size starts."""
+    return F.floor(k * size / 3).cast("int")
+
+
+def _key(size: Column, k: Column, part: Column) -> Column:
+    return F.concat(F.lit("\x1f"), size.cast("string"), F.lit(":"), k.cast("string"), F.lit(":"), part)
+
+
+def near_index(word: Column) -> Column:
+    """Keys under which a word is found by those within two edits (see near_probe)."""
+    n = F.length(word)
+    thirds = F.transform(F.array(*map(F.lit, range(3))), lambda k: _key(n, k, F.substr(word, _third(n, k) + 1, _third(n, k + 1) - _third(n, k))))
+    return F.when(n <= LONG_WORD, _deletions(word, F.lit(2))).otherwise(thirds)
+
+
+def near_probe(word: Column, most: Column) -> Column:
+    """Keys of which every indexed word within ``most`` (2 at most) edits has one.
+
+    Of short words two that are near share something that deletions leave of both.  Of a longer
+    indexed word one third is left whole by two edits, and it is found in the other word at most
+    two places away; so the keys grow with a word's length, not with its square."""
+    n = F.length(word)
+    numbers = lambda a, b: F.array(*map(F.lit, range(a, b + 1)))
+    one = lambda size, k, by: F.when(
+        (_third(size, k) + by >= 0) & (_third(size, k + 1) + by <= n), _key(size, k, F.substr(word, _third(size, k) + by + 1, _third(size, k + 1) - _third(size, k)))
+    )
+    sizes = F.filter(F.transform(numbers(-2, 2), lambda d: n + d), lambda size: size > LONG_WORD)
+    keys = F.flatten(F.transform(sizes, lambda size: F.flatten(F.transform(numbers(0, 2), lambda k: F.transform(numbers(-2, 2), lambda by: one(size, k, by))))))
+    keys = F.filter(keys, lambda key: key.isNotNull())
+    short = F.when(n <= LONG_WORD + 2, _deletions(word, most)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(short, F.when(n > LONG_WORD - 2, keys).otherwise(F.array().cast("array<string>"))))

@@ -45,6 +45,12 @@ def merge(found: DataFrame) -> DataFrame:
     return first.withColumn("pos", F.row_number().over(order))
 
 
+def merge_entities(related: DataFrame) -> DataFrame:
+    """related(qid, sub_no, name, type): each name once for a question, by lower case, as first found."""
+    first = Window.partitionBy("qid", F.lower("name")).orderBy("sub_no", "name", "type")
+    return related.where("name <> ''").withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
+
+
 def run(questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame], grader: ChatModel, reformulate: ChatModel, checkpoint: Callable[[DataFrame], DataFrame], config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
     """All sub-questions (qid, sub_no, text) at once: each pass retrieves for those that have too
     little yet, grades against the original wording and rewords the rest; at most

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.config import IngestConfig
 from quarry.functions import text as T
+from quarry.operators.shared import written
 
 
 def _window_end(text: str, start: int, size: int) -> int:
@@ -23,43 +24,48 @@ def _window_end(text: str, start: int, size: int) -> int:
     return end
 
 
+def spans(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of the windows over a text, the last one up to its end."""
+    start = end = 0
+    while end < len(text):
+        end = _window_end(text, start, size)
+        yield start, end
+        start = max(start + 1, end - overlap)
+
+
 def windows(text: str | None, size: int, overlap: int) -> Iterator[str]:
     """The non-empty chunks of one block of text."""
     body = (text or "").strip()
-    start = 0
-    while start < len(body):
-        end = _window_end(body, start, size)
-        piece = body[start:end].strip()
-        if piece:
-            yield piece
-        if end >= len(body):
-            return
-        start = max(end - overlap, start + 1)
+    return filter(None, (body[a:b].strip() for a, b in spans(body, size, overlap)))
 
 
 def chunk_blocks(blocks: DataFrame, config: IngestConfig = IngestConfig()) -> DataFrame:
-    """(doc_id, block_no, text) -> (doc_id, block_no, piece_no, text): never across blocks."""
+    """(doc_id, block_no, text, ...) -> (doc_id, block_no, ..., piece_no, text): never across blocks.  All
+    other columns of a block (its page, section, rows ...) go to each of its pieces."""
     size, overlap = config.chunk_size or 800, config.chunk_overlap or 120
-    kind = blocks.schema["doc_id"].dataType.simpleString()
+    kept = [c for c in blocks.columns if c != "text"]
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.schema if f.name != "text")
 
     def run(batches):
         for batch in batches:
             rows, numbers, pieces = [], [], []
-            for row, text in enumerate(batch.column(2).to_pylist()):
+            for row, text in enumerate(batch.column("text").to_pylist()):
                 for number, piece in enumerate(windows(text, size, overlap)):
                     rows.append(row), numbers.append(number), pieces.append(piece)
             at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(pieces, pa.string())], ["doc_id", "block_no", "piece_no", "text"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in kept), pa.array(numbers, pa.int32()), pa.array(pieces, pa.string())], [*kept, "piece_no", "text"])
 
-    return blocks.select("doc_id", F.col("block_no").cast("int"), "text").mapInArrow(run, f"doc_id {kind}, block_no int, piece_no int, text string")
+    return blocks.select(*(F.col(f"`{c}`") for c in kept), "text").mapInArrow(run, f"{shape}, piece_no int, text string")
 
 
 def chunk_documents(blocks: DataFrame, config: IngestConfig = IngestConfig()) -> DataFrame:
-    """(chunk_id, doc_id, index, text), the index running over all blocks of a document."""
+    """(chunk_id, doc_id, index, text, ...), the index running over all blocks of a document; what blocks
+    carry besides comes along."""
     pieces = chunk_blocks(blocks, config)
     order = Window.partitionBy("doc_id").orderBy("block_no", "piece_no")
     numbered = pieces.withColumn("index", F.row_number().over(order) - 1)
-    return numbered.select(T.chunk_id(F.col("doc_id"), F.col("index")).alias("chunk_id"), "doc_id", "index", "text")
+    more = [c for c in blocks.columns if c not in ("doc_id", "block_no", "text")]
+    return numbered.select(T.chunk_id(F.col("doc_id"), F.col("index")).alias("chunk_id"), "doc_id", "index", "text", *(F.col(f"`{c}`") for c in more))
 
 
 def single_blocks(docs: DataFrame) -> DataFrame:
@@ -67,12 +73,22 @@ def single_blocks(docs: DataFrame) -> DataFrame:
     return docs.where(F.length(T.strip(F.col("text"))) > 0).select("doc_id", F.lit(0).alias("block_no"), "text")
 
 
+def row_numbers(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """Add n, from 1 in each group by ``order``.  Rows are sorted into ranges, which are numbered side by
+    side and moved on by the sizes of those before, so no group is in one task."""
+    ranged = written(rows.repartitionByRange(group, *order).withColumn("in_range", F.spark_partition_id()), "row-ranges")
+    sizes = ranged.groupBy(group, "in_range").agg(F.count("*").alias("size"))  # one row per range and group
+    before = Window.partitionBy(group).orderBy("in_range").rowsBetween(Window.unboundedPreceding, -1)
+    moved = sizes.select(group, "in_range", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("moved"))
+    place = F.row_number().over(Window.partitionBy(group, "in_range").orderBy(*order))
+    return ranged.withColumn("place", place).join(moved, [group, "in_range"]).withColumn("n", F.col("place") + F.col("moved")).drop("in_range", "place", "moved")
+
+
 def row_blocks(rows: DataFrame, group: str, order: list[str], columns: list[str], per_block: int = IngestConfig.rows_per_block) -> DataFrame:
     """Tabular rows as blocks: "name: value" pairs joined by "; ", ``per_block`` rows a block, with the
     rows' range (the header is row 1, so the first block starts at 1).  ``group`` names the file."""
     parts = [F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit("None"))) for c in columns if c]
-    numbered = rows.withColumn("n", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-    lines = numbered.select(group, F.floor((F.col("n") - 1) / per_block).cast("int").alias("block_no"), "n", F.concat_ws("; ", *parts).alias("line"))
+    lines = row_numbers(rows, group, order).select(group, F.floor((F.col("n") - 1) / per_block).cast("int").alias("block_no"), "n", F.concat_ws("; ", *parts).alias("line"))
     made = lines.groupBy(group, "block_no").agg(F.sort_array(F.collect_list(F.struct("n", "line"))).alias("lines"), F.max("n").alias("last"))
     first = F.when(F.col("block_no") == 0, 1).otherwise(F.col("block_no") * per_block + 2)
     return made.select(group, "block_no", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"), F.concat_ws("-", first.cast("string"), (F.col("last") + 1).cast("string")).alias("rows"))

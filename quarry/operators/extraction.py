@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.config import ENTITY_TYPES
+from quarry.config import ENTITY_TYPES, IngestConfig
 from quarry.functions import text as T
 from quarry.operators.providers import ChatModel, ask
+from quarry.operators.structural import extract_records
 
 _SHAPE = "struct<entities:array<struct<name:string,type:string>>,relationships:array<struct<source:string,relation:string,target:string>>>"
 
@@ -46,9 +47,33 @@ def type_quality(entities: DataFrame) -> DataFrame:
     return entities.groupBy("type").agg(F.count_if(kind == "").alias("missing"), F.count_if((kind != "") & ~kind.isin(*ENTITY_TYPES)).alias("invalid"), F.count("*").alias("n"))
 
 
-def extract_with_model(rows: DataFrame, model: ChatModel, text: str) -> DataFrame:
-    """Entities and relations of texts from a chat model; a failing call gives none."""
-    return parse_extraction(ask(rows, model, text), "reply").drop("reply")
+def extraction_prompt(text: Column, most_tokens: int = IngestConfig.extraction_tokens) -> Column:
+    """The task, the kinds and the shape of the reply, then the text."""
+    kinds = ", ".join(ENTITY_TYPES)
+    task = (
+        f"Find the named entities of the text below and the relations between them that it states. Kinds: {kinds}. Reply with JSON alone, in at most {most_tokens} tokens: "
+        '{"entities": [{"name": "...", "type": "..."}], "relationships": [{"source": "...", "relation": "...", "target": "..."}]}. Sources and targets are names among the entities.'
+    )
+    return F.concat(F.lit(task + "\n\nText:\n"), T.strip(text))
+
+
+def extract_with_model(rows: DataFrame, model: ChatModel, text: str, config: IngestConfig = IngestConfig(), base_delay: float = 1.0) -> DataFrame:
+    """Entities and relations of texts from a chat model; a blank text or a failing call gives none."""
+    blank = F.coalesce(F.length(T.strip(F.col(text))), F.lit(0)) == 0
+    prompted = rows.withColumn("prompt_", extraction_prompt(F.col(text), config.extraction_tokens))
+    replies = ask(prompted.where(~blank), model, "prompt_", base_delay=base_delay)
+    none = prompted.where(blank).withColumn("reply", F.lit(None).cast("string"))
+    return parse_extraction(replies.unionByName(none), "reply").drop("reply", "prompt_")
+
+
+def gated_extraction(rows: DataFrame, model: ChatModel, text: str, config: IngestConfig = IngestConfig(), base_delay: float = 1.0) -> DataFrame:
+    """rows(..., value: JSON or null) with entities, relations and route: by their structure, without any
+    call, where enough of the fields are known (``min_coverage``), all others by a model."""
+    read = extract_records(rows, "value")
+    known = (F.col("coverage") >= config.min_coverage) & F.col("value").isNotNull() & F.lit(config.structural)
+    by_structure = read.where(known).drop("coverage").withColumn("route", F.lit("structural"))
+    by_model = extract_with_model(read.where(~known).drop("entities", "relations", "coverage"), model, text, config, base_delay)
+    return by_structure.unionByName(by_model.withColumn("route", F.lit("model")))
 
 
 def string_list(reply: Column, most: int) -> Column:

@@ -65,6 +65,13 @@ class HashEmbedder:
         return out.tolist()
 
 
+class LetterEmbedder:
+    """How often each letter of a to z occurs: a stand-in that SQL can compute too."""
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return [[float(low.count(c)) for c in "abcdefghijklmnopqrstuvwxyz"] for low in map(str.lower, texts)]
+
+
 class ScriptedChat:
     """Answers by a function of the prompt."""
 
@@ -79,11 +86,27 @@ class ScriptedChat:
         """An extractor that takes capitalised words for concepts."""
 
         def answer(prompt: str) -> str:
-            names = dict.fromkeys(re.findall(r"\b[A-Z][a-z]{3,}\b", prompt))
+            names = dict.fromkeys(re.findall(r"\b[A-Z][a-z]{3,}\b", prompt.partition("\n\nText:\n")[2] or prompt))
             return json.dumps({"entities": [{"name": n, "type": "CONCEPT"} for n in names], "relationships": []})
 
         return cls(answer)
 
+    @classmethod
+    def assistant(cls) -> ScriptedChat:
+        """Condenses to the question itself, words it anew by leaving out its first or last word, and scores
+        passages by the words that they share with the question."""
+
+        def answer(prompt: str) -> str:
+            question = prompt.partition("Question: ")[2].partition("\n\n")[0]
+            words = question.split()
+            if "Passages:" in prompt:
+                lines = prompt.partition("Passages:\n")[2].rpartition("\n\n")[0]
+                passages = re.split(r"(?m)^\[\d+\] ", lines)[1:]
+                return json.dumps([{"index": n, "score": 10 * len(set(words) & set(p.split())) / max(1, len(words))} for n, p in enumerate(passages)])
+            return json.dumps([" ".join(words[1:]), " ".join(words[:-1])]) if "JSON array" in prompt else question
+
+        return cls(answer)
+
     @classmethod
     def word_overlap(cls) -> ScriptedChat:
         """A grader: 10 times the share of the question's words that each snippet has."""
@@ -113,15 +136,18 @@ def embed(rows: DataFrame, model: Embedder, column: str = "text", prefix: str =
     return rows.mapInArrow(run, shape)
 
 
-def ask(rows: DataFrame, model: ChatModel, prompt: str, attempts: int = 3) -> DataFrame:
-    """Add a column reply to the prompts in a column; a call that keeps failing gives null."""
+def ask(rows: DataFrame, model: ChatModel, prompt: str, attempts: int = 3, base_delay: float = 1.0, fallback: ChatModel | None = None) -> DataFrame:
+    """Add a column reply to the prompts in a column; a call that keeps failing, with a delay that doubles,
+    goes to ``fallback``, and gives null if there is none or it fails too."""
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", reply string"
 
     def one(text: str | None) -> str | None:
-        try:
-            return with_retry(lambda: model.chat(text or ""), attempts, 0.0)
-        except Exception:
-            return None
+        for each in filter(None, (model, fallback)):
+            try:
+                return with_retry(lambda each=each: each.chat(text or ""), attempts, base_delay)
+            except Exception:
+                continue
+        return None
 
     def run(batches):
         for part in batches:

@@ -5,18 +5,31 @@ Every operator takes a table of queries and answers all of them in one plan, by
 
 from __future__ import annotations
 
+import logging
+import time
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from quarry.config import RetrievalConfig
 from quarry.functions import text as T
+from quarry.operators.extraction import string_list
 from quarry.operators.graph import top
+from quarry.operators.providers import ChatModel, Embedder, ask, embed
+from quarry.operators.shared import written
+
+logger = logging.getLogger(__name__)
 
-#: Queries that are scored together against a partition of vectors.
+#: Queries that are scored together against a batch of vectors.
 QUERY_BLOCK = 2048
+#: Bytes of all queries' vectors up to which they are sent to every executor; more are dealt out in blocks.
+BROADCAST_BYTES = 64 << 20
+#: Vectors that one task meets at a time where queries are dealt out.
+VECTOR_BLOCK = 200_000
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -29,58 +42,78 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, min_score: float
     """(qid, chunk_id, score, rank): the k nearest of vectors(chunk_id, doc_id, embedding) to each of
     queries(qid, vec, doc_filter or null) by cosine; a floor above 0 drops lower scores.
 
-    Queries go out in blocks of bounded size; each partition multiplies a block with its vectors
-    and keeps its own k best, so only k rows per query and partition are shuffled."""
-    rows = queries.select("qid", "vec", F.col("doc_filter").cast("string").alias("doc_filter"))
+    Queries whose vectors are small enough (checked) go to every executor, and one scan of the vectors
+    answers them all; more of them are dealt out in blocks that meet blocks of vectors by a key.
+    Either way a task keeps its own k best of each query, so only these are shuffled."""
+    asked = queries.select("qid", "vec", F.col("doc_filter").cast("string").alias("doc_filter"))
     slim = vectors.select("chunk_id", F.col("doc_id").cast("string").alias("doc_id"), "embedding")
-    kinds = f"qid {rows.schema['qid'].dataType.simpleString()}, chunk_id {slim.schema['chunk_id'].dataType.simpleString()}, score double"
-    qid_type = to_arrow_type(rows.schema["qid"].dataType)
-    out, block = None, []
-    for row in rows.toLocalIterator():
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            part = slim.mapInArrow(_nearest(block, k, min_score, qid_type), kinds)
-            out, block = part if out is None else out.unionByName(part), []
-    if block or out is None:
-        part = slim.mapInArrow(_nearest(block, k, min_score, qid_type), kinds)
-        out = part if out is None else out.unionByName(part)
-    return top(out, k)
-
-
-def _nearest(block: list, k: int, floor: float, qid_type):
-    ids = [r["qid"] for r in block]
-    filters = [r["doc_filter"] for r in block]
-    matrix = np.array([r["vec"] for r in block], np.float64) if block else np.zeros((0, 0))
-    matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-30) if block else matrix
-
-    def run(batches):
-        best: list[list] = [[] for _ in ids]
-        for batch in batches:
-            chunk_type = batch.schema.field(0).type
-            if not batch.num_rows or not ids:
-                continue
-            flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            found = flat.reshape(batch.num_rows, -1)
-            found = found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-30)
-            docs, names = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            scores = matrix @ found.T
-            for q, row in enumerate(scores):
-                keep = np.arange(len(row)) if filters[q] is None else np.array([d == filters[q] for d in docs]).nonzero()[0]
-                if floor > 0:
-                    keep = keep[row[keep] >= floor]
-                # ties at the border are kept here and settled by chunk_id at the end
-                if len(keep) > k:
-                    border = np.partition(row[keep], len(keep) - k)[len(keep) - k]
-                    keep = keep[row[keep] >= border - 1e-12]
-                best[q] += [(float(row[i]), names[i]) for i in keep]
-                if len(best[q]) > 8 * k:
-                    best[q] = sorted(best[q], key=lambda x: (-x[0], x[1]))[:k]
-        rows = [(ids[q], name, score) for q, found in enumerate(best) for score, name in sorted(found, key=lambda x: (-x[0], x[1]))[:k]]
-        if rows:
-            columns = zip(zip(*rows, strict=True), (qid_type, chunk_type, pa.float64()), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in columns], ["qid", "chunk_id", "score"])
-
-    return run
+    shape = f"qid {asked.schema['qid'].dataType.simpleString()}, chunk_id {slim.schema['chunk_id'].dataType.simpleString()}, score double"
+    facts = asked.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("size")).first()
+    if facts["n"] * (facts["size"] or 0) * 8 <= BROADCAST_BYTES:
+        held = asked.sparkSession.sparkContext.broadcast(asked.toArrow())
+
+        def scan(batches):
+            return _nearest(held.value, batches, k, min_score)
+
+        return top(slim.mapInArrow(scan, shape), k)
+    rows = vectors.count()
+    n_q, n_v = -(-facts["n"] // QUERY_BLOCK), max(1, -(-rows // VECTOR_BLOCK))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("q", F.pmod(F.xxhash64("qid"), F.lit(n_q)).cast("int")).withColumn("v", each(n_v))
+    right = slim.withColumn("v", F.pmod(F.xxhash64("chunk_id"), F.lit(n_v)).cast("int")).withColumn("q", each(n_q))
+
+    def meet(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        found = list(_nearest(queries.select(["qid", "vec", "doc_filter"]), vectors.select(["chunk_id", "doc_id", "embedding"]).to_batches(4096), k, min_score))
+        kinds = pa.schema([("qid", queries.schema.field("qid").type), ("chunk_id", vectors.schema.field("chunk_id").type), ("score", pa.float64())])
+        return pa.Table.from_batches(found, kinds)
+
+    return top(left.groupBy("q", "v").cogroup(right.groupBy("q", "v")).applyInArrow(meet, shape), k)
+
+
+def _unit(column) -> np.ndarray:
+    """Rows of unit length of a column of vectors."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    rows = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1) if len(flat) else np.zeros((0, 0))
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-30)
+
+
+def _nearest(queries: pa.Table, batches, k: int, floor: float):
+    """(qid, chunk_id, score) of the k best of all batches for each query; of equal ones the least chunk_id."""
+    asked, filters = _unit(queries.column("vec")), queries.column("doc_filter").to_pylist()
+    wanted = np.array([f is not None for f in filters], bool)
+    names, rows, scores, held = [], [], [], 0
+
+    def best() -> None:
+        """Only each query's k best stay."""
+        nonlocal names, rows, scores, held
+        ids, q, s = pa.chunked_array(names).combine_chunks(), np.concatenate(rows), np.concatenate(scores)
+        rank = np.empty(len(ids), np.int64)
+        rank[pc.array_sort_indices(ids).to_numpy()] = np.arange(len(ids))
+        order = np.lexsort((rank, -s, q))
+        q = q[order]
+        nth = np.arange(len(q)) - np.searchsorted(q, q)
+        order = order[nth < k]
+        names, rows, scores, held = [ids.take(pa.array(order))], [q[nth < k]], [s[order]], len(order)
+
+    for batch in batches:
+        if not batch.num_rows or not len(asked) or not k:
+            continue
+        found = _unit(batch.column(2))
+        docs = np.array(batch.column(1).to_pylist(), object) if wanted.any() else None
+        for at in range(0, len(asked), QUERY_BLOCK):
+            part = np.round(asked[at : at + QUERY_BLOCK] @ found.T, 12)  # so that equal vectors tie
+            for n in np.flatnonzero(wanted[at : at + QUERY_BLOCK]):
+                part[n, docs != filters[at + n]] = -np.inf
+            # ties at the border are kept here and settled by chunk_id
+            border = np.partition(part, -k, axis=1)[:, -k] if part.shape[1] > k else np.full(len(part), -np.inf)
+            q, row = np.nonzero((part >= border[:, None]) & (part >= floor if floor > 0 else part > -np.inf))
+            names.append(batch.column(0).take(pa.array(row))), rows.append(q + at), scores.append(part[q, row])
+            held += len(q)
+            if held > 8 * k * len(asked) + 100_000:
+                best()
+    if held:
+        best()
+        yield pa.RecordBatch.from_arrays([queries.column("qid").combine_chunks().take(pa.array(rows[0])), names[0], pa.array(scores[0])], ["qid", "chunk_id", "score"])
 
 
 def keyword_index(chunks: DataFrame) -> DataFrame:
@@ -89,12 +122,20 @@ def keyword_index(chunks: DataFrame) -> DataFrame:
 
 
 def keyword_topk(queries: DataFrame, chunks: DataFrame, limit: int, pool: int = RetrievalConfig.keyword_pool) -> DataFrame:
-    """(qid, chunk_id, score, rank) for queries(qid, text): chunks that hold a keyword as a word, the
-    first ``pool`` by chunk_id (a limit of the operator itself), scored by how many keywords occur
-    anywhere in their text.  Candidates come from an equality join on words; texts join last."""
-    asked = queries.select("qid", T.keywords(F.col("text")).alias("kws")).where(F.size("kws") > 0)
-    terms = asked.select("qid", F.explode("kws").alias("token"))
-    found = terms.join(keyword_index(chunks), "token").select("qid", "chunk_id").distinct()
+    """(qid, chunk_id, score, rank) for queries(qid, text, doc_filter if there is one): chunks that hold a
+    keyword as a word, of the wanted document only, the first ``pool`` by chunk_id (a limit of the operator
+    itself), scored by how many keywords occur anywhere in their text.  Candidates come from an
+    equality join on words; texts join last."""
+    wanted = F.col("doc_filter").cast("string") if "doc_filter" in queries.columns else F.lit(None).cast("string")
+    asked = queries.select("qid", T.keywords(F.col("text")).alias("kws"), wanted.alias("wanted")).where(F.size("kws") > 0)
+    terms = asked.select("qid", "wanted", F.explode("kws").alias("token"))
+    index = keyword_index(chunks)
+    if "doc_filter" in queries.columns:
+        index = chunks.select("chunk_id", F.col("doc_id").cast("string").alias("of_doc"), F.explode(T.tokens(F.col("text"))).alias("token"))
+        terms = terms.join(index, "token").where("wanted is null or wanted = of_doc")
+    else:
+        terms = terms.join(index, "token")
+    found = terms.select("qid", "chunk_id").distinct()
     order = Window.partitionBy("qid").orderBy("chunk_id")
     pooled = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max(pool, limit)).drop("n")
     texts = chunks.select("chunk_id", F.lower("text").alias("low"))
@@ -107,11 +148,11 @@ def fuzzy_entities(queries: DataFrame, entities: DataFrame, limit: int = 10, sho
     distance 1 (words up to four letters) or 2 of a query word.  Score: over matched query words,
     one less distance by length; ties by longer name, then key.
 
-    Words meet by equality of what deletions leave of them, then the distance is checked."""
+    Words meet by equality of keys that near ones share, then the distance is checked."""
     terms = queries.select("qid", F.explode(T.fuzzy_terms(F.col("text"))).alias("t")).select("qid", "t.word", "t.within").distinct()
     named = entities.where(F.length("name") >= shortest).select("entity_key", "name", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("name"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("token"))
-    left = terms.select("word", "within").distinct().select("word", "within", F.explode(T.deletions(F.col("word"), F.col("within"))).alias("rest"))
-    right = named.select("token").distinct().select("token", F.explode(T.deletions(F.col("token"), F.lit(2))).alias("rest"))
+    left = terms.select("word", "within").distinct().select("word", "within", F.explode(T.near_probe(F.col("word"), F.col("within"))).alias("rest"))
+    right = named.select("token").distinct().select("token", F.explode(T.near_index(F.col("token"))).alias("rest"))
     near = left.join(right, "rest").select("word", "within", "token").distinct()
     near = near.withColumn("d", F.levenshtein("word", "token", 2)).where("d >= 0 and d <= within")
     hits = terms.join(near, ["word", "within"]).join(named, "token")
@@ -158,27 +199,43 @@ def contained(candidate: Column, other: Column) -> Column:
     return F.when(F.size(mine) > 0, F.size(F.array_intersect(mine, theirs)) / F.size(mine)).otherwise(0.0)
 
 
-def greedy_select(ranked: DataFrame, size: int, near_dup: float = RetrievalConfig.near_dup, cap: int = RetrievalConfig.per_doc_cap) -> DataFrame:
-    """ranked(qid, pos, chunk_id, doc_id, text, score, source) -> the rows kept, with ``place`` from 1.
+def greedy_select(ranked: DataFrame, size: int, near_dup: float = RetrievalConfig.near_dup, cap: int = RetrievalConfig.per_doc_cap, first: int = 64) -> DataFrame:
+    """ranked(qid, pos, chunk_id, doc_id, text, ...) -> the rows kept, with ``place`` from 1.
 
     In order of pos: skip blank texts, then near copies of what was kept, then documents that have
     their share, until ``size`` rows are kept.  Each decision needs the ones before, so a query's
-    ranked candidates are folded in one row; word sets are made once, and the fold carries only
-    the kept rows, of which there are ``size`` at most."""
-    rows = ranked.where(F.length(T.strip(F.col("text"))) > 0)
-    whole = F.struct(*ranked.columns)
-    item = F.struct("pos", F.coalesce(F.col("doc_id").cast("string"), F.lit("?")).alias("doc"), F.array_distinct(T.words(F.lower("text"))).alias("bag"), whole.alias("row"))
-    lists = rows.groupBy("qid").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    kind = lists.schema["items"].dataType.simpleString()
+    candidates are folded in one row: of hashed words without texts, the ``first`` ones at once and
+    those beyond in rising slices, for the queries only that are not full by then.  Texts join last."""
+    bag = F.transform(F.array_distinct(T.words(F.lower("text"))), lambda w: F.xxhash64(w))
+    slim = ranked.where(F.length(T.strip(F.col("text"))) > 0).select("qid", F.col("pos").cast("int").alias("pos"), F.coalesce(F.col("doc_id").cast("string"), F.lit("?")).alias("doc"), bag.alias("bag"))
+    slim = written(slim, "candidates")
+    item = F.struct("pos", "doc", "bag")
+    kind = "array<struct<pos:int,doc:string,bag:array<bigint>>>"
 
     def step(kept: Column, x: Column) -> Column:
         close = F.exists(kept, lambda k: F.size(F.array_intersect(x["bag"], k["bag"])) / F.size(x["bag"]) >= near_dup)
         full = F.size(F.filter(kept, lambda k: k["doc"] == x["doc"])) >= cap
         return F.when((F.size(kept) >= size) | close | full, kept).otherwise(F.concat(kept, F.array(x)))
 
-    kept = F.aggregate(F.col("items").cast(kind), F.array().cast(kind), step)
-    chosen = lists.select(F.posexplode(kept).alias("place", "k"))
-    return chosen.select("k.row.*", (F.col("place") + 1).alias("place"))
+    most = slim.agg(F.max("pos").alias("most")).first()["most"] or 0
+    done, low, high = None, 0, first
+    while True:
+        part = slim.where((F.col("pos") > low) & (F.col("pos") <= high))
+        lists = part.groupBy("qid").agg(F.sort_array(F.collect_list(item)).alias("items"))
+        if done is None:
+            joined = lists.withColumn("kept", F.array().cast(kind))
+        else:
+            joined = done.join(lists, "qid", "full").withColumn("kept", F.coalesce("kept", F.array().cast(kind)))
+        folded = F.when((F.size("kept") >= size) | F.col("items").isNull(), F.col("kept")).otherwise(F.aggregate(F.col("items").cast(kind), F.col("kept").cast(kind), step))
+        done = joined.select("qid", folded.alias("kept"))
+        if high >= most:
+            break
+        done = written(done, "kept")
+        # queries that are full need none of their later candidates
+        slim = slim.join(done.where(F.size("kept") >= size).select("qid"), "qid", "left_anti").where(F.col("pos") > high)
+        low, high = high, 8 * high
+    chosen = done.select("qid", F.posexplode(F.transform("kept", lambda x: x["pos"])).alias("place", "pos"))
+    return ranked.join(chosen, ["qid", "pos"]).select(*(F.col(f"`{c}`") for c in ranked.columns), (F.col("place") + 1).alias("place"))
 
 
 def per_doc_cap(ranked: DataFrame, cap: int) -> DataFrame:
@@ -213,32 +270,210 @@ def format_context(rows: DataFrame) -> DataFrame:
     return lists.select("qid", F.array_join(F.transform("lines", lambda x: x["line"]), "\n\n---\n\n").alias("context"))
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, mentions: DataFrame, edges: DataFrame, entities: DataFrame, config: RetrievalConfig = RetrievalConfig(), strict_doc_filter: bool = False) -> DataFrame:
-    """All channels for all queries(qid, text, vec, doc_filter) over chunks(chunk_id, doc_id, index, text,
-    embedding): (qid, place, chunk_id, doc_id, text, score, source).
+def rag_messages(queries: DataFrame, contexts: DataFrame, system: str = RetrievalConfig.system_prompt) -> DataFrame:
+    """(qid, messages array<struct<role,content>>): system prompt with the context, the turns before
+    (column history, if there is one), the question."""
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    context = F.coalesce(F.when(T.strip(F.col("context")) != "", T.strip(F.col("context"))), F.lit("(nothing was found)"))
+    kind = "array<struct<role:string,content:string>>"
+    before = F.coalesce(F.col("history").cast(kind), F.array().cast(kind)) if "history" in queries.columns else F.array().cast(kind)
+    joined = queries.join(contexts.select("qid", "context"), "qid", "left")
+    messages = F.concat(F.array(message("system", F.concat(F.lit(system + "\n\nContext:\n"), context))).cast(kind), before, F.array(message("user", F.col("text"))).cast(kind))
+    return joined.select("qid", messages.alias("messages"))
 
-    A document filter holds for the vector and keyword channels, with ``strict_doc_filter`` for all."""
-    from quarry.operators.graph import expand
 
+#: What stands for a channel in the list of sources.
+MARKS = (("vector", "[v]"), ("entity_name", "[e]"), ("graph", "[g]"), ("keyword", "[k]"), ("neighbor", "[n]"), ("path", "[p]"))
+
+
+def source_line(number: Column, source: Column, doc_id: Column, text: Column) -> Column:
+    """One source: number, marks of its channels, document, and the first hundred characters."""
+    marks = F.create_map(*(F.lit(x) for pair in MARKS for x in pair))
+    shown = F.array_join(F.array_distinct(F.transform(F.split(source, "[+]"), lambda s: F.coalesce(marks[s], F.lit("[?]")))), "")
+    flat = F.replace(T.strip(F.coalesce(text, F.lit(""))), F.lit("\n"), F.lit(" "))
+    snippet = F.when(F.length(flat) > 100, F.concat(F.substring(flat, 1, 100), F.lit("…"))).otherwise(flat)
+    return F.concat(number.cast("string"), F.lit(". "), shown, F.lit(" `"), doc_id, F.lit("` — "), snippet)
+
+
+def sources_footer(queries: DataFrame, results: DataFrame) -> DataFrame:
+    """(qid, footer): the list of what was found for each question, to go below an answer."""
+    lines = results.select("qid", "place", source_line(F.col("place"), F.col("source"), F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), F.col("text")).alias("line"))
+    lists = lines.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n").alias("lines"))
+    none = F.lit("\n\n---\n_Nothing in the collection fits this question._")
+    return queries.select("qid").join(lists, "qid", "left").select("qid", F.coalesce(F.concat(F.lit("\n\n---\n**Sources:**\n"), F.col("lines")), none).alias("footer"))
+
+
+def path_pairs(named: DataFrame, most: int = RetrievalConfig.path_pairs) -> DataFrame:
+    """(pair_id, source, target): each of the first ``most`` named entities (qid, entity_key, rank) with the next."""
+    after = named.select("qid", (F.col("rank") - 1).alias("rank"), F.col("entity_key").alias("target"))
+    pair = F.concat_ws(":", F.col("qid").cast("string"), F.col("rank").cast("string"))
+    return named.where(F.col("rank") <= most).join(after, ["qid", "rank"]).select(pair.alias("pair_id"), F.col("entity_key").alias("source"), "target")
+
+
+def path_entries(named: DataFrame, edges: DataFrame, entities: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+    """(qid, n, text): relationship paths between named entities that follow one another, numbered from 0."""
+    from quarry.operators.graph import path_lines, shortest_paths
+
+    paths = written(shortest_paths(path_pairs(named, config.path_pairs), edges, config.path_hops), "paths")
+    parts = F.split("pair_id", ":")
+    lines = path_lines(paths, edges, entities).select(F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), ":").cast(named.schema["qid"].dataType).alias("qid"), F.element_at(parts, -1).cast("int").alias("nth"), "text")
+    return lines.select("qid", (F.row_number().over(Window.partitionBy("qid").orderBy("nth")) - 1).alias("n"), "text")
+
+
+@dataclass
+class Retrieval:
+    """What a retrieval gives: results (qid, place, chunk_id, doc_id, text, score, source), related entities
+    (qid, name, type) and the seconds of each step."""
+
+    results: DataFrame
+    related: DataFrame
+    timings: dict[str, float]
+
+
+def condensed(queries: DataFrame, model: ChatModel, turns: int = RetrievalConfig.history_turns) -> DataFrame:
+    """queries with a column history (array<struct<role,text>> or null): a follow-up becomes a question that
+    stands alone, by a model's reply; without history or reply it stays."""
+    last = F.slice("history", F.greatest(F.size("history") - turns + 1, F.lit(1)), turns)
+    said = F.array_join(F.transform(last, lambda h: F.concat_ws(": ", h["role"], h["text"])), "\n")
+    some = F.coalesce(F.size("history") > 0, F.lit(False))
+    task = "\n\nWrite the question so that it can be understood without the conversation; leave it as it is if it can be already. Give the question alone."
+    prompt = F.concat(F.lit("Conversation:\n"), said, F.lit("\n\nQuestion: "), F.col("text"), F.lit(task))
+    replies = ask(queries.where(some).select("qid", prompt.alias("prompt")), model, "prompt").select("qid", T.strip(F.col("reply")).alias("fresh")).where("fresh <> ''")
+    return queries.join(replies, "qid", "left").withColumn("text", F.coalesce("fresh", "text")).drop("fresh")
+
+
+def variants_of(queries: DataFrame, model: ChatModel, most: int = RetrievalConfig.expansion_count) -> DataFrame:
+    """(qid, variant_no, text): other wordings of each question, by a model; none where its reply is no list."""
+    prompt = F.concat(F.lit(f"Word this question in {most} other ways that mean the same. Give a JSON array of {most} strings and nothing else.\n\nQuestion: "), F.col("text"))
+    replies = ask(queries.select("qid", prompt.alias("prompt")), model, "prompt")
+    return replies.select("qid", F.posexplode(string_list(F.col("reply"), most)).alias("variant_no", "text"))
+
+
+def reranked(kept: DataFrame, queries: DataFrame, model: ChatModel, size: int) -> DataFrame:
+    """The ``size`` rows of each question that a model scores highest; their order where its reply is no scores."""
+    from quarry.operators.agentic import rerank
+
+    line = F.concat(F.lit("["), (F.col("place") - 1).cast("string"), F.lit("] "), F.substring("text", 1, 400))
+    lists = kept.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
+    task = '\n\nGive a JSON array like [{"index": 0, "score": 8}], one entry for each passage, with a score of 0 to 10 for how much it helps to answer the question.'
+    prompts = lists.join(queries.select("qid", F.col("text").alias("question")), "qid").select("qid", F.concat(F.lit("Question: "), "question", F.lit("\n\nPassages:\n"), "lines", F.lit(task)).alias("prompt"))
+    scored = rerank(kept.join(ask(prompts, model, "prompt").select("qid", "reply"), "qid"))
+    return scored.drop("place").withColumnRenamed("new_place", "place").where(F.col("place") <= size)
+
+
+def retrieval(queries: DataFrame, chunks: DataFrame, mentions: DataFrame, edges: DataFrame, entities: DataFrame, config: RetrievalConfig = RetrievalConfig(), strict_doc_filter: bool = False, model: ChatModel | None = None, embedder: Embedder | None = None) -> Retrieval:
+    """All channels for all queries(qid, text, vec, doc_filter, and history if there is one) over
+    chunks(chunk_id, doc_id, index, text, embedding).
+
+    With ``model`` (and ``embedder``, for new wordings) the steps that the settings switch on are taken:
+    follow-ups are condensed, other wordings widen the vector channel, a wider pool is ranked anew.
+    Every channel is a written table; where one but the vectors' fails, it is left empty
+    (``fail_soft``).  A document filter holds for the vector and keyword channels, with
+    ``strict_doc_filter`` for all.  Paths between named entities come last."""
+    from quarry.operators.graph import expand, related_entities
+
+    timings: dict[str, float] = {}
+    began = time.perf_counter()
+
+    def step(name: str, make, empty: str | None) -> DataFrame:
+        """A written step; ``empty`` is the shape of what stands for one that fails."""
+        start = time.perf_counter()
+        try:
+            return written(make(), name)
+        except Exception:
+            if empty is None or not config.fail_soft:
+                raise
+            logger.warning("retrieval: %s failed, going on without it", name, exc_info=True)
+            return queries.sparkSession.createDataFrame([], empty)
+        finally:
+            timings[name] = round(time.perf_counter() - start, 3)
+
+    qid, chunk = (f"{name} {frame.schema[name].dataType.simpleString()}" for name, frame in (("qid", queries), ("chunk_id", chunks)))
+    ranks = f"{qid}, {chunk}, score double, rank int"
     limit = config.top_k * config.candidate_factor
+    reworded = lambda rows: embed(rows.drop("vec"), embedder, prefix="query: ").withColumnRenamed("embedding", "vec")
+    if config.condense and model and embedder and "history" in queries.columns:
+        queries = step("condense", lambda: reworded(condensed(queries, model, config.history_turns)), None)
     allowed = queries.select("qid", F.col("doc_filter").cast("string").alias("doc_filter"))
     of_doc = chunks.select("chunk_id", F.col("doc_id").cast("string").alias("of_doc"))
 
     def filtered(hits: DataFrame) -> DataFrame:
-        ok = hits.join(of_doc, "chunk_id").join(allowed, "qid").where("doc_filter is null or doc_filter = of_doc")
-        return ok.select(hits.columns)
-
-    vector = vector_topk(queries, chunks, limit, config.min_score)
-    entity = entity_channel(fuzzy_entities(queries, entities), mentions)
-    entity = filtered(entity) if strict_doc_filter else entity
+        if not strict_doc_filter:
+            return hits
+        return hits.join(of_doc, "chunk_id").join(allowed, "qid").where("doc_filter is null or doc_filter = of_doc").select(hits.columns)
+
+    vector = step("vector", lambda: vector_topk(queries, chunks, limit, config.min_score).select("qid", "chunk_id", "rank"), None)
+    if config.expansion and model and embedder:
+
+        def widened() -> DataFrame:
+            asked = variants_of(queries, model, config.expansion_count).join(allowed, "qid")
+            each = F.struct("qid", "variant_no")
+            hits = vector_topk(reworded(asked).select(each.alias("qid"), "vec", "doc_filter"), chunks, limit, config.min_score)
+            return expand_variants(vector, hits.select("qid.qid", "qid.variant_no", "chunk_id", "rank"))
+
+        wider = step("expansion", widened, f"{qid}, {chunk}, rank int")
+        vector = wider if wider.limit(1).count() else vector
+    named = step("named_entities", lambda: fuzzy_entities(queries, entities), f"{qid}, entity_key string, name string, score double, rank int")
+    entity = step("entity_name", lambda: filtered(entity_channel(named, mentions)), ranks)
+    keyword = step("keyword", lambda: keyword_topk(queries, chunks, limit, config.keyword_pool), ranks)
     seeds = vector.select("qid", "chunk_id").unionByName(entity.select("qid", "chunk_id")).distinct()
-    graph = expand(seeds, mentions, edges, entities, config.graph_expand, config.excluded_types)
-    graph = filtered(graph) if strict_doc_filter else graph
-    keyword = filtered(keyword_topk(queries, chunks, limit, config.keyword_pool))
-    fused = rrf({"vector": vector, "entity_name": entity, "graph": graph, "keyword": keyword}, config)
+    graph = step("graph", lambda: filtered(expand(seeds, mentions, edges, entities, config.graph_expand, config.excluded_types)), ranks)
+    fused = step("fusion", lambda: rrf({"vector": vector, "entity_name": entity, "graph": graph, "keyword": keyword}, config), None)
     ranked = fused.join(chunks.select("chunk_id", "doc_id", "index", "text"), "chunk_id")
-    kept = greedy_select(ranked, config.top_k, config.near_dup, config.per_doc_cap)
-    return with_neighbours(kept, chunks, config)
+    pool = config.top_k * config.rerank_pool if config.rerank and model else config.top_k
+    kept = step("selection", lambda: greedy_select(ranked, pool, config.near_dup, config.per_doc_cap), None)
+    if config.rerank and model:
+        kept = step("rerank", lambda: reranked(kept, queries, model, config.top_k), None)
+    plain = kept.select("qid", "place", "chunk_id", F.col("doc_id").cast("string").alias("doc_id"), "text", "score", "source")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
+    found = plain
+    if config.neighbour_window > 0:
+        found = plain.unionByName(step("neighbours", lambda: with_neighbours(kept, chunks, config).where("source = 'neighbor'").withColumn("doc_id", F.col("doc_id").cast("string")), kinds))
+    paths = step("paths", lambda: path_entries(named, edges, entities, config), f"{qid}, n int, text string")
+    if chunks.schema["chunk_id"].dataType.simpleString() == "string":  # a path is no chunk; its id is a text
+        size = found.groupBy("qid").agg(F.max("place").alias("size"))
+        extra = paths.join(size, "qid", "left").select("qid", (F.coalesce("size", F.lit(0)) + F.col("n") + 1).alias("place"), F.concat(F.lit("path:"), F.col("n").cast("string")).alias("chunk_id"), F.lit("(graph relationship)").alias("doc_id"), "text", F.lit(1.0).alias("score"), F.lit("path").alias("source"))
+        found = found.unionByName(extra)
+    related = step("related", lambda: related_entities(seeds, mentions, entities), f"{qid}, name string, type string")
+    timings["total"] = round(time.perf_counter() - began, 3)
+    return Retrieval(found, related, timings)
+
+
+def hybrid(queries: DataFrame, chunks: DataFrame, mentions: DataFrame, edges: DataFrame, entities: DataFrame, config: RetrievalConfig = RetrievalConfig(), strict_doc_filter: bool = False, model: ChatModel | None = None, embedder: Embedder | None = None) -> DataFrame:
+    """The results of :func:`retrieval`."""
+    return retrieval(queries, chunks, mentions, edges, entities, config, strict_doc_filter, model, embedder).results
+
+
+def holders(docs: DataFrame, passages: DataFrame, width: int = 5) -> DataFrame:
+    """(qid, doc_id) of the documents whose text contains a passage(qid, passage).
+
+    Words inside a passage are words of a text that holds it, so the two meet on a run of ``width`` of
+    them (fewer in a shorter passage); a passage without words inside meets on its first three
+    characters.  Then the text is compared."""
+    words = passages.select("qid", "passage", F.split("passage", r"(?U)\s+").alias("w"))
+    inner = F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0)))
+    keyed = words.select("qid", "passage", F.slice(inner, 1, width).alias("run"))
+    by_words = keyed.where(F.size("run") > 0).select("qid", "passage", F.size("run").alias("n"), F.xxhash64(F.array_join("run", " ")).alias("key"))
+    by_start = keyed.where(F.size("run") == 0).select("qid", "passage", (-F.least(F.length("passage"), F.lit(3))).alias("n"), F.xxhash64(F.substring("passage", 1, 3)).alias("key"))
+    asked = by_words.unionByName(by_start).where("passage <> ''")
+    sizes = [r["n"] for r in asked.select("n").distinct().collect()]  # at most ``width`` + 3 numbers
+    texts = docs.select("doc_id", "text")
+    split = texts.select("doc_id", F.split("text", r"(?U)\s+").alias("w"), "text")
+
+    def runs(n: int) -> Column:
+        """Hashes of all runs of n words, or of -n characters."""
+        if n > 0:
+            return F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(n)), " ")))
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1))), lambda i: F.xxhash64(F.substr("text", i, F.lit(-n))))
+
+    found = None
+    for n in sizes:
+        keys = split.select("doc_id", F.explode(F.array_distinct(runs(n))).alias("key"))
+        met = keys.join(asked.where(F.col("n") == n).select("qid", "key"), "key").select("doc_id", "qid")
+        found = met if found is None else found.unionByName(met)
+    if found is None:
+        return texts.limit(0).join(passages.select("qid").limit(0)).select("qid", "doc_id")
+    return found.distinct().join(texts, "doc_id").join(passages, "qid").where(F.contains("text", "passage")).select("qid", "doc_id")
 
 
 def hit_rate_mrr(cases: DataFrame, results: DataFrame) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions import text as T
+
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Insert or replace rows by key: the new batch wins."""
@@ -16,6 +19,26 @@ def replace_documents(old: DataFrame, new: DataFrame) -> DataFrame:
     return upsert(old, new, "doc_id")
 
 
+def document_rows(blocks: DataFrame) -> DataFrame:
+    """(doc_id, content_hash) of documents as blocks (doc_id, block_no, text)."""
+    lists = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_no", F.coalesce("text", F.lit("")).alias("text")))).alias("l"))
+    return lists.select("doc_id", T.content_hash(F.transform("l", lambda x: x["text"])).alias("content_hash"))
+
+
+def assert_unique(rows: DataFrame, key: str) -> None:
+    """Raises where two rows share a key."""
+    twice = rows.groupBy(key).count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"{key} {twice[0][key]!r} is not unique")
+
+
+def assert_one_size(rows: DataFrame, vector: str) -> None:
+    """Raises where vectors differ in size."""
+    sizes = rows.agg(F.min(F.size(vector)).alias("least"), F.max(F.size(vector)).alias("most")).first()
+    if sizes["least"] != sizes["most"]:
+        raise ValueError(f"vectors of {sizes['least']} to {sizes['most']} numbers in one table")
+
+
 def recent(jobs: DataFrame, limit: int) -> DataFrame:
     return jobs.orderBy(F.desc("created_at"), F.desc("job_id")).limit(limit)
 
@@ -35,3 +58,48 @@ def prune_finished(jobs: DataFrame, keep: int) -> DataFrame:
 
 def can_cancel(status: str) -> bool:
     return status in ("queued", "processing")
+
+
+class JobLog:
+    """A job's events (job_id, status, detail, at, seq), appended to a folder as JSON lines.
+
+    Changes of status are written at once, progress only every ``every``-th time.  A cancelled job is
+    asked to stop: whoever works on it looks between batches."""
+
+    SHAPE = "job_id string, status string, detail string, at timestamp, seq bigint"
+
+    def __init__(self, spark: SparkSession, folder: str, every: int = 5):
+        self.spark, self.folder, self.every, self.seq, self.steps = spark, folder, every, 0, 0
+
+    def add(self, job_id: str, status: str, detail: str | None = None) -> None:
+        self.seq += 1
+        row = self.spark.range(1).select(F.lit(job_id).alias("job_id"), F.lit(status).alias("status"), F.lit(detail).cast("string").alias("detail"), F.current_timestamp().alias("at"), F.lit(self.seq).cast("bigint").alias("seq"))
+        row.write.mode("append").json(self.folder)
+
+    def progress(self, job_id: str, detail: str) -> bool:
+        """Note progress; whether it was written."""
+        self.steps += 1
+        due = self.steps % self.every == 0
+        if due:
+            self.add(job_id, "processing", detail)
+        return due
+
+    def events(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(self.SHAPE).json(self.folder)
+        except AnalysisException:  # nothing was written yet
+            return self.spark.createDataFrame([], self.SHAPE)
+
+    def status(self, job_id: str) -> str | None:
+        row = latest_status(self.events().where(F.col("job_id") == job_id)).first()
+        return row and row["status"]
+
+    def request_cancel(self, job_id: str) -> bool:
+        """Whether there was something to cancel."""
+        if not can_cancel(self.status(job_id) or ""):
+            return False
+        self.add(job_id, "cancelled")
+        return True
+
+    def is_cancelled(self, job_id: str) -> bool:
+        return self.status(job_id) == "cancelled"

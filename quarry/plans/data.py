@@ -28,6 +28,10 @@ class Tables:
     def chunks(self) -> DataFrame:
         return chunking.chunk_documents(chunking.single_blocks(self.documents))
 
+    def stored_chunks(self) -> DataFrame:
+        """Chunks as a table of their own, for queries that read them more than once."""
+        return written(self.chunks(), "chunks")
+
     def vectors(self) -> DataFrame:
         e = self.embeddings
         return e.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("doc_id"), "embedding")
@@ -44,6 +48,12 @@ class Tables:
         text = F.concat(F.lit("Who sells a red widget in "), F.col("n_name"), F.lit(" or elsewhere in "), F.col("r_name"), F.lit("?"))
         return self.places().select(F.col("n_nationkey").cast("bigint").alias("qid"), text.alias("text"))
 
+    def nation_queries(self) -> DataFrame:
+        """One question per nation that names it and the next one only."""
+        other = self.nation.select((F.col("n_nationkey") - 1).alias("n_nationkey"), F.col("n_name").alias("other"))
+        text = F.concat_ws(" ", F.lit("from"), "n_name", F.lit("to"), "other")
+        return self.nation.join(F.broadcast(other), "n_nationkey", "left").select(F.col("n_nationkey").cast("bigint").alias("qid"), text.alias("text"))
+
     def text_queries(self) -> DataFrame:
         return self.benchmark.select(F.col("item_id").alias("qid"), "text")
 

@@ -10,7 +10,7 @@ from quarry.operators import graph
 from quarry.operators.shared import written
 from quarry.plans.catalogue import query
 from quarry.plans.data import Tables
-from quarry.plans.sql import EDGES, ENTITIES, GRAPH, with_
+from quarry.plans.sql import EDGES, ENTITIES, EXPAND, GRAPH, with_
 
 
 @query(with_(GRAPH, ENTITIES, select="SELECT entity_key, name, type, n_chunks, n_docs FROM entities"))
@@ -41,15 +41,7 @@ def _seeds(t: Tables) -> DataFrame:
 
 
 _SEED_SQL = "seeds AS (SELECT n_nationkey AS qid, arg_min(chunk_id, base) AS chunk_id FROM o JOIN nation ON o.n_name = nation.n_name GROUP BY 1)"
-_EXPAND = """seed_entities AS (SELECT DISTINCT qid, entity_key AS seed FROM seeds JOIN mentions USING (chunk_id)),
- reached AS (SELECT qid, other, sum(weight) AS weight FROM seed_entities JOIN both_ways USING (seed) JOIN entities e ON e.entity_key = other AND e.type <> 'DATE'
-   WHERE NOT EXISTS (SELECT 1 FROM seed_entities s WHERE s.qid = seed_entities.qid AND s.seed = other) GROUP BY 1, 2),
- links AS (SELECT DISTINCT entity_key, chunk_id FROM mentions),
- hop AS (SELECT qid, l.chunk_id, CAST(sum(weight) AS BIGINT) AS score FROM reached JOIN links l ON l.entity_key = other
-   WHERE NOT EXISTS (SELECT 1 FROM seeds s WHERE s.qid = reached.qid AND s.chunk_id = l.chunk_id) GROUP BY 1, 2)"""
-
-
-@query(with_(GRAPH, EDGES, ENTITIES, _SEED_SQL, _EXPAND, select="SELECT qid, chunk_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM hop QUALIFY rank <= 5"))
+@query(with_(GRAPH, EDGES, ENTITIES, _SEED_SQL, EXPAND, select="SELECT qid, chunk_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM hop QUALIFY rank <= 5"))
 def graph_expand(t: Tables) -> DataFrame:
     m = t.stored_mentions()
     return graph.expand(_seeds(t), m, written(graph.edge_rollup(t.evidence()), "edges"), written(graph.entity_facts(m), "entities"), RetrievalConfig.graph_expand, RetrievalConfig.excluded_types).select("qid", "chunk_id", "score", "rank")
@@ -121,6 +113,7 @@ def dedupe_levenshtein(t: Tables) -> DataFrame:
     """Names within two edits, met by what deletions leave of them."""
     from quarry.functions import text as T
 
-    rest = t.part.select(F.col("p_name").alias("name")).distinct().select("name", F.explode(T.deletions(F.col("name"), F.lit(2))).alias("rest"))
-    pairs = rest.select(F.col("name").alias("a_name"), "rest").join(rest.select(F.col("name").alias("b_name"), "rest"), "rest").where("a_name < b_name").select("a_name", "b_name").distinct()
+    names = t.part.select(F.col("p_name").alias("name")).distinct()
+    asked = names.select(F.col("name").alias("a_name"), F.explode(T.near_probe(F.col("name"), F.lit(2))).alias("rest"))
+    pairs = asked.join(names.select(F.col("name").alias("b_name"), F.explode(T.near_index(F.col("name"))).alias("rest")), "rest").where("a_name < b_name").select("a_name", "b_name").distinct()
     return pairs.withColumn("d", F.levenshtein("a_name", "b_name", 2)).where("d >= 0")

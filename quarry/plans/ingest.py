@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import io
+import zipfile
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.config import KEY_HINTS, IngestConfig
@@ -113,13 +117,96 @@ def parse_json(t: Tables) -> DataFrame:
     return parsers.parse_files(files.select(F.concat("doc_id", F.lit(".json")).alias("path"), content.cast("binary").alias("content")))
 
 
-_HINT_ROWS = "(VALUES " + ", ".join(f"('{n}', '{k}', {g})" for g, (k, ns) in enumerate(KEY_HINTS) for n in ns.split()) + ")"
+def _parsed(files: DataFrame, suffix: str) -> DataFrame:
+    """Blocks of made files (name, content), by the file's name."""
+    found = parsers.parse_files(files.select(F.concat("name", F.lit(suffix)).alias("path"), F.col("content").cast("binary").alias("content")))
+    return found.withColumn("name", F.regexp_replace("path", r"\.[a-z]+$", ""))
+
+
+def _part_xml(row: str) -> Column:
+    """A part of the table as an element of this name: an attribute, a child with text, a nested one."""
+    return F.concat(F.lit(f'<{row} size="'), "p_size", F.lit('"><name>'), "p_name", F.lit("</name><made><brand>"), "p_brand", F.lit(f"</brand></made></{row}>"))
+
+
+@query("""SELECT 'b' || (p_partkey % 10) AS name, CAST(row_number() OVER (PARTITION BY p_partkey % 10 ORDER BY p_partkey) - 1 AS INTEGER) AS record,
+ 'part[@size]: ' || p_size || chr(10) || 'part.name: ' || p_name || chr(10) || 'part.made.brand: ' || p_brand AS text FROM part""")
+def parse_xml(t: Tables) -> DataFrame:
+    """Ten files of parts: a block per element below the root, of paths and values."""
+    lists = t.part.groupBy((F.col("p_partkey") % 10).alias("b")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", _part_xml("part").alias("x")))).alias("l"))
+    content = F.concat(F.lit('<parts xmlns="urn:p">'), F.array_join(F.transform("l", lambda x: x["x"]), ""), F.lit("</parts>"))
+    return _parsed(lists.select(F.concat(F.lit("b"), "b").alias("name"), content.alias("content")), ".xml").select("name", "record", "text")
+
+
+@query("""SELECT 'm' || s_suppkey AS name, 'headers' AS section, 'From: s' || s_suppkey || '@example.com' || chr(10) || 'To: all@example.com' || chr(10) || 'Subject: ' || s_name AS text FROM supplier
+ UNION ALL SELECT 'm' || s_suppkey, 'body', CASE WHEN s_suppkey % 2 = 0 THEN 'plain ' || s_name ELSE 'marked' || chr(10) || s_name END FROM supplier""")
+def parse_eml(t: Tables) -> DataFrame:
+    """A mail per supplier, half of them with an HTML body only."""
+    head = F.concat(F.lit("From: s"), "s_suppkey", F.lit("@example.com\nTo: all@example.com\nSubject: "), "s_name", F.lit("\nMIME-Version: 1.0\n"))
+    body = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("Content-Type: text/plain\n\nplain "), "s_name", F.lit("\n"))).otherwise(F.concat(F.lit("Content-Type: text/html\n\n<p>marked</p><p>"), "s_name", F.lit("</p>\n")))
+    return _parsed(t.supplier.select(F.concat(F.lit("m"), "s_suppkey").alias("name"), F.concat(head, body).alias("content")), ".eml").select("name", "section", "text")
+
+
+def _zipped(rows: DataFrame, parts: dict[str, str]) -> DataFrame:
+    """(name, content): a ZIP archive of each row's columns.  parts: column of each file in it."""
+
+    def run(batches):
+        for batch in batches:
+            made = []
+            for row in batch.to_pylist():
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w") as archive:
+                    for part, column in parts.items():
+                        archive.writestr(part, row[column])
+                made.append(out.getvalue())
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(made, pa.binary())], ["name", "content"])
+
+    return rows.mapInArrow(run, "name string, content binary")
+
+
+_WORD = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+_SHEET = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+
+
+@query("""SELECT 'd' || n_nationkey AS name, section, tbl AS "table", text FROM nation JOIN region ON r_regionkey = n_regionkey,
+ LATERAL (SELECT NULL AS section, NULL::INTEGER AS tbl, 'about ' || n_name AS text UNION ALL SELECT r_name, NULL, 'first' || chr(10) || 'second' UNION ALL SELECT NULL, 1, n_name || ' | ' || r_name)""")
+def parse_docx(t: Tables) -> DataFrame:
+    """A document per nation: text, a heading with two paragraphs, a table."""
+    said = lambda text, style="": F.concat(F.lit(f"<w:p>{f'<w:pPr><w:pStyle w:val={chr(34)}{style}{chr(34)}/></w:pPr>' if style else ''}<w:r><w:t>"), text, F.lit("</w:t></w:r></w:p>"))
+    cell = lambda text: F.concat(F.lit("<w:tc>"), said(text), F.lit("</w:tc>"))
+    body = F.concat(said(F.concat(F.lit("about "), "n_name")), said(F.col("r_name"), "Heading1"), said(F.lit("first")), said(F.lit("second")), F.lit("<w:tbl><w:tr>"), cell(F.col("n_name")), cell(F.col("r_name")), F.lit("</w:tr></w:tbl>"))
+    xml = F.concat(F.lit(f'<w:document xmlns:w="{_WORD}"><w:body>'), body, F.lit("</w:body></w:document>"))
+    files = _zipped(t.places().select(F.concat(F.lit("d"), "n_nationkey").alias("name"), xml.alias("body")), {"word/document.xml": "body"})
+    return _parsed(files, ".docx").select("name", "section", "table", "text")
+
+
+@query("""SELECT 'x' || r_regionkey AS name, 'Nations' AS sheet, CASE WHEN b = 0 THEN 1 ELSE b * 20 + 2 END || '-' || (max(n) + 1) AS rows, string_agg('key: ' || n_nationkey || '; name: ' || n_name, chr(10) ORDER BY n) AS text
+ FROM (SELECT r_regionkey, n_nationkey, n_name, n, (n - 1) // 20 AS b FROM (SELECT r_regionkey, n_nationkey, n_name, row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey) AS n FROM region, nation)) GROUP BY r_regionkey, b""")
+def parse_xlsx(t: Tables) -> DataFrame:
+    """A workbook per region that lists all nations: blocks of 20 rows."""
+    row = F.concat(F.lit("<row><c><v>"), "n_nationkey", F.lit('</v></c><c t="inlineStr"><is><t>'), "n_name", F.lit("</t></is></c></row>"))
+    lists = t.nation.agg(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("x")))).alias("l"))  # 25 nations
+    head = '<row><c t="inlineStr"><is><t>key</t></is></c><c t="inlineStr"><is><t>name</t></is></c></row>'
+    sheet = F.concat(F.lit(f'<worksheet xmlns="{_SHEET}"><sheetData>{head}'), F.array_join(F.transform("l", lambda x: x["x"]), ""), F.lit("</sheetData></worksheet>"))
+    book = F.lit(f'<workbook xmlns="{_SHEET}"><sheets><sheet name="Nations"/></sheets></workbook>')
+    named = lists.withColumn("keys", F.lit(1)).join(t.region.select(F.lit(1).alias("keys"), "r_regionkey"), "keys")  # one row beside five
+    rows = named.select(F.concat(F.lit("x"), "r_regionkey").alias("name"), book.alias("book"), sheet.alias("sheet"))
+    return _parsed(_zipped(rows, {"xl/workbook.xml": "book", "xl/worksheets/sheet1.xml": "sheet"}), ".xlsx").select("name", "sheet", "rows", "text")
+
+
+@query(with_(CHUNKS.replace("FROM documents", "FROM (SELECT doc_id, text FROM documents)"), select="SELECT chunk_id, 'p' || (doc_id % 7) AS section, CAST(doc_id % 5 AS INTEGER) AS page FROM chunks", recursive=True))
+def chunk_metadata(t: Tables) -> DataFrame:
+    """What a block carries (page, section) comes with each of its chunks."""
+    blocks = chunking.single_blocks(t.documents).withColumn("section", F.concat(F.lit("p"), F.col("doc_id") % 7)).withColumn("page", (F.col("doc_id") % 5).cast("int"))
+    return chunking.chunk_documents(blocks).select("chunk_id", "section", "page")
+
+
+_HINT_ROWS = "(VALUES " + ", ".join(f"('{n}', '{k}', {g})" for g, (k, ns) in enumerate(KEY_HINTS) for n in ns) + ")"
 
 
 @query(f"SELECT a.needle AS field, arg_min(b.kind, b.group_no) AS kind FROM (SELECT DISTINCT needle FROM {_HINT_ROWS} v(needle, kind, group_no)) a JOIN {_HINT_ROWS} b(needle, kind, group_no) ON contains(a.needle, b.needle) GROUP BY 1")
 def key_type_hints(t: Tables) -> DataFrame:
     """Every known part of a field name, judged as a field name of its own."""
-    names = sorted({n for _, needles in KEY_HINTS for n in needles.split()})
+    names = sorted({n for _, needles in KEY_HINTS for n in needles})
     return t.spark.range(1).select(F.explode(F.array(*(F.lit(n) for n in names))).alias("field")).select("field", T.key_type(F.col("field")).alias("kind"))
 
 
@@ -151,24 +238,54 @@ def structural_walk(t: Tables) -> DataFrame:
     return found.select("chunk_id", F.inline("entities"))
 
 
-@query(with_(GRAPH, select="SELECT chunk_id, CAST(0.75 AS DOUBLE) AS coverage FROM o UNION ALL SELECT chunk_id, CAST(0.8 AS DOUBLE) FROM l"))
+#: (kind of record, field) of the records that the two queries judge, and what each field's name tells.
+_JUDGED = {"o": ["customer", "country", "note", "order_date"], "l": [*LINE_FIELDS, "note"]}
+_ODD = {"o": ORDER_FIELDS, "l": ["supplier", "a1", "a2", "a3", "a4", "a5"]}
+
+
+def _coverage_sql(fields: dict[str, list[str]]) -> str:
+    rows = ", ".join(f"('{kind}', '{name}')" for kind, names in fields.items() for name in names)
+    return f"""hints AS (SELECT needle FROM {_HINT_ROWS} v(needle, kind, group_no)),
+ judged AS (SELECT f.kind, f.name, bool_or(contains(f.name, needle)) AS known FROM (VALUES {rows}) f(kind, name), hints GROUP BY 1, 2),
+ covered AS (SELECT kind, count(*) FILTER (WHERE known) / count(*) AS coverage FROM judged GROUP BY 1),
+ records AS (SELECT chunk_id, 'o' AS kind FROM o UNION ALL SELECT chunk_id, 'l' FROM l)"""
+
+
+@query(with_(GRAPH, _coverage_sql(_JUDGED), select="SELECT chunk_id, coverage FROM records JOIN covered USING (kind)"))
 def structural_coverage(t: Tables) -> DataFrame:
+    """Share of each record's fields whose names tell a kind."""
     keys = ["chunk_id", "doc_id", "base"]
-    orders = structural.flat_fields(t.order_records().withColumn("note", F.lit("-")), keys, ["customer", "country", "note", "order_date"])
-    lines = structural.flat_fields(t.line_records().withColumn("note", F.lit("-")), keys, [*LINE_FIELDS, "note"])
+    orders = structural.flat_fields(t.order_records().withColumn("note", F.lit("-")), keys, _JUDGED["o"])
+    lines = structural.flat_fields(t.line_records().withColumn("note", F.lit("-")), keys, _JUDGED["l"])
     return structural.coverage_of(orders, keys).select("chunk_id", "coverage").unionByName(structural.coverage_of(lines, keys).select("chunk_id", "coverage"))
 
 
-@query(with_(GRAPH, select="SELECT chunk_id, CASE WHEN substr(chunk_id, 1, 1) = 'o' THEN 'structural' ELSE 'model' END AS route FROM (SELECT chunk_id FROM o UNION ALL SELECT chunk_id FROM l)"))
+@query(with_(GRAPH, _coverage_sql(_ODD), select=f"SELECT chunk_id, CASE WHEN coverage >= {IngestConfig.min_coverage} THEN 'structural' ELSE 'model' END AS route FROM records JOIN covered USING (kind)"))
 def coverage_gate(t: Tables) -> DataFrame:
     """Records whose fields are mostly unknown go to the language model."""
     keys = ["chunk_id", "doc_id", "base"]
-    known = structural.coverage_of(structural.flat_fields(t.order_records(), keys, ORDER_FIELDS), keys)
+    known = structural.coverage_of(structural.flat_fields(t.order_records(), keys, _ODD["o"]), keys)
     odd = t.line_records().select("*", *(F.lit("-").alias(x) for x in ("a1", "a2", "a3", "a4", "a5")))
-    other = structural.coverage_of(structural.flat_fields(odd, keys, ["supplier", "a1", "a2", "a3", "a4", "a5"]), keys)
+    other = structural.coverage_of(structural.flat_fields(odd, keys, _ODD["l"]), keys)
     return known.unionByName(other).select("chunk_id", F.when(F.col("coverage") >= IngestConfig.min_coverage, "structural").otherwise("model").alias("route"))
 
 
+@query("""SELECT p_partkey, route, name, type FROM (
+ SELECT p_partkey, 'structural' AS route, p_name AS name, 'PRODUCT' AS type FROM part WHERE p_partkey % 2 = 0 AND length(p_name) <= 100
+ UNION ALL SELECT DISTINCT p_partkey, 'model', w, 'CONCEPT' FROM (SELECT p_partkey, unnest(regexp_extract_all(p_type || ' made as Large ' || p_brand, '\\b[A-Z][a-z]{3,}\\b')) AS w FROM part WHERE p_partkey % 2 = 1))""")
+def gated_extraction(t: Tables) -> DataFrame:
+    """Both branches: records with known fields by their structure, the others' texts by a (scripted) model."""
+    from quarry.operators.extraction import gated_extraction as gated
+    from quarry.operators.providers import ScriptedChat
+
+    known = F.to_json(F.struct(F.col("p_name").alias("product"), F.col("p_size").alias("zzz")))
+    unknown = F.to_json(F.struct(F.col("p_brand").alias("qqq"), F.col("p_size").alias("zzz")))
+    text = F.concat_ws(" ", "p_type", F.lit("made as Large"), "p_brand")
+    rows = t.part.select("p_partkey", text.alias("text"), F.when(F.col("p_partkey") % 2 == 0, known).otherwise(unknown).alias("value"))
+    found = gated(rows, ScriptedChat.capitalised_names(), "text")
+    return found.select("p_partkey", "route", F.inline("entities"))
+
+
 @query(with_(GRAPH, select="SELECT name AS raw_name, lower(name) AS entity_key FROM (SELECT DISTINCT name FROM mentions)"))
 def normalize_key(t: Tables) -> DataFrame:
     spaced = t.mentions().select("name").distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.config import RetrievalConfig
-from quarry.operators import agentic, extraction, store
+from quarry.operators import agentic, extraction, retrieve, store
 from quarry.plans.catalogue import query
 from quarry.plans.data import Tables
 
@@ -33,19 +33,46 @@ def condense_input(t: Tables) -> DataFrame:
     return lists.select("conv_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("history"))
 
 
-@query("""SELECT conv_id, 2 + count(*) FILTER (WHERE role <> 'system') AS n_messages, coalesce(string_agg(role, ',' ORDER BY turn) FILTER (WHERE role <> 'system'), '') AS roles FROM conversations GROUP BY 1""")
-def rag_messages(t: Tables) -> DataFrame:
-    """System message with context, history, question."""
-    role = F.when(F.col("role") != "system", F.struct("turn", "role"))
-    lists = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(role)).alias("l"))
-    return lists.select("conv_id", (F.size("l") + 2).cast("bigint").alias("n_messages"), F.array_join(F.transform("l", lambda x: x["role"]), ",").alias("roles"))
+_PROMPT = RetrievalConfig.system_prompt.replace("'", "''")
 
 
-@query("SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) || '. ' || replace(substr(text, 1, 100), chr(10), ' ') AS line, turn FROM conversations WHERE role = 'assistant'")
+@query(f"""WITH last AS (SELECT conv_id, max(turn) AS turn FROM conversations WHERE role <> 'system' GROUP BY 1),
+ said AS (SELECT conv_id, 1 AS kind, turn, role, text AS content FROM conversations c WHERE role <> 'system' AND NOT EXISTS (SELECT 1 FROM last l WHERE l.conv_id = c.conv_id AND l.turn = c.turn)
+   UNION ALL SELECT conv_id, 2, turn, 'user', text FROM conversations JOIN last USING (conv_id, turn)
+   UNION ALL SELECT conv_id, 0, 0, 'system', '{_PROMPT}' || chr(10) || chr(10) || 'Context:' || chr(10) || CASE WHEN conv_id % 3 = 0 THEN '(nothing was found)' ELSE 'about ' || conv_id END FROM last)
+ SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY kind, turn) - 1 AS INTEGER) AS n, role, content FROM said""")
+def rag_messages(t: Tables) -> DataFrame:
+    """System message with context, the turns before, the last turn as the question."""
+    rows = t.conversations.where("role <> 'system'")
+    last = rows.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    turns = rows.join(last, "conv_id")
+    before = F.when(F.col("turn") < F.col("last"), F.struct("turn", F.struct("role", F.col("text").alias("content")).alias("m")))
+    lists = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(before)).alias("l"), F.max_by("text", "turn").alias("text"))
+    queries = lists.select(F.col("conv_id").alias("qid"), "text", F.transform("l", lambda x: x["m"]).alias("history"))
+    contexts = last.where("conv_id % 3 <> 0").select(F.col("conv_id").alias("qid"), F.concat(F.lit(" about "), "conv_id").alias("context"))
+    found = retrieve.rag_messages(queries, contexts).select(F.col("qid").alias("conv_id"), F.posexplode("messages").alias("n", "m"))
+    return found.select("conv_id", "n", "m.role", "m.content")
+
+
+@query("""WITH r AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS place, text, turn FROM conversations WHERE role = 'assistant'),
+ s AS (SELECT *, replace(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), chr(10), ' ') AS flat FROM r)
+ SELECT conv_id, chr(10) || chr(10) || '---' || chr(10) || '**Sources:**' || chr(10) || string_agg(place || '. ' || CASE WHEN turn % 4 = 1 THEN '[k][v]' ELSE '[g]' END || ' `d' || turn || '` — ' || CASE WHEN length(flat) > 100 THEN substr(flat, 1, 100) || '…' ELSE flat END, chr(10) ORDER BY place) AS footer FROM s GROUP BY 1
+ UNION ALL SELECT conv_id, chr(10) || chr(10) || '---' || chr(10) || '_Nothing in the collection fits this question._' FROM conversations GROUP BY 1 HAVING count(*) FILTER (WHERE role = 'assistant') = 0""")
 def sources_footer(t: Tables) -> DataFrame:
+    """The assistant's turns as results of each conversation's question."""
     order = Window.partitionBy("conv_id").orderBy("turn")
-    line = F.concat(F.row_number().over(order).cast("string"), F.lit(". "), F.replace(F.substring("text", 1, 100), F.lit("\n"), F.lit(" ")))
-    return t.conversations.where("role = 'assistant'").select("conv_id", line.alias("line"), "turn")
+    rows = t.conversations.where("role = 'assistant'")
+    source = F.when(F.col("turn") % 4 == 1, "keyword+vector").otherwise("graph")
+    results = rows.select(F.col("conv_id").alias("qid"), F.row_number().over(order).alias("place"), F.concat(F.lit("d"), "turn").alias("doc_id"), source.alias("source"), "text")
+    queries = t.conversations.select(F.col("conv_id").alias("qid")).distinct()
+    return retrieve.sources_footer(queries, results).withColumnRenamed("qid", "conv_id")
+
+
+@query("SELECT user_id AS qid, min(name) AS name FROM (SELECT user_id, arg_min(event_type, (event_id % 3, event_type, CAST(event_id AS VARCHAR))) AS name FROM events GROUP BY user_id, event_type) GROUP BY 1, lower(name)")
+def agentic_entities(t: Tables) -> DataFrame:
+    """Entities of all sub-questions, each name once."""
+    related = t.events.select(F.col("user_id").alias("qid"), (F.col("event_id") % 3).alias("sub_no"), F.col("event_type").alias("name"), F.col("event_id").cast("string").alias("type"))
+    return agentic.merge_entities(related).select("qid", "name")
 
 
 @query("SELECT item_id AS qid, CAST(i - 1 AS INTEGER) AS n, part AS text FROM (SELECT item_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM (SELECT item_id, string_split(text, '. ') AS parts FROM benchmark)) WHERE i <= 2")

@@ -46,6 +46,14 @@ EDGES = """edges AS (SELECT CASE WHEN turned THEN hi ELSE lo END AS src_key, CAS
 
 ENTITIES = """entities AS (SELECT entity_key, arg_min(name, ord) AS name, arg_min(type, ord) AS type, count(DISTINCT chunk_id) AS n_chunks, count(DISTINCT doc_id) AS n_docs FROM mentions GROUP BY 1)"""
 
+#: One hop from the entities of seeds(qid, chunk_id).
+EXPAND = """seed_entities AS (SELECT DISTINCT qid, entity_key AS seed FROM seeds JOIN mentions USING (chunk_id)),
+ reached AS (SELECT qid, other, sum(weight) AS weight FROM seed_entities JOIN both_ways USING (seed) JOIN entities e ON e.entity_key = other AND e.type <> 'DATE'
+   WHERE NOT EXISTS (SELECT 1 FROM seed_entities s WHERE s.qid = seed_entities.qid AND s.seed = other) GROUP BY 1, 2),
+ links AS (SELECT DISTINCT entity_key, chunk_id FROM mentions),
+ hop AS (SELECT qid, l.chunk_id, CAST(sum(weight) AS BIGINT) AS score FROM reached JOIN links l ON l.entity_key = other
+   WHERE NOT EXISTS (SELECT 1 FROM seeds s WHERE s.qid = reached.qid AND s.chunk_id = l.chunk_id) GROUP BY 1, 2)"""
+
 KEYWORDS = f"""asked_words AS (SELECT item_id AS qid, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_]+')) AS w, generate_subscripts(regexp_extract_all(lower(text), '[A-Za-z0-9_]+'), 1) AS i FROM benchmark),
  first_words AS (SELECT qid, w, min(i) AS i FROM asked_words WHERE length(w) >= 3 AND w NOT IN ({STOP}) GROUP BY 1, 2),
  kws AS (SELECT qid, w, i FROM first_words QUALIFY row_number() OVER (PARTITION BY qid ORDER BY i) <= 8)"""

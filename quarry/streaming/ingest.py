@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quarry.config import IngestConfig
 from quarry.operators import chunking, store
+from quarry.operators.shared import written
 from quarry.sources import parsers
 
 SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -25,10 +26,18 @@ def landing(spark: SparkSession, folder: str, largest_mb: int = 300) -> DataFram
 
 
 def ingest_files(files: DataFrame, config: IngestConfig = IngestConfig()) -> DataFrame:
-    """Files -> chunks(chunk_id, doc_id, index, text)."""
-    blocks = parsers.parse_files(files).where("error is null")
-    named = blocks.select(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[A-Za-z0-9]+$", "").alias("doc_id"), "block_no", "text")
-    return chunking.chunk_documents(named, config)
+    """Files -> chunks(chunk_id, doc_id, index, text, and what their blocks carry)."""
+    return chunks_of(parsers.parse_files(files), config)
+
+
+def chunks_of(blocks: DataFrame, config: IngestConfig = IngestConfig()) -> DataFrame:
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[A-Za-z0-9]+$", "")
+    return chunking.chunk_documents(blocks.where("error is null").select(name.alias("doc_id"), *(c for c in blocks.columns if c not in ("path", "error"))), config)
+
+
+def failures_of(blocks: DataFrame) -> DataFrame:
+    """(path, error) of the files that could not be read."""
+    return blocks.where("error is not null").select("path", "error")
 
 
 def table_path(root: str, version: int) -> str:
@@ -36,10 +45,13 @@ def table_path(root: str, version: int) -> str:
 
 
 def run_available(spark: SparkSession, folder: str, root: str, config: IngestConfig = IngestConfig()) -> StreamingQuery:
-    """Ingest what has arrived and stop.  Version n of the table is the state after batch n."""
+    """Ingest what has arrived and stop.  Version n of the table is the state after batch n; files that
+    could not be read are listed in ``failures`` with the reason."""
 
     def batch(files: DataFrame, number: int) -> None:
-        fresh = ingest_files(files, config)
+        blocks = written(parsers.parse_files(files), "blocks")
+        failures_of(blocks).write.mode("overwrite").parquet(f"{root}/failures/v={number}")
+        fresh = chunks_of(blocks, config)
         if number:
             old = spark.read.parquet(table_path(root, number - 1))
             fresh = store.replace_documents(old, fresh)

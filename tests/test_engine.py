@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 import uuid
 
 import pytest
@@ -68,21 +69,48 @@ def test_text_expressions(spark):
     assert [one(spark, T.key_type(F.col("a")), a=k) for k in ("Chapter", "hostname", "zzz", "customer_name", "update")] == ["THREAT_ACTOR", "PERSON", None, "PERSON", "DATE"]
 
 
-@settings(max_examples=25, deadline=None)
-@given(st.lists(st.text("abc", min_size=1, max_size=5), min_size=2, max_size=6, unique=True))
-def test_deletions_find_all_near_words(spark, words):
-    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.explode(T.deletions(F.col("w"), F.lit(2))).alias("rest"))
-    met = {(r[0], r[1]) for r in rows.join(rows.withColumnRenamed("w", "v"), "rest").select("w", "v").distinct().collect()}
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
 
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
+def met(spark, words):
+    rows = spark.createDataFrame([(w,) for w in words], "w string")
+    asked = rows.select("w", F.explode(T.near_probe(F.col("w"), F.lit(2))).alias("key"))
+    found = asked.join(rows.select(F.col("w").alias("v"), F.explode(T.near_index(F.col("w"))).alias("key")), "key")
+    return {(r["w"], r["v"]) for r in found.select("w", "v").distinct().collect()}
 
-    assert all((a, b) in met for a in words for b in words if distance(a, b) <= 2)
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.text("abc", min_size=1, max_size=5), min_size=2, max_size=6, unique=True))
+def test_keys_find_all_near_words(spark, words):
+    pairs = met(spark, words)
+    assert all((a, b) in pairs for a in words for b in words if distance(a, b) <= 2)
+
+
+def test_keys_of_long_words(spark):
+    """Around and beyond the length where the keys change, and for a word of thousands of letters."""
+    rng = random.Random(2)
+    words = set()
+    for n in (22, 23, 24, 25, 26, 27, 40, 3000):
+        base = "".join(rng.choices("abcdefgh", k=n))
+        words.add(base)
+        for _ in range(12):
+            w = list(base)
+            for _ in range(rng.randint(1, 2)):
+                at = rng.randrange(len(w))
+                w[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "y"])
+            words.add("".join(w))
+    words = sorted(words)
+    pairs = met(spark, words)
+    near = [(a, b) for a in words for b in words if abs(len(a) - len(b)) <= 2 and (len(a) < 100 or a == b) and distance(a, b) <= 2]
+    assert len(near) > 300 and all(p in pairs for p in near)
+    keys = spark.createDataFrame([("z" * 2000,)], "w string").select(F.size(T.near_index(F.col("w"))), F.size(T.near_probe(F.col("w"), F.lit(2)))).first()
+    assert max(keys) <= 100
 
 
 # --- structure -----------------------------------------------------------------------------
@@ -191,15 +219,20 @@ def test_greedy_model(spark, items, size):
 
 def test_vector_blocks_and_filters(spark, monkeypatch):
     monkeypatch.setattr(retrieve, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(retrieve, "VECTOR_BLOCK", 5)
     rows = [(n, n % 2, [math.cos(n), math.sin(n)]) for n in range(12)]
     vectors = spark.createDataFrame(rows, "chunk_id int, doc_id int, embedding array<float>").repartition(3)
     queries = spark.createDataFrame([(n, [math.cos(n), math.sin(n)], None if n else "1") for n in range(5)], "qid int, vec array<float>, doc_filter string")
-    got = {}
-    for r in retrieve.vector_topk(queries, vectors, 3, 0.1).collect():
-        got.setdefault(r["qid"], []).append((r["rank"], r["chunk_id"]))
-    for n in range(5):
-        near = [(-math.cos(n - m), m) for m in range(12) if math.cos(n - m) >= 0.1 and (n or m % 2 == 1)]
-        assert [c for _, c in sorted(got[n])] == [m for _, m in sorted(near)[:3]]
+    for most in (retrieve.BROADCAST_BYTES, 0):  # sent to all executors, and dealt out in blocks
+        monkeypatch.setattr(retrieve, "BROADCAST_BYTES", most)
+        got = {}
+        for r in retrieve.vector_topk(queries, vectors, 3, 0.1).collect():
+            got.setdefault(r["qid"], []).append((r["rank"], r["chunk_id"]))
+        for n in range(5):
+            near = [(-math.cos(n - m), m) for m in range(12) if math.cos(n - m) >= 0.1 and (n or m % 2 == 1)]
+            assert [c for _, c in sorted(got[n])] == [m for _, m in sorted(near)[:3]]
+    same = spark.createDataFrame([(n, 0, [1.0, 2.0]) for n in range(9)], "chunk_id int, doc_id int, embedding array<float>").repartition(4)
+    assert [r["chunk_id"] for r in retrieve.vector_topk(queries.where("qid = 1"), same, 3).orderBy("rank").collect()] == [0, 1, 2]
     assert retrieve.vector_topk(queries.limit(0), vectors, 3).count() == 0
 
 
@@ -226,7 +259,11 @@ def test_failing_models_give_nothing(spark):
         raise RuntimeError("down")
 
     rows = spark.createDataFrame([("p",)], "text string")
-    assert extraction.extract_with_model(rows, providers.ScriptedChat(broken), "text").first()["entities"] == []
+    assert extraction.extract_with_model(rows, providers.ScriptedChat(broken), "text", base_delay=0.0).first()["entities"] == []
+    second = providers.ScriptedChat(lambda p: "from the other")
+    assert providers.ask(rows, providers.ScriptedChat(broken), "text", 2, 0.0, second).first()["reply"] == "from the other"
+    seen = extraction.extract_with_model(rows, providers.ScriptedChat(lambda p: json.dumps({"entities": [{"name": p[-40:].split("\n")[-1] + "ens", "type": "LAW"}]})), "text").first()
+    assert [tuple(e) for e in seen["entities"]] == [("pens", "LAW")]  # the text comes last in the prompt
 
 
 def test_grades_and_variants(spark):
@@ -258,30 +295,174 @@ def test_stores(spark):
         RetrievalConfig(top_k=21)
 
 
-def test_corpus_and_streaming(spark, tmp_path):
+def letters(spark, rows):
+    queries = spark.createDataFrame(rows, "qid int, text string, doc_filter string")
+    return providers.embed(queries, providers.HashEmbedder(16)).withColumnRenamed("embedding", "vec")
+
+
+def test_corpus(spark, tmp_path):
     docs = spark.createDataFrame([("d1", "Acme sells widgets in Rome. " * 3), ("d2", "Bob repairs engines.")], "doc_id string, text string")
     mentions, evidence = small_graph(spark)
     embedder = providers.HashEmbedder(16)
     corpus = Corpus.build(spark, docs, embedder, mentions, evidence)
     again = corpus.ingest(docs, embedder)
-    assert again.chunks.count() == corpus.chunks.count() == 2
-    queries = providers.embed(spark.createDataFrame([(1, "who repairs engines", None)], "qid int, text string, doc_filter string"), embedder).withColumnRenamed("embedding", "vec")
+    assert again.chunks.count() == corpus.chunks.count() == 2 and again.documents.count() == 2
+    queries = letters(spark, [(1, "who repairs engines", None)])
     assert corpus.retrieve(queries).where("place = 1").first()["doc_id"] == "d2"
-    assert "doc:d2" in corpus.answer(queries, providers.ScriptedChat(lambda p: p)).first()["reply"]
+    reply = corpus.answer(queries, providers.ScriptedChat(lambda p: p)).first()["reply"]
+    assert "doc:d2" in reply and "user: who repairs engines" in reply and "`d2` — Bob repairs engines." in reply
     assert corpus.delete(docs.where("doc_id = 'd1'").select("doc_id")).chunks.count() == 1
 
+
+def test_ingest_writes_the_graph_and_carries_places(spark, tmp_path):
+    """Blocks of files become chunks with their page or record and a graph: by structure where the
+    fields are known, else by the model; a second time changes nothing, a changed file replaces its own."""
+    from quarry.sources import parsers
+
+    embedder, calls = providers.HashEmbedder(16), providers.ScriptedChat.capitalised_names()
+    files = [("a.json", json.dumps([{"company": "Acme", "city": "Rome"}, {"zzz": "Unknown Thing", "qqq": 1}])), ("b.txt", "Meeting with Globex about Initech."), ("c.txt", "Meeting with Globex about Initech.")]
+
+    def blocks(some):
+        rows = spark.createDataFrame([(n, bytearray(t.encode())) for n, t in some], "path string, content binary")
+        return parsers.parse_files(rows).withColumn("doc_id", F.regexp_replace("path", r"\.\w+$", "")).drop("path", "error")
+
+    none = spark.createDataFrame([], "doc_id string, text string")
+    m, e = (x.limit(0) for x in small_graph(spark))
+    corpus = Corpus.build(spark, none, embedder, m, e).ingest(blocks(files[:2]), embedder, calls)
+    twice = corpus.ingest(blocks(files), embedder, calls)
+    for c in (corpus, twice):
+        assert {(r["doc_id"], r["record"]) for r in c.chunks.collect()} == {("a", 0), ("a", 1), ("b", None)}  # c holds what b does
+        assert {(r["name"], r["doc_id"]) for r in c.mentions.collect()} == {("Acme", "a"), ("Rome", "a"), ("Unknown", "a"), ("Thing", "a"), ("Meeting", "b"), ("Globex", "b"), ("Initech", "b")}
+        assert [(r["src_key"], r["relation"], r["dst_key"]) for r in c.evidence.collect()] == [("acme", "HAS_CITY", "rome")]
+    changed = twice.ingest(blocks([("a.json", '{"company": "Hooli"}')]), embedder, calls)
+    assert {r["name"] for r in changed.mentions.collect()} == {"Hooli", "Meeting", "Globex", "Initech"} and changed.evidence.count() == 0
+    known = {r["chunk_id"] for r in changed.chunks.collect()}
+    assert {r["chunk_id"] for r in changed.mentions.collect()} <= known
+    changed.save(str(tmp_path / "c"))
+    assert Corpus.open(spark, str(tmp_path / "c")).checked().chunks.count() == 2
+    with pytest.raises(ValueError):
+        Corpus(spark, changed.documents, changed.chunks.union(changed.chunks), changed.mentions, changed.evidence).checked()
+
+
+def test_command_line(spark, tmp_path):
+    from quarry.__main__ import arguments, run
+
+    docs = spark.createDataFrame([("d1", "Acme sells widgets in Rome."), ("d2", "Bob repairs engines.")], "doc_id string, text string")
+    folder, cases = str(tmp_path / "c"), tmp_path / "cases.json"
+    Corpus.build(spark, docs, providers.HashEmbedder(64), *small_graph(spark)).save(folder)
+    cases.write_text(json.dumps([{"query": "Bob repairs engines", "expected_doc_id": "d2"}, {"query": "nothing", "expected_doc_id": "d9"}]))
+    assert run(spark, arguments([folder, "evaluate", str(cases)])) == ["cases 2, hit rate at 5 50.0%, mean reciprocal rank 0.500"]
+    assert any("Rome" in line for line in run(spark, arguments([folder, "low-evidence"])))
+    assert run(spark, arguments([folder, "dedupe", "--threshold", "0.2"])) == []  # each of another type
+    run(spark, arguments([folder, "merge", "Acme", " BOB", str(tmp_path / "d")]))
+    assert "bob" not in {r["entity_key"] for r in Corpus.open(spark, str(tmp_path / "d")).mentions.collect()}
+    with pytest.raises(ValueError, match="Nobody"):
+        run(spark, arguments([folder, "merge", "Acme", "Nobody", str(tmp_path / "e")]))
+
+
+def test_retrieval_steps_with_a_model(spark, monkeypatch):
+    """Condensing, other wordings and ranking anew are asked for; a channel that fails is left empty."""
+    docs = spark.createDataFrame([("d1", "Acme sells widgets in Rome."), ("d2", "Bob repairs engines."), ("d3", "Engines need oil.")], "doc_id string, text string")
+    embedder = providers.HashEmbedder(16)
+    corpus = Corpus.build(spark, docs, embedder, *small_graph(spark))
+    prompts = spark.sparkContext.accumulator(0)
+
+    def answer(prompt):
+        prompts.add(1)
+        if prompt.startswith("Conversation"):
+            assert "user: about Bob" in prompt
+            return "what does Bob repair"
+        if "other ways" in prompt:
+            return '["engines oil", "Bob engines"]'
+        return '[{"index": 0, "score": 1}, {"index": 1, "score": 9}]'
+
+    rows = letters(spark, [(1, "and what does he do", None)]).withColumn("history", F.array(F.struct(F.lit("user").alias("role"), F.lit("about Bob").alias("text"))))
+    config = RetrievalConfig(min_score=0.0, condense=True, expansion=True, rerank=True)
+    plain = corpus.retrieval(rows, RetrievalConfig(min_score=0.0))
+    found = corpus.retrieval(rows, config, model=providers.ScriptedChat(answer), embedder=embedder)
+    assert {"condense", "vector", "expansion", "rerank", "paths", "total"} <= set(found.timings) and "condense" not in plain.timings
+    assert {r["doc_id"] for r in found.results.collect()} >= {"d2"} and prompts.value >= 3
+    assert ("Bob", "CONCEPT") in {(r["name"], r["type"]) for r in found.related.collect()}
+
+    def failing(*_):
+        raise RuntimeError("down")
+
+    monkeypatch.setattr(retrieve, "keyword_topk", failing)
+    left = corpus.retrieve(rows, RetrievalConfig(min_score=0.0))
+    assert left.count() and not left.where("source like '%keyword%'").count()
+    with pytest.raises(RuntimeError):
+        corpus.retrieve(rows, RetrievalConfig(min_score=0.0, fail_soft=False))
+
+
+def test_smart_retrieval_in_steps(spark):
+    docs = spark.createDataFrame([("d1", "alpha beta gamma"), ("d2", "delta epsilon")], "doc_id string, text string")
+    embedder = providers.HashEmbedder(16)
+    corpus = Corpus.build(spark, docs, embedder, *(x.limit(0) for x in small_graph(spark)))
+
+    def answer(prompt):
+        if prompt.startswith("Split"):
+            return '["alpha beta", "delta epsilon"]'
+        return providers.ScriptedChat.word_overlap().chat(prompt)
+
+    config = RetrievalConfig(agentic=True, min_score=0.0, max_retries=0)
+    found = corpus.smart_retrieve(letters(spark, [(1, "alpha and delta", None)]), providers.ScriptedChat(answer), embedder, config)
+    assert {r["doc_id"] for r in found.collect()} == {"d1", "d2"}
+
+
+def test_keyword_filter_comes_before_the_limit(spark):
+    chunks = spark.createDataFrame([(f"c{n:03}", "a" if n < 40 else "b", n, "widget") for n in range(60)], "chunk_id string, doc_id string, index int, text string")
+    asked = spark.createDataFrame([(1, "widget", "b"), (2, "widget", None)], "qid int, text string, doc_filter string")
+    rows = retrieve.keyword_topk(asked, chunks, 15, 15).collect()
+    assert {r["chunk_id"] for r in rows if r["qid"] == 1} == {f"c{n:03}" for n in range(40, 55)} and sum(r["qid"] == 2 for r in rows) == 15
+
+
+def test_greedy_in_slices(spark):
+    """Many near copies before the first other text: later slices are reached, with the same outcome."""
+    rows = [(1, n, f"c{n}", f"d{n}", "same words here" if n < 300 else f"other{n} text{n}") for n in range(1, 320)] + [(2, 1, "x", "d", "alone")]
+    ranked = spark.createDataFrame(rows, "qid int, pos int, chunk_id string, doc_id string, text string")
+    for first in (4, 1000):
+        got = [(r["qid"], r["place"], r["pos"]) for r in retrieve.greedy_select(ranked, 3, first=first).orderBy("qid", "place").collect()]
+        assert got == [(1, 1, 1), (1, 2, 300), (1, 3, 301), (2, 1, 1)]
+
+
+def test_holders_of_passages(spark):
+    docs = spark.createDataFrame([(1, "xx one two three four five six seven yy"), (2, "one two"), (3, "stone twofold"), (4, "ab"), (5, None)], "doc_id int, text string")
+    passages = spark.createDataFrame([(1, "e two three four five six s"), (2, "one two"), (3, "b"), (4, "absent words are not in any text here"), (5, "")], "qid int, passage string")
+    assert {tuple(r) for r in retrieve.holders(docs, passages).collect()} == {(1, 1), (2, 1), (2, 2), (2, 3), (3, 4)}
+    assert retrieve.holders(docs, passages.limit(0)).count() == 0
+
+
+def test_job_log(spark, tmp_path):
+    log = store.JobLog(spark, str(tmp_path / "jobs"), every=3)
+    assert log.status("j") is None and not log.request_cancel("j")
+    log.add("j", "processing")
+    assert [log.progress("j", str(n)) for n in range(6)] == [False, False, True] * 2
+    assert log.status("j") == "processing" and log.request_cancel("j") and log.is_cancelled("j") and not log.request_cancel("j")
+
+
+def test_row_numbers_over_ranges(spark):
+    rows = spark.createDataFrame([("a" if n % 3 else "b", (n * 37) % 1000) for n in range(1000)], "f string, k int").repartition(7)
+    got = chunking.row_numbers(rows, "f", ["k"]).collect()
+    for name in "ab":
+        mine = sorted((r["k"], r["n"]) for r in got if r["f"] == name)
+        assert [n for _, n in mine] == list(range(1, len(mine) + 1))
+
+
+def test_streaming(spark, tmp_path):
     from quarry.streaming import ingest
 
     landing, root = tmp_path / "in", str(tmp_path / "out")
     landing.mkdir()
     (landing / "a.txt").write_text("first text")
     (landing / "b.csv").write_text("k,v\n1,2\n")
+    (landing / "bad.json").write_text("{")
     (landing / "skip.bin").write_text("x")
     ingest.run_available(spark, str(landing), root)
     (landing / "c.txt").write_text("third")
     ingest.run_available(spark, str(landing), root, IngestConfig())
-    rows = {r["doc_id"]: r["text"] for r in spark.read.parquet(ingest.table_path(root, 1)).collect()}
-    assert rows == {"a": "first text", "b": "k: 1; v: 2", "c": "third"}
+    rows = {r["doc_id"]: (r["text"], r["rows"]) for r in spark.read.parquet(ingest.table_path(root, 1)).collect()}
+    assert rows == {"a": ("first text", None), "b": ("k: 1; v: 2", "1-2"), "c": ("third", None)}
+    assert [r["path"].rpartition("/")[2] for r in spark.read.parquet(f"{root}/failures").collect()] == ["bad.json"]
 
 
 def test_every_name_of_a_chunk_is_an_entity(spark):

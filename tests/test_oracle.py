@@ -41,10 +41,28 @@ def test_query_equals_sql(spark, sf_dir, tables, name):
     assert Counter(tuple(map(plain, row)) for row in ours.select(columns).collect()) == want
 
 
-@pytest.mark.parametrize("name", ["html_blocks", "parse_json", "hash_embedding", "llm_extract", "dedupe_candidates", "agentic_loop"])
+@pytest.mark.parametrize("name", ["html_blocks", "html_text", "parse_text", "parse_json", "hash_embedding", "llm_extract", "dedupe_candidates", "agentic_loop", "hybrid_with_model"])
 def test_query_without_sql_runs(spark, sf_dir, name):
     assert entry.queries()[name](spark, sf_dir).count() > 0
 
 
+def test_html_text_is_what_shows(spark, sf_dir):
+    """No markup, scripts or styles are left, and the words of every heading and paragraph are."""
+    import re
+
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    for row in entry.queries()["html_text"](spark, sf_dir).collect():
+        html = pages[row["page_id"]]
+        assert "<p>" not in row["text"] and "<script" not in row["text"]
+        for inside in re.findall(r"<(?:p|h1)>([^<&]*)</(?:p|h1)>", html):
+            assert inside.strip() in row["text"]
+
+
+def test_texts_pass_through_the_parser(spark, sf_dir):
+    texts = {str(r["doc_id"]): r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = {r["path"].removesuffix(".txt"): r["text"] for r in entry.queries()["parse_text"](spark, sf_dir).collect()}
+    assert got == texts
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["qid", "place", "chunk_id", "doc_id", "score", "source"]
