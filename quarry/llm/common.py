@@ -116,7 +116,7 @@ def _is_star_forest(edges: DataFrame) -> bool:
     return bad.limit(1).count() == 0
 
 
-def slices(batch, column: int, limit: int = 8 << 20):
+def slices(batch, column: int, limit: int = 4 << 20):
     """Cut an Arrow record batch into parts of about ``limit`` bytes in one column (one row at
     least), so that what a Python worker makes of them stays bounded even for very long texts."""
     import pyarrow.compute as pc

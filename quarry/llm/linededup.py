@@ -37,7 +37,7 @@ FILTER_WORDS = 1 << 20
 _BINS = BANDS * ROWS
 _EMPTY = np.uint32(0xFFFFFFFF)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
-_LINES_AT_ONCE = 1000
+_LINES_AT_ONCE = 500
 
 
 def shingles(line: str) -> set[str]:
@@ -131,7 +131,7 @@ def _sign(min_chars: int):
                     if len(lines[k]) >= SHINGLE and pair not in recent:
                         recent[pair] = None
                         first.append(k)
-                        if len(recent) > 200_000:
+                        if len(recent) > 100_000:
                             recent.popitem(last=False)
                 keys: list = [None] * len(lines)
                 for at in range(0, len(first), _LINES_AT_ONCE):
@@ -241,7 +241,7 @@ def _only(flat, edges, rest, sizes, keep):
     return flat[np.repeat(keep, sizes[rest])], np.cumsum(left) - left, rest[keep]
 
 
-def _compare(threshold: float, sets=line_sets, most: int = 1 << 20):
+def _compare(threshold: float, sets=line_sets, most: int = 1 << 18):
     """Rows (key, i, j, part, d1, d2, line), sorted by bucket -> spanning links between lines.  Whole
     buckets of about ``most`` characters or bytes are hashed at once."""
 

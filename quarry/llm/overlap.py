@@ -119,4 +119,4 @@ def links(docs: DataFrame, classes: DataFrame, threshold: float = SIMILARITY, bu
     """(a, b) structs of 128-bit text hashes: verified links between different texts that share one of
     their keys."""
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return linededup.set_links(texts, classes, _fetch, "binary", linededup._compare(threshold, stored_sets, 1 << 23), bucket_docs)
+    return linededup.set_links(texts, classes, _fetch, "binary", linededup._compare(threshold, stored_sets, 1 << 21), bucket_docs)
