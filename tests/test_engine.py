@@ -1,5 +1,7 @@
 """Operators against plain-Python models, and fall-backs."""
 
+import difflib
+import itertools
 import json
 import math
 import random
@@ -484,3 +486,19 @@ def test_every_name_of_a_chunk_is_an_entity(spark):
     orders = [r["name"] for r in mentions.where("doc_id = '1'").orderBy("ord").collect()]
     assert orders == names
     assert edges.count() == 12
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.85, 1.0])
+def test_similar_names_against_all_pairs(spark, threshold):
+    chance = random.Random(5)
+    names = {"".join(chance.choice("abcé ") for _ in range(chance.randint(1, 14))).strip() for _ in range(150)} - {""}
+    names |= {f"Supplier#{n:05d}" for n in range(40)} | {"Acme Corp", "ACME corp.", "Acme Corporation", "aa", "aaa", "aaaa"}
+    rows = [(n.lower() + "|" + n, n, kind) for n in sorted(names) for kind in ("X", "Y") if kind == "X" or len(n) % 2] + [("z", "Acme Corp", None)]
+    found = graph.similar_names(spark.createDataFrame(rows, "entity_key string, name string, type string"), threshold).collect()
+    expected = {}
+    for (ka, a, ta), (kb, b, tb) in itertools.combinations(sorted(rows), 2):
+        r = difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio()
+        if ta == tb and ta is not None and r >= threshold:
+            expected[ka, kb, ta] = round(r, 6)
+    assert {(r["a_key"], r["b_key"], r["type"]): r["ratio"] for r in found} == expected
+    assert len(found) == len(expected)
