@@ -1,8 +1,9 @@
 """Incremental ingest: a landing folder of files becomes tables, batch by batch.
 
 Each run takes the files that are new since the last one (the checkpoint knows which) and stops;
-all state is in the tables, which are replaced document by document, so a batch that is run again
-changes nothing.  Progress is the query's own; ``query.stop()`` cancels between batches."""
+all state is in the tables, to which a batch adds its own rows only.  Readers take a document's rows
+from the last batch that has any, and a batch that is run again replaces what it wrote, so it changes
+nothing.  Progress is the query's own; ``query.stop()`` cancels between batches."""
 
 from __future__ import annotations
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quarry.config import IngestConfig
-from quarry.operators import chunking, store
+from quarry.operators import chunking
 from quarry.operators.shared import written
 from quarry.sources import parsers
 
@@ -40,22 +41,25 @@ def failures_of(blocks: DataFrame) -> DataFrame:
     return blocks.where("error is not null").select("path", "error")
 
 
-def table_path(root: str, version: int) -> str:
-    return f"{root}/chunks/v={version}"
+def table_path(root: str, batch: int) -> str:
+    return f"{root}/chunks/v={batch}"
+
+
+def current_chunks(spark: SparkSession, root: str) -> DataFrame:
+    """The chunks of all documents, each as the last batch that has rows of it left them."""
+    rows = spark.read.parquet(f"{root}/chunks")
+    last = rows.groupBy("doc_id").agg(F.max("v").alias("v"))
+    return rows.join(last, ["doc_id", "v"], "left_semi").drop("v")
 
 
 def run_available(spark: SparkSession, folder: str, root: str, config: IngestConfig = IngestConfig()) -> StreamingQuery:
-    """Ingest what has arrived and stop.  Version n of the table is the state after batch n; files that
-    could not be read are listed in ``failures`` with the reason."""
+    """Ingest what has arrived and stop; ``current_chunks`` is the state.  Files that could not be read
+    are listed in ``failures`` with the reason."""
 
     def batch(files: DataFrame, number: int) -> None:
         blocks = written(parsers.parse_files(files), "blocks")
         failures_of(blocks).write.mode("overwrite").parquet(f"{root}/failures/v={number}")
-        fresh = chunks_of(blocks, config)
-        if number:
-            old = spark.read.parquet(table_path(root, number - 1))
-            fresh = store.replace_documents(old, fresh)
-        fresh.write.mode("overwrite").parquet(table_path(root, number))
+        chunks_of(blocks, config).write.mode("overwrite").parquet(table_path(root, number))
 
     query = landing(spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()

@@ -461,9 +461,11 @@ def test_streaming(spark, tmp_path):
     (landing / "skip.bin").write_text("x")
     ingest.run_available(spark, str(landing), root)
     (landing / "c.txt").write_text("third")
+    (landing / "a.html").write_text("<p>newer text</p>")  # the same document again
     ingest.run_available(spark, str(landing), root, IngestConfig())
-    rows = {r["doc_id"]: (r["text"], r["rows"]) for r in spark.read.parquet(ingest.table_path(root, 1)).collect()}
-    assert rows == {"a": ("first text", None), "b": ("k: 1; v: 2", "1-2"), "c": ("third", None)}
+    rows = sorted((r["doc_id"], r["text"], r["rows"]) for r in ingest.current_chunks(spark, root).collect())
+    assert rows == [("a", "newer text", None), ("b", "k: 1; v: 2", "1-2"), ("c", "third", None)]
+    assert {r["doc_id"] for r in spark.read.parquet(ingest.table_path(root, 1)).collect()} == {"a", "c"}  # a batch writes its own rows
     assert [r["path"].rpartition("/")[2] for r in spark.read.parquet(f"{root}/failures").collect()] == ["bad.json"]
 
 
