@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -63,6 +63,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(rows: DataFrame, order: list[Column], label: str) -> DataFrame:
+    """Add n, from 1 in the given order, without one task for all rows: ranges of rows are numbered on
+    their own and moved on by the rows of the ranges before (one number per range)."""
+    ranged = written(rows.repartitionByRange(*order).withColumn("in_range", F.spark_partition_id()), label)
+    sizes = ranged.groupBy("in_range").agg(F.count("*").alias("size"))
+    before = Window.orderBy("in_range").rowsBetween(Window.unboundedPreceding, -1)
+    moved = sizes.select("in_range", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("moved"))
+    place = F.row_number().over(Window.partitionBy("in_range").orderBy(*order))
+    return ranged.withColumn("place", place).join(F.broadcast(moved), "in_range").select(*rows.columns, (F.col("place") + F.col("moved")).alias("n"))
+
+
 def local_labels(n: int, u: np.ndarray, v: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
     """Smallest index reachable from each of ``n`` nodes over edges u-v (vectorised union-find:
     hook the larger root under the smaller, then halve the paths)."""
