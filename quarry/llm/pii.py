@@ -36,7 +36,7 @@ _END = r"(?![\p{L}\p{N}])"
 #: In the order in which they are tried at a place.
 PATTERNS = {
     "secret": r"(?:(?<!\p{L})(?i:(?:access|api|auth|bearer|client|private|refresh)?[_-]?(?:token|secret|password|passwd|pwd|key))[\"']?\s?[:=]\s?(?:[\"'][A-Za-z0-9_\-/+]{16,}|(?=[A-Za-z_\-/+]*[0-9])[A-Za-z0-9_\-/+]{16,})|\"[0-9A-Fa-f]{32,64}\")",
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "iban": _START + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _END,
     "phone": r"(?:\+[0-9]{1,3}(?:[ ./-]?(?:\([0-9]{1,4}\)|[0-9]{2,5})){2,6}|(?<![\p{L}\p{N}(+])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
     r"|(?<![\p{L}\p{N}.+/-])(?:[0-9]{3}-[0-9]{3}-[0-9]{4}|[0-9]{3}\.[0-9]{3}\.[0-9]{4}|0[0-9]{1,4}[/-][0-9]{5,8}|0[1-9](?:[ .][0-9]{2}){4}))(?![\p{L}\p{N}]|[./-][0-9])",
@@ -98,10 +98,13 @@ def permute_names(text: Column, key: str, label: Column, kinds: tuple[str, ...])
         return out
 
     def shifted(half: Column, other: Column, step: Column) -> Column:
-        blocks = F.sequence(F.lit(0), (F.length(half) / 16).cast("int"))
-        stream = F.array_join(F.transform(blocks, lambda b: F.sha2(F.concat_ws("\x1f", F.lit(key), label, step.cast("string"), b.cast("string"), other).cast("binary"), 256)), "")
-        number = lambda keys, i: F.conv(F.substr(keys, 4 * i + 1, F.lit(4)), 16, 10).cast("int")
-        made = F.transform(F.array(stream), lambda keys: F.array_join(F.transform(F.split(half, ""), lambda c, i: moved(c, number(keys, i))), ""))[0]
+        """The other half is hashed once; 16 numbers come from each hash of that and a block's place."""
+        hashed = F.sha2(F.concat_ws("\x1f", F.lit(key), label, step.cast("string"), other).cast("binary"), 256)
+        places = F.sequence(F.lit(0), (F.length(half) / 16).cast("int"))
+        block = lambda seed, b: F.sha2(F.concat(seed, F.lit(":"), b.cast("string")).cast("binary"), 256)
+        cut = lambda h: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda j: F.conv(F.substr(h, 4 * j + 1, F.lit(4)), 16, 10).cast("int"))
+        numbers = F.transform(F.array(hashed), lambda seed: F.flatten(F.transform(places, lambda b: cut(block(seed, b)))))
+        made = F.transform(numbers, lambda by: F.array_join(F.transform(F.split(half, ""), lambda c, i: moved(c, by[i])), ""))[0]
         return F.when(F.length(half) > 0, made).otherwise(half)
 
     step = lambda s, i: F.when(
