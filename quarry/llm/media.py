@@ -51,7 +51,9 @@ def to_bmp(image: np.ndarray) -> bytes:
 
 
 def decode(data: bytes) -> np.ndarray:
-    """A Netpbm (P1 to P6, 8 or 16 bits) or BMP (8, 24 or 32 bits, uncompressed) file as a uint8 array."""
+    """A Netpbm (P1 to P6, 8 or 16 bits) or BMP (8, 24 or 32 bits, uncompressed) file as a uint8 array.
+    ValueError (struct.error for a cut header) where it is none, holds less than its header says, or
+    samples beyond its greatest value or palette."""
     if data[:2] == b"BM":
         return _decode_bmp(data)
     if re.match(rb"P[1-6]\s", data):
@@ -66,21 +68,34 @@ def _decode_netpbm(data: bytes) -> np.ndarray:
         found = field.match(data, at)
         if not found:
             raise ValueError("truncated Netpbm header")
+        if len(found[1].lstrip(b"0")) > 18:
+            raise ValueError("no size of a picture")
         numbers.append(int(found[1]))
         at = found.end()
     width, height, top = numbers[0], numbers[1], numbers[2] if len(numbers) > 2 else 1
+    if not 0 < top < 1 << 16:
+        raise ValueError("greatest value beyond 16 bits")
     shape = (height, width, 3) if kind in (3, 6) else (height, width)
-    count = int(np.prod(shape))
+    count = height * width * (3 if kind in (3, 6) else 1)
+    if count > 8 * len(data) or max(width, height) > 1 << 40:
+        raise ValueError("header larger than the data")
     if kind == 1:
         digits = np.frombuffer(re.sub(rb"\s|#[^\n]*\n?", b"", data[at:]), np.uint8)[:count]
+        if ((digits != 48) & (digits != 49)).any():
+            raise ValueError("bits other than 0 and 1")
         return ((digits == 48) * 255).astype(np.uint8).reshape(shape)
     if kind in (2, 3):
-        samples = np.array(re.sub(rb"#[^\n]*\n?", b" ", data[at:]).split()[:count], np.int64)
+        words = re.sub(rb"#[^\n]*\n?", b" ", data[at:]).split()[:count]
+        if any(len(w) > 9 or not w.isdigit() for w in words):
+            raise ValueError("samples that are no numbers")
+        samples = np.array(words, np.int64)
     elif kind == 4:
         bits = np.unpackbits(np.frombuffer(data, np.uint8, height * -(-width // 8), at + 1).reshape(height, -1), axis=1)
         return ((1 - bits[:, :width]) * 255).astype(np.uint8)
     else:
         samples = np.frombuffer(data, ">u2" if top > 255 else np.uint8, count, at + 1)
+    if count and top not in (255, 65535) and samples.max() > top or kind in (2, 3) and count and samples.max() > top:
+        raise ValueError("samples beyond the greatest value")
     if top != 255:
         samples = (samples.astype(np.int64) * 255 + top // 2) // top
     return samples.astype(np.uint8).reshape(shape)
@@ -92,12 +107,16 @@ def _decode_bmp(data: bytes) -> np.ndarray:
     if packed or bits not in (8, 24, 32):
         raise ValueError("only uncompressed BMP of 8, 24 or 32 bits")
     rows, each = abs(height), bits // 8
+    if width < 0:
+        raise ValueError("negative width")
     stride = (width * each + 3) // 4 * 4
     body = np.frombuffer(data, np.uint8, rows * stride, start).reshape(rows, stride)[:, : width * each]
     body = body[::-1] if height > 0 else body
     if bits == 8:
         colours = struct.unpack_from("<I", data, 46)[0] or 256
         palette = np.frombuffer(data, np.uint8, 4 * colours, 14 + size).reshape(-1, 4)[:, 2::-1]
+        if body.size and body.max() >= colours:
+            raise ValueError("indices beyond the palette")
         image = palette[body]
         return image[:, :, 0] if (palette == palette[:, :1]).all() else image
     return body.reshape(rows, width, each)[:, :, 2::-1]
@@ -125,7 +144,10 @@ def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
         borders = np.arange(size + 1) * (length / size)
         whole = np.minimum(borders.astype(np.int64), length)
         part = (borders - whole).reshape(-1, *(1 for _ in data.shape[1:]))
-        low, high = _integral_at(data, whole), _integral_at(data, np.minimum(whole + 1, length))
+        above = np.minimum(whole + 1, length)
+        places = np.union1d(whole, above)
+        sums = _integral_at(data, places)
+        low, high = sums[np.searchsorted(places, whole)], sums[np.searchsorted(places, above)]
         data = np.swapaxes(np.diff(low + (high - low) * part, axis=0) / (length / size), 0, 1)
     return np.clip(np.rint(data), 0, 255).astype(np.uint8)
 
@@ -163,7 +185,7 @@ def tiles(media: DataFrame, tile: int = TILE) -> DataFrame:
                 for data in part.column(2).to_pylist():
                     try:
                         image = decode(data)
-                    except (ValueError, TypeError, struct.error):
+                    except (ValueError, TypeError, struct.error):  # no picture, null, or a cut header
                         image = None
                     samples.append(None if image is None else image.tobytes())
                     usable = image is not None and image.size > 0
