@@ -40,7 +40,8 @@ BROADCAST_VALUES = 10_000
 
 _HTML = re.compile(rb"<html(?=[\s>])([^>]*)", re.I)
 _LANG = re.compile(rb"\slang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
-_TAGS = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[a-z/!][^>]*>")
+_OPEN = re.compile(rb"<(?:(script|style)\b|(!--)|[a-z/!])", re.I)
+_CLOSE = {kind: re.compile(end, re.I) for kind, end in ((b"script", rb"</script\s*>"), (b"style", rb"</style\s*>"), (b"!--", rb"-->"), (b"", rb">"))}
 _BLANK = bytes(c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 
@@ -62,8 +63,19 @@ def declared_in(text: bytes | None) -> str | None:
 
 
 def visible(text: bytes) -> bytes:
-    """Text without markup."""
-    return _TAGS.sub(b" ", text) if b"<" in text else text
+    """Text without tags, comments, scripts and styles.  One pass: an end that is missing once is not
+    looked for again, and what has no end of its kind goes up to the next ``>``."""
+    kept, at, missing = [], 0, set()
+    while b"" not in missing and (found := _OPEN.search(text, at)):
+        for kind in ((found[1] or found[2] or b"").lower(), b""):
+            close = None if kind in missing else _CLOSE[kind].search(text, found.end())
+            if close:
+                kept.append(text[at : found.start()])
+                at = close.end()
+                break
+            missing.add(kind)
+    kept.append(text[at:])
+    return b" ".join(kept)
 
 
 class TextModel:
