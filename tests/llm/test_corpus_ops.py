@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -400,7 +401,8 @@ def brute_digits(digits, key, label):
 
 def brute_names(text, key, label, kinds):
     def shifted(part, other, step):
-        keys = "".join(hashed(key, label, step, block, other) for block in range(len(part) // 16 + 1))
+        seed = hashed(key, label, step, other)
+        keys = "".join(hashlib.sha256(f"{seed}:{block}".encode()).hexdigest() for block in range(len(part) // 16 + 1))
         out = ""
         for i, c in enumerate(part):
             by = int(keys[4 * i : 4 * i + 4], 16)
@@ -492,6 +494,35 @@ def test_pii_of_odd_tables(spark):
     assert rows[0]["text"] == rows[1]["text"] != docs.first()["text"] and rows[2]["text"][:-10] == "word " * 200_000
 
 
+def test_pseudonyms_of_very_long_values(spark):
+    """A megabyte of address labels, of one secret, of digits: linear time, no deep recursion."""
+    rng = random.Random(6)
+    secret, local = "".join(rng.choices("abcXYZ0189", k=300_000)), "x" * 300_000
+    texts = ["a@" + "ab." * 350_000 + "com", f'"key": "{secret}"', "1234567890" * 100_000, local + "@a.de", "key=abcdefgh" * 80_000, "+1 22 " * 160_000, "a.b" * 300_000 + "@", "a@" * 400_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(8)
+    began = time.time()
+    got = {r["doc_id"]: r for r in pii.pseudonymise(docs).collect()}
+    assert time.time() - began < 200  # quadratic time would be hours
+    assert [[(f["kind"], f["value_chars"]) for f in got[i]["pii_findings"]] for i in range(len(texts))] == [[("email", 1_050_005)], [("secret", 300_009 - 2)], [], [("email", 300_005)], [], [], [], []]
+    assert all(len(got[i]["text"]) == len(t) for i, t in enumerate(texts))
+    assert got[0]["text"][1:] == texts[0][1:] and got[2]["text"] == texts[2]
+    again = pii.pseudonymise(spark.createDataFrame([(1, f'my "key": "{secret}" again')], "doc_id int, text string")).first()["text"]
+    assert again == f'my {got[1]["text"]} again' and got[1]["text"] != texts[1]
+
+
+def test_markup_in_one_pass():
+    plain = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[a-z/!][^>]*>")
+    parts = [b"<script>", b"</script>", b"<style a=1>", b"</STYLE >", b"<!--", b"-->", b"<!-->", b"<p>", b"</p>", b"<", b">", b"text", b" a<b ", b"<scripty>", b"<!doctype>", b"<a href='x'"]
+    rng = random.Random(1)
+    for _ in range(5000):
+        text = b"".join(rng.choices(parts, k=rng.randint(0, 12)))
+        assert langid.visible(text) == plain.sub(b" ", text)
+    began = time.time()
+    for text in (b"<script>" * 250_000, b"<a" * 1_000_000, b"<!--" * 500_000, b"<script>x</script" * 120_000, b"<style>" * 100_000 + b">" * 1_000_000):
+        langid.visible(text)
+    assert time.time() - began < 20
+
+
 def test_clean_documents_stay(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     done = pii.pseudonymise(docs).join(docs.select("doc_id", F.col("text").alias("old")), "doc_id")

@@ -23,6 +23,33 @@ def test_netpbm_and_bmp_round_trips():
     assert M.decode(b"P5\n1 1\n65535\n\xff\xff").tolist() == [[255]]
 
 
+def odd_pictures():
+    cut_palette = bytearray(M.to_bmp(np.full((2, 3), 200, np.uint8)))
+    cut_palette[46:50] = (100).to_bytes(4, "little")
+    narrow = bytearray(M.to_bmp(np.zeros((2, 3), np.uint8)))
+    narrow[18:22] = (-3).to_bytes(4, "little", signed=True)
+    texts = [
+        b"P5 99999999999999999999 2\n255\n", b"P2 1 1 255 99999999999999999999", b"P5 1 1 0 a", b"P5 1 1 70000 a", b"P2 1 1 5 9", b"P5 1 1 5 a", b"P1 2 1 07", b"P2 1 1 255 -5", b"P2 1 1 255 x",
+        b"P5 1000000 1000000 255\nabc", b"P4 800 800\nabc", b"P6 1 1 255\nab", b"P3 1 1 255 1 2", b"P5 1" + b"0" * 5000 + b" 1 255 ", b"P5", b"P5 1 1", b"P7 1 1", b"BM", b"BM" + b"\0" * 70, b"", b"GIF89a",
+    ]
+    return [*texts, bytes(cut_palette), bytes(narrow), M.to_bmp(np.zeros((2, 3), np.uint8))[:-9]]
+
+
+def test_pictures_that_are_none_give_nulls(spark):
+    """Every unreadable picture is a row of nulls beside good ones; one without pixels has no features."""
+    bad = odd_pictures()
+    good = [M.to_pgm(bytes(range(64)) * 9), b"P5 0 0 255\n", b"P2 1 1 5 5", M.to_pgm(bytes(64) * 70_000)]
+    rows = [(i, 0, bytearray(x)) for i, x in enumerate(bad + good)] + [(None, 0, None)]
+    got = {r["doc_id"]: r for r in M.tiles(spark.createDataFrame(rows, "doc_id bigint, n_bytes bigint, media binary")).collect()}
+    assert len(got) == len(rows)
+    for i in [*range(len(bad)), None]:
+        assert (got[i]["samples"], got[i]["tile"], got[i]["dhash"]) == (None, None, None), rows[i or 0]
+    first, none, one, tall = (got[len(bad) + k] for k in range(4))
+    assert first["dhash"] and np.load(io.BytesIO(first["tile"])).shape == (16, 16)
+    assert (bytes(none["samples"]), none["tile"], none["dhash"]) == (b"", None, None)
+    assert bytes(one["samples"]) == b"\xff" and len(tall["samples"]) == 64 * 70_000
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 12), st.integers(1, 12), st.integers(1, 9), st.integers(1, 9), st.integers(0, 2**32 - 1))
 def test_area_resize_against_brute_force(h, w, th, tw, seed):
