@@ -16,6 +16,53 @@ ORDER_FIELDS = ["customer", "country", "region", "order_date"]
 LINE_FIELDS = ["supplier", "product", "country", "ship_date"]
 
 
+def order_records(orders: DataFrame, customer: DataFrame, places: DataFrame) -> DataFrame:
+    """One record per order: chunk o<order>, document c<customer>."""
+    c = customer.join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"))
+    o = orders.join(c, F.col("o_custkey") == F.col("c_custkey"))
+    return o.select(
+        F.concat(F.lit("o"), "o_orderkey").alias("chunk_id"), F.concat(F.lit("c"), "c_custkey").alias("doc_id"), (F.col("o_orderkey") * 1000).alias("base"),
+        F.col("c_name").alias("customer"), F.col("n_name").alias("country"), F.col("r_name").alias("region"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("order_date"),
+    )
+
+
+def line_records(lineitem: DataFrame, part: DataFrame, supplier: DataFrame, places: DataFrame) -> DataFrame:
+    """One record per order line: chunk l<order>-<line>-<part>-<supplier>, document s<supplier>."""
+    s = supplier.join(F.broadcast(places), F.col("s_nationkey") == F.col("n_nationkey"))
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    lines = lineitem.groupBy(*key).agg(F.min("l_shipdate").alias("l_shipdate"))  # a line may be listed twice
+    rows = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    return rows.select(
+        F.concat(F.lit("l"), "l_orderkey", F.lit("-"), "l_linenumber", F.lit("-"), "l_partkey", F.lit("-"), "l_suppkey").alias("chunk_id"), F.concat(F.lit("s"), "s_suppkey").alias("doc_id"),
+        (F.lit(10**14) + F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 10).alias("base"),
+        F.col("s_name").alias("supplier"), F.col("p_name").alias("product"), F.col("n_name").alias("country"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("ship_date"),
+    )
+
+
+def places_of(nation: DataFrame, region: DataFrame) -> DataFrame:
+    return nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+
+
+def field_table(orders: DataFrame, lines: DataFrame) -> DataFrame:
+    """(chunk_id, doc_id, base, head, pos, field, kind, name): the recognised fields of records, with each
+    record's first field, which is always named, as its head."""
+    keys = ["chunk_id", "doc_id", "base", "head"]
+    each = [structural.flat_fields(records.withColumn("head", F.col(fields[0])), keys, fields) for records, fields in ((orders, ORDER_FIELDS), (lines, LINE_FIELDS))]
+    return each[0].unionByName(each[1]).where("name is not null")
+
+
+def mentions_in(fields: DataFrame) -> DataFrame:
+    """The fields of flat records are few, so all named ones are mentions (equal names of one record
+    would be one entity; the roll-ups take care of that)."""
+    return graph.mentions_of(fields.select("name", F.col("kind").alias("type"), "chunk_id", "doc_id", (F.col("base") + F.col("pos")).alias("ord")))
+
+
+def evidence_in(fields: DataFrame) -> DataFrame:
+    """The head of each record is related to its other fields."""
+    rows = fields.where("pos > 0")
+    return graph.evidence_of(rows.select(F.col("head").alias("source"), structural.T.relation_label(F.col("field")).alias("relation"), F.col("name").alias("target"), "chunk_id", (F.col("base") + F.col("pos")).alias("ord")))
+
+
 class Tables:
     """Tables of one directory, by name."""
 
@@ -41,7 +88,7 @@ class Tables:
         return e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"), F.lit(None).cast("string").alias("doc_filter"))
 
     def places(self) -> DataFrame:
-        return self.nation.join(F.broadcast(self.region), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+        return places_of(self.nation, self.region)
 
     def name_queries(self) -> DataFrame:
         """One question per nation."""
@@ -58,49 +105,30 @@ class Tables:
         return self.benchmark.select(F.col("item_id").alias("qid"), "text")
 
     def order_records(self) -> DataFrame:
-        """One record per order: chunk o<order>, document c<customer>."""
-        c = self.customer.join(F.broadcast(self.places()), F.col("c_nationkey") == F.col("n_nationkey"))
-        o = self.orders.join(c, F.col("o_custkey") == F.col("c_custkey"))
-        return o.select(
-            F.concat(F.lit("o"), "o_orderkey").alias("chunk_id"), F.concat(F.lit("c"), "c_custkey").alias("doc_id"), (F.col("o_orderkey") * 1000).alias("base"),
-            F.col("c_name").alias("customer"), F.col("n_name").alias("country"), F.col("r_name").alias("region"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("order_date"),
-        )
+        return order_records(self.orders, self.customer, self.places())
 
     def line_records(self) -> DataFrame:
-        """One record per order line: chunk l<order>-<line>-<part>-<supplier>, document s<supplier>."""
-        s = self.supplier.join(F.broadcast(self.places()), F.col("s_nationkey") == F.col("n_nationkey"))
-        key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-        lines = self.lineitem.groupBy(*key).agg(F.min("l_shipdate").alias("l_shipdate"))  # a line may be listed twice
-        rows = lines.join(self.part, F.col("l_partkey") == F.col("p_partkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
-        return rows.select(
-            F.concat(F.lit("l"), "l_orderkey", F.lit("-"), "l_linenumber", F.lit("-"), "l_partkey", F.lit("-"), "l_suppkey").alias("chunk_id"), F.concat(F.lit("s"), "s_suppkey").alias("doc_id"),
-            (F.lit(10**14) + F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 10).alias("base"),
-            F.col("s_name").alias("supplier"), F.col("p_name").alias("product"), F.col("n_name").alias("country"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("ship_date"),
-        )
+        return line_records(self.lineitem, self.part, self.supplier, self.places())
 
     def fields(self) -> DataFrame:
         """Recognised fields of all records."""
-        keys = ["chunk_id", "doc_id", "base"]
-        orders = structural.flat_fields(self.order_records(), keys, ORDER_FIELDS)
-        return orders.unionByName(structural.flat_fields(self.line_records(), keys, LINE_FIELDS))
+        return field_table(self.order_records(), self.line_records())
+
+    def stored_fields(self) -> DataFrame:
+        """Fields as a table of their own, made once, for queries that need both mentions and evidence."""
+        if "_fields" not in self.__dict__:
+            self.__dict__["_fields"] = written(self.fields(), "fields")
+        return self.__dict__["_fields"]
 
     def mentions(self) -> DataFrame:
-        """The fields of flat records are few, so all named ones are mentions (equal names of one
-        record would be one entity; the roll-ups take care of that)."""
-        rows = self.fields().where("name is not null")
-        return graph.mentions_of(rows.select("name", F.col("kind").alias("type"), "chunk_id", "doc_id", (F.col("base") + F.col("pos")).alias("ord")))
+        return mentions_in(self.fields())
 
     def stored_mentions(self) -> DataFrame:
-        """Mentions as a table of their own, for queries that read them more than once."""
-        return written(self.mentions(), "mentions")
+        """Mentions for queries that read them more than once: derived from the written fields."""
+        return mentions_in(self.stored_fields())
 
     def stored_evidence(self) -> DataFrame:
-        return written(self.evidence(), "evidence")
+        return evidence_in(self.stored_fields())
 
     def evidence(self) -> DataFrame:
-        """The first field of both records is always named, so it is the head of each."""
-        parts = []
-        for records, fields in ((self.order_records(), ORDER_FIELDS), (self.line_records(), LINE_FIELDS)):
-            wide = structural.flat_fields(records.withColumn("head", F.col(fields[0])), ["chunk_id", "base", "head"], fields).where("pos > 0 and name is not null")
-            parts.append(wide.select(F.col("head").alias("source"), structural.T.relation_label(F.col("field")).alias("relation"), F.col("name").alias("target"), "chunk_id", (F.col("base") + F.col("pos")).alias("ord")))
-        return graph.evidence_of(parts[0].unionByName(parts[1]))
+        return evidence_in(self.fields())
