@@ -70,7 +70,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, min_score: float
     return top(left.groupBy("q", "v").cogroup(right.groupBy("q", "v")).applyInArrow(meet, shape), k)
 
 
-def _unit(column) -> np.ndarray:
+def unit(column) -> np.ndarray:
     """Rows of unit length of a column of vectors."""
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     rows = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1) if len(flat) else np.zeros((0, 0))
@@ -79,7 +79,7 @@ def _unit(column) -> np.ndarray:
 
 def _nearest(queries: pa.Table, batches, k: int, floor: float):
     """(qid, chunk_id, score) of the k best of all batches for each query; of equal ones the least chunk_id."""
-    asked, filters = _unit(queries.column("vec")), queries.column("doc_filter").to_pylist()
+    asked, filters = unit(queries.column("vec")), queries.column("doc_filter").to_pylist()
     wanted = np.array([f is not None for f in filters], bool)
     names, rows, scores, held = [], [], [], 0
 
@@ -98,7 +98,7 @@ def _nearest(queries: pa.Table, batches, k: int, floor: float):
     for batch in batches:
         if not batch.num_rows or not len(asked) or not k:
             continue
-        found = _unit(batch.column(2))
+        found = unit(batch.column(2))
         docs = np.array(batch.column(1).to_pylist(), object) if wanted.any() else None
         for at in range(0, len(asked), QUERY_BLOCK):
             part = np.round(asked[at : at + QUERY_BLOCK] @ found.T, 12)  # so that equal vectors tie

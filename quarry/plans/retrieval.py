@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.config import RetrievalConfig
 from quarry.functions import text as T
-from quarry.operators import agentic, graph, retrieve
+from quarry.operators import agentic, graph, retrieve, vectorindex
 from quarry.operators.providers import LetterEmbedder, ScriptedChat, embed
 from quarry.operators.shared import written
 from quarry.plans.catalogue import query
@@ -24,6 +24,13 @@ def vector_topk(t: Tables) -> DataFrame:
     return retrieve.vector_topk(t.vector_queries(), t.vectors(), LIMIT).select("qid", "chunk_id", _score(), "rank")
 
 
+@query(with_(VECTOR, select="SELECT qid, chunk_id, round(score, 6) AS score, rank FROM vector"))
+def vector_index_topk(t: Tables) -> DataFrame:
+    """The same neighbours from vectors kept by cell: the nearest cells, then those that could hold better ones."""
+    index = vectorindex.build(t.vectors())
+    return index.search(t.vector_queries(), LIMIT, exact=True).select("qid", "chunk_id", _score(), "rank")
+
+
 @query(with_(COSINE, select="SELECT qid, chunk_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM scored JOIN embeddings q ON q.vec_id = qid AND q.label = doc_id QUALIFY rank <= 15"))
 def vector_topk_filtered(t: Tables) -> DataFrame:
     q = t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"), F.col("label").cast("string").alias("doc_filter"))
