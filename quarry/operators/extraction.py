@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.config import ENTITY_TYPES, IngestConfig
 from quarry.functions import text as T
-from quarry.operators.providers import ChatModel, ask
+from quarry.operators.providers import ChatModel, ask, build_options
 from quarry.operators.structural import extract_records
 
 _SHAPE = "struct<entities:array<struct<name:string,type:string>>,relationships:array<struct<source:string,relation:string,target:string>>>"
@@ -61,7 +61,7 @@ def extract_with_model(rows: DataFrame, model: ChatModel, text: str, config: Ing
     """Entities and relations of texts from a chat model; a blank text or a failing call gives none."""
     blank = F.coalesce(F.length(T.strip(F.col(text))), F.lit(0)) == 0
     prompted = rows.withColumn("prompt_", extraction_prompt(F.col(text), config.extraction_tokens))
-    replies = ask(prompted.where(~blank), model, "prompt_", base_delay=base_delay)
+    replies = ask(prompted.where(~blank), model, "prompt_", base_delay=base_delay, options=build_options(temperature=0.0, max_tokens=config.extraction_tokens))
     none = prompted.where(blank).withColumn("reply", F.lit(None).cast("string"))
     return parse_extraction(replies.unionByName(none), "reply").drop("reply", "prompt_")
 

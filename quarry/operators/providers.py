@@ -27,7 +27,15 @@ class Embedder(Protocol):
 
 
 class ChatModel(Protocol):
-    def chat(self, prompt: str) -> str: ...
+    """``options`` comes as a second argument where a caller sets any."""
+
+    def chat(self, prompt: str, options: dict[str, object] | None = None) -> str: ...
+
+
+def build_options(temperature: float | None = None, top_p: float | None = None, max_tokens: int | None = None, seed: int | None = None, stop: list[str] | None = None) -> dict[str, object]:
+    """Options of a model call: those that are given, the length under the name that local servers use."""
+    named = {"temperature": temperature, "top_p": top_p, "num_predict": max_tokens, "seed": seed, "stop": stop}
+    return {name: value for name, value in named.items() if value is not None}
 
 
 def retryable(error: Exception) -> bool:
@@ -78,7 +86,7 @@ class ScriptedChat:
     def __init__(self, answer: Callable[[str], str]):
         self.answer = answer
 
-    def chat(self, prompt: str) -> str:
+    def chat(self, prompt: str, options: dict[str, object] | None = None) -> str:
         return self.answer(prompt)
 
     @classmethod
@@ -107,13 +115,23 @@ class ScriptedChat:
 
         return cls(answer)
 
+    @classmethod
+    def first_half(cls) -> ScriptedChat:
+        """A reworder: the first half of the words that were searched for."""
+
+        def answer(prompt: str) -> str:
+            words = prompt.rpartition("Searched for: ")[2].split()
+            return " ".join(words[: max(1, len(words) // 2)])
+
+        return cls(answer)
+
     @classmethod
     def word_overlap(cls) -> ScriptedChat:
         """A grader: 10 times the share of the question's words that each snippet has."""
 
         def answer(prompt: str) -> str:
-            question, *snippets = prompt.split("\n\x1e")
-            asked = set(question.lower().split())
+            head, *snippets = prompt.split("\n\x1e")
+            asked = set(head.rpartition("Question: ")[2].lower().split())
             return json.dumps([{"index": n, "score": round(10 * len(asked & set(s.lower().split())) / max(1, len(asked)), 3)} for n, s in enumerate(snippets)])
 
         return cls(answer)
@@ -136,15 +154,16 @@ def embed(rows: DataFrame, model: Embedder, column: str = "text", prefix: str =
     return rows.mapInArrow(run, shape)
 
 
-def ask(rows: DataFrame, model: ChatModel, prompt: str, attempts: int = 3, base_delay: float = 1.0, fallback: ChatModel | None = None) -> DataFrame:
+def ask(rows: DataFrame, model: ChatModel, prompt: str, attempts: int = 3, base_delay: float = 1.0, fallback: ChatModel | None = None, options: dict[str, object] | None = None) -> DataFrame:
     """Add a column reply to the prompts in a column; a call that keeps failing, with a delay that doubles,
-    goes to ``fallback``, and gives null if there is none or it fails too."""
+    goes to ``fallback``, and gives null if there is none or it fails too.  ``options``: see build_options."""
+    more = (options,) if options else ()
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", reply string"
 
     def one(text: str | None) -> str | None:
         for each in filter(None, (model, fallback)):
             try:
-                return with_retry(lambda each=each: each.chat(text or ""), attempts, base_delay)
+                return with_retry(lambda each=each: each.chat(text or "", *more), attempts, base_delay)
             except Exception:
                 continue
         return None

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quarry.config import RetrievalConfig
 from quarry.functions import text as T
+from quarry.operators import textindex
 from quarry.operators.extraction import string_list
 from quarry.operators.graph import top
 from quarry.operators.providers import ChatModel, Embedder, ask, embed
@@ -116,30 +117,24 @@ def _nearest(queries: pa.Table, batches, k: int, floor: float):
         yield pa.RecordBatch.from_arrays([queries.column("qid").combine_chunks().take(pa.array(rows[0])), names[0], pa.array(scores[0])], ["qid", "chunk_id", "score"])
 
 
-def keyword_index(chunks: DataFrame) -> DataFrame:
-    """(token, chunk_id): the words of each chunk."""
-    return chunks.select("chunk_id", F.explode(T.tokens(F.col("text"))).alias("token"))
-
-
-def keyword_topk(queries: DataFrame, chunks: DataFrame, limit: int, pool: int = RetrievalConfig.keyword_pool) -> DataFrame:
+def keyword_topk(queries: DataFrame, chunks: DataFrame, limit: int, pool: int = RetrievalConfig.keyword_pool, index: DataFrame | None = None) -> DataFrame:
     """(qid, chunk_id, score, rank) for queries(qid, text, doc_filter if there is one): chunks that hold a
     keyword as a word, of the wanted document only, the first ``pool`` by chunk_id (a limit of the operator
-    itself), scored by how many keywords occur anywhere in their text.  Candidates come from an
-    equality join on words; texts join last."""
+    itself), scored by how many keywords occur anywhere in their text.
+
+    Candidates come from postings(bucket, token, chunk_id, doc_id): the stored ``index`` where there is one,
+    of which only the words asked for are read, else made from the chunks.  Texts join last, and only
+    those of the pooled candidates are lower-cased."""
     wanted = F.col("doc_filter").cast("string") if "doc_filter" in queries.columns else F.lit(None).cast("string")
     asked = queries.select("qid", T.keywords(F.col("text")).alias("kws"), wanted.alias("wanted")).where(F.size("kws") > 0)
     terms = asked.select("qid", "wanted", F.explode("kws").alias("token"))
-    index = keyword_index(chunks)
-    if "doc_filter" in queries.columns:
-        index = chunks.select("chunk_id", F.col("doc_id").cast("string").alias("of_doc"), F.explode(T.tokens(F.col("text"))).alias("token"))
-        terms = terms.join(index, "token").where("wanted is null or wanted = of_doc")
-    else:
-        terms = terms.join(index, "token")
-    found = terms.select("qid", "chunk_id").distinct()
+    postings = textindex.words_of(chunks) if index is None else textindex.lookup(index, terms)
+    hits = terms.join(postings.select("token", "chunk_id", F.col("doc_id").cast("string").alias("of_doc")), "token").where("wanted is null or wanted = of_doc")
+    found = hits.select("qid", "chunk_id").distinct()
     order = Window.partitionBy("qid").orderBy("chunk_id")
     pooled = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max(pool, limit)).drop("n")
-    texts = chunks.select("chunk_id", F.lower("text").alias("low"))
-    scored = pooled.join(texts, "chunk_id").join(asked, "qid").select("qid", "chunk_id", F.size(F.filter("kws", lambda w: F.contains(F.col("low"), w))).alias("score"))
+    texts = pooled.join(chunks.select("chunk_id", "text"), "chunk_id").join(asked.select("qid", "kws"), "qid").withColumn("low", F.lower("text"))
+    scored = texts.select("qid", "chunk_id", F.size(F.filter("kws", lambda w: F.contains(F.col("low"), w))).alias("score"))
     return top(scored.where("score > 0"), limit)
 
 
@@ -361,13 +356,14 @@ def reranked(kept: DataFrame, queries: DataFrame, model: ChatModel, size: int) -
     return scored.drop("place").withColumnRenamed("new_place", "place").where(F.col("place") <= size)
 
 
-def retrieval(queries: DataFrame, chunks: DataFrame, mentions: DataFrame, edges: DataFrame, entities: DataFrame, config: RetrievalConfig = RetrievalConfig(), strict_doc_filter: bool = False, model: ChatModel | None = None, embedder: Embedder | None = None) -> Retrieval:
+def retrieval(queries: DataFrame, chunks: DataFrame, mentions: DataFrame, edges: DataFrame, entities: DataFrame, config: RetrievalConfig = RetrievalConfig(), strict_doc_filter: bool = False, model: ChatModel | None = None, embedder: Embedder | None = None, index: DataFrame | None = None) -> Retrieval:
     """All channels for all queries(qid, text, vec, doc_filter, and history if there is one) over
     chunks(chunk_id, doc_id, index, text, embedding).
 
     With ``model`` (and ``embedder``, for new wordings) the steps that the settings switch on are taken:
     follow-ups are condensed, other wordings widen the vector channel, a wider pool is ranked anew.
-    Every channel is a written table; where one but the vectors' fails, it is left empty
+    ``index``: stored postings of the chunks' words (operators/textindex.py).  Every channel is a written
+    table; where one but the vectors' fails, it is left empty
     (``fail_soft``).  A document filter holds for the vector and keyword channels, with
     ``strict_doc_filter`` for all.  Paths between named entities come last."""
     from quarry.operators.graph import expand, related_entities
@@ -415,7 +411,7 @@ def retrieval(queries: DataFrame, chunks: DataFrame, mentions: DataFrame, edges:
         vector = wider if wider.limit(1).count() else vector
     named = step("named_entities", lambda: fuzzy_entities(queries, entities), f"{qid}, entity_key string, name string, score double, rank int")
     entity = step("entity_name", lambda: filtered(entity_channel(named, mentions)), ranks)
-    keyword = step("keyword", lambda: keyword_topk(queries, chunks, limit, config.keyword_pool), ranks)
+    keyword = step("keyword", lambda: keyword_topk(queries, chunks, limit, config.keyword_pool, index), ranks)
     seeds = vector.select("qid", "chunk_id").unionByName(entity.select("qid", "chunk_id")).distinct()
     graph = step("graph", lambda: filtered(expand(seeds, mentions, edges, entities, config.graph_expand, config.excluded_types)), ranks)
     fused = step("fusion", lambda: rrf({"vector": vector, "entity_name": entity, "graph": graph, "keyword": keyword}, config), None)

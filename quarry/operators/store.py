@@ -20,9 +20,19 @@ def replace_documents(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def document_rows(blocks: DataFrame) -> DataFrame:
-    """(doc_id, content_hash) of documents as blocks (doc_id, block_no, text)."""
-    lists = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_no", F.coalesce("text", F.lit("")).alias("text")))).alias("l"))
-    return lists.select("doc_id", T.content_hash(F.transform("l", lambda x: x["text"])).alias("content_hash"))
+    """(doc_id, title, content_hash) of documents as blocks (doc_id, block_no, text, and title if there is
+    one; else the id is the title)."""
+    title = F.min("title") if "title" in blocks.columns else F.lit(None)
+    lists = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_no", F.coalesce("text", F.lit("")).alias("text")))).alias("l"), title.cast("string").alias("title"))
+    return lists.select("doc_id", F.coalesce("title", F.col("doc_id").cast("string")).alias("title"), T.content_hash(F.transform("l", lambda x: x["text"])).alias("content_hash"))
+
+
+def with_duplicates(documents: DataFrame) -> DataFrame:
+    """Add duplicate_of: of documents(doc_id, content_hash, batch) with equal content the one that came
+    first (of one batch the least id), null for itself.  Only repeated contents are joined."""
+    groups = documents.groupBy("content_hash").agg(F.min(F.struct("batch", "doc_id")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    marked = documents.join(groups.select("content_hash", F.col("first.doc_id").alias("first_id")), "content_hash", "left")
+    return marked.select(*documents.columns, F.when(F.col("first_id") != F.col("doc_id"), F.col("first_id")).alias("duplicate_of"))
 
 
 def assert_unique(rows: DataFrame, key: str) -> None:

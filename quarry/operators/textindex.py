@@ -21,16 +21,20 @@ def bucket_of(token: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 
 
+def words_of(chunks: DataFrame) -> DataFrame:
+    """(token, chunk_id, doc_id), one row per distinct word of a chunk."""
+    return chunks.select(F.explode(T.tokens(F.col("text"))).alias("token"), "chunk_id", "doc_id")
+
+
 def postings(chunks: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(bucket, token, chunk_id, doc_id), laid out for writing by bucket: large buckets are split over
     tasks, so that the files of one very common word are written by many."""
-    rows = chunks.select("chunk_id", "doc_id", F.explode(T.tokens(F.col("text"))).alias("token"))
-    placed = rows.select(bucket_of(F.col("token"), buckets).alias("bucket"), "token", "chunk_id", "doc_id")
-    return placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "token", "chunk_id")
+    placed = words_of(chunks).select(bucket_of(F.col("token"), buckets).alias("bucket"), "token", "chunk_id", "doc_id")
+    return laid_out(placed)
 
 
-def write(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").partitionBy("bucket").parquet(path)
+def laid_out(rows: DataFrame) -> DataFrame:
+    return rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "token", "chunk_id")
 
 
 def lookup(index: DataFrame, terms: DataFrame, buckets: int = BUCKETS) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators import chunking, graph, structural
+from quarry.operators import chunking, graph, structural, textindex
 from quarry.operators.shared import written
 
 ORDER_FIELDS = ["customer", "country", "region", "order_date"]
@@ -79,6 +79,10 @@ class Tables:
         """Chunks as a table of their own, for queries that read them more than once."""
         return written(self.chunks(), "chunks")
 
+    def stored_index(self, chunks: DataFrame) -> DataFrame:
+        """Postings of the chunks' words in folders by bucket."""
+        return written(textindex.postings(chunks), "postings", "bucket")
+
     def vectors(self) -> DataFrame:
         e = self.embeddings
         return e.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("doc_id"), "embedding")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.config import KEY_HINTS, IngestConfig
 from quarry.functions import text as T
-from quarry.operators import chunking, structural
+from quarry.operators import chunking, structural, textindex
 from quarry.operators.providers import HashEmbedder, embed
 from quarry.plans.catalogue import query
 from quarry.plans.data import LINE_FIELDS, ORDER_FIELDS, Tables
@@ -304,9 +304,7 @@ def embedding_dim(t: Tables) -> DataFrame:
 
 @query(with_(CHUNKS, select="SELECT w AS token, count(*) AS n_chunks FROM (SELECT DISTINCT chunk_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM chunks) WHERE length(w) BETWEEN 2 AND 20 GROUP BY 1", recursive=True))
 def inverted_index(t: Tables) -> DataFrame:
-    from quarry.operators.retrieve import keyword_index
-
-    return keyword_index(t.chunks()).groupBy("token").agg(F.count("*").alias("n_chunks"))
+    return textindex.frequencies(textindex.words_of(t.chunks())).select("token", "n_chunks")
 
 
 @query(with_(CHUNKS, select="SELECT chunk_id, CASE WHEN doc_id % 2 = 0 THEN 'second' ELSE 'first' END AS batch FROM chunks", recursive=True))

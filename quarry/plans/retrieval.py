@@ -67,7 +67,8 @@ def extract_keywords(t: Tables) -> DataFrame:
 
 @query(with_(CHUNKS, KEYWORDS, KEYWORD_HITS, select="SELECT qid, chunk_id, score, rank FROM keyword", recursive=True))
 def keyword_topk(t: Tables) -> DataFrame:
-    return retrieve.keyword_topk(t.text_queries(), t.stored_chunks(), LIMIT).select("qid", "chunk_id", "score", "rank")
+    chunks = t.stored_chunks()
+    return retrieve.keyword_topk(t.text_queries(), chunks, LIMIT, index=t.stored_index(chunks)).select("qid", "chunk_id", "score", "rank")
 
 
 _FILTERED_HITS = KEYWORD_HITS.replace("cand AS (SELECT DISTINCT qid, chunk_id FROM kws JOIN toks USING (w) WHERE", "cand AS (SELECT DISTINCT qid, chunk_id FROM kws JOIN toks USING (w) JOIN chunks USING (chunk_id) WHERE doc_id = qid AND")
@@ -77,7 +78,8 @@ _FILTERED_HITS = KEYWORD_HITS.replace("cand AS (SELECT DISTINCT qid, chunk_id FR
 def keyword_topk_filtered(t: Tables) -> DataFrame:
     """Every question within the one document whose id is the question's."""
     asked = t.text_queries().withColumn("doc_filter", F.col("qid").cast("string"))
-    return retrieve.keyword_topk(asked, t.stored_chunks(), LIMIT).select("qid", "chunk_id", "score", "rank")
+    chunks = t.stored_chunks()
+    return retrieve.keyword_topk(asked, chunks, LIMIT, index=t.stored_index(chunks)).select("qid", "chunk_id", "score", "rank")
 
 
 _NAMES = """names AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT DISTINCT n_name FROM nation UNION SELECT DISTINCT r_name FROM region),
@@ -310,7 +312,7 @@ def path_entries(t: Tables) -> DataFrame:
 def hybrid_with_model(t: Tables) -> DataFrame:
     """The whole of it: follow-ups condensed, other wordings, a wider pool ranked by a (scripted) model."""
     queries, *rest = _hybrid_inputs(t)
-    said = F.struct(F.lit("user").alias("role"), F.substring("text", 1, 60).alias("text"))
+    said = F.struct(F.lit("user").alias("role"), F.col("text"))
     asked = queries.withColumn("history", F.when(F.col("qid") % 2 == 0, F.array(said)))
     config = RetrievalConfig(condense=True, expansion=True, rerank=True)
     found = retrieve.hybrid(asked, *rest, config, model=ScriptedChat.assistant(), embedder=LetterEmbedder())
@@ -320,14 +322,14 @@ def hybrid_with_model(t: Tables) -> DataFrame:
 @query()
 def agentic_loop(t: Tables) -> DataFrame:
     chunks = t.stored_chunks()
+    index = t.stored_index(chunks)
 
     def search(q: DataFrame) -> DataFrame:
-        hits = retrieve.keyword_topk(q, chunks, RetrievalConfig.top_k)
+        hits = retrieve.keyword_topk(q, chunks, RetrievalConfig.top_k, index=index)
         return hits.join(chunks.select("chunk_id", "text"), "chunk_id").select("qid", F.col("rank").alias("place"), "chunk_id", "text", F.col("score").cast("double").alias("score"))
 
     asked = t.text_queries().select("qid", F.posexplode(F.slice(F.split("text", r"\. "), 1, 4)).alias("sub_no", "text"))
-    shorter = ScriptedChat(lambda prompt: " ".join(prompt.split()[: max(1, len(prompt.split()) // 2)]))
-    found = agentic.run(asked, search, ScriptedChat.word_overlap(), shorter, lambda df: written(df, "agentic"))
+    found = agentic.run(asked, search, ScriptedChat.word_overlap(), ScriptedChat.first_half(), lambda df: written(df, "agentic"))
     return found.select("qid", "sub_no", "pos", "chunk_id", "relevance")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quarry.config import IngestConfig, RetrievalConfig
 from quarry.corpus import Corpus
 from quarry.functions import text as T
-from quarry.operators import agentic, chunking, extraction, graph, providers, retrieve, store, structural
+from quarry.operators import agentic, chunking, extraction, graph, providers, retrieve, store, structural, textindex
 from quarry.operators.shared import written
 
 
@@ -289,6 +289,26 @@ def test_agentic_loop_rewords_until_enough(spark):
     assert [(r["qid"], r["chunk_id"], r["relevance"]) for r in out.collect()] == [(1, "c1", 10.0)]
 
 
+def test_prompts_hold_the_task(spark):
+    """A model is told what to do; grades below the configured threshold go; options reach the model."""
+    asked = spark.createDataFrame([(1, 0, "alpha beta")], "qid int, sub_no int, text string")
+    hits = spark.createDataFrame([("1/0", n, f"c{n}", t, 1.0) for n, t in ((1, "alpha"), (2, "alpha beta"))], "qid string, place int, chunk_id string, text string, score double")
+    grader = providers.ScriptedChat(lambda p: providers.ScriptedChat.word_overlap().chat(p) if p.startswith(agentic.GRADE_TASK) and "[1] alpha beta" in p else "no task")
+    reworder = providers.ScriptedChat(lambda p: "alpha" if p.startswith(agentic.REWORD_TASK) and "Question: alpha beta" in p else "")
+    for threshold, want in ((5.0, {"c1", "c2"}), (6.0, {"c2"})):
+        out = agentic.run(asked, lambda q: hits, grader, reworder, lambda df: written(df, "t"), RetrievalConfig(grade_threshold=threshold, max_retries=1))
+        assert {r["chunk_id"] for r in out.collect()} == want
+    assert providers.build_options() == {} and providers.build_options(temperature=0.0, max_tokens=5, stop=["x"]) == {"temperature": 0.0, "num_predict": 5, "stop": ["x"]}
+
+    class Echo:
+        def chat(self, prompt, options=None):
+            return json.dumps(options)
+
+    rows = spark.createDataFrame([("p",)], "text string")
+    assert providers.ask(rows, Echo(), "text").first()["reply"] == "null"
+    assert providers.ask(rows, Echo(), "text", options=providers.build_options(seed=1)).first()["reply"] == '{"seed": 1}'
+
+
 def test_stores(spark):
     jobs = spark.createDataFrame([(n, "done" if n < 4 else "queued", n) for n in range(6)], "job_id int, status string, at int")
     assert sorted(r["job_id"] for r in store.prune_finished(jobs, 2).collect()) == [2, 3, 4, 5]
@@ -332,18 +352,45 @@ def test_ingest_writes_the_graph_and_carries_places(spark, tmp_path):
     m, e = (x.limit(0) for x in small_graph(spark))
     corpus = Corpus.build(spark, none, embedder, m, e).ingest(blocks(files[:2]), embedder, calls)
     twice = corpus.ingest(blocks(files), embedder, calls)
-    for c in (corpus, twice):
-        assert {(r["doc_id"], r["record"]) for r in c.chunks.collect()} == {("a", 0), ("a", 1), ("b", None)}  # c holds what b does
-        assert {(r["name"], r["doc_id"]) for r in c.mentions.collect()} == {("Acme", "a"), ("Rome", "a"), ("Unknown", "a"), ("Thing", "a"), ("Meeting", "b"), ("Globex", "b"), ("Initech", "b")}
+    assert corpus.duplicates().count() == 0
+    assert [(r["doc_id"], r["duplicate_of"]) for r in twice.duplicates().collect()] == [("c", "b")]  # c holds what b does, and stays
+    for c, copies in ((corpus, "b"), (twice, "bc")):
+        assert {(r["doc_id"], r["record"]) for r in c.chunks.collect()} == {("a", 0), ("a", 1), *((d, None) for d in copies)}
+        assert {(r["name"], r["doc_id"]) for r in c.mentions.collect()} == {("Acme", "a"), ("Rome", "a"), ("Unknown", "a"), ("Thing", "a"), *((n, d) for n in ("Meeting", "Globex", "Initech") for d in copies)}
+        words = {(r["token"], r["chunk_id"]) for r in textindex.words_of(c.chunks).collect()}
+        assert {(r["token"], r["chunk_id"]) for r in c.postings.collect()} == words
         assert [(r["src_key"], r["relation"], r["dst_key"]) for r in c.evidence.collect()] == [("acme", "HAS_CITY", "rome")]
     changed = twice.ingest(blocks([("a.json", '{"company": "Hooli"}')]), embedder, calls)
     assert {r["name"] for r in changed.mentions.collect()} == {"Hooli", "Meeting", "Globex", "Initech"} and changed.evidence.count() == 0
     known = {r["chunk_id"] for r in changed.chunks.collect()}
     assert {r["chunk_id"] for r in changed.mentions.collect()} <= known
     changed.save(str(tmp_path / "c"))
-    assert Corpus.open(spark, str(tmp_path / "c")).checked().chunks.count() == 2
+    opened = Corpus.open(spark, str(tmp_path / "c")).checked()
+    assert opened.chunks.count() == 3 and opened.postings.count() == changed.postings.count()
     with pytest.raises(ValueError):
-        Corpus(spark, changed.documents, changed.chunks.union(changed.chunks), changed.mentions, changed.evidence).checked()
+        Corpus(spark, changed.documents, changed.chunks.union(changed.chunks), changed.postings, changed.mentions, changed.evidence).checked()
+
+
+def test_later_documents_come_after_earlier_ones(spark):
+    """The first name, type and direction stay, whatever the ids of documents that come later."""
+    embedder = providers.HashEmbedder(16)
+    none = spark.createDataFrame([], "doc_id string, text string")
+
+    def model(prompt):
+        text = prompt.partition("\n\nText:\n")[2] or prompt
+        found = {"first": ("ACME", "ORGANIZATION", "ACME", "Rome"), "later": ("Acme", "PERSON", "Rome", "acme")}["first" if "first" in text else "later"]
+        return json.dumps({"entities": [{"name": found[0], "type": found[1]}, {"name": "Rome", "type": "LOCATION"}], "relationships": [{"source": found[2], "relation": "IN", "target": found[3]}]})
+
+    docs = lambda *ids: spark.createDataFrame([(d, f"the {'first' if d.startswith('z') else 'later'} text of {d}", f"Title {d}") for d in ids], "doc_id string, text string, title string")
+    empty = Corpus.build(spark, none, embedder, *(x.limit(0) for x in small_graph(spark)))
+    corpus = empty
+    for ids in (("z9", "z8"), ("a1", "b2"), ("c3",)):
+        corpus = corpus.ingest(docs(*ids), embedder, providers.ScriptedChat(model))
+    facts = {r["entity_key"]: (r["name"], r["type"], r["n_docs"]) for r in graph.entity_facts(corpus.mentions).collect()}
+    assert facts == {"acme": ("ACME", "ORGANIZATION", 5), "rome": ("Rome", "LOCATION", 5)}
+    assert [tuple(r)[:4] for r in graph.edge_rollup(corpus.evidence).collect()] == [("acme", "rome", "IN", 5)]
+    assert len({r["ord"] for r in corpus.mentions.collect()}) == corpus.mentions.count() == 10
+    assert {(r["doc_id"], r["title"], r["batch"]) for r in corpus.documents.collect()} == {("z9", "Title z9", 0), ("z8", "Title z8", 0), ("a1", "Title a1", 1), ("b2", "Title b2", 1), ("c3", "Title c3", 2)}
 
 
 def test_command_line(spark, tmp_path):
@@ -407,6 +454,7 @@ def test_smart_retrieval_in_steps(spark):
         return providers.ScriptedChat.word_overlap().chat(prompt)
 
     config = RetrievalConfig(agentic=True, min_score=0.0, max_retries=0)
+    assert corpus.smart_retrieval(letters(spark, [(1, "alpha", None)]), providers.ScriptedChat(answer), embedder, config).related.count() == 0  # there is no graph
     found = corpus.smart_retrieve(letters(spark, [(1, "alpha and delta", None)]), providers.ScriptedChat(answer), embedder, config)
     assert {r["doc_id"] for r in found.collect()} == {"d1", "d2"}
 

@@ -5,7 +5,6 @@ import random
 from pyspark.sql import functions as F
 
 from quarry.operators import graphstore, textindex
-from quarry.operators.retrieve import keyword_index
 
 MENTIONS = "entity_key string, name string, type string, chunk_id string, doc_id string, ord bigint"
 EVIDENCE = "src_key string, relation string, dst_key string, chunk_id string, ord bigint"
@@ -92,16 +91,16 @@ def test_unfinished_batches_are_not_seen(spark, tmp_path, monkeypatch):
 
 def test_index_reads_the_buckets_of_its_words(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id"), F.col("doc_id").cast("string").alias("chunk_id"), "text")
-    textindex.write(textindex.postings(docs), f"{tmp_path}/postings")
+    textindex.postings(docs).write.partitionBy("bucket").parquet(f"{tmp_path}/postings")
     index = spark.read.parquet(f"{tmp_path}/postings")
-    words = [r["token"] for r in keyword_index(docs).select("token").distinct().orderBy("token").limit(2000).collect()]
+    words = [r["token"] for r in textindex.words_of(docs).select("token").distinct().orderBy("token").limit(2000).collect()]
     for asked in (words[:3], words, ["nowhere-to-be-found"], []):
         terms = spark.createDataFrame([(w,) for w in asked], "token string")
         found = textindex.lookup(index, terms)
-        want = keyword_index(docs).join(terms, "token", "left_semi")
+        want = textindex.words_of(docs).join(terms, "token", "left_semi")
         assert sorted(map(tuple, found.select("token", "chunk_id").collect())) == sorted(map(tuple, want.select("token", "chunk_id").collect()))
     few = textindex.lookup(index, spark.createDataFrame([(words[0],)], "token string"))
     scan = next(line for line in few._jdf.queryExecution().explainString(few.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")).split("\n") if "PartitionFilters" in line)
     assert "bucket" in scan  # folders of other buckets are left out
     got = {r["token"]: (r["n_chunks"], r["n_docs"]) for r in textindex.frequencies(index).collect()}
-    assert got == {r["token"]: (r["n"], r["n"]) for r in keyword_index(docs).groupBy("token").agg(F.count("*").alias("n")).collect()}
+    assert got == {r["token"]: (r["n"], r["n"]) for r in textindex.words_of(docs).groupBy("token").agg(F.count("*").alias("n")).collect()}
