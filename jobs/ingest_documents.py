@@ -48,7 +48,7 @@ def run(spark: SparkSession, config: Settings) -> DataFrame:
     schema = spark.read.parquet(config.documents).schema
     # as a pattern of one name, so that the table may be a folder or a single file
     pattern = f"{config.documents[:-1]}[{config.documents[-1]}]"
-    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", config.files_per_batch).parquet(pattern)
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", config.files_per_batch).option("maxFileAge", batches.OLDEST).parquet(pattern)
     arrived = files.select("doc_id", "text", "source", "lang", F.col("_metadata.file_modification_time").alias("changed"), F.col("_metadata.file_path").alias("file"))
     query = arrived.writeStream.foreachBatch(lambda rows, number: take_in(rows, number, config)).option("checkpointLocation", f"{config.output}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()

@@ -92,10 +92,20 @@ def html_headings(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("<h[1-6]>([^<]*)</h[1-6]>"), F.lit(1))).alias("i", "heading"))
 
 
-@query()
+#: Block elements of pages whose paragraphs, items and headings don't nest: an open paragraph ends with the next.
+_PAGE_ITEMS = r"""plain AS (SELECT page_id, regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', '', 'gs'), '<!--.*?-->', '', 'gs') AS h FROM pages),
+ marked AS (SELECT page_id, regexp_replace(regexp_replace(h, '</(h[1-6]|p|li)>', chr(3), 'g'), '<(h[1-6]|p|li)\b[^>]*>', chr(1) || '\1' || chr(2), 'g') AS h FROM plain),
+ pieces AS (SELECT page_id, unnest(string_split(h, chr(1))[2:]) AS piece, generate_subscripts(string_split(h, chr(1))[2:], 1) AS i FROM marked),
+ items AS (SELECT page_id, i, split_part(piece, chr(2), 1) AS tag, split_part(split_part(piece, chr(2), 2), chr(3), 1) AS raw FROM pieces),
+ texts AS (SELECT page_id, i, tag, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(raw, '<br[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g'), '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM items),
+ placed AS (SELECT *, count(*) FILTER (tag[1] = 'h' AND text <> '') OVER (PARTITION BY page_id ORDER BY i) AS part FROM texts),
+ parts AS (SELECT page_id, part, max(text) FILTER (tag[1] = 'h' AND text <> '') AS section, string_agg(text, chr(10) ORDER BY i) FILTER (tag[1] <> 'h' AND text <> '') AS text FROM placed GROUP BY 1, 2)"""
+
+
+@query(with_(_PAGE_ITEMS.replace("\\\\", "\\"), select="SELECT page_id || '.html' AS path, CAST(row_number() OVER (PARTITION BY page_id ORDER BY part) - 1 AS INTEGER) AS block_no, text, section FROM parts WHERE text IS NOT NULL"))
 def html_blocks(t: Tables) -> DataFrame:
     files = t.pages.select(F.concat("page_id", F.lit(".html")).alias("path"), F.col("html").cast("binary").alias("content"))
-    return parsers.parse_files(files)
+    return parsers.parse_files(files).select("path", "block_no", "text", "section")
 
 
 @query()

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
 DOCUMENTS = "documents"
+#: Age of files that a stream still takes.  By default files a week older than the newest are left out in
+#: silence; the checkpoint keeps the names of younger ones.
+OLDEST = "3650d"
 
 
 def write(rows: DataFrame, root: str, table: str, number: int, *by: str) -> None:

@@ -1,9 +1,10 @@
 """Incremental ingest: a landing folder of files becomes tables, batch by batch.
 
-Each run takes the files that are new since the last one (the checkpoint knows which) and stops;
-all state is in the tables, to which a batch adds its own rows only.  Readers take a document's rows
-from the last batch that has any, and a batch that is run again replaces what it wrote, so it changes
-nothing.  Progress is the query's own; ``query.stop()`` cancels between batches."""
+Each run takes the files that are new since the last one (the checkpoint knows which) and stops; a
+batch adds its own rows only (see streaming/batches.py).  A file's document is its name without suffix;
+of several files of one document the last by time, then by path, counts, and one that comes again, be
+it blank or unreadable, replaces all that the document had (Spark hands on no files of zero bytes).  Progress is the query's own;
+``query.stop()`` cancels between batches."""
 
 from __future__ import annotations
 
@@ -15,25 +16,36 @@ from quarry.config import IngestConfig
 from quarry.operators import chunking
 from quarry.operators.shared import written
 from quarry.sources import parsers
+from quarry.streaming import batches
 
 SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def landing(spark: SparkSession, folder: str, largest_mb: int = 300) -> DataFrame:
-    """New supported files of a folder as a stream; the document's id is the file's name without suffix."""
-    files = spark.readStream.format("binaryFile").schema(SCHEMA).load(folder)
+    """New supported files of a folder as a stream, however old their time is."""
+    files = spark.readStream.format("binaryFile").schema(SCHEMA).option("maxFileAge", batches.OLDEST).load(folder)
     known = F.lower(F.regexp_extract("path", r"(\.[A-Za-z0-9]+)$", 1)).isin(*parsers.PARSERS)
     return files.where(known & (F.col("length") <= largest_mb << 20))
 
 
+def document_of(path: str = "path"):
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[A-Za-z0-9]+$", "")
+
+
+def last_files(files: DataFrame) -> DataFrame:
+    """One file per document; contents are not shuffled."""
+    named = files.withColumn("doc_id", document_of())
+    last = named.groupBy("doc_id").agg(F.max(F.struct("modificationTime", "path")).alias("x")).select(F.col("x.path").alias("path"))
+    return named.join(last, "path", "left_semi").drop("doc_id")
+
+
 def ingest_files(files: DataFrame, config: IngestConfig = IngestConfig()) -> DataFrame:
     """Files -> chunks(chunk_id, doc_id, index, text, and what their blocks carry)."""
     return chunks_of(parsers.parse_files(files), config)
 
 
 def chunks_of(blocks: DataFrame, config: IngestConfig = IngestConfig()) -> DataFrame:
-    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[A-Za-z0-9]+$", "")
-    return chunking.chunk_documents(blocks.where("error is null").select(name.alias("doc_id"), *(c for c in blocks.columns if c not in ("path", "error"))), config)
+    return chunking.chunk_documents(blocks.where("error is null").select(document_of().alias("doc_id"), *(c for c in blocks.columns if c not in ("path", "error"))), config)
 
 
 def failures_of(blocks: DataFrame) -> DataFrame:
@@ -41,15 +53,9 @@ def failures_of(blocks: DataFrame) -> DataFrame:
     return blocks.where("error is not null").select("path", "error")
 
 
-def table_path(root: str, batch: int) -> str:
-    return f"{root}/chunks/v={batch}"
-
-
 def current_chunks(spark: SparkSession, root: str) -> DataFrame:
-    """The chunks of all documents, each as the last batch that has rows of it left them."""
-    rows = spark.read.parquet(f"{root}/chunks")
-    last = rows.groupBy("doc_id").agg(F.max("v").alias("v"))
-    return rows.join(last, ["doc_id", "v"], "left_semi").drop("v")
+    """The chunks of all documents, each as the last batch that has a file of it left them."""
+    return batches.current(spark, root, "chunks").drop("batch")
 
 
 def run_available(spark: SparkSession, folder: str, root: str, config: IngestConfig = IngestConfig()) -> StreamingQuery:
@@ -57,9 +63,11 @@ def run_available(spark: SparkSession, folder: str, root: str, config: IngestCon
     are listed in ``failures`` with the reason."""
 
     def batch(files: DataFrame, number: int) -> None:
-        blocks = written(parsers.parse_files(files), "blocks")
-        failures_of(blocks).write.mode("overwrite").parquet(f"{root}/failures/v={number}")
-        chunks_of(blocks, config).write.mode("overwrite").parquet(table_path(root, number))
+        last = last_files(files)
+        blocks = written(parsers.parse_files(last), "blocks")
+        batches.write(failures_of(blocks), root, "failures", number)
+        batches.write(chunks_of(blocks, config), root, "chunks", number)
+        batches.write(last.select(document_of().alias("doc_id"), "path"), root, batches.DOCUMENTS, number)
 
     query = landing(spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()

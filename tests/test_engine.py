@@ -4,6 +4,7 @@ import difflib
 import itertools
 import json
 import math
+import os
 import random
 import uuid
 
@@ -140,6 +141,13 @@ def test_extract_records_survives_bad_json(spark):
     assert got[1]["entities"] == [] and got[2]["coverage"] == 0.0 and got[3]["entities"][0]["type"] == "LOCATION"
 
 
+def test_odd_numbers_and_depth_do_not_end_the_job(spark):
+    texts = ['{"year": Infinity, "company": "Acme"}', '{"year": 1e999, "city": "Rome"}', '{"year": NaN, "company": "Globex"}', "[" * 100_000, '{"a":' * 50_000 + "1" + "}" * 50_000, '{"year": ' + "9" * 5000 + "}", '{"year": 1988.0, "company": "X"}']
+    got = structural.extract_records(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, record string"))
+    names = {r["i"]: [e["name"] for e in r["entities"]] for r in got.collect()}
+    assert names == {0: ["Acme"], 1: ["Rome"], 2: ["Globex"], 3: [], 4: [], 5: [], 6: ["1988", "X"]}
+
+
 def test_parse_extraction(spark):
     reply = {"entities": [{"name": " Acme ", "type": "organization"}, {"name": "acme", "type": "PERSON"}, {"name": "X"}, {"name": "Rome"}], "relationships": [{"source": "ACME", "relation": "based in", "target": "Rome"}, {"source": "Acme", "relation": "is", "target": "acme"}, {"source": "Acme", "relation": "", "target": "Rome"}, {"source": "Acme", "relation": "r", "target": "Oslo"}]}
     rows = spark.createDataFrame([("```json\n" + json.dumps(reply) + "\n```",), ("no json",), (None,)], "reply string")
@@ -513,8 +521,15 @@ def test_streaming(spark, tmp_path):
     ingest.run_available(spark, str(landing), root, IngestConfig())
     rows = sorted((r["doc_id"], r["text"], r["rows"]) for r in ingest.current_chunks(spark, root).collect())
     assert rows == [("a", "newer text", None), ("b", "k: 1; v: 2", "1-2"), ("c", "third", None)]
-    assert {r["doc_id"] for r in spark.read.parquet(ingest.table_path(root, 1)).collect()} == {"a", "c"}  # a batch writes its own rows
+    assert {r["doc_id"] for r in spark.read.parquet(f"{root}/chunks/batch=1").collect()} == {"a", "c"}  # a batch writes its own rows
     assert [r["path"].rpartition("/")[2] for r in spark.read.parquet(f"{root}/failures").collect()] == ["bad.json"]
+    # two files of one document in a batch: the newer one; documents that come again empty or unreadable have nothing
+    for at, (name, text) in enumerate((("e.txt", "older"), ("e.md", "newest"), ("e.log", "old"), ("c.md", " \n"), ("b.json", "{"))):
+        (landing / name).write_text(text)
+        os.utime(landing / name, (1_700_000_000, 1_700_000_000 + (at if name != "e.log" else 0)))
+    ingest.run_available(spark, str(landing), root)
+    rows = sorted((r["doc_id"], r["text"]) for r in ingest.current_chunks(spark, root).collect())
+    assert rows == [("a", "newer text"), ("e", "newest")]
 
 
 def test_every_name_of_a_chunk_is_an_entity(spark):
