@@ -31,6 +31,8 @@ class RetrievalConfig:
     per_doc_cap: int = 3
     path_hops: int = 4
     path_pairs: int = 3
+    #: Whether a path may go from entity to entity by a document that mentions both.
+    through_documents: bool = False
     excluded_types: tuple[str, ...] = ("DATE",)
     near_dup: float = 0.6
     neighbour_window: int = 1

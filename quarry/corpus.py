@@ -115,7 +115,7 @@ class Corpus:
     def retrieval(self, queries: DataFrame, config: RetrievalConfig = RetrievalConfig(), strict_doc_filter: bool = False, model: providers.ChatModel | None = None, embedder: providers.Embedder | None = None) -> retrieve.Retrieval:
         """Results, related entities and timings for queries(qid, text, vec, doc_filter, history)."""
         edges, entities = written(graph.edge_rollup(self.evidence), "edges"), written(graph.entity_facts(self.mentions), "entities")
-        return retrieve.retrieval(queries, self.chunks, self.mentions, edges, entities, config, strict_doc_filter, model, embedder, self.postings)
+        return retrieve.retrieval(queries, self.chunks, self.mentions, edges, entities, config, strict_doc_filter, model, embedder, self.postings, self.documents.select("doc_id", "title"))
 
     def retrieve(self, queries: DataFrame, config: RetrievalConfig = RetrievalConfig(), strict_doc_filter: bool = False, model: providers.ChatModel | None = None, embedder: providers.Embedder | None = None) -> DataFrame:
         """queries(qid, text, vec, doc_filter) -> (qid, place, chunk_id, doc_id, text, score, source)."""

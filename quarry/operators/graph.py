@@ -33,17 +33,6 @@ def evidence_of(relations: DataFrame) -> DataFrame:
     return keyed.where("src_key <> '' and dst_key <> '' and src_key <> dst_key")
 
 
-def entity_rollup(mentions: DataFrame) -> DataFrame:
-    """One row per key: the first name, the first type that says something, and the evidence."""
-    specific = F.when(F.col("type") != "CONCEPT", F.col("type"))
-    return mentions.groupBy("entity_key").agg(
-        F.min_by("name", "ord").alias("name"),
-        F.coalesce(F.min_by(specific, F.when(specific.isNotNull(), F.col("ord"))), F.lit("CONCEPT")).alias("type"),
-        F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids"),
-        F.array_sort(F.collect_set("doc_id")).alias("doc_ids"),
-    )
-
-
 def entity_facts(mentions: DataFrame) -> DataFrame:
     """The roll-up with numbers instead of lists: nothing grows with a hub's evidence."""
     specific = F.when(F.col("type") != "CONCEPT", F.col("type"))
@@ -106,26 +95,41 @@ def related_entities(seeds: DataFrame, mentions: DataFrame, entities: DataFrame)
     return keys.join(entities.select("entity_key", "name", "type"), "entity_key").select("qid", "name", "type").distinct()
 
 
+#: Stands before the id of a document where one is a node of a path.
+DOCUMENT = "\x1f"
+
+
+def document_steps(appears: DataFrame) -> DataFrame:
+    """(seed, other) both ways between entities and the documents, as nodes, of appears(entity_key, doc_id)."""
+    node = F.concat(F.lit(DOCUMENT), F.col("doc_id").cast("string"))
+    pairs = appears.select(F.col("entity_key").alias("seed"), node.alias("other")).distinct()
+    return pairs.unionByName(pairs.select(F.col("other").alias("seed"), F.col("seed").alias("other")))
+
+
 def _reach(starts: DataFrame, step: DataFrame, hops: int, grow) -> list[DataFrame]:
-    """Breadth first from (pair_id, node): one table (pair_id, node, path) per distance 0 to ``hops``,
-    with the least path to each node; ``grow`` puts the next node to a path."""
+    """Breadth first from (pair_id, node): one written table (pair_id, node, path) per distance 0 to
+    ``hops``, with the least path to each node; ``grow`` puts the next node to a path."""
     levels = [starts.select("pair_id", "node", F.array("node").alias("path"))]
     met = levels[0].select("pair_id", "node")
     for _ in range(hops):
         reached = levels[-1].join(step, "node").select("pair_id", F.col("next").alias("node"), grow(F.col("path"), F.col("next")).alias("path"))
-        reached = reached.join(met, ["pair_id", "node"], "left_anti").groupBy("pair_id", "node").agg(F.min("path").alias("path"))
+        reached = written(reached.join(met, ["pair_id", "node"], "left_anti").groupBy("pair_id", "node").agg(F.min("path").alias("path")), "path-level")
         levels.append(reached)
         met = met.unionByName(reached.select("pair_id", "node"))
     return levels
 
 
-def shortest_paths(pairs: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
+def shortest_paths(pairs: DataFrame, edges: DataFrame, hops: int, appears: DataFrame | None = None) -> DataFrame:
     """(pair_id, hops, path) for pairs (pair_id, source, target): the shortest undirected path of at
-    most ``hops`` edges, of several the least by its nodes, relations left out.
+    most ``hops`` edges, of several the least by its nodes, relations left out.  With appears(entity_key,
+    doc_id) documents are nodes too, one step from all entities that they mention.
 
     Breadth first from both ends to half of the way, so that neither side reaches far: a path
     of n edges is met where it has gone half of them, rounded up."""
-    step = both_ways(edges).select(F.col("seed").alias("node"), F.col("other").alias("next")).distinct()
+    steps = both_ways(edges).select("seed", "other")
+    if appears is not None:
+        steps = steps.unionByName(document_steps(appears))
+    step = written(steps.select(F.col("seed").alias("node"), F.col("other").alias("next")).distinct(), "path-steps")
     real = pairs.where("source <> target")
     ahead = _reach(real.select("pair_id", F.col("source").alias("node")), step, (hops + 1) // 2, lambda path, x: F.concat(path, F.array(x)))
     back = _reach(real.select("pair_id", F.col("target").alias("node")), step, hops // 2, lambda path, x: F.concat(F.array(x), path))
@@ -138,13 +142,23 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     return best.select("pair_id", "x.hops", "x.path")
 
 
-def path_lines(paths: DataFrame, edges: DataFrame, entities: DataFrame) -> DataFrame:
+def path_lines(paths: DataFrame, edges: DataFrame, entities: DataFrame, appears: DataFrame | None = None, titles: DataFrame | None = None) -> DataFrame:
     """(pair_id, hops, text): paths as "A -[RELATION]-> B -[RELATION]-> C" with the entities' names, drawn
-    from left to right whatever the edges' direction; of several relations the least."""
-    label = both_ways(edges).groupBy(F.col("seed").alias("a"), F.col("other").alias("b")).agg(F.min("relation").alias("relation"))
+    from left to right whatever the edges' direction; of several relations the least.  Documents on the
+    way stand with their title, of titles(doc_id, title), or id."""
+    both = both_ways(edges).select(F.col("seed").alias("a"), F.col("other").alias("b"), "relation")
+    names = entities.select(F.col("entity_key").alias("b"), F.col("name").alias("b_name"))
+    if appears is not None:
+        both = both.unionByName(document_steps(appears).select(F.col("seed").alias("a"), F.col("other").alias("b"), F.lit("APPEARS_IN").alias("relation")))
+        docs = appears.select(F.col("doc_id").cast("string").alias("doc_id")).distinct()
+        if titles is not None:
+            docs = docs.join(titles.select(F.col("doc_id").cast("string").alias("doc_id"), "title"), "doc_id", "left")
+        else:
+            docs = docs.withColumn("title", F.col("doc_id"))
+        names = names.unionByName(docs.select(F.concat(F.lit(DOCUMENT), "doc_id").alias("b"), F.coalesce("title", "doc_id").alias("b_name")))
+    label = both.groupBy("a", "b").agg(F.min("relation").alias("relation"))
     steps = paths.select("pair_id", "hops", F.posexplode(F.transform(F.slice("path", 1, F.size("path") - 1), lambda x, i: F.struct(x.alias("a"), F.get("path", i + 1).alias("b")))).alias("i", "s"))
-    named = entities.select(F.col("entity_key").alias("b"), F.col("name").alias("b_name"))
-    rows = steps.select("pair_id", "hops", "i", "s.a", "s.b").join(label, ["a", "b"]).join(named, "b").join(named.withColumnsRenamed({"b": "a", "b_name": "a_name"}), "a")
+    rows = steps.select("pair_id", "hops", "i", "s.a", "s.b").join(label, ["a", "b"]).join(names, "b").join(names.withColumnsRenamed({"b": "a", "b_name": "a_name"}), "a")
     part = F.concat(F.when(F.col("i") == 0, F.col("a_name")).otherwise(""), F.lit(" -["), "relation", F.lit("]-> "), "b_name")
     lists = rows.groupBy("pair_id", "hops").agg(F.sort_array(F.collect_list(F.struct("i", part.alias("t")))).alias("l"))
     return lists.select("pair_id", "hops", F.array_join(F.transform("l", lambda x: x["t"]), "").alias("text"))

@@ -305,13 +305,15 @@ def path_pairs(named: DataFrame, most: int = RetrievalConfig.path_pairs) -> Data
     return named.where(F.col("rank") <= most).join(after, ["qid", "rank"]).select(pair.alias("pair_id"), F.col("entity_key").alias("source"), "target")
 
 
-def path_entries(named: DataFrame, edges: DataFrame, entities: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
-    """(qid, n, text): relationship paths between named entities that follow one another, numbered from 0."""
+def path_entries(named: DataFrame, edges: DataFrame, entities: DataFrame, config: RetrievalConfig = RetrievalConfig(), mentions: DataFrame | None = None, titles: DataFrame | None = None) -> DataFrame:
+    """(qid, n, text): relationship paths between named entities that follow one another, numbered from 0;
+    with ``through_documents`` also by the documents of mentions, shown with their titles(doc_id, title)."""
     from quarry.operators.graph import path_lines, shortest_paths
 
-    paths = written(shortest_paths(path_pairs(named, config.path_pairs), edges, config.path_hops), "paths")
+    appears = mentions.select("entity_key", "doc_id").distinct() if config.through_documents and mentions is not None else None
+    paths = written(shortest_paths(path_pairs(named, config.path_pairs), edges, config.path_hops, appears), "paths")
     parts = F.split("pair_id", ":")
-    lines = path_lines(paths, edges, entities).select(F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), ":").cast(named.schema["qid"].dataType).alias("qid"), F.element_at(parts, -1).cast("int").alias("nth"), "text")
+    lines = path_lines(paths, edges, entities, appears, titles).select(F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), ":").cast(named.schema["qid"].dataType).alias("qid"), F.element_at(parts, -1).cast("int").alias("nth"), "text")
     return lines.select("qid", (F.row_number().over(Window.partitionBy("qid").orderBy("nth")) - 1).alias("n"), "text")
 
 
@@ -356,13 +358,13 @@ def reranked(kept: DataFrame, queries: DataFrame, model: ChatModel, size: int) -
     return scored.drop("place").withColumnRenamed("new_place", "place").where(F.col("place") <= size)
 
 
-def retrieval(queries: DataFrame, chunks: DataFrame, mentions: DataFrame, edges: DataFrame, entities: DataFrame, config: RetrievalConfig = RetrievalConfig(), strict_doc_filter: bool = False, model: ChatModel | None = None, embedder: Embedder | None = None, index: DataFrame | None = None) -> Retrieval:
+def retrieval(queries: DataFrame, chunks: DataFrame, mentions: DataFrame, edges: DataFrame, entities: DataFrame, config: RetrievalConfig = RetrievalConfig(), strict_doc_filter: bool = False, model: ChatModel | None = None, embedder: Embedder | None = None, index: DataFrame | None = None, titles: DataFrame | None = None) -> Retrieval:
     """All channels for all queries(qid, text, vec, doc_filter, and history if there is one) over
     chunks(chunk_id, doc_id, index, text, embedding).
 
     With ``model`` (and ``embedder``, for new wordings) the steps that the settings switch on are taken:
     follow-ups are condensed, other wordings widen the vector channel, a wider pool is ranked anew.
-    ``index``: stored postings of the chunks' words (operators/textindex.py).  Every channel is a written
+    ``index``: stored postings of the chunks' words (operators/textindex.py).  ``titles``: (doc_id, title), for paths by documents.  Every channel is a written
     table; where one but the vectors' fails, it is left empty
     (``fail_soft``).  A document filter holds for the vector and keyword channels, with
     ``strict_doc_filter`` for all.  Paths between named entities come last."""
@@ -425,7 +427,7 @@ def retrieval(queries: DataFrame, chunks: DataFrame, mentions: DataFrame, edges:
     found = plain
     if config.neighbour_window > 0:
         found = plain.unionByName(step("neighbours", lambda: with_neighbours(kept, chunks, config).where("source = 'neighbor'").withColumn("doc_id", F.col("doc_id").cast("string")), kinds))
-    paths = step("paths", lambda: path_entries(named, edges, entities, config), f"{qid}, n int, text string")
+    paths = step("paths", lambda: path_entries(named, edges, entities, config, mentions, titles), f"{qid}, n int, text string")
     if chunks.schema["chunk_id"].dataType.simpleString() == "string":  # a path is no chunk; its id is a text
         size = found.groupBy("qid").agg(F.max("place").alias("size"))
         extra = paths.join(size, "qid", "left").select("qid", (F.coalesce("size", F.lit(0)) + F.col("n") + 1).alias("place"), F.concat(F.lit("path:"), F.col("n").cast("string")).alias("chunk_id"), F.lit("(graph relationship)").alias("doc_id"), "text", F.lit(1.0).alias("score"), F.lit("path").alias("source"))

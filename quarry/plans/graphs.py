@@ -20,7 +20,7 @@ def entity_rollup(t: Tables) -> DataFrame:
 
 @query(with_(GRAPH, EDGES, select="SELECT src_key, dst_key, relation, weight, n_chunks FROM edges"))
 def edge_rollup(t: Tables) -> DataFrame:
-    return graph.edge_rollup(graph.known_ends(t.evidence(), t.stored_mentions()))
+    return graph.known_ends(graph.edge_rollup(t.stored_evidence()), t.stored_mentions())
 
 
 @query(with_(GRAPH, EDGES, select="SELECT relation, count(*) AS n_edges, CAST(sum(weight) AS BIGINT) AS total_weight FROM edges GROUP BY 1"))
@@ -44,7 +44,7 @@ _SEED_SQL = "seeds AS (SELECT n_nationkey AS qid, arg_min(chunk_id, base) AS chu
 @query(with_(GRAPH, EDGES, ENTITIES, _SEED_SQL, EXPAND, select="SELECT qid, chunk_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM hop QUALIFY rank <= 5"))
 def graph_expand(t: Tables) -> DataFrame:
     m = t.stored_mentions()
-    return graph.expand(_seeds(t), m, written(graph.edge_rollup(t.evidence()), "edges"), written(graph.entity_facts(m), "entities"), RetrievalConfig.graph_expand, RetrievalConfig.excluded_types).select("qid", "chunk_id", "score", "rank")
+    return graph.expand(_seeds(t), m, written(graph.edge_rollup(t.stored_evidence()), "edges"), written(graph.entity_facts(m), "entities"), RetrievalConfig.graph_expand, RetrievalConfig.excluded_types).select("qid", "chunk_id", "score", "rank")
 
 
 @query(with_(GRAPH, ENTITIES, _SEED_SQL, select="SELECT DISTINCT qid, e.name, e.type FROM seeds JOIN mentions USING (chunk_id) JOIN entities e ON e.entity_key = mentions.entity_key"))
@@ -71,6 +71,37 @@ def shortest_path(t: Tables) -> DataFrame:
     return found.select("pair_id", "hops", graph.path_text(F.col("path")).alias("path"))
 
 
+def _levels(hops: int) -> list[str]:
+    """Breadth first over step(seed, other) from h0; a node counts where it is met first."""
+    out = []
+    for n in range(1, hops + 1):
+        unmet = "".join(f" AND NOT EXISTS (SELECT 1 FROM h{m} x WHERE x.pair_id = h{n - 1}.pair_id AND x.node = other)" for m in range(n))
+        out.append(f"h{n} AS (SELECT pair_id, target, other AS node, min(list_append(path, other)) AS path FROM h{n - 1} JOIN step ON seed = node WHERE node <> target{unmet} GROUP BY 1, 2, 3)")
+    return out
+
+
+@query(with_(
+    GRAPH, EDGES, ENTITIES,
+    "pairs AS (SELECT a.n_nationkey AS pair_id, lower(a.n_name) AS source, lower(b.n_name) AS target FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 1)",
+    "appears AS (SELECT DISTINCT entity_key, chr(31) || doc_id AS node FROM mentions)",
+    "step AS (SELECT seed, other FROM both_ways UNION SELECT entity_key, node FROM appears UNION SELECT node, entity_key FROM appears)",
+    "h0 AS (SELECT pair_id, target, source AS node, [source] AS path FROM pairs)", *_levels(4),
+    "ways AS (" + " UNION ALL ".join(f"SELECT pair_id, {n} AS hops, path FROM h{n} WHERE node = target" for n in range(1, 5)) + ")",
+    "legs AS (SELECT pair_id, hops, unnest(path) AS node, unnest(list_append(path[2:], NULL)) AS next, generate_subscripts(path, 1) AS i FROM ways)",
+    "labels AS (SELECT seed, other, min(relation) AS relation FROM (SELECT src_key AS seed, dst_key AS other, relation FROM edges UNION ALL SELECT dst_key, src_key, relation FROM edges) GROUP BY 1, 2)",
+    select="""SELECT pair_id, CAST(hops AS INTEGER) AS hops, string_agg(coalesce(e.name, substr(node, 2)) || CASE WHEN next IS NULL THEN '' ELSE ' -[' || coalesce(l.relation, 'APPEARS_IN') || ']-> ' END, '' ORDER BY i) AS text
+ FROM legs LEFT JOIN entities e ON e.entity_key = node LEFT JOIN labels l ON l.seed = node AND l.other = next GROUP BY 1, 2""",
+))
+def document_paths(t: Tables) -> DataFrame:
+    """From each nation to the next one, by relations or by documents that mention both ends of a step."""
+    after = t.nation.select((F.col("n_nationkey") - 1).alias("n_nationkey"), F.lower("n_name").alias("target"))
+    pairs = t.nation.join(F.broadcast(after), "n_nationkey").select(F.col("n_nationkey").alias("pair_id"), F.lower("n_name").alias("source"), "target")
+    mentions = t.stored_mentions()
+    edges, appears = written(graph.edge_rollup(t.stored_evidence()), "edges"), written(mentions.select("entity_key", "doc_id").distinct(), "appears")
+    found = graph.shortest_paths(pairs, edges, RetrievalConfig.path_hops, appears)
+    return graph.path_lines(found, edges, graph.entity_facts(mentions), appears)
+
+
 _GONE = "gone AS (SELECT DISTINCT doc_id FROM o WHERE n_name = 'NATION_3'), gone_chunks AS (SELECT chunk_id FROM o WHERE doc_id IN (SELECT doc_id FROM gone))"
 
 
@@ -82,7 +113,7 @@ def delete_cascade(t: Tables) -> DataFrame:
     """Delete all customers of one nation and count what is left."""
     gone = t.order_records().where("country = 'NATION_3'").select("doc_id").distinct()
     chunks = t.order_records().select("chunk_id", "doc_id").unionByName(t.line_records().select("chunk_id", "doc_id"))
-    m, e, c = graph.delete_documents(gone, t.stored_mentions(), t.evidence(), chunks)
+    m, e, c = graph.delete_documents(gone, t.stored_mentions(), t.stored_evidence(), chunks)
     count = lambda kind, rows: rows.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
     edges = e.select(F.least("src_key", "dst_key"), F.greatest("src_key", "dst_key"), "relation").distinct()
     return count("entities", m.select("entity_key").distinct()).unionByName(count("edges", edges)).unionByName(count("chunks", c))
@@ -92,7 +123,7 @@ def delete_cascade(t: Tables) -> DataFrame:
 def merge_entities(t: Tables) -> DataFrame:
     """Nations 10 to 19 are absorbed by nation 1; edge weights become distinct evidence."""
     names = t.nation.select(F.lower("n_name").alias("absorb")).where(F.col("absorb").rlike("^nation_1[0-9]$"))
-    m, e = graph.merge_entities(t.stored_mentions(), t.evidence(), names.select(F.lit("nation_1").alias("keep"), "absorb"))
+    m, e = graph.merge_entities(t.stored_mentions(), t.stored_evidence(), names.select(F.lit("nation_1").alias("keep"), "absorb"))
     return graph.edge_rollup(graph.known_ends(e, m)).select("src_key", "dst_key", "relation", F.col("n_chunks").alias("weight"))
 
 

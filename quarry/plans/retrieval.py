@@ -178,7 +178,7 @@ def near_dup_pairs(t: Tables) -> DataFrame:
  select="SELECT f.qid, CAST(len(f.ids) AS INTEGER) AS place, k.chunk_id, k.rank AS pos FROM fold f JOIN keyword k ON k.qid = f.qid AND k.rank = f.took", recursive=True))
 def greedy_select(t: Tables) -> DataFrame:
     chunks = t.stored_chunks()
-    hits = retrieve.keyword_topk(t.text_queries(), chunks, LIMIT)
+    hits = written(retrieve.keyword_topk(t.text_queries(), chunks, LIMIT), "hits")
     ranked = hits.select("qid", "chunk_id", F.col("rank").alias("pos")).join(chunks.select("chunk_id", "doc_id", "text"), "chunk_id")
     return retrieve.greedy_select(ranked, RetrievalConfig.top_k).select("qid", "place", "chunk_id", "pos")
 

@@ -170,8 +170,8 @@ def small_graph(spark):
 
 def test_roll_ups(spark):
     mentions, evidence = small_graph(spark)
-    rows = {r["entity_key"]: r for r in graph.entity_rollup(mentions).collect()}
-    assert (rows["acme"]["name"], rows["acme"]["type"], rows["acme"]["chunk_ids"]) == ("Acme", "ORGANIZATION", ["c1", "c2", "c3"])
+    rows = {r["entity_key"]: r for r in graph.entity_facts(mentions).collect()}
+    assert (rows["acme"]["name"], rows["acme"]["type"], rows["acme"]["n_chunks"]) == ("Acme", "ORGANIZATION", 3)
     assert rows["bob"]["type"] == "CONCEPT" and "" not in rows
     edges = {tuple(r) for r in graph.edge_rollup(evidence).collect()}
     assert edges == {("bob", "acme", "KNOWS", 3, 2), ("acme", "rome", "IN", 1, 1), ("bob", "1999", "AT", 1, 1)}
@@ -189,13 +189,23 @@ def test_expansion_paths_delete_and_merge(spark):
     assert graph.shortest_paths(pairs, edges, 2).count() == 0
     drawn = graph.path_lines(graph.shortest_paths(pairs, edges, 4), edges, entities).collect()
     assert [r["text"] for r in drawn] == ["1999 -[AT]-> Bob -[KNOWS]-> Acme -[IN]-> Rome"]
+    appears = spark.createDataFrame([("rome", "d7"), ("paris", "d7"), ("paris", "d8"), ("oslo", "d8"), ("1999", "d9"), ("rome", "d9")], "entity_key string, doc_id string")
+    facts = entities.select("entity_key", "name").unionByName(spark.createDataFrame([("paris", "Paris"), ("oslo", "Oslo")], "entity_key string, name string"))
+    far = spark.createDataFrame([("a", "1999", "rome"), ("d", "acme", "paris"), ("e", "rome", "oslo"), ("f", "acme", "oslo")], "pair_id string, source string, target string")
+    found = graph.shortest_paths(far, edges, 4, appears)
+    titles = spark.createDataFrame([("d7", "Seven"), ("d9", None)], "doc_id string, title string")
+    drawn = {(r["pair_id"], r["hops"], r["text"]) for r in graph.path_lines(found, edges, facts, appears, titles).collect()}
+    assert drawn == {
+        ("a", 2, "1999 -[APPEARS_IN]-> d9 -[APPEARS_IN]-> Rome"), ("d", 3, "Acme -[IN]-> Rome -[APPEARS_IN]-> Seven -[APPEARS_IN]-> Paris"),
+        ("e", 4, "Rome -[APPEARS_IN]-> Seven -[APPEARS_IN]-> Paris -[APPEARS_IN]-> d8 -[APPEARS_IN]-> Oslo"),
+    }
     chunks = spark.createDataFrame([("c1", "d1"), ("c2", "d1"), ("c3", "d2")], "chunk_id string, doc_id string")
     m, e, c = graph.delete_documents(spark.createDataFrame([("d1",)], "doc_id string"), mentions, evidence, chunks)
     assert {r[0] for r in m.select("entity_key").collect()} == {"acme", "rome"} and e.count() == 1 and c.count() == 1
     merges = spark.createDataFrame([("acme", "bob"), ("acme", "nobody")], "keep string, absorb string")
     m, e = graph.merge_entities(mentions, evidence, merges)
     assert {tuple(r)[:3] for r in graph.edge_rollup(e).collect()} == {("acme", "rome", "IN"), ("acme", "1999", "AT")}
-    assert {r["entity_key"]: r["name"] for r in graph.entity_rollup(m).collect()}["acme"] == "Acme"
+    assert {r["entity_key"]: r["name"] for r in graph.entity_facts(m).collect()}["acme"] == "Acme"
 
 
 # --- fusion and selection ------------------------------------------------------------------
