@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import slices, written
+from quarry.llm.common import frugal, slices, written
 
 CAPACITY = 2048
 #: Pieces of one group: about this many are packed by one task at a time.
@@ -128,7 +128,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
                 columns = [part.column(0).take(pa.array(rows, pa.int64())), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary()), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids", "ids_crc32"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, shape)
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(frugal(run), shape)
 
 
 class Bins:
@@ -202,13 +202,23 @@ class Bins:
 
 
 def pack(lengths: list[int], capacity: int = CAPACITY, done: Counter | None = None) -> list[list[int]]:
-    """Piece numbers of each sequence.  done: counts the steps of the search."""
-    bins = Bins(lengths, capacity)
-    for item, length in enumerate(lengths):
-        at = bins.tightest(length)
-        bins.add(bins.open() if at < 0 else at, item)
-    _search(bins, -(-sum(lengths) // capacity), Counter() if done is None else done)
-    return [m for m in bins.members if m]
+    """Piece numbers of each sequence.  done: counts the steps of the search.
+
+    The search starts from best fit in the given order; where it ends above the least number that the
+    lengths allow, it starts again from best fit of the longest pieces first, and the better end counts."""
+    least, best = -(-sum(lengths) // capacity), None
+    for order in (range(len(lengths)), sorted(range(len(lengths)), key=lambda i: -lengths[i])):
+        bins = Bins(lengths, capacity)
+        for item in order:
+            at = bins.tightest(lengths[item])
+            bins.add(bins.open() if at < 0 else at, item)
+        _search(bins, least, Counter() if done is None else done)
+        found = [m for m in bins.members if m]
+        if best is None or len(found) < len(best):
+            best = found
+        if len(best) <= least:
+            break
+    return best
 
 
 def _search(bins: Bins, least: int, done: Counter) -> None:
