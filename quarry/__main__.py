@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 from quarry.config import RetrievalConfig
 from quarry.corpus import Corpus
 from quarry.operators.providers import HashEmbedder
+from quarry.operators.shared import clear
 
 
 def arguments(args: list[str] | None = None) -> argparse.Namespace:
@@ -50,5 +51,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> list[str]:
 
 
 if __name__ == "__main__":
-    print("\n".join(run(SparkSession.builder.getOrCreate(), arguments())))
+    session = SparkSession.builder.getOrCreate()
+    print("\n".join(run(session, arguments())))
+    if session.conf.get("spark.checkpoint.dir", None):
+        clear(session)
     sys.exit(0)

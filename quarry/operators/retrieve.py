@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -366,7 +367,7 @@ def retrieval(queries: DataFrame, chunks: DataFrame, mentions: DataFrame, edges:
     follow-ups are condensed, other wordings widen the vector channel, a wider pool is ranked anew.
     ``index``: stored postings of the chunks' words (operators/textindex.py).  ``titles``: (doc_id, title), for paths by documents.  Every channel is a written
     table; where one but the vectors' fails, it is left empty
-    (``fail_soft``).  A document filter holds for the vector and keyword channels, with
+    (``fail_soft``), but for mistakes in the code and a session that has ended.  A document filter holds for the vector and keyword channels, with
     ``strict_doc_filter`` for all.  Paths between named entities come last."""
     from quarry.operators.graph import expand, related_entities
 
@@ -378,8 +379,10 @@ def retrieval(queries: DataFrame, chunks: DataFrame, mentions: DataFrame, edges:
         start = time.perf_counter()
         try:
             return written(make(), name)
+        except (AnalysisException, ArithmeticError, AssertionError, AttributeError, LookupError, NameError, TypeError):
+            raise  # a mistake in the code, not a failing service
         except Exception:
-            if empty is None or not config.fail_soft:
+            if empty is None or not config.fail_soft or queries.sparkSession.sparkContext._jsc.sc().isStopped():
                 raise
             logger.warning("retrieval: %s failed, going on without it", name, exc_info=True)
             return queries.sparkSession.createDataFrame([], empty)

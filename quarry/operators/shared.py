@@ -16,8 +16,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def session_folder(spark: SparkSession) -> str:
+    """Where this session's intermediate tables lie."""
+    return f"{shared_folder(spark)}/quarry/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove this session's intermediate tables, once no result that was made from them is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(session_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, label: str, *by: str) -> DataFrame:
     """Write a table, in folders by the columns ``by``, and read it back: cuts lineage and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/quarry/{label}-{uuid.uuid4().hex}"
+    path = f"{session_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

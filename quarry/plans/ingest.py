@@ -213,11 +213,12 @@ def chunk_metadata(t: Tables) -> DataFrame:
 _HINT_ROWS = "(VALUES " + ", ".join(f"('{n}', '{k}', {g})" for g, (k, ns) in enumerate(KEY_HINTS) for n in ns) + ")"
 
 
-@query(f"SELECT a.needle AS field, arg_min(b.kind, b.group_no) AS kind FROM (SELECT DISTINCT needle FROM {_HINT_ROWS} v(needle, kind, group_no)) a JOIN {_HINT_ROWS} b(needle, kind, group_no) ON contains(a.needle, b.needle) GROUP BY 1")
+@query(with_(GRAPH, select="""SELECT field, kind, count(*) AS n_values FROM (
+ SELECT unnest([('customer', 'PERSON'), ('country', 'LOCATION'), ('region', 'LOCATION'), ('order_date', 'DATE')]) AS f FROM o
+ UNION ALL SELECT unnest([('supplier', 'ORGANIZATION'), ('product', 'PRODUCT'), ('country', 'LOCATION'), ('ship_date', 'DATE')]) FROM l) v(f), LATERAL (SELECT f[1] AS field, f[2] AS kind) GROUP BY 1, 2"""))
 def key_type_hints(t: Tables) -> DataFrame:
-    """Every known part of a field name, judged as a field name of its own."""
-    names = sorted({n for _, needles in KEY_HINTS for n in needles})
-    return t.spark.range(1).select(F.explode(F.array(*(F.lit(n) for n in names))).alias("field")).select("field", T.key_type(F.col("field")).alias("kind"))
+    """The fields of all records with the kind that their name promises and the number of their values."""
+    return t.fields().groupBy("field").agg(F.count("*").alias("n_values")).select("field", T.key_type(F.col("field")).alias("kind"), "n_values")
 
 
 @query("SELECT event_id, CAST(year(ts) AS VARCHAR) AS year FROM events")

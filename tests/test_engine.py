@@ -307,6 +307,38 @@ def test_agentic_loop_rewords_until_enough(spark):
     assert [(r["qid"], r["chunk_id"], r["relevance"]) for r in out.collect()] == [(1, "c1", 10.0)]
 
 
+def test_session_tables_are_cleared(spark):
+    """Intermediate tables lie in a folder of the session, which can be removed as a whole."""
+    from quarry.operators import shared
+
+    other = spark.newSession()
+    kept = written(other.range(3), "kept")
+    assert shared.session_folder(spark) in kept.inputFiles()[0] and kept.count() == 3
+    real, folder = shared.session_folder, shared.session_folder(spark) + "-x"
+    shared.session_folder = lambda _: folder
+    try:
+        gone = written(other.range(3), "gone")
+        shared.clear(spark)
+    finally:
+        shared.session_folder = real
+    with pytest.raises(Exception):
+        gone.count()
+    assert kept.count() == 3
+
+
+def test_mistakes_in_the_code_are_not_soft(spark, monkeypatch):
+    vectors = letters(spark, [(1, "alpha", None)])
+    docs = spark.createDataFrame([("d1", "alpha beta gamma")], "doc_id string, text string")
+    corpus = Corpus.build(spark, docs, providers.HashEmbedder(16), *(x.limit(0) for x in small_graph(spark)))
+    for error, soft in ((RuntimeError, True), (TypeError, False), (KeyError, False)):
+        monkeypatch.setattr(retrieve, "fuzzy_entities", lambda *_, error=error: (_ for _ in ()).throw(error("broken")))
+        if soft:
+            assert corpus.retrieve(vectors, RetrievalConfig(min_score=0.0)).count() == 1
+        else:
+            with pytest.raises(error):
+                corpus.retrieve(vectors, RetrievalConfig(min_score=0.0))
+
+
 def test_prompts_hold_the_task(spark):
     """A model is told what to do; grades below the configured threshold go; options reach the model."""
     asked = spark.createDataFrame([(1, 0, "alpha beta")], "qid int, sub_no int, text string")
