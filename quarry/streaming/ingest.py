@@ -3,11 +3,13 @@
 Each run takes the files that are new since the last one (the checkpoint knows which) and stops; a
 batch adds its own rows only (see streaming/batches.py).  A file's document is its name without suffix;
 of several files of one document the last by time, then by path, counts, and one that comes again, be
-it blank or unreadable, replaces all that the document had (Spark hands on no files of zero bytes).  Progress is the query's own;
-``query.stop()`` cancels between batches."""
+it blank or unreadable, replaces all that the document had (Spark hands on no files of zero bytes).
+Progress can be listened to (streaming/progress.py)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,14 +18,14 @@ from quarry.config import IngestConfig
 from quarry.operators import chunking
 from quarry.operators.shared import written
 from quarry.sources import parsers
-from quarry.streaming import batches
+from quarry.streaming import batches, progress
 
 SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def landing(spark: SparkSession, folder: str, largest_mb: int = 300) -> DataFrame:
+def landing(spark: SparkSession, folder: str, largest_mb: int = 300, files_per_batch: int = 1000) -> DataFrame:
     """New supported files of a folder as a stream, however old their time is."""
-    files = spark.readStream.format("binaryFile").schema(SCHEMA).option("maxFileAge", batches.OLDEST).load(folder)
+    files = spark.readStream.format("binaryFile").schema(SCHEMA).option("maxFileAge", batches.OLDEST).option("maxFilesPerTrigger", files_per_batch).load(folder)
     known = F.lower(F.regexp_extract("path", r"(\.[A-Za-z0-9]+)$", 1)).isin(*parsers.PARSERS)
     return files.where(known & (F.col("length") <= largest_mb << 20))
 
@@ -58,9 +60,9 @@ def current_chunks(spark: SparkSession, root: str) -> DataFrame:
     return batches.current(spark, root, "chunks").drop("batch")
 
 
-def run_available(spark: SparkSession, folder: str, root: str, config: IngestConfig = IngestConfig()) -> StreamingQuery:
-    """Ingest what has arrived and stop; ``current_chunks`` is the state.  Files that could not be read
-    are listed in ``failures`` with the reason."""
+def run_available(spark: SparkSession, folder: str, root: str, config: IngestConfig = IngestConfig(), cancelled: Callable[[], bool] | None = None, files_per_batch: int = 1000) -> StreamingQuery:
+    """Ingest what has arrived and stop, or earlier once ``cancelled`` says so; ``current_chunks`` is the
+    state.  Files that could not be read are listed in ``failures`` with the reason."""
 
     def batch(files: DataFrame, number: int) -> None:
         last = last_files(files)
@@ -69,6 +71,7 @@ def run_available(spark: SparkSession, folder: str, root: str, config: IngestCon
         batches.write(chunks_of(blocks, config), root, "chunks", number)
         batches.write(last.select(document_of().alias("doc_id"), "path"), root, batches.DOCUMENTS, number)
 
-    query = landing(spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
+    files = landing(spark, folder, files_per_batch=files_per_batch)
+    query = files.writeStream.queryName(f"ingest of {folder}").foreachBatch(batch).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    progress.wait(query, cancelled)
     return query

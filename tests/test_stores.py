@@ -1,10 +1,14 @@
 """Graph and keyword index kept up batch by batch, against roll-ups of everything."""
 
+import json
 import random
+import time
 
 from pyspark.sql import functions as F
 
-from quarry.operators import graphstore, textindex
+from quarry.operators import graphstore, store, textindex
+from quarry.streaming import ingest
+from quarry.streaming.progress import EVENTS, StreamProgress
 
 MENTIONS = "entity_key string, name string, type string, chunk_id string, doc_id string, ord bigint"
 EVIDENCE = "src_key string, relation string, dst_key string, chunk_id string, ord bigint"
@@ -104,3 +108,34 @@ def test_index_reads_the_buckets_of_its_words(spark, sf_dir, tmp_path):
     assert "bucket" in scan  # folders of other buckets are left out
     got = {r["token"]: (r["n_chunks"], r["n_docs"]) for r in textindex.frequencies(index).collect()}
     assert got == {r["token"]: (r["n"], r["n"]) for r in textindex.words_of(docs).groupBy("token").agg(F.count("*").alias("n")).collect()}
+
+
+def test_progress_and_cancelling_of_a_stream(spark, tmp_path):
+    """Every batch is noted with its rows; a run that is cancelled ends early and the next one finishes the rest."""
+    landing, root = tmp_path / "in", f"{tmp_path}/out"
+    landing.mkdir()
+    for n in range(5):
+        (landing / f"f{n}.txt").write_text(f"text {n}")
+    listener = StreamProgress()
+    spark.streams.addListener(listener)
+    try:
+        asked = []
+        ingest.run_available(spark, f"{landing}", root, cancelled=lambda: asked.append(1) or len(asked) > 1, files_per_batch=1)
+        first = ingest.batches.current_documents(spark, root, spark.createDataFrame([], "doc_id string, path string").schema).count()
+        assert first < 5  # five batches take longer than asking twice
+        ingest.run_available(spark, f"{landing}", root, files_per_batch=1)
+        for _ in range(50):  # events come on a thread of their own
+            if sum(e[1] == "done" for e in listener.events) == 2:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert sorted(r["text"] for r in ingest.current_chunks(spark, root).collect()) == [f"text {n}" for n in range(5)]
+    kinds = [e[1] for e in listener.events]
+    assert kinds.count("done") == 2 and kinds[0] == "processing"
+    batches_seen = [json.loads(e[2]) for e in listener.events if e[2] and "batch" in json.loads(e[2])]
+    assert {b["batch"] for b in batches_seen if b["rows"]} >= {4} and all(b["seconds"] >= 0 for b in batches_seen)
+    listener.save(spark, f"{tmp_path}/jobs")
+    saved = spark.read.schema(EVENTS).json(f"{tmp_path}/jobs")
+    assert [(r["job_id"], r["status"]) for r in store.latest_status(saved).collect()] == [(f"ingest of {landing}", "done")]
+    assert not listener.events
