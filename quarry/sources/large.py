@@ -17,6 +17,7 @@ and quoted fields are in double quotes."""
 from __future__ import annotations
 
 import csv
+import io
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -175,7 +176,7 @@ def json_array_blocks(spark: SparkSession, path: str) -> DataFrame:
     that say nothing make none.  A file that is no array is an error."""
 
     def item(n: int, data: bytes):
-        text = data.decode("utf-8").strip("﻿ \t\n\r")
+        text = data.decode("utf-8").strip("\ufeff \t\n\r")
         if n == 0:
             if not text.startswith("["):
                 raise ValueError("no array")
@@ -206,19 +207,23 @@ def json_array_blocks(spark: SparkSession, path: str) -> DataFrame:
     return records(spark, path, ",", json_effect, 0, 1).mapInArrow(run, "path string, record bigint, text string, value string, error string")
 
 
+def _cells(record: bytes, delimiter: str) -> list[str]:
+    return next(csv.reader(io.StringIO(record.decode("utf-8").rstrip("\r"), newline=""), delimiter=delimiter), [])
+
+
 def table_row_blocks(spark: SparkSession, path: str, delimiter: str = ",", size: int = IngestConfig.rows_per_block) -> DataFrame:
     """(path, block_no, text, rows) of separated tables with a header: ``size`` rows that have any value a
-    block; the range counts all rows from the one after the block before (the header is row 1)."""
+    block; the range counts all rows from the one after the block before (the header is row 1).  Rows end
+    with a line feed, which a carriage return may stand before."""
     rows = written(records(spark, path, "\n", table_effect(delimiter.encode()), 1, 1), "table-rows")
-    split = lambda data: next(csv.reader([data.decode("utf-8").rstrip("\r")] if "\n" not in data.decode("utf-8") else data.decode("utf-8").splitlines(keepends=True), delimiter=delimiter), [])
     heads = rows.where("n = 0").select("path", F.col("record").alias("head"))
 
     def run(batches):
         for batch in batches:
             kept = []
             for path, n, data, head in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                names = [h.strip() for h in split(head)]
-                pairs = [f"{h}: {v}" for h, v in zip(names, split(data)) if h]
+                names = [h.strip() for h in _cells(head, delimiter)]
+                pairs = [f"{h}: {v}" for h, v in zip(names, _cells(data, delimiter)) if h]
                 if pairs:
                     kept.append((path, n + 1, "; ".join(pairs)))
             kinds = [pa.string(), pa.int64(), pa.string()]

@@ -49,7 +49,7 @@ def test_broken_records_are_errors_of_their_own(spark, tmp_path):
 
 def test_tables_in_ranges(spark, tmp_path, small_splits):
     rng = random.Random(3)
-    cells = ["plain", 'quo"te', "com,ma", "two\nlines", "", " ü ", '"', '""', "5\" pipe"]
+    cells = ["plain", 'quo"te', "com,ma", "two\nlines", "", " ü ", "a b cd", '"', '""', "5\" pipe"]
     for name, n in (("a.csv", 130), ("b.csv", 40), ("c.csv", 20), ("d.csv", 0), ("e.csv", 21)):
         out = io.StringIO()
         writer = csv.writer(out, lineterminator="\n")
