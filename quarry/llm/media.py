@@ -10,6 +10,7 @@ from __future__ import annotations
 import io
 import re
 import struct
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -123,33 +124,58 @@ def _decode_bmp(data: bytes) -> np.ndarray:
 
 
 def _integral_at(data: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Rows of the integral image (sums of all rows before) at ascending places, from blocks of rows, so
-    that only one block is held as floating numbers."""
+    """Rows of the integral image (sums of all rows before) at ascending places from 0 on, from blocks of
+    rows, so that only one block is held as floating numbers."""
     out = np.zeros((len(places), *data.shape[1:]))
-    total = np.zeros(data.shape[1:])
+    total, done = 0.0, 1
     for at in range(0, len(data), ROWS_AT_ONCE):
-        sums = np.cumsum(data[at : at + ROWS_AT_ONCE], axis=0, dtype=np.float64) + total
-        inside = np.flatnonzero((places > at) & (places <= at + len(sums)))
-        out[inside] = sums[places[inside] - at - 1]
+        sums = np.cumsum(data[at : at + ROWS_AT_ONCE], axis=0, dtype=np.float64)
+        if at:
+            sums += total
         total = sums[-1]
+        upto = int(np.searchsorted(places, at + len(sums), side="right"))
+        out[done:upto] = sums[places[done:upto] - at - 1]
+        done = upto
     return out
 
 
-def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
+@lru_cache(maxsize=4096)
+def _borders(length: int, sizes: tuple[int, ...]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Where the integral is needed to cut ``length`` rows into each number of equal areas: all places,
+    and for each number the index below and above every border and its fraction between them."""
+    found = []
+    for size in sizes:
+        at = np.arange(size + 1) * (length / size)
+        whole = np.minimum(at.astype(np.int64), length)
+        found.append((whole, np.minimum(whole + 1, length), at - whole))
+    places = np.unique(np.concatenate([[0], *(x for low, high, _ in found for x in (low, high))]))
+    return places, [(np.searchsorted(places, low), np.searchsorted(places, high), part) for low, high, part in found]
+
+
+def _means(data: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
+    """Area means of the rows for each number of target rows, from one integral."""
+    places, cuts = _borders(len(data), sizes)
+    sums = _integral_at(data, places)
+    out = []
+    for size, (low, high, part) in zip(sizes, cuts, strict=True):
+        edges = sums[low] + (sums[high] - sums[low]) * part.reshape(-1, *(1 for _ in data.shape[1:]))
+        out.append((edges[1:] - edges[:-1]) / (len(data) / size))
+    return out
+
+
+def area_resizes(image: np.ndarray, targets: list[tuple[int, int]]) -> list[np.ndarray]:
     """Mean of the area that each target pixel covers, from the integral image (interpolated at
-    fractional borders, so the area weights are exact).  Works for enlarging too."""
-    data = image
-    for size in (height, width):
-        length = len(data)
-        borders = np.arange(size + 1) * (length / size)
-        whole = np.minimum(borders.astype(np.int64), length)
-        part = (borders - whole).reshape(-1, *(1 for _ in data.shape[1:]))
-        above = np.minimum(whole + 1, length)
-        places = np.union1d(whole, above)
-        sums = _integral_at(data, places)
-        low, high = sums[np.searchsorted(places, whole)], sums[np.searchsorted(places, above)]
-        data = np.swapaxes(np.diff(low + (high - low) * part, axis=0) / (length / size), 0, 1)
-    return np.clip(np.rint(data), 0, 255).astype(np.uint8)
+    fractional borders, so the area weights are exact), for several (height, width).  Works for
+    enlarging too.  The whole picture is summed once for all of them."""
+    out = []
+    for (_, width), rows in zip(targets, _means(image, tuple(h for h, _ in targets)), strict=True):
+        columns = _means(np.swapaxes(rows, 0, 1), (width,))[0]
+        out.append(np.clip(np.rint(np.swapaxes(columns, 0, 1)), 0, 255).astype(np.uint8))
+    return out
+
+
+def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    return area_resizes(image, [(height, width)])[0]
 
 
 def grey(image: np.ndarray) -> np.ndarray:
@@ -161,9 +187,18 @@ def grey(image: np.ndarray) -> np.ndarray:
     return out
 
 
+def features(image: np.ndarray, tile: int) -> tuple[bytes, str]:
+    """The NPY tile of ``tile`` x ``tile`` grey samples, and the difference hash."""
+    made, small = area_resizes(grey(image), [(tile, tile), (HASH_ROWS, HASH_COLUMNS)])
+    return npy(made), _hash_of(small)
+
+
 def difference_hash(image: np.ndarray) -> str:
     """64 bits: is each cell of an 8 x 9 reduction darker than its right neighbour."""
-    small = area_resize(grey(image), HASH_ROWS, HASH_COLUMNS)
+    return _hash_of(area_resize(grey(image), HASH_ROWS, HASH_COLUMNS))
+
+
+def _hash_of(small: np.ndarray) -> str:
     return np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
 
 
@@ -189,8 +224,8 @@ def tiles(media: DataFrame, tile: int = TILE) -> DataFrame:
                         image = None
                     samples.append(None if image is None else image.tobytes())
                     usable = image is not None and image.size > 0
-                    made.append(npy(area_resize(grey(image), tile, tile)) if usable else None)
-                    hashes.append(difference_hash(image) if usable else None)
+                    found = features(image, tile) if usable else (None, None)
+                    made.append(found[0]), hashes.append(found[1])
                 columns = [*part.columns, pa.array(samples, pa.binary()), pa.array(made, pa.binary()), pa.array(hashes, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "media", "samples", "tile", "dhash"])
 
