@@ -35,7 +35,7 @@ logger = logging.getLogger("ingest_documents")
 
 @dataclass(frozen=True)
 class Settings:
-    documents: str = ""  # no slash at its end
+    documents: str = ""
     output: str = ""
     chunk_size: int = IngestConfig.chunk_size
     chunk_overlap: int = IngestConfig.chunk_overlap
@@ -45,9 +45,12 @@ class Settings:
 
 def run(spark: SparkSession, config: Settings) -> DataFrame:
     """Take in the files that are new, wait for the stream to end, and return the catalogue."""
+    if not config.documents or not config.output:
+        raise ValueError("documents and output must be named")
     schema = spark.read.parquet(config.documents).schema
     # as a pattern of one name, so that the table may be a folder or a single file
-    pattern = f"{config.documents[:-1]}[{config.documents[-1]}]"
+    path = config.documents.rstrip("/")
+    pattern = f"{path[:-1]}[{path[-1]}]"
     files = spark.readStream.schema(schema).option("maxFilesPerTrigger", config.files_per_batch).option("maxFileAge", batches.OLDEST).parquet(pattern)
     arrived = files.select("doc_id", "text", "source", "lang", F.col("_metadata.file_modification_time").alias("changed"), F.col("_metadata.file_path").alias("file"))
     query = arrived.writeStream.foreachBatch(lambda rows, number: take_in(rows, number, config)).option("checkpointLocation", f"{config.output}/checkpoint").trigger(availableNow=True).start()

@@ -144,6 +144,9 @@ def test_settings_come_from_file_and_command_line(spark, tmp_path):
     assert got == ingest_documents.Settings(documents="a", output="b", chunk_size=100, buckets=3)
     with pytest.raises(TypeError):
         settings.load(spark, ingest_documents.Settings, None, {"unknown": 1})
+    for job in (ingest_documents, refresh_graph):
+        with pytest.raises(ValueError):
+            job.run(spark, job.Settings())
     for name, kind in (("ingest_documents", ingest_documents.Settings), ("refresh_graph", refresh_graph.Settings)):
         settings.load(spark, kind, f"{settings.__file__.rsplit('/', 1)[0]}/{name}.json", {})
 
