@@ -6,8 +6,9 @@ Orders and their lines are records with named fields; their fields are entities,
 a record is related to its other ones.  A run reads the orders and lines whose key is above the mark
 that the last run left, so only these are joined and rolled up, and writes what they add to each entity
 and edge as one batch (operators/graphstore.py).  Keys rise, and an order comes with its lines.  The mark is
-appended last: a run that broke off is repeated as a whole, and one that finds nothing new writes nothing.  Every ``compact_every`` batches
-the parts are merged into a base, partitioned like the rest by batch.  ``graph`` reads the state."""
+appended last: a run that broke off is repeated as a whole, and one that finds nothing new writes
+nothing.  Every ``compact_every`` batches the parts are merged into a base, partitioned like the rest by
+batch.  ``graph`` reads the state."""
 
 from __future__ import annotations
 
