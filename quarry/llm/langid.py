@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import slices, written
+from quarry.llm.common import frugal, slices, written
 
 #: Labelled documents per language, about, whose whole texts the models are fitted on.
 FIT_DOCS = 400
@@ -109,7 +109,7 @@ def fit(labelled: DataFrame, docs_per_language: int = FIT_DOCS) -> TextModel:
         bounds = F.create_map(*(F.lit(x) for k in languages for x in (k, min(1.0, docs_per_language / sizes[k]))))
         chosen = usable.where(F.col("place") <= F.element_at(bounds, F.col("lang"))).select("lang", "text")
         number = {language: k for k, language in enumerate(languages)}
-        sums = chosen.mapInArrow(_trigram_counts, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+        sums = chosen.mapInArrow(frugal(_trigram_counts), "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
         of = np.array([number[x] for x in sums.column("lang").to_pylist()], np.int64)
         counts[of, sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()
     smooth = counts + 0.05 + 2.0 * counts.sum(axis=0) / max(1.0, counts.sum())
@@ -148,7 +148,7 @@ def text_evidence(rows: DataFrame, model: TextModel) -> DataFrame:
                     [*names, "p_text", "markup", "has_letters"],
                 )
 
-    return rows.select(*names, F.col("text").cast("binary").alias("text")).mapInArrow(run, f"{shape}, p_text array<double>, markup string, has_letters boolean")
+    return rows.select(*names, F.col("text").cast("binary").alias("text")).mapInArrow(frugal(run), f"{shape}, p_text array<double>, markup string, has_letters boolean")
 
 
 def _sums(size: int) -> list[Column]:

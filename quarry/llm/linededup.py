@@ -6,7 +6,7 @@ from others by a fixed rule).  Lines that agree on one band of ``ROWS`` bins are
 Jaccard similarity of 0.8 a pair is missed with odds of (1 - 0.8^4)^10 = 0.5 %, above 0.85 of
 0.06 %.  Inside each band bucket the sets of 64-bit shingle hashes are compared exactly, each line at
 once with all that are not joined yet, so a bucket of many likenesses costs about its size.  Buckets
-beyond ``BUCKET_LINES`` are split into parts and every pair of parts is compared on its own.
+beyond ``BUCKET_LINES`` or ``BUCKET_BYTES`` are split into parts and every pair of parts is compared on its own.
 Distributed union-find joins the links, and of each component the first line (by doc_id, then
 place) stays.
 """
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import components, discard, local_labels, release, slices, text_hash, written
+from quarry.llm.common import components, discard, frugal, local_labels, release, slices, text_hash, written
 
 SHINGLE = 8
 SIMILARITY = 0.8
@@ -31,6 +31,8 @@ BANDS, ROWS = 10, 4
 MIN_CHARS = 1
 #: Lines of one bucket, or of each of the two parts of a larger one, that a task compares at once.
 BUCKET_LINES = 1024
+#: Bytes of these lines (of four-byte characters), or of the shingle hashes of documents.
+BUCKET_BYTES = 16 << 20
 #: 64-bit words of the filter of wanted lines.
 FILTER_WORDS = 1 << 20
 
@@ -38,6 +40,8 @@ _BINS = BANDS * ROWS
 _EMPTY = np.uint32(0xFFFFFFFF)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 _LINES_AT_ONCE = 500
+#: Lines that a task remembers, so as not to sign them twice; bytes of text that become Python objects at once.
+RECENT, TEXT_AT_ONCE = 20_000, 1 << 20
 
 
 def shingles(line: str) -> set[str]:
@@ -114,13 +118,13 @@ def names_of(lines: list[str]) -> np.ndarray:
 
 
 def _sign(min_chars: int):
-    """Documents (doc_id, text, t) -> doc_id, t, line_no, d1, d2 of their lines, and the band keys; a line
+    """Documents (doc_id, text, t) -> doc_id, t, line_no, d1, d2 and size (bytes) of their lines, and the band keys; a line
     that this task has met lately gets none, nor does one shorter than a shingle, which only equals itself."""
 
     def run(batches):
         recent: OrderedDict = OrderedDict()
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, TEXT_AT_ONCE):
                 rows, places, lines = [], [], []
                 for row, text in enumerate(part.column(1).to_pylist()):
                     for place, line in comparable(text, min_chars):
@@ -131,7 +135,7 @@ def _sign(min_chars: int):
                     if len(lines[k]) >= SHINGLE and pair not in recent:
                         recent[pair] = None
                         first.append(k)
-                        if len(recent) > 100_000:
+                        if len(recent) > RECENT:
                             recent.popitem(last=False)
                 keys: list = [None] * len(lines)
                 for at in range(0, len(first), _LINES_AT_ONCE):
@@ -139,8 +143,8 @@ def _sign(min_chars: int):
                     for k, row in zip(some, signatures([lines[k] for k in some]), strict=True):
                         keys[k] = row
                 of = pa.array(rows, pa.int64())
-                columns = [part.column(0).take(of), part.column(2).take(of), pa.array(places, pa.int32()), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "line_no", "d1", "d2", "keys"])
+                columns = [part.column(0).take(of), part.column(2).take(of), pa.array(places, pa.int32()), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(keys, pa.list_(pa.int64())), pa.array([4 * len(x) for x in lines], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "line_no", "d1", "d2", "keys", "size"])
 
     return run
 
@@ -151,7 +155,7 @@ def _fetch(min_chars: int, held):
     def run(batches):
         bits = held.value
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, TEXT_AT_ONCE):
                 lines = [line for text in part.column(1).to_pylist() for _, line in comparable(text, min_chars)]
                 names = names_of(lines)
                 hit = np.flatnonzero(marked(names[:, 0], bits))
@@ -161,14 +165,15 @@ def _fetch(min_chars: int, held):
 
 
 def _exploded(held):
-    """(keys, d1) -> (key, d1) of the keys whose bit is set in a bitmap."""
+    """(keys, d1, size) -> (key, d1, size) of the keys whose bit is set in a bitmap."""
 
     def run(batches):
         for batch in batches:
             keys = batch.column(0).flatten().to_numpy(zero_copy_only=False)
             row = pc.list_parent_indices(batch.column(0)).to_numpy(zero_copy_only=False)
             hit = np.flatnonzero(marked(keys, held.value))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[hit]), batch.column(1).take(pa.array(row[hit]))], ["key", "d1"])
+            of = pa.array(row[hit])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[hit]), batch.column(1).take(of), batch.column(2).take(of)], ["key", "d1", "size"])
 
     return run
 
@@ -261,16 +266,19 @@ def _compare(threshold: float, sets=line_sets, most: int = 1 << 18):
         held, size, now, members = [], 0, None, []
         out: list = []
         for batch in batches:
-            for key, i, j, part, d1, d2, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (key, i, j) != now:
-                    if len(members) > 1:
-                        held.append((now[1], now[2], members))
-                    if size >= most and held:
-                        out += joined(held)
-                        held, size = [], 0
-                    now, members = (key, i, j), []
-                members.append((part, d1, d2, line))
-                size += len(line)
+            for few in slices(batch, 6, TEXT_AT_ONCE):  # what becomes Python objects at once stays small
+                for key, i, j, part, d1, d2, line in zip(*(c.to_pylist() for c in few.columns), strict=True):
+                    if (key, i, j) != now:
+                        if len(members) > 1:
+                            held.append((now[1], now[2], members))
+                        else:
+                            size -= sum(len(m[3]) for m in members)
+                        if size >= most and held:
+                            out += joined(held)
+                            held, size = [], 0
+                        now, members = (key, i, j), []
+                    members.append((part, d1, d2, line))
+                    size += len(line)
             if len(out) > 50_000:
                 yield _links(out)
                 out = []
@@ -293,37 +301,38 @@ def _links(pairs: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(4)], ["a1", "a2", "b1", "b2"])
 
 
-def line_links(docs: DataFrame, signed: DataFrame, threshold: float = SIMILARITY, bucket_lines: int = BUCKET_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_links(docs: DataFrame, signed: DataFrame, threshold: float = SIMILARITY, bucket_lines: int = BUCKET_LINES, min_chars: int = MIN_CHARS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(a, b) structs of 128-bit line hashes: verified links between different lines."""
-    return set_links(docs, signed, lambda held: _fetch(min_chars, held), "string", _compare(threshold), bucket_lines)
+    return set_links(docs, signed, lambda held: _fetch(min_chars, held), "string", _compare(threshold), bucket_lines, bucket_bytes)
 
 
-def set_links(docs: DataFrame, signed: DataFrame, fetch, kind: str, compare, bucket_lines: int) -> DataFrame:
-    """(a, b) structs of hashes, from rows with d1, d2 and band keys.  fetch: from a bitmap of wanted
+def set_links(docs: DataFrame, signed: DataFrame, fetch, kind: str, compare, bucket_lines: int, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """(a, b) structs of hashes, from rows with d1, d2, band keys and size in bytes.  A task compares two
+    parts of a bucket, each of ``bucket_lines`` rows and ``bucket_bytes`` bytes about, or one larger row.  fetch: from a bitmap of wanted
     d1 to the function that makes (d1, d2, line) of docs; compare: that of the buckets.
 
     Keys that different lines share are found by partly aggregated sums; only their rows are dealt
     out, and the joins on a key can be split where one is hot."""
     spark = docs.sparkSession
-    some = signed.where("keys is not null").select("keys", "d1")
+    some = signed.where("keys is not null").select("keys", "d1", "size")
     # the first half of a line's hash stands for it until texts are joined
     ends = some.select(F.explode("keys").alias("key"), "d1").groupBy("key").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi"))
     shared = written(ends.where("lo < hi").select("key"), "line-keys")
     release(spark)
     held = spark.sparkContext.broadcast(_bitmap(shared, "key"))
-    rows = some.mapInArrow(_exploded(held), "key bigint, d1 bigint").distinct()
+    rows = some.mapInArrow(frugal(_exploded(held)), "key bigint, d1 bigint, size bigint").distinct()
     met = written(rows.join(shared, "key", "left_semi"), "line-buckets")
     discard(shared)
     release(spark)
     # bands that gather the same lines do so once
-    marks = met.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("d1").alias("x1"), F.bit_xor(F.xxhash64("d1")).alias("x2"))
-    once = marks.groupBy("n", "x1", "x2").agg(F.min("key").alias("key"), F.first("n").alias("size"))
-    once = written(once.select("key", F.ceil(F.col("size") / bucket_lines).cast("int").alias("parts")), "line-once")
-    members = written(met.join(once, "key"), "line-members")
+    parts = F.greatest(F.ceil(F.count("*") / bucket_lines), F.ceil(F.sum("size") / bucket_bytes)).cast("int").alias("parts")
+    marks = met.groupBy("key").agg(F.count("*").alias("n"), parts, F.bit_xor("d1").alias("x1"), F.bit_xor(F.xxhash64("d1")).alias("x2"))
+    once = written(marks.groupBy("n", "x1", "x2").agg(F.min("key").alias("key"), F.max("parts").alias("parts")).select("key", "parts"), "line-once")
+    members = written(met.drop("size").join(once, "key"), "line-members")
     discard(met, once)
     wanted = members.select("d1").distinct()
     held = spark.sparkContext.broadcast(_bitmap(wanted, "d1"))
-    texts = docs.select("doc_id", "text").mapInArrow(fetch(held), f"d1 bigint, d2 bigint, line {kind}")
+    texts = docs.select("doc_id", "text").mapInArrow(frugal(fetch(held)), f"d1 bigint, d2 bigint, line {kind}")
     texts = written(texts.dropDuplicates(["d1", "d2"]).join(wanted, "d1", "left_semi"), "line-texts")
     release(spark)
     part = F.pmod(F.col("d1"), F.col("parts")).cast("int")
@@ -331,7 +340,7 @@ def set_links(docs: DataFrame, signed: DataFrame, fetch, kind: str, compare, buc
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, "part").alias("i"), F.greatest(k, "part").alias("j")))
     blocks = members.withColumn("part", part).select("key", "d1", "part", F.inline(pairs))
     full = blocks.join(texts, "d1").select("key", "i", "j", "part", "d1", "d2", "line")
-    found = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
+    found = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(frugal(compare), "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
     links = written(found, "line-links")
     discard(members, texts)
     release(spark)
@@ -339,7 +348,7 @@ def set_links(docs: DataFrame, signed: DataFrame, fetch, kind: str, compare, buc
     return links.select(pair("a"), pair("b"))
 
 
-def dedup_lines(docs: DataFrame, threshold: float = SIMILARITY, bucket_lines: int = BUCKET_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: float = SIMILARITY, bucket_lines: int = BUCKET_LINES, min_chars: int = MIN_CHARS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """The documents with every repeated line taken out of their text, and a column
     dropped_lines (sorted places of the lines that went).
 
@@ -352,11 +361,11 @@ def dedup_lines(docs: DataFrame, threshold: float = SIMILARITY, bucket_lines: in
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     slim = docs.select("doc_id", "text", text_hash().alias("t"))
-    shape = f"doc_id {kind}, t bigint, line_no int, d1 bigint, d2 bigint, keys array<bigint>"
-    signed = written(slim.mapInArrow(_sign(min_chars), shape), "lines")
-    roots = components(line_links(slim, signed, threshold, bucket_lines, min_chars), "line-components")
+    shape = f"doc_id {kind}, t bigint, line_no int, d1 bigint, d2 bigint, keys array<bigint>, size bigint"
+    signed = written(slim.mapInArrow(frugal(_sign(min_chars)), shape), "lines")
+    roots = components(line_links(slim, signed, threshold, bucket_lines, min_chars, bucket_bytes), "line-components")
     roots = roots.select(F.col("node.d1").alias("d1"), F.col("node.d2").alias("d2"), "root")
-    occurrences = signed.drop("keys").join(roots, ["d1", "d2"], "left").select("doc_id", "t", "line_no", F.coalesce("root", F.struct("d1", "d2")).alias("root"))
+    occurrences = signed.drop("keys", "size").join(roots, ["d1", "d2"], "left").select("doc_id", "t", "line_no", F.coalesce("root", F.struct("d1", "d2")).alias("root"))
     place = F.struct("doc_id", "t", "line_no")
     ends = occurrences.groupBy("root").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     # written, so that the join on a line that many documents share is one that can be split

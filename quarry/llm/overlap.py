@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import linededup
-from quarry.llm.common import slices, text_hash
+from quarry.llm.common import frugal, slices, text_hash
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -73,24 +73,26 @@ def signature(sets: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, fingerprint) -> DataFrame:
-    """doc_id, t (hash of the text), d1, d2 (of its words), keys and fp: ``fingerprint`` of the hashes of its
+    """doc_id, t (hash of the text), d1, d2 (of its words), keys, size (bytes of its shingles) and fp: ``fingerprint`` of the hashes of its
     shingles.  A text without words has no keys."""
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, linededup.TEXT_AT_ONCE):
                 words = [words_of(t) for t in part.column(1).to_pylist()]
-                names, keys, prints = _names(words), [], []
+                names, keys, sizes, prints = _names(words), [], [], []
                 for w in words:
                     hashes = shingle_hashes(w)
-                    keys.append(signature(np.unique(hashes)) if w else None)
+                    distinct = np.unique(hashes)
+                    keys.append(signature(distinct) if w else None)
+                    sizes.append(8 * len(distinct))
                     prints.append(fingerprint(hashes))
-                columns = [part.column(0), part.column(2), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(keys, pa.list_(pa.int64())), pa.array(prints, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "d1", "d2", "keys", "fp"])
+                columns = [part.column(0), part.column(2), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "d1", "d2", "keys", "size", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"), text_hash().alias("t"))
-    return texts.mapInArrow(run, f"doc_id {kind}, t bigint, d1 bigint, d2 bigint, keys array<bigint>, fp bigint")
+    return texts.mapInArrow(frugal(run), f"doc_id {kind}, t bigint, d1 bigint, d2 bigint, keys array<bigint>, size bigint, fp bigint")
 
 
 def _names(words: list[list[bytes]]) -> np.ndarray:
@@ -102,7 +104,7 @@ def _fetch(held):
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, linededup.TEXT_AT_ONCE):
                 words = [words_of(t) for t in part.column(1).to_pylist()]
                 names = _names(words)
                 hit = np.flatnonzero(linededup.marked(names[:, 0], held.value))

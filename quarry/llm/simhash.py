@@ -308,11 +308,11 @@ def keep_one(docs: DataFrame, budget: int = BUDGET, threshold: float = overlap.S
     """
     signed = written(overlap.signed(docs, majority), "copies-signed")
     place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "t")
-    classes = written(signed.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.first("keys").alias("keys"), F.first("fp").alias("fp")), "copies-classes")
+    classes = written(signed.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.first("keys").alias("keys"), F.first("size").alias("size"), F.first("fp").alias("fp")), "copies-classes")
     groups = components(links(classes.where("keys is not null").select("fp").distinct(), budget), "copies-prints")
     groups = groups.select(F.col("node").alias("fp"), F.xxhash64(F.lit("simhash"), "root").alias("group"))
     keyed = classes.join(groups, "fp", "left")
-    keyed = keyed.select("d1", "d2", F.when(F.col("group").isNull(), F.col("keys")).otherwise(F.concat("keys", F.array("group"))).alias("keys"))
+    keyed = keyed.select("d1", "d2", "size", F.when(F.col("group").isNull(), F.col("keys")).otherwise(F.concat("keys", F.array("group"))).alias("keys"))
     roots = components(overlap.links(docs, written(keyed, "copies-keyed"), threshold, bucket_docs), "copies-links")
     roots = roots.select(F.col("node.d1").alias("d1"), F.col("node.d2").alias("d2"), "root")
     rooted = classes.join(roots, ["d1", "d2"], "left").select("d1", "d2", "first", F.coalesce("root", F.struct("d1", "d2")).alias("root"))

@@ -59,8 +59,8 @@ def test_lines_against_brute_force(spark):
         rows.append((20 + n, "\n".join(lines)))
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, d1 string")
     want = brute_lines(rows)
-    for bucket in (8192, 4):
-        out = linededup.dedup_lines(docs, bucket_lines=bucket).collect()
+    for bucket, size in ((8192, linededup.BUCKET_BYTES), (4, linededup.BUCKET_BYTES), (8192, 2000)):
+        out = linededup.dedup_lines(docs, bucket_lines=bucket, bucket_bytes=size).collect()
         got = {(r["doc_id"], k) for r in out for k in r["dropped_lines"]}
         assert len(got ^ want) <= 0.02 * len(want)  # candidates are found by chance, see the module
         for r in out:

@@ -157,3 +157,30 @@ def test_local_search_empties_bins():
             bins.add(at, i)
     packing._search(bins, 4, collections.Counter())
     assert sum(map(bool, bins.members)) == 4
+
+
+def test_packing_of_all_given_documents_reaches_the_bound(spark):
+    """All pieces of sf0.1 in one group: the least number of sequences, which sorting by length reaches too."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").repartition(8)
+    rows = packing.pieces(docs, WORDS).select("ids_crc32", "doc_id", "piece", "length").collect()
+    lengths = [r["length"] for r in sorted(rows)]
+    done = collections.Counter()
+    packed = packing.pack(lengths, done=done)
+    assert sorted(x for m in packed for x in m) == list(range(len(lengths)))
+    assert len(packed) == -(-sum(lengths) // packing.CAPACITY)
+    assert min(done["move"], done["one for one"], done["two for one"], done["emptied"]) > 0
+
+
+def test_second_start_is_no_worse_than_sorting():
+    """Lengths on which a search from the given order ends above what best fit of the longest first gives."""
+    rng = random.Random(9)
+    for _ in range(60):
+        lengths = [rng.randint(1, 60) for _ in range(rng.randint(1, 60))]
+        bins: list[int] = []
+        for length in sorted(lengths, reverse=True):
+            fits = [k for k, room in enumerate(bins) if room >= length]
+            if fits:
+                bins[min(fits, key=lambda k: bins[k])] -= length
+            else:
+                bins.append(64 - length)
+        assert len(packing.pack(lengths, 64)) <= len(bins)
