@@ -31,7 +31,7 @@ CAPACITY = 2048
 #: Pieces of one group: about this many are packed by one task at a time.
 GROUP_PIECES = 20_000
 #: Parts of words that a worker remembers before it starts afresh, and the longest that it remembers.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 400_000, 64
 
 
 #: Whole runs of ASCII letters before a space, line end, full stop or comma; else all up to ASCII white space.
@@ -94,10 +94,6 @@ class WordIds(dict):
                 self.runs[letters] = found
         return found
 
-    def forget(self) -> None:
-        self.clear()
-        self.runs.clear()
-
     def ids(self, texts: list[bytes | None]) -> list[bytes]:
         # lower-casing first saves work; not where it could spell a special token
         get = self.__getitem__
@@ -118,12 +114,6 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
 
     def run(batches):
         words = load(tokenizer)
-        try:
-            yield from cut(words, batches)
-        finally:
-            words.forget()  # the worker may go on with tasks of another kind
-
-    def cut(words, batches):
         for batch in batches:
             for part in slices(batch, 1, 1 << 20):
                 rows, number, start, length, ids = [], [], [], [], []
