@@ -62,40 +62,60 @@ def _table(spark: SparkSession, root: str, name: str, shape: str, after: int, up
 
 
 def entity_parts(mentions: DataFrame) -> DataFrame:
-    """(entity_key, name, type, n_chunks) of mentions with their batch."""
+    """(entity_key, name, type, n_chunks) of mentions with their batch (``alone`` and ``fresh``: see graph.entity_facts)."""
+    alone = F.col("alone") & F.col("fresh") if "alone" in mentions.columns else F.lit(False)
+    few = mentions.groupBy("entity_key", "name", "type", "batch").agg(F.min("ord").alias("ord"), F.count_if(alone).alias("n_chunks"))
+    several = mentions.where("not alone") if "alone" in mentions.columns else mentions
+    shared = several.select("entity_key", "chunk_id").distinct().select("entity_key", F.lit(1).cast("bigint").alias("n_chunks"))
     at = lambda value: F.struct("batch", "ord", F.col(value).alias("value"))
-    per_chunk = mentions.groupBy("entity_key", "chunk_id").agg(F.min(at("name")).alias("name"), F.min(F.when(F.col("type") != "CONCEPT", at("type"))).alias("type"))
-    return per_chunk.groupBy("entity_key").agg(F.min("name").alias("name"), F.min("type").alias("type"), F.count("*").alias("n_chunks"))
+    named = F.col("batch").isNotNull()  # rows of shared chunks only count
+    rows = few.unionByName(shared, allowMissingColumns=True)
+    kind = F.min(F.when(named & (F.col("type") != "CONCEPT"), at("type")))
+    return rows.groupBy("entity_key").agg(F.min(F.when(named, at("name"))).alias("name"), kind.alias("type"), F.sum("n_chunks").alias("n_chunks"))
 
 
 def edge_parts(evidence: DataFrame) -> DataFrame:
-    """(lo, hi, relation, first, weight, n_chunks) of evidence with its batch."""
-    rows = evidence.select(F.least("src_key", "dst_key").alias("lo"), F.greatest("src_key", "dst_key").alias("hi"), "relation", "chunk_id", F.struct("batch", "ord", (F.col("src_key") > F.col("dst_key")).alias("turned")).alias("first"))
-    per_chunk = rows.groupBy(*EDGE_KEYS, "chunk_id").agg(F.min("first").alias("first"), F.count("*").alias("n"))
-    return per_chunk.groupBy(*EDGE_KEYS).agg(F.min("first").alias("first"), F.sum("n").alias("weight"), F.count("*").alias("n_chunks"))
+    """(lo, hi, relation, first, weight, n_chunks) of evidence with its batch (``alone``: see graph.edge_rollup)."""
+    turned = (F.col("src_key") > F.col("dst_key")).alias("turned")
+    rows = evidence.select(F.least("src_key", "dst_key").alias("lo"), F.greatest("src_key", "dst_key").alias("hi"), "relation", "chunk_id", "batch", "ord", turned, *(["alone"] if "alone" in evidence.columns else []))
+    alone = F.count_if(F.col("alone")) if "alone" in rows.columns else F.lit(0).cast("bigint")
+    # numbers alone are aggregated in hash tables; what came first comes in where few rows are left
+    few = rows.groupBy(*EDGE_KEYS, "batch", "turned").agg(F.min("ord").alias("ord"), F.count("*").alias("weight"), alone.alias("n_chunks"))
+    several = rows.where("not alone") if "alone" in rows.columns else rows
+    shared = several.select(*EDGE_KEYS, "chunk_id").distinct().select(*EDGE_KEYS, F.lit(0).cast("bigint").alias("weight"), F.lit(1).cast("bigint").alias("n_chunks"))
+    first = F.min(F.when(F.col("batch").isNotNull(), F.struct("batch", "ord", "turned")))
+    return few.unionByName(shared, allowMissingColumns=True).groupBy(*EDGE_KEYS).agg(first.alias("first"), F.sum("weight").alias("weight"), F.sum("n_chunks").alias("n_chunks"))
 
 
 def merged(parts: DataFrame, keys: list[str]) -> DataFrame:
     """One row per key, from its last reset on; keys whose rows were all taken back are gone."""
     resets = parts.where("reset").groupBy(*keys).agg(F.max("batch").alias("since"))
-    counted = parts.join(resets, keys, "left").where("since is null or batch >= since")
+    counted = parts
+    if parts.where("reset").limit(1).count():
+        counted = parts.join(resets, keys, "left").where("since is null or batch >= since")
     numbers = [c for c in ("weight", "n_chunks") if c in parts.columns]
     firsts = [c for c in ("name", "type", "first") if c in parts.columns]
     merges = [*(F.min(c).alias(c) for c in firsts), *(F.sum(c).alias(c) for c in numbers)]
     return counted.groupBy(*keys).agg(*merges).where("n_chunks > 0")
 
 
-def add_batch(spark: SparkSession, root: str, number: int, mentions: DataFrame, evidence: DataFrame, mark: str | None = None, replaced: DataFrame | None = None) -> None:
+def add_batch(spark: SparkSession, root: str, number: int, mentions: DataFrame, evidence: DataFrame, mark: str | None = None, replaced: DataFrame | None = None, kept: bool = True) -> None:
     """Add mentions and evidence that arrived together.  replaced(doc_id): documents of which all that
-    came before is void.  A batch that has its mark is left alone; one that broke off is written anew."""
+    came before is void.  A batch that has its mark is left alone; one that broke off is written anew.  With
+    ``kept`` false the long form is read where it comes from and not written here: for batches that are stored
+    elsewhere and of which no document is ever replaced."""
     done, _ = last(spark, root)
     if number <= done:
         return
     arrived = lambda rows: rows.withColumn("batch", F.lit(number).cast("bigint"))
-    batches.write(mentions, root, "mentions", number)
-    batches.write(evidence, root, "evidence", number)
-    own_mentions = arrived(spark.read.schema(mentions.schema).parquet(f"{root}/mentions/batch={number}"))
-    own_evidence = arrived(spark.read.schema(evidence.schema).parquet(f"{root}/evidence/batch={number}"))
+    if not kept and replaced is not None:
+        raise ValueError("documents can be replaced only where the long form is kept")
+    if kept:
+        batches.write(mentions, root, "mentions", number)
+        batches.write(evidence, root, "evidence", number)
+        mentions_here = spark.read.schema(mentions.schema).parquet(f"{root}/mentions/batch={number}")
+        evidence_here = spark.read.schema(evidence.schema).parquet(f"{root}/evidence/batch={number}")
+    own_mentions, own_evidence = (arrived(mentions_here), arrived(evidence_here)) if kept else (arrived(mentions), arrived(evidence))
     resets = lambda rows, flag: rows.withColumn("reset", F.lit(flag))
     entities, edges = resets(entity_parts(own_mentions), False), resets(edge_parts(own_evidence), False)
     gone = spark.createDataFrame([], "doc_id string") if replaced is None else replaced.select(F.col("doc_id").cast("string").alias("doc_id")).distinct()
@@ -150,11 +170,17 @@ def entities(spark: SparkSession, root: str) -> DataFrame:
 
 def edges(spark: SparkSession, root: str) -> DataFrame:
     """(src_key, dst_key, relation, weight, n_chunks) after the last finished batch, between known entities."""
+    return typed_edges(spark, root).select("src_key", "dst_key", "relation", "weight", "n_chunks")
+
+
+def typed_edges(spark: SparkSession, root: str) -> DataFrame:
+    """The edges with the types of their ends, src_type and dst_type."""
     rows = _state(spark, root, "edge", EDGE_PART, EDGE_KEYS)
     end: Callable[[str, str], Column] = lambda turned, plain: F.when(F.col("first.turned"), F.col(turned)).otherwise(F.col(plain))
     named = rows.select(end("hi", "lo").alias("src_key"), end("lo", "hi").alias("dst_key"), "relation", "weight", "n_chunks")
-    keys = _state(spark, root, "entity", ENTITY_PART, ENTITY_KEYS).select("entity_key")
-    return reduce(lambda df, side: df.join(keys.withColumnRenamed("entity_key", side), side, "left_semi"), ("src_key", "dst_key"), named).select("src_key", "dst_key", "relation", "weight", "n_chunks")
+    known = entities(spark, root)
+    kinds = lambda side: known.select(F.col("entity_key").alias(f"{side}_key"), F.col("type").alias(f"{side}_type"))
+    return reduce(lambda df, side: df.join(kinds(side), f"{side}_key"), ("src", "dst"), named)
 
 
 def compact(spark: SparkSession, root: str) -> int:
