@@ -660,3 +660,43 @@ def test_records_are_not_shuffled_by_chunk(spark, sf_dir):
     plan = graph.entity_facts(t.stored_mentions().where("alone"), docs=False)._jdf.queryExecution().executedPlan().toString()
     assert "chunk_id" not in plan.split("Union")[0]
     assert t.stored_records().where("not alone").count() == 0 < t.stored_records().count()
+
+
+def test_selection_takes_texts_slice_by_slice(spark):
+    """With the chunks beside them only the slices that are looked at get texts; the rows kept are the same."""
+    rows = [(1, n, f"c{n}", f"d{n // 7}", "same words here" if n % 3 else f"a{n} b{n} c{n}") for n in range(1, 60)] + [(2, n, f"c{n}", f"d{n // 7}", f"w{n} v{n}") for n in range(1, 5)]
+    ranked = spark.createDataFrame(rows, "qid int, pos int, chunk_id string, doc_id string, text string")
+    chunks = spark.createDataFrame([(f"c{n}", f"d{n // 7}", "same words here" if n % 3 else f"a{n} b{n} c{n}") for n in range(1, 60)], "chunk_id string, doc_id string, text string")
+    one = ranked.where("qid = 1")
+    want = sorted((r["place"], r["chunk_id"]) for r in retrieve.greedy_select(one, 6, first=4).collect())
+    got = retrieve.greedy_select(one.drop("doc_id", "text"), 6, first=4, chunks=chunks)
+    assert sorted((r["place"], r["chunk_id"]) for r in got.collect()) == want and len(want) == 6 and max(int(c[1:]) for _, c in want) > 4  # beyond the first slice
+
+
+def test_keywords_of_free_and_bound_questions(spark):
+    """A word's chunks beyond the pool stay where they are; questions bound to a document still find theirs."""
+    chunks = spark.createDataFrame([(f"c{n:03d}", n % 5, f"common word number{n}") for n in range(40)], "chunk_id string, doc_id int, text string")
+    asked = spark.createDataFrame([(1, "common number39", None), (2, "common", "4")], "qid int, text string, doc_filter string")
+    got = {(r["qid"], r["chunk_id"]) for r in retrieve.keyword_topk(asked, chunks, 3, pool=4).collect()}
+    assert got == {(1, "c000"), (1, "c001"), (1, "c002"), (2, "c004"), (2, "c009"), (2, "c014")}
+    plan = retrieve.keyword_topk(asked.drop("doc_filter"), chunks, 3, pool=4)
+    assert plan.where("qid = 1").count() == 3
+
+
+def test_vectors_beyond_the_kth_best_are_not_held(spark):
+    """Small blocks of queries and vectors, in any number of batches, give the neighbours of one comparison."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    v, q = rng.integers(-2, 3, (5000, 4)).astype("float32"), rng.integers(-2, 3, (700, 4)).astype("float32")
+    asked = pa.table({"qid": pa.array(range(700)), "vec": pa.array(list(q), pa.list_(pa.float32())), "doc_filter": pa.array([None] * 700, pa.string())})
+    rows = pa.table({"chunk_id": pa.array(range(5000)), "doc_id": pa.array(["d"] * 5000), "embedding": pa.array(list(v), pa.list_(pa.float32()))})
+    got = {}
+    for batch in retrieve._nearest(asked, rows.to_batches(3000), 3, 0.0):
+        for r in batch.to_pylist():
+            got.setdefault(r["qid"], []).append(r["chunk_id"])
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+    s = np.round(unit(q.astype(float)) @ unit(v.astype(float)).T, 12)
+    assert all(sorted(got[n]) == sorted(np.lexsort((np.arange(5000), -s[n]))[:3].tolist()) for n in range(700))
+    assert retrieve.QUERY_BLOCK * retrieve.SCORED_VECTORS * 8 <= 8 << 20
