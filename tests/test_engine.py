@@ -700,3 +700,42 @@ def test_vectors_beyond_the_kth_best_are_not_held(spark):
     s = np.round(unit(q.astype(float)) @ unit(v.astype(float)).T, 12)
     assert all(sorted(got[n]) == sorted(np.lexsort((np.arange(5000), -s[n]))[:3].tolist()) for n in range(700))
     assert retrieve.QUERY_BLOCK * retrieve.SCORED_VECTORS * 8 <= 8 << 20
+
+
+def test_texts_leave_a_task_in_small_batches(spark, monkeypatch):
+    """Chunks of texts and visible texts of pages are made a few rows at a time, in the same order."""
+    import pyarrow as pa
+
+    from quarry.operators import chunking
+    from quarry.sources import parsers
+
+    sizes = []
+    real = pa.RecordBatch
+
+    class Seen:
+        @staticmethod
+        def from_arrays(arrays, names):
+            sizes.append(len(arrays[0]))
+            return real.from_arrays(arrays, names)
+
+    held = {}
+
+    class Rows:
+        """Stands for a table: keeps the function that would run in its tasks."""
+
+        columns = ["doc_id", "text"]
+        schema = spark.createDataFrame([], "doc_id bigint, text string").schema
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, shape):
+            held["run"] = run
+
+    whole = real.from_pylist([{"doc_id": n, "text": f"<p>text {n}</p>"} for n in range(1000)])
+    for module, make in ((chunking, chunking.chunk_blocks), (parsers, parsers.html_texts)):
+        make(Rows())
+        monkeypatch.setattr(module.pa, "RecordBatch", Seen)
+        ids = [i for out in held["run"]([whole]) for i in out.column(0).to_pylist()]
+        monkeypatch.undo()
+        assert ids == list(range(1000)) and max(sizes) <= 256
