@@ -7,6 +7,7 @@ import math
 import os
 import random
 import uuid
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -611,6 +612,49 @@ def test_similar_names_against_all_pairs(spark, threshold):
     assert len(found) == len(expected)
 
 
+def _odd_names():
+    chance = random.Random(8)
+    names = {"".join(chance.choice("ab ") for _ in range(chance.randint(1, 12))).strip() for _ in range(60)} - {""}
+    names |= {f"Supplier#{n:05d}" for n in range(0, 900, 11)} | {f"{'ab' * k}{n}" for k in (3, 5) for n in range(12)} | {"x" * 210 + c for c in "abc"} | {"alone"}
+    return [(n.lower() + "|" + n, n, kind) for n in sorted(names) for kind in ("X", "Y") if kind == "X" or len(n) % 2] + [("z", "Acme Corp", None), ("n", None, "X")]
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.85])
+def test_similar_classes_against_all_pairs(spark, threshold, monkeypatch):
+    """One row per name with the number of its links and its class, from many small blocks."""
+    from quarry.operators import names
+
+    monkeypatch.setattr(names, "BLOCK", (4, 16))
+    rows = _odd_names()
+    links, classes = Counter(), {(k, t): {(k, t)} for k, n, t in rows if t and n}
+    for (ka, a, ta), (kb, b, tb) in itertools.combinations(sorted(r for r in rows if r[1] and r[2]), 2):
+        if ta == tb and difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio() >= threshold:
+            links.update([(ka, ta), (kb, tb)])
+            whole = classes[ka, ta] | classes[kb, tb]
+            classes.update(dict.fromkeys(whole, whole))
+    found = graph.similar_classes(spark.createDataFrame(rows, "entity_key string, name string, type string"), threshold).collect()
+    assert {(r["entity_key"], r["type"]): (r["class_id"], r["n_links"]) for r in found} == {x: (min(whole)[0], links[x]) for x, whole in classes.items()}
+    assert len(found) == len(classes)
+
+
+def test_names_of_one_pattern_are_dealt_to_several_tasks(spark):
+    """Names that differ in digits only used to meet in one task; a row for each link isn't made either."""
+    from quarry.operators import names
+
+    rows = spark.range(1500).select(F.format_string("supplier#%09d", "id").alias("entity_key"), F.format_string("Supplier#%09d", "id").alias("name"), F.lit("X").alias("type"))
+    sizes = [len(r["a_keys"]) * len(r["b_keys"]) for r in names._block_pairs(rows, 0.85).collect()]
+    assert len(sizes) >= 15 and max(sizes) < 500**2
+    assert graph.similar_classes(rows, 0.85).count() == 1500
+
+
+def test_classes_of_long_chains(spark):
+    from quarry.operators import names
+
+    edges = [("X", f"{n:03d}", f"{n + 1:03d}") for n in range(40)] + [("X", f"{n:03d}", f"{n - 1:03d}") for n in range(99, 60, -1)] + [("Y", "1", "0")]
+    found = {(r["type"], r["entity_key"]): r["class_id"] for r in names._components(spark.createDataFrame(edges, "type string, a string, b string")).collect()}
+    assert found == {("X", f"{n:03d}"): "000" if n <= 40 else "060" for n in range(100) if n <= 40 or n >= 60} | {("Y", "1"): "0", ("Y", "0"): "0"}
+
+
 # --- records of the graph: what is counted where it lies, and chunks of several records -------
 
 
