@@ -612,6 +612,45 @@ def test_similar_names_against_all_pairs(spark, threshold):
     assert len(found) == len(expected)
 
 
+def test_shortest_paths_against_all_paths(spark):
+    """Of all shortest paths the least by its nodes, over as many hops as are asked for."""
+    chance = random.Random(3)
+    names = [chance.choice("abcé") + f"{n}" for n in range(40)]
+    edges = {tuple(chance.sample(names, 2)) for _ in range(46)}
+    near = {n: sorted({b if a == n else a for a, b in edges if n in (a, b)}) for n in names}
+    pairs = [(f"{n}", *chance.sample(names, 2)) for n in range(60)] + [("same", names[0], names[0]), ("none", names[0], "nowhere")]
+    expected = {}
+    for pair, source, target in pairs:
+        paths = [[source]] if source != target and source in near and target in near else []
+        while paths and pair not in expected and len(paths[0]) <= 6:
+            paths = [[*path, other] for path in paths for other in near[path[-1]] if other not in path]
+            whole = [path for path in paths if path[-1] == target]
+            if whole:
+                expected[pair] = (len(whole[0]) - 1, min(whole))
+    table, frame = spark.createDataFrame(pairs, "pair_id string, source string, target string"), spark.createDataFrame([*edges], "src_key string, dst_key string")
+    for hops in (1, 3, 4, 6):
+        found = {r["pair_id"]: (r["hops"], r["path"]) for r in graph.shortest_paths(table, frame, hops).collect()}
+        assert found == {pair: x for pair, x in expected.items() if x[0] <= hops}
+    assert {x[0] for x in expected.values()} >= {1, 2, 3, 4, 5, 6}
+
+
+def test_pairs_that_have_met_go_no_further(spark, monkeypatch):
+    """What is written of a search doesn't hold the neighbours of a hub for pairs that are next to each other."""
+    sizes = []
+
+    def counted(df, label, *by):
+        table = written(df, label, *by)
+        sizes.append(table.count() if label == "path-level" else 0)
+        return table
+
+    monkeypatch.setattr(graph, "written", counted)
+    edges = spark.range(1, 500).select(F.format_string("leaf%d", "id").alias("src_key"), F.lit("hub").alias("dst_key"))
+    pairs = spark.createDataFrame([("a", "leaf1", "hub"), ("b", "leaf2", "leaf3")], "pair_id string, source string, target string")
+    found = {r["pair_id"]: r["path"] for r in graph.shortest_paths(pairs, edges, 4).collect()}
+    assert found == {"a": ["leaf1", "hub"], "b": ["leaf2", "hub", "leaf3"]}
+    assert 0 < sum(sizes) < 10
+
+
 def _odd_names():
     chance = random.Random(8)
     names = {"".join(chance.choice("ab ") for _ in range(chance.randint(1, 12))).strip() for _ in range(60)} - {""}
