@@ -831,3 +831,11 @@ def test_replies_of_a_small_table_are_parsed_by_all_cores(spark, sf_dir):
     for name in ("parse_relations", "parse_extraction"):
         tasks = entry.queries()[name](spark, sf_dir).select(F.spark_partition_id().alias("n")).distinct().count()
         assert tasks >= spark.sparkContext.defaultParallelism, name
+
+
+def test_a_reply_is_parsed_once_whatever_is_asked_of_it(spark):
+    """What a caller filters, or Spark infers from an explode, stays above the parsing."""
+    rows = spark.createDataFrame([("{}",)], "reply string").repartition(2)
+    for made in (lambda df: df.select(F.inline("relations")), lambda df: df.select(F.inline("entities")), lambda df: df.where(F.size("relations") > 1)):
+        plan = made(extraction.parse_extraction(rows))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(") == 1
