@@ -839,3 +839,53 @@ def test_a_reply_is_parsed_once_whatever_is_asked_of_it(spark):
     for made in (lambda df: df.select(F.inline("relations")), lambda df: df.select(F.inline("entities")), lambda df: df.where(F.size("relations") > 1)):
         plan = made(extraction.parse_extraction(rows))._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("from_json(") == 1
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_expansion_scores_no_chunk_too_few(spark, monkeypatch, seed):
+    """The best chunks, found by bounds from any number of entities, are those of scoring every chunk."""
+    rng = random.Random(seed)
+    names = [f"e{min(int(rng.expovariate(0.12)), 60):02d}" for _ in range(700)]
+    mentions = [(n, n, "DATE" if n == "e03" else "CONCEPT", f"c{rng.randrange(180):03d}", "d", k) for k, n in enumerate(names)]
+    edges = [(a, b, "R", rng.choice([1, 1, 1, 2, 5, 40])) for a, b in {tuple(sorted(rng.sample(names, 2))) for _ in range(400)} if a != b]
+    seeds = [(q, f"c{rng.randrange(180):03d}") for q in range(6) for _ in range(q + 1)]
+    bags = {}
+    for m in mentions:
+        bags.setdefault(m[3], set()).add(m[0])
+    want, reached = set(), 0
+    for q in range(6):
+        mine = {c for p, c in seeds if p == q}
+        own, weight = set().union(*(bags.get(c, set()) for c in mine)), Counter()
+        for a, b, _, w in edges:
+            for x, y in ((a, b), (b, a)):
+                if x in own and y not in own and y != "e03":
+                    weight[y] += w
+        scores = {c: sum(weight[e] for e in bag) for c, bag in bags.items() if any(e in weight for e in bag)}
+        reached += len(scores)
+        want |= {(q, c, scores[c], n + 1) for n, c in enumerate(sorted(scores, key=lambda c: (-scores[c], c))[:5])}
+    m = spark.createDataFrame(mentions, "entity_key string, name string, type string, chunk_id string, doc_id string, ord bigint")
+    e = spark.createDataFrame(edges, "src_key string, dst_key string, relation string, weight bigint")
+    s = spark.createDataFrame(seeds, "qid bigint, chunk_id string").distinct()
+    for entities in (2, 1000):
+        monkeypatch.setattr(graph, "BAR_ENTITIES", entities)
+        got = graph.expand(s, m, e, graph.entity_names(m), 5, ("DATE",))
+        assert {tuple(r) for r in got.select("qid", "chunk_id", "score", "rank").collect()} == want
+    weighed = spark.read.parquet(_session_tables(spark, "chosen-keys")[-1]).select("qid", "chunk_id").distinct().count()
+    assert len(want) <= weighed < reached / 2  # not every chunk that is reached
+
+
+def _session_tables(spark, label):
+    from quarry.operators.shared import session_folder
+
+    folder = session_folder(spark).removeprefix("file://")
+    return sorted((os.path.join(folder, n) for n in os.listdir(folder) if n.startswith(f"{label}-")), key=os.path.getmtime)
+
+
+def test_texts_of_their_own_are_numbered_where_they_are_cut(spark):
+    """Documents whose ids come once are not shuffled; rows that share an id, or have none, are numbered together."""
+    rows = [(1, "one. " * 400), (2, " \n"), (3, "three. " * 300), (3, "other. " * 300), (None, "none. " * 200), (None, "void"), (4, "four")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = sorted(map(str, chunking.chunk_documents(chunking.single_blocks(docs)).select("chunk_id", "doc_id", "index").collect()))
+    assert sorted(map(str, chunking.chunk_texts(docs).select("chunk_id", "doc_id", "index").collect())) == want
+    once = chunking.chunk_texts(docs.where("doc_id in (1, 2, 4)"))
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString() and once.count() > 2
