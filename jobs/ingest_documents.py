@@ -69,14 +69,18 @@ def take_in(arrived: DataFrame, number: int, config: Settings) -> None:
     batches.write(judged.where("reason is not null").select("doc_id", "source", "reason"), root, "rejected", number)
 
     good = arrived.where(reason.isNull()).withColumn("content_hash", T.content_hash(F.array("text")))
-    # a file that comes twice in a batch has rows equal in all of this, of which any will do
-    latest = batches.latest_of_each(good, "doc_id", ["changed", "file", "content_hash"])
-    blocks = latest.select("doc_id", F.lit(0).alias("block_no"), "text", "source", "lang", "content_hash")
-    chunks = chunking.chunk_documents(blocks, IngestConfig(chunk_size=config.chunk_size, chunk_overlap=config.chunk_overlap))
+    cut = IngestConfig(chunk_size=config.chunk_size, chunk_overlap=config.chunk_overlap)
+    blocks = lambda rows: rows.select("doc_id", F.lit(0).alias("block_no"), "text", "source", "lang", "content_hash")
+    once, others = chunking.by_uniqueness(good, arrived.where("doc_id is not null").select("doc_id"))
+    chunks = chunking.chunk_singles(blocks(once), cut)
+    if others is not None:
+        # a file that comes twice in a batch has rows equal in all of this, of which any will do
+        latest = batches.latest_of_each(others, "doc_id", ["changed", "file", "content_hash"])
+        chunks = chunks.unionByName(chunking.chunk_singles(blocks(latest), cut))
     batches.write(chunks, root, "chunks", number)
 
     stored = spark.read.schema(chunks.schema).parquet(f"{root}/chunks/batch={number}")
-    batches.write(textindex.postings(stored, config.buckets), root, "postings", number, "bucket")
+    batches.write(textindex.numbered_postings(stored, config.buckets), root, "postings", number, "bucket")
     words = F.size(T.tokens(F.col("text")))
     facts = stored.groupBy("doc_id").agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("source", "lang", "content_hash")), F.count("*").alias("n_chunks"), F.sum(words).cast("bigint").alias("n_words"))
     wrote = Observation(f"documents of batch {number}")

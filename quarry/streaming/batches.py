@@ -20,7 +20,7 @@ OLDEST = "3650d"
 
 def write(rows: DataFrame, root: str, table: str, number: int, *by: str) -> None:
     """One batch of a table, in sub-folders by the values of ``by``."""
-    rows.write.mode("overwrite").partitionBy(*by).parquet(f"{root}/{table}/batch={number}")
+    rows.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(f"{root}/{table}/batch={number}")
 
 
 def read(spark: SparkSession, root: str, table: str, schema: StructType | None = None) -> DataFrame:

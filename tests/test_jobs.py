@@ -159,3 +159,25 @@ def test_command_line(tmp_path, sf_dir):
     )
     assert out.returncode == 0, out.stderr[-2000:]
     assert "batch 0: orders above -1" in out.stderr and (tmp_path / "graph" / "marks").is_dir()
+
+
+def test_texts_of_different_ids_are_not_dealt_out_by_id(spark, tmp_path, monkeypatch):
+    """Only documents whose id comes more than once in a batch are brought together."""
+    config = ingest_documents.Settings(documents=f"{tmp_path}/documents.parquet", output=f"{tmp_path}/store", buckets=8)
+    add(spark, config.documents, [(1, "alpha beta. " * 150, "en", "s1"), (2, "gamma", "en", "s2"), (2, "delta " * 300, "de", "s2"), (None, "no id", "en", "s1")])
+    brought = []
+    real = batches.latest_of_each
+    monkeypatch.setattr(batches, "latest_of_each", lambda rows, *by: brought.append({r["doc_id"] for r in rows.select("doc_id").collect()}) or real(rows, *by))
+    assert {r["doc_id"] for r in ingest_documents.run(spark, config).collect()} == {1, 2}
+    add(spark, config.documents, [(3, "epsilon", "en", "s1"), (4, "zeta. " * 300, "en", "s1")])
+    ingest_documents.run(spark, config)
+    assert brought == [{2}]
+
+
+def test_ids_of_postings_are_made_after_they_were_dealt_out(spark):
+    docs = spark.createDataFrame([(n, f"word{n % 7} common. " * (50 * n)) for n in range(1, 12)], "doc_id bigint, text string")
+    chunks = chunking.chunk_texts(docs)
+    made = textindex.numbered_postings(chunks, 8)
+    assert collections.Counter(map(tuple, made.collect())) == collections.Counter(map(tuple, textindex.postings(chunks, 8).select(made.columns).collect()))
+    dealt = made._jdf.queryExecution().optimizedPlan().toString().partition("RebalancePartitions")
+    assert "sha1" in dealt[0] and "sha1" not in dealt[2].partition("MapInArrow")[0]
