@@ -889,3 +889,24 @@ def test_texts_of_their_own_are_numbered_where_they_are_cut(spark):
     assert sorted(map(str, chunking.chunk_texts(docs).select("chunk_id", "doc_id", "index").collect())) == want
     once = chunking.chunk_texts(docs.where("doc_id in (1, 2, 4)"))
     assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString() and once.count() > 2
+
+
+def test_no_name_is_too_long_and_no_year_too_odd(spark, sf_dir, tmp_path):
+    """Every named field of a record counts, as in SQL; a record without a key is no chunk."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    db = duckdb.connect()
+    odd = {
+        "part": "SELECT * REPLACE (CASE WHEN p_partkey % 20 = 1 THEN repeat('long name ', 12) || p_partkey ELSE p_name END AS p_name) FROM T",
+        "orders": "SELECT * REPLACE (CASE WHEN o_orderkey % 50 = 1 THEN NULL ELSE o_orderkey END AS o_orderkey, o_orderdate - INTERVAL (CASE WHEN o_orderkey % 50 = 2 THEN 200 WHEN o_orderkey % 50 = 3 THEN -200 ELSE 0 END) YEAR AS o_orderdate) FROM T",
+        "lineitem": "SELECT * REPLACE (CASE WHEN l_orderkey % 50 = 1 THEN NULL ELSE l_linenumber END AS l_linenumber) FROM T",
+    }
+    for name in ("region", "nation", "customer", "supplier", *odd):
+        db.sql(f"COPY ({odd.get(name, 'SELECT * FROM T').replace('FROM T', f'''FROM '{sf_dir}/{name}.parquet' ''')}) TO '{tmp_path}/{name}.parquet'")
+        db.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    theirs = db.sql(entry.oracle_sql()["entity_rollup"])
+    columns, want = theirs.columns, sorted(theirs.fetchall())
+    assert sorted(map(tuple, entry.queries()["entity_rollup"](spark, str(tmp_path)).select(columns).collect())) == want
+    assert any(len(row[0]) > 100 for row in want) and {"1795", "2195"} <= {row[0] for row in want}
